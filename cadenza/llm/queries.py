@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cadenza.llm.fingerprint import edited_pairs, fingerprint, likeness, text_form
+from cadenza.llm.line_dedup import dedup_lines
+from cadenza.llm.mixing import mix_to_targets
 from cadenza.llm.ngram_join import ngram_components
+from cadenza.llm.shared import fresh_path
+from cadenza.llm.token_counts import count_tokens
+from cadenza.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +29,63 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each document in a mix of 150% of all words, sources weighing 5, 2, 1 and at most doubled."""
+    mix = mix_to_targets(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and of their edited texts, and their likeness."""
+    pairs = edited_pairs(_table(spark, sf_dir, "documents")).withColumn("edited_fp", fingerprint(F.col("edited")))
+    return pairs.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        text_form(F.col("fp")).alias("fingerprint"),
+        text_form(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 @_query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
     return ngram_components(_table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
+
+
+@_query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of documents from a fresh digest cache."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer=str(model), cache=fresh_path(spark, "token-cache"), limit=4096)
+
+
+@_query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts before and after line dedup, and the digest of what is kept."""
+    kept = dedup_lines(_table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+@_query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back."""
+    return archive_round_trip(_table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op8_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (SELECT *, {_KEY} AS key FROM lines),
+common AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT k.*, (c.key IS NOT NULL AND k.doc_id <> c.keeper) AS drop FROM keyed k LEFT JOIN common c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT drop), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
