@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.fingerprint import edited_pairs, fingerprint, likeness, text_form
+from cadenza.llm.language import identify, train
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.mixing import mix_to_targets
 from cadenza.llm.ngram_join import ngram_components
+from cadenza.llm.sentencepieces import sentencepiece_ids
 from cadenza.llm.shared import fresh_path
 from cadenza.llm.token_counts import count_tokens
+from cadenza.llm.token_files import read_token_files, write_token_files
+from cadenza.llm.vector_search import nearest
 from cadenza.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +40,22 @@ def op1_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each document, and whether decoding them gives the text back."""
+    model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = sentencepiece_ids(docs, model=model, decoded_col="decoded")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return pieces.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.encode(ids, "UTF-8")).alias("ids_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
+
+
+@_query
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found of every fiftieth vector."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @_query
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of documents and of their edited texts, and their likeness."""
@@ -57,6 +77,14 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
 
+@_query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as token files and read back."""
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = write_token_files(_table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), tokenizer=path, end_id=2)
+    return read_token_files(manifest, ids=False)
+
+
 @_query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of documents from a fresh digest cache."""
@@ -71,6 +99,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document from its text, its declared language and its source's prior."""
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, id_col="doc_id", text_col="text", label_col="lang")
+    return identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+
+
 @_query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to WARC archives and read back."""

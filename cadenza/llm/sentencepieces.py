@@ -14,8 +14,10 @@ The normaliser handled is the identity with spaces as word marks (what the BPE m
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,11 @@ from cadenza.llm.token_counts import text_groups
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
+_LOW_BITS = np.uint64((1 << 20) - 1)
 #: Characters of a unit up to which units are segmented together; longer ones are cut where no piece joins two characters.
 LONG = 64
+#: Distinct units that a worker keeps with their ids.
+KNOWN = 400_000
 
 
 @dataclass
@@ -51,18 +56,26 @@ class Pieces:
         self.longest = max(map(len, codes), default=1)
         keys = np.array([_hash(c[None])[0, -1] if len(c) else 0 for c in codes], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], ids[order]
+        self.keys, self.ids = keys[order], ids[order].astype(np.int32)
+        self.filled = np.zeros(int(_LOW_BITS) + 1, bool)
+        self.filled[keys & _LOW_BITS] = True
+        self.best = np.append(self.scores, -np.inf)  # at -1, for no piece
         self.bytes_of = {i: int(t[3:5], 16) for i, t in enumerate(self.texts) if re.fullmatch(r"<0x[0-9A-F]{2}>", t)}
         self.byte_ids = np.full(256, self.unknown)
         for i, b in self.bytes_of.items():
             self.byte_ids[b] = i
         self.joined = {a + b for i in ids for a, b in zip(self.texts[i], self.texts[i][1:], strict=False)}
         self.plain = [bytes([self.bytes_of[i]]) if i in self.bytes_of else t.replace(MARK, " ").encode() if self.ordinary[i] else b"" for i, t in enumerate(self.texts)]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, list[int]] = {}
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        """Piece ids of substring hashes, -1 for no piece; most hashes fail the table of low bits and are not searched for."""
+        out = np.full(keys.shape, -1, np.int32)
+        maybe = np.nonzero(self.filled[keys & _LOW_BITS])
+        some = keys[maybe]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[at] == some, self.ids[at], -1)
+        return out
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -87,17 +100,20 @@ def load_pieces(path: str) -> Pieces:
     return Pieces([p.id_to_piece(i) for i in range(n)], scores, ordinary, "bpe" if len(ranks) and (ranks == np.round(ranks)).all() else "unigram", p.unk_id())
 
 
-_loaded = cache(load_pieces)
+@cache
+def kept_pieces(path: str) -> Pieces:
+    """:func:`load_pieces`, once in a worker's life."""
+    return load_pieces(path)
 
 
 def _lattice(pieces: Pieces, codes: np.ndarray) -> np.ndarray:
-    """[unit, start, length - 1] -> piece id or -1."""
+    """[unit, start, length] -> piece id or -1; length 0 and the one past the longest are no piece."""
     rows, n = codes.shape
     most = min(n, pieces.longest)
-    out = np.full((rows, n, most), -1, np.int64)
+    out = np.full((rows, n, most + 2), -1, np.int32)
     for start in range(n):
         wide = min(most, n - start)
-        out[:, start, :wide] = pieces.find(_hash(codes[:, start : start + wide]))
+        out[:, start, 1 : wide + 1] = pieces.find(_hash(codes[:, start : start + wide]))
     return out
 
 
@@ -109,8 +125,8 @@ def _viterbi(pieces: Pieces, codes: np.ndarray) -> list[list[tuple[int, int, int
     best[:, 0] = 0
     back = np.zeros((rows, n + 1), np.int64)
     for end in range(1, n + 1):
-        lengths = np.arange(1, min(end, lattice.shape[2]) + 1)
-        ids = lattice[:, end - lengths, lengths - 1]
+        lengths = np.arange(1, min(end, lattice.shape[2] - 2) + 1)
+        ids = lattice[:, end - lengths, lengths]
         score = np.where(ids >= 0, pieces.scores[ids], np.where(lengths == 1, worst, -np.inf)) + best[:, end - lengths]
         at = score.argmax(1)
         best[:, end], back[:, end] = score[np.arange(rows), at], lengths[at]
@@ -119,7 +135,7 @@ def _viterbi(pieces: Pieces, codes: np.ndarray) -> list[list[tuple[int, int, int
         cut, end = [], n
         while end:
             size = int(back[row, end])
-            cut.append((end - size, end, int(lattice[row, end - size, size - 1])))
+            cut.append((end - size, end, int(lattice[row, end - size, size])))
             end -= size
         out.append(cut[::-1])
     return out
@@ -128,30 +144,24 @@ def _viterbi(pieces: Pieces, codes: np.ndarray) -> list[list[tuple[int, int, int
 def _merges(pieces: Pieces, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """[(start, end, id or -1)] of each row, by merging the best adjacent pair of every row until none is a piece."""
     lattice, (rows, n) = _lattice(pieces, codes), codes.shape
-    starts = np.tile(np.arange(n + 1), (rows, 1))  # of the symbols; past the last, n
-    live, most = np.arange(rows), lattice.shape[2]
-    scores = pieces.scores
-    while n > 1 and live.size:
-        own = starts[live]
-        a, c = own[:, :-2], own[:, 2:]
-        size = c - a
-        ok = (c > own[:, 1:-1]) & (size <= most)
-        ids = np.where(ok, lattice[live[:, None], np.minimum(a, n - 1), np.clip(size, 1, most) - 1], -1)
-        value = np.where(ids >= 0, scores[ids], -np.inf)
+    deep = lattice.shape[2]
+    flat, over = lattice.ravel(), deep - 1
+    # Each live row loses one symbol a step, so all have the same number of symbols; edges holds their starts and the end.
+    live, edges, done = np.arange(rows), np.tile(np.arange(n + 1, dtype=np.int32), (rows, 1)), [None] * rows
+    while live.size:
+        a = edges[:, :-2]
+        value = pieces.best[flat[(live[:, None] * n + a) * deep + np.minimum(edges[:, 2:] - a, over)]] if a.shape[1] else np.full((len(live), 1), -np.inf)
         at = value.argmax(1)
         found = value[np.arange(len(live)), at] > -np.inf
-        live, at = live[found], at[found]
-        if not live.size:
-            break
-        own = starts[live]
-        shift = np.arange(n + 1)[None] > at[:, None]
-        starts[live] = np.where(shift, np.concatenate([own[:, 1:], np.full((len(live), 1), n)], 1), own)
-    out = []
-    for row in range(rows):
-        edges = starts[row].tolist()
-        edges = edges[: edges.index(n) + 1]
-        out.append([(s, e, int(lattice[row, s, e - s - 1])) for s, e in zip(edges, edges[1:], strict=False)])
-    return out
+        for row, last in zip(live[~found].tolist(), edges[~found].tolist(), strict=True):
+            done[row] = last
+        live, at, edges = live[found], at[found], edges[found]
+        keep = np.ones(edges.shape, bool)
+        keep[np.arange(len(live)), at + 1] = False
+        edges = edges[keep].reshape(len(live), -1) if live.size else edges
+    cut = [(row * n + s) * deep + e - s if e - s < over else -1 for row, ends in enumerate(done) for s, e in zip(ends, ends[1:], strict=False)]
+    ids = iter(np.where(np.array(cut) >= 0, flat[cut], -1).tolist())
+    return [[(s, e, next(ids)) for s, e in zip(ends, ends[1:], strict=False)] for ends in done]
 
 
 def _cuts(pieces: Pieces, unit: str) -> list[str]:
@@ -164,7 +174,7 @@ def _cuts(pieces: Pieces, unit: str) -> list[str]:
     return [*parts, unit[begin:]]
 
 
-def _ids(pieces: Pieces, unit: str, cut: list[tuple[int, int, int]]) -> np.ndarray:
+def _ids(pieces: Pieces, unit: str, cut: list[tuple[int, int, int]]) -> list[int]:
     out: list[int] = []
     for s, e, i in cut:
         if i >= 0:
@@ -173,13 +183,13 @@ def _ids(pieces: Pieces, unit: str, cut: list[tuple[int, int, int]]) -> np.ndarr
             out += pieces.byte_ids[np.frombuffer(unit[s:e].encode(), np.uint8)].tolist()
         elif not out or out[-1] != pieces.unknown:
             out.append(pieces.unknown)
-    return np.array(out, np.int64)
+    return out
 
 
-def segment(pieces: Pieces, units: list[str]) -> dict[str, np.ndarray]:
-    """ids of every distinct unit."""
+def segment(pieces: Pieces, units: Iterable[str]) -> dict[str, list[int]]:
+    """ids of each of the (distinct) units."""
     by_length: dict[int, list[str]] = {}
-    for unit in dict.fromkeys(units):
+    for unit in units:
         by_length.setdefault(len(unit), []).append(unit)
     run, out = _merges if pieces.kind == "bpe" else _viterbi, {}
     for n, same in by_length.items():
@@ -192,23 +202,24 @@ def segment(pieces: Pieces, units: list[str]) -> dict[str, np.ndarray]:
     return out
 
 
-def encode_texts(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
+def encode_texts(pieces: Pieces, texts: list[str]) -> list[list[int]]:
     """ids of each text, as the library gives them without begin and end."""
     units = []
     for t in texts:
-        marked = ((" " if pieces.prefix and t else "") + t).replace(" ", MARK)
-        units.append([p for u in _UNIT.findall(marked) for p in ((u,) if len(u) <= LONG else _cuts(pieces, u))])
-    if len(pieces.known) > 200_000:
+        us = _UNIT.findall(((" " if pieces.prefix and t else "") + t).replace(" ", MARK))
+        if len(t) > LONG and max(map(len, us)) > LONG:
+            us = [p for u in us for p in ((u,) if len(u) <= LONG else _cuts(pieces, u))]
+        units.append(us)
+    if len(pieces.known) > KNOWN:
         pieces.known.clear()
-    fresh = [u for us in units for u in us if u not in pieces.known]
-    pieces.known |= segment(pieces, fresh)
     known = pieces.known
-    return [np.concatenate([known[u] for u in us]) if us else np.zeros(0, np.int64) for us in units]
+    known |= segment(pieces, set(chain.from_iterable(units)).difference(known))
+    return [list(chain.from_iterable(map(known.__getitem__, us))) for us in units]
 
 
-def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:
+def decode_ids(pieces: Pieces, ids: list[int]) -> str:
     """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-    raw = b"".join([pieces.plain[i] for i in ids.tolist()])
+    raw = b"".join(map(pieces.plain.__getitem__, ids))
     return (raw[1:] if pieces.prefix and raw[:1] == b" " else raw).decode(errors="replace")
 
 
@@ -224,7 +235,7 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
     source = docs.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches):
-        pieces = _loaded(model)
+        pieces = kept_pieces(model)
         for batch in batches:
             at = 0
             for group in text_groups(batch.column(len(names)).to_pylist()):
@@ -232,7 +243,7 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
                 part = batch.slice(at, len(group))
                 at += len(group)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                columns = [part.column(i) for i in range(len(names))] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))]
+                columns = [part.column(i) for i in range(len(names))] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))))]
                 if decoded_col:
                     columns.append(pa.array([decode_ids(pieces, x) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *[f.name for f in added]])

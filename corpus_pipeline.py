@@ -1,16 +1,70 @@
-"""The corpus pipeline: language, repeated lines, near duplicates, mixing, tokens. See ``STAGES``."""
+"""The corpus pipeline: language, repeated lines, near duplicates, mixing, pieces.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; its decisions take effect. All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza.llm.language import identify, train
+from cadenza.llm.line_dedup import dedup_lines
+from cadenza.llm.mixing import mixed_rows
+from cadenza.llm.ngram_join import ngram_components
+from cadenza.llm.sentencepieces import sentencepiece_ids
+from cadenza.llm.shared import written
+
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language."""
+    model = train(docs, id_col="doc_id", text_col="text", label_col="lang")
+    found = identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+    return docs.join(found.filter("not accepted").select("doc_id"), "doc_id", "left_anti")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that five documents share stay in one of them; documents that lose all their text this way go."""
+    kept = dedup_lines(docs)
+    rest = kept.filter("n_dropped = 0 or length(trim(text)) > 0")
+    return rest.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by 5-word shingles with a similarity of 0.8 or more."""
+    groups = ngram_components(docs, k=5, threshold=(8, 10))
+    return docs.join(groups.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as a mix of 150% of all words takes them, sources weighing 5, 2, 1."""
+    return mixed_rows(docs, weights=(5, 2, 1), share=1.5, most=2.0)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each row and whether decoding them gives its text back."""
+    model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    found = sentencepiece_ids(docs.select("doc_id", "source", "text"), model=model, decoded_col="decoded")
+    return found.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language", known_language),
+    ("line dedup", without_repeated_lines),
+    ("near duplicates", without_near_duplicates),
+    ("mixing", mixed),
+    ("sentencepiece", pieces),
+]
+#: Trained models, random rounding and pieces are beyond SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each to all rows that the one before it kept."""
+    """Applies the stages to ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
