@@ -7,14 +7,18 @@ The global order of the n-grams is the order of their 64-bit hashes. It is cut i
 therefore gives one signature per filled fragment, for its own level and for the lower levels from which a smaller partner may
 come. Where empty fragments use up that guarantee, a set adds the signatures of a cut into ``d + 1 + e`` fragments, ``e`` = 1, 2,
 4, ..., until it has at most ``e`` empty ones; of two linked sets, the one that stops first proves the pair's common fragment.
+Where a threshold below 0.62 allows more differences than a set has n-grams, each n-gram is a signature.
 Nothing is capped and no frequent n-gram is left out.
 
 *Counting.* The sets of candidates are cut into ``fragments`` ranges; overlaps are counted for each (pair, fragment) separately
 and summed per pair.
 
-*Large groups.* Pairs are not expanded. Each signature's holders are compared with a pivot, in a few rounds with a few pivots. The
-Jaccard distance is a metric, so of two holders that are not connected by then only those whose distances to each pivot differ
-by at most ``1 - t`` can link; these remaining pairs are compared as well. No link that would connect two components is lost.
+*Large groups.* Pairs are not expanded. The holders of each signature are compared with one of them, the pivot, which is the one
+that shares most signatures with others. What remains to be found are links between holders of different components. With
+``D(x)`` the n-grams in which x and the pivot p differ, ``|x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|``, so x and y link only if they share
+at least ``(|D(x)| + |D(y)| - c (|x| + |y|)) / 2`` of these differences, ``c = (1 - t) / (1 + t)``. Those of x and y that are both near p are
+connected already, and for the others this number is positive: a prefix join over the differences, rarest first, finds
+them. No link that would connect two components is lost.
 """
 
 from __future__ import annotations
@@ -32,9 +36,6 @@ from cadenza.llm.shared import bounded, small_batches, written
 from cadenza.llm.shingles import mix, shingle_sets
 
 _LEVELS = 4_000_000_000
-#: Rounds in which the holders of each signature that is still split are compared with one more of them, before what is left is
-#: compared pair by pair. It changes the amount of work, never the links found.
-PIVOTS = 3
 
 
 def _levels(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +58,9 @@ def signatures(grams: np.ndarray, num: int, den: int, lows: np.ndarray, highs: n
         hi = int(highs[level])
         differ = (hi + hi * den // num) * (den - num) // (den + num)
         extra = 0
+        if lows[level] <= differ:  # low thresholds: all n-grams may be in different fragments, so each is a signature
+            out.append(mix(mixed ^ np.uint64(level)))
+            differ = 0
         while differ:
             cut = differ + 1 + extra
             part = (top * np.uint64(cut)) >> np.uint64(32)
@@ -168,15 +172,79 @@ def _overlap_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), batch.column(4), batch.column(5)], ["x", "y", "common", "nx", "ny"])
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (x, y) with the size of their intersection, counted by fragment and summed: x, y, common, nx, ny."""
+def _difference_rows(batches):
+    for batch in batches:
+        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        last, grams, common, differ = None, None, [], []
+        for a, b in zip(left, right, strict=True):
+            if b is not last:
+                last, grams = b, _unpack(b)
+            both = np.concatenate([_unpack(a), grams])
+            both.sort(kind="stable")
+            same = both[1:] == both[:-1]
+            alone = np.ones(len(both), bool)
+            alone[1:] &= ~same
+            alone[:-1] &= ~same
+            common.append(int(same.sum()))
+            differ.append(both[alone].astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum([len(d) for d in differ])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(differ) if differ else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), batch.column(4), batch.column(5), lists], ["x", "y", "common", "nx", "ny", "differ"])
+
+
+def _by_fragment(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("v").alias("x"), F.col("n").alias("nx"), "frag", F.col("grams").alias("gx"))
     right = sets.select(F.col("v").alias("y"), F.col("n").alias("ny"), "frag", F.col("grams").alias("gy"))
-    by_fragment = pairs.join(left, "x").join(right, ["y", "frag"]).select("x", "y", "gx", "gy", "nx", "ny")
-    counted = by_fragment.mapInArrow(_overlap_rows, "x long, y long, common long, nx long, ny long")
+    return pairs.join(left, "x").join(right, ["y", "frag"]).select("x", "y", "gx", "gy", "nx", "ny")
+
+
+def _summed(counted: DataFrame) -> DataFrame:
     return counted.groupBy("x", "y").agg(F.sum("common").alias("common"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
 
 
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (x, y) with the size of their intersection, counted by fragment and summed: x, y, common, nx, ny."""
+    return _summed(_by_fragment(pairs, sets).mapInArrow(_overlap_rows, "x long, y long, common long, nx long, ny long"))
+
+
+def _open_pairs(stars: DataFrame, differences: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of different components that may link, from their differences to a common pivot.
+
+    stars: x, y (the pivot), common, nx, ny; differences: x, y, differ (by fragment); roots: id, root.
+    """
+    c = (den - num) / (den + num)
+    root_of = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
+    pivot_root = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
+    members = stars.join(root_of, "x", "left").join(pivot_root, "y", "left").select(
+        "x", "y", "nx", (F.col("nx") + F.col("ny") - 2 * F.col("common")).alias("d"), F.col("ny").alias("np"), F.coalesce("rx", "x").alias("rx"), (F.coalesce("rx", "x") != F.coalesce("ry", "y")).alias("minor")
+    )
+    split = members.groupBy("y").agg(F.max("minor").alias("split")).filter("split").select("y")
+    members = written(members.join(split, "y"), "ngram-members")
+
+    each = differences.join(split, "y").select("x", "y", F.explode("differ").alias("e"))
+    often = each.groupBy("y", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = each.join(often, ["y", "e"]).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("shared"))
+    # The rarest differences are those that nobody shares; what the prefix has beyond them is listed.
+    widest = F.floor(c * (F.col("nx") + F.floor(F.col("nx") * den / num)))
+    slack = 1e-6
+    least_minor = F.greatest(F.lit(1), F.col("d") - widest)
+    least_any = F.greatest(F.lit(1), F.ceil((F.col("d") + c * (F.col("np") - F.col("nx"))) / 2 - slack))
+
+    def prefix(least):
+        n = F.greatest(F.lit(0), F.col("d") - least + 1 - (F.col("d") - F.size("shared")))
+        return F.slice("shared", F.lit(1), n.cast("int"))
+
+    listed = written(
+        ranked.join(members, ["x", "y"]).select("x", "y", "nx", "d", "rx", "minor", prefix(least_any)["e"].alias("any"), F.when(F.col("minor"), prefix(least_minor)["e"]).alias("wide")), "ngram-prefixes"
+    )
+    a = listed.filter("minor").select("y", F.explode("wide").alias("e"), F.col("x").alias("a"), F.col("nx").alias("na"), F.col("d").alias("da"), F.col("rx").alias("ra"))
+    b = listed.select("y", F.explode("any").alias("e"), F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("d").alias("db"), F.col("rx").alias("rb"), F.col("minor").alias("mb"))
+    may = (F.col("ra") != F.col("rb")) & (~F.col("mb") | (F.col("a") < F.col("b"))) & (F.abs(F.col("da") - F.col("db")) <= c * (F.col("na") + F.col("nb")) + slack)
+    may = may & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    met = a.join(b, ["y", "e"]).filter(may)
+    return met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
+
+
 def ngram_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (8, 10), fragments: int = 4
 ) -> DataFrame:
@@ -193,9 +261,12 @@ def ngram_components(
     sizes = written(texts.mapInArrow(_size_rows(k), T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("v", T.LongType())])), "ngram-sizes")
 
     signed = texts.mapInArrow(_signature_rows(k, num, den), "sig long, v long")
-    shared = written(signed.groupBy("sig").agg(F.min("v").alias("pivot"), F.max("v").alias("other")).filter("pivot <> other").select("sig", "pivot"), "ngram-shared")
+    shared = written(signed.groupBy("sig").agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a <> b").select("sig"), "ngram-shared")
     # Who holds a shared signature: the copies of a set meet here, so that each holder is one row.
     held = written(signed.join(bounded(shared), "sig").distinct(), "ngram-held")
+    among = held.groupBy("sig").agg(F.count("*").alias("c"))
+    known = held.join(among, "sig").groupBy("v").agg(F.sum("c").alias("known"))
+    pivots = held.join(known, "v").groupBy("sig").agg(F.max_by("v", F.struct("known", "v")).alias("pivot"))
 
     candidates = held.select("v").distinct()
     one = sizes.join(candidates, "v").groupBy("v").agg(F.min("id").alias("id"))
@@ -204,40 +275,14 @@ def ngram_components(
     of = of if texts.filter("id is null").limit(1).count() == 0 else texts
     sets = written(of.mapInArrow(_fragment_rows(k, fragments), "v long, n long, frag int, grams binary").dropDuplicates(["v", "frag"]), "ngram-sets")
 
-    linked = (F.col("common") * (den + num) >= num * (F.col("nx") + F.col("ny"))).alias("linked")
-    far = (1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("far")
-    placed = held.select("sig", "v", "pivot", F.array().cast("array<double>").alias("fars"))
-    known = links = joined = None
-    for turn in range(PIVOTS):
-        stars = placed.filter("v <> pivot").select(F.col("v").alias("x"), F.col("pivot").alias("y")).distinct()
-        fresh = stars if known is None else stars.join(known.select("x", "y"), ["x", "y"], "left_anti")
-        starred = written(overlaps(fresh, sets).select("x", "y", linked, far), "ngram-stars")
-        known = starred if known is None else known.unionByName(starred)
-        links = known.filter("linked").select("x", "y")
-        joined = components(links)
-        measured = placed.join(known.select(F.col("x").alias("v"), F.col("y").alias("pivot"), "far"), ["v", "pivot"], "left").select(
-            "sig", "v", F.concat("fars", F.array(F.when(F.col("v") == F.col("pivot"), 0.0).otherwise(F.col("far")))).alias("fars")
-        )
-        rooted = measured.join(joined.select(F.col("id").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-        groups = rooted.groupBy("sig", "root").agg(F.count("*").alias("c"), F.min_by("v", F.xxhash64("v", F.lit(turn))).alias("next"))
-        split = groups.groupBy("sig").agg(
-            F.count("*").alias("roots"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"), F.max_by("root", "c").alias("main"), F.max_by("next", F.xxhash64("next", F.lit(turn))).alias("pivot")
-        )
-        split = split.filter("roots > 1")
-        placed = written(rooted.join(split.select("sig", "main", "pivot", ((F.col("s") * F.col("s") - F.col("ss")) / (2 * F.col("s"))).alias("open")), "sig"), "ngram-placed")
-        if placed.select(F.coalesce(F.sum("open"), F.lit(0))).first()[0] <= 0:
-            break
-
-    # Holders of one signature that no pivot connected; equal components and pairs that the metric excludes stay out.
-    minor = placed.filter("root <> main").select("sig", F.col("v").alias("x"), F.col("fars").alias("fx"), F.col("root").alias("rx"))
-    rest = placed.select("sig", F.col("v").alias("y"), F.col("fars").alias("fy"), F.col("root").alias("ry"), "main")
-    reach = (den - num) / den + 1e-9
-    near = F.forall(F.zip_with("fx", "fy", lambda a, b: F.coalesce(F.abs(a - b) <= reach, F.lit(True))), lambda ok: ok)
-    open_pairs = minor.join(rest, (minor.sig == rest.sig) & (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & near)
-    open_pairs = open_pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    tried = known.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-    more = written(overlaps(open_pairs.join(tried, ["x", "y"], "left_anti"), sets).filter(linked).select("x", "y"), "ngram-links")
-    joined = components(links.unionByName(more))
+    linked = F.col("common") * (den + num) >= num * (F.col("nx") + F.col("ny"))
+    stars = held.join(pivots, "sig").filter("v <> pivot").select(F.col("v").alias("x"), F.col("pivot").alias("y")).distinct()
+    differences = written(_by_fragment(stars, sets).mapInArrow(_difference_rows, "x long, y long, common long, nx long, ny long, differ array<long>"), "ngram-differences")
+    starred = written(_summed(differences), "ngram-stars")
+    links = starred.filter(linked).select("x", "y")
+    near = written(components(links), "ngram-near")
+    more = written(overlaps(_open_pairs(starred, differences, near, num, den), sets).filter(linked).select("x", "y"), "ngram-links")
+    joined = components(links.unionByName(more)) if not more.isEmpty() else near
 
     home = sizes.join(joined.select(F.col("id").alias("v"), "root"), "v", "left").select("id", "n", F.coalesce("root", "v").alias("root"))
     least = home.groupBy("root").agg(F.min("id").alias("least"))
