@@ -46,8 +46,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = str(public_tokenizers.path("piece_bpe_32k.model"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = sentencepiece_ids(docs, model=model, decoded_col="decoded")
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return pieces.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.encode(ids, "UTF-8")).alias("ids_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
+    return pieces.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
 
 
 @_query
