@@ -14,10 +14,11 @@ The normaliser handled is the identity with spaces as word marks (what the BPE m
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ _LOW_BITS = np.uint64((1 << 20) - 1)
 #: Characters of a unit up to which units are segmented together; longer ones are cut where no piece joins two characters.
 LONG = 64
 #: Distinct units that a worker keeps with their ids.
-KNOWN = 400_000
+KNOWN = 800_000
 
 
 @dataclass
@@ -59,14 +60,15 @@ class Pieces:
         self.keys, self.ids = keys[order], ids[order].astype(np.int32)
         self.filled = np.zeros(int(_LOW_BITS) + 1, bool)
         self.filled[keys & _LOW_BITS] = True
-        self.best = np.append(self.scores, -np.inf)  # at -1, for no piece
+        # Ranks of scores, best first; no piece, at -1, has the last.
+        self.rank = np.append(np.unique(-self.scores, return_inverse=True)[1], len(self.scores)).astype(np.int32)
         self.bytes_of = {i: int(t[3:5], 16) for i, t in enumerate(self.texts) if re.fullmatch(r"<0x[0-9A-F]{2}>", t)}
         self.byte_ids = np.full(256, self.unknown)
         for i, b in self.bytes_of.items():
             self.byte_ids[b] = i
         self.joined = {a + b for i in ids for a, b in zip(self.texts[i], self.texts[i][1:], strict=False)}
         self.plain = [bytes([self.bytes_of[i]]) if i in self.bytes_of else t.replace(MARK, " ").encode() if self.ordinary[i] else b"" for i, t in enumerate(self.texts)]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 for no piece; most hashes fail the table of low bits and are not searched for."""
@@ -145,23 +147,28 @@ def _merges(pieces: Pieces, codes: np.ndarray) -> list[list[tuple[int, int, int]
     """[(start, end, id or -1)] of each row, by merging the best adjacent pair of every row until none is a piece."""
     lattice, (rows, n) = _lattice(pieces, codes), codes.shape
     deep = lattice.shape[2]
-    flat, over = lattice.ravel(), deep - 1
+    flat, over, none = lattice.ravel(), np.int32(deep - 1), len(pieces.scores)
     # Each live row loses one symbol a step, so all have the same number of symbols; edges holds their starts and the end.
-    live, edges, done = np.arange(rows), np.tile(np.arange(n + 1, dtype=np.int32), (rows, 1)), [None] * rows
+    live, edges, done = np.arange(rows, dtype=np.int32), np.tile(np.arange(n + 1, dtype=np.int32), (rows, 1)), [None] * rows
     while live.size:
         a = edges[:, :-2]
-        value = pieces.best[flat[(live[:, None] * n + a) * deep + np.minimum(edges[:, 2:] - a, over)]] if a.shape[1] else np.full((len(live), 1), -np.inf)
-        at = value.argmax(1)
-        found = value[np.arange(len(live)), at] > -np.inf
-        for row, last in zip(live[~found].tolist(), edges[~found].tolist(), strict=True):
-            done[row] = last
-        live, at, edges = live[found], at[found], edges[found]
+        if not a.shape[1]:
+            for row, last in zip(live.tolist(), edges.tolist(), strict=True):
+                done[row] = last
+            break
+        value = pieces.rank.take(flat.take((live[:, None] * np.int32(n) + a) * np.int32(deep) + np.minimum(edges[:, 2:] - a, over)))
+        at = value.argmin(1)
+        found = value[np.arange(len(live)), at] < none
+        if not found.all():
+            for row, last in zip(live[~found].tolist(), edges[~found].tolist(), strict=True):
+                done[row] = last
+            live, at, edges = live[found], at[found], edges[found]
         keep = np.ones(edges.shape, bool)
         keep[np.arange(len(live)), at + 1] = False
         edges = edges[keep].reshape(len(live), -1) if live.size else edges
-    cut = [(row * n + s) * deep + e - s if e - s < over else -1 for row, ends in enumerate(done) for s, e in zip(ends, ends[1:], strict=False)]
+    cut = [(row * n + s) * deep + e - s if e - s < over else -1 for row, ends in enumerate(done) for s, e in pairwise(ends)]
     ids = iter(np.where(np.array(cut) >= 0, flat[cut], -1).tolist())
-    return [[(s, e, next(ids)) for s, e in zip(ends, ends[1:], strict=False)] for ends in done]
+    return [[(s, e, next(ids)) for s, e in pairwise(ends)] for ends in done]
 
 
 def _cuts(pieces: Pieces, unit: str) -> list[str]:
@@ -174,7 +181,8 @@ def _cuts(pieces: Pieces, unit: str) -> list[str]:
     return [*parts, unit[begin:]]
 
 
-def _ids(pieces: Pieces, unit: str, cut: list[tuple[int, int, int]]) -> list[int]:
+def _ids(pieces: Pieces, unit: str, cut: list[tuple[int, int, int]]) -> bytes:
+    """The unit's ids as native 32-bit integers."""
     out: list[int] = []
     for s, e, i in cut:
         if i >= 0:
@@ -183,10 +191,10 @@ def _ids(pieces: Pieces, unit: str, cut: list[tuple[int, int, int]]) -> list[int
             out += pieces.byte_ids[np.frombuffer(unit[s:e].encode(), np.uint8)].tolist()
         elif not out or out[-1] != pieces.unknown:
             out.append(pieces.unknown)
-    return out
+    return array("i", out).tobytes()
 
 
-def segment(pieces: Pieces, units: Iterable[str]) -> dict[str, list[int]]:
+def segment(pieces: Pieces, units: Iterable[str]) -> dict[str, bytes]:
     """ids of each of the (distinct) units."""
     by_length: dict[int, list[str]] = {}
     for unit in units:
@@ -202,7 +210,7 @@ def segment(pieces: Pieces, units: Iterable[str]) -> dict[str, list[int]]:
     return out
 
 
-def encode_texts(pieces: Pieces, texts: list[str]) -> list[list[int]]:
+def encode_texts(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
     """ids of each text, as the library gives them without begin and end."""
     units = []
     for t in texts:
@@ -214,12 +222,12 @@ def encode_texts(pieces: Pieces, texts: list[str]) -> list[list[int]]:
         pieces.known.clear()
     known = pieces.known
     known |= segment(pieces, set(chain.from_iterable(units)).difference(known))
-    return [list(chain.from_iterable(map(known.__getitem__, us))) for us in units]
+    return [np.frombuffer(b"".join(map(known.__getitem__, us)), np.int32) for us in units]
 
 
-def decode_ids(pieces: Pieces, ids: list[int]) -> str:
+def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:
     """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-    raw = b"".join(map(pieces.plain.__getitem__, ids))
+    raw = b"".join(map(pieces.plain.__getitem__, ids.tolist()))
     return (raw[1:] if pieces.prefix and raw[:1] == b" " else raw).decode(errors="replace")
 
 
@@ -228,7 +236,7 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
 
     Null texts count as empty and have no ids. Rows stay where they are: no shuffle, nothing per document on the driver.
     """
-    small_batches(docs.sparkSession, 4)
+    small_batches(docs.sparkSession, 8)
     kept = [f for f in docs.schema if f.name not in (ids_col, decoded_col)]
     added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
     names = [f.name for f in kept]
@@ -238,12 +246,12 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
         pieces = kept_pieces(model)
         for batch in batches:
             at = 0
-            for group in text_groups(batch.column(len(names)).to_pylist()):
+            for group in text_groups(batch.column(len(names)).to_pylist(), 4 << 20):
                 found = encode_texts(pieces, group)
                 part = batch.slice(at, len(group))
                 at += len(group)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                columns = [part.column(i) for i in range(len(names))] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))))]
+                columns = [part.column(i) for i in range(len(names))] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))]
                 if decoded_col:
                     columns.append(pa.array([decode_ids(pieces, x) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *[f.name for f in added]])
