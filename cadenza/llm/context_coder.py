@@ -1,7 +1,7 @@
 """An adaptive context-mixing range coder for token ids, in independently reset blocks that are coded side by side.
 
 A block predicts each id from what it has coded so far. Order 2 and order 1 predict the id that last followed the two and the
-one before it; order 0 learns how often each class of ids occurs (ids of one leading bit and the two bits after it are
+one before it; order 0 learns how often each class of ids occurs (ids of one leading bit and one bit after it are
 a class). The symbols "as order 2 says", "as order 1 says" and each class have counts by context (which predictions exist, and whether order 2
 was right before) and counts of the whole block; the two sets are mixed with weights that follow which of them predicted
 better. A class is followed by the place within it. All arithmetic is on integers, so any machine decodes alike.
@@ -19,7 +19,6 @@ import numpy as np
 BLOCK = 2048
 #: Hash slots of a block's prediction tables.
 SLOTS = 2048
-CLASSES = 1 + 4 * 31  # of 32-bit ids
 CONTEXTS = 8
 PRECISION = 14
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
@@ -27,61 +26,62 @@ _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 
 def _class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, place within it, bits of the place) of ids."""
-    v = ids.astype(np.int64) + 4
-    high = np.frexp(v.astype(np.float64))[1] - 1  # exact: ids have 32 bits at most
-    return (high - 2) * 4 + ((v >> (high - 2)) & 3), v & ((np.int64(1) << (high - 2)) - 1), high - 2
+    v = ids.astype(np.int64) + 2
+    bits = np.frexp(v.astype(np.float64))[1] - 2  # exact: ids have 32 bits at most
+    return bits * 2 + ((v >> bits) & 1), v & ((np.int64(1) << bits) - 1), bits
 
 
 def _id_of(kind: np.ndarray, place: np.ndarray) -> np.ndarray:
-    bits = kind >> 2
-    return ((((kind & 3) | 4) << bits) | place) - 4
+    return ((((kind & 1) | 2) << (kind >> 1)) | place) - 2
 
 
 class _Model:
     """Predictions and counts of many blocks."""
 
+    STEP, FULL, CHECK = 24, 4000, 8
+
     def __init__(self, rows: int, classes: int) -> None:
-        self.rows, self.symbols = np.arange(rows), classes + 2
-        self.by_context = np.full((rows, CONTEXTS, self.symbols), 2, np.int32)
-        self.overall = np.full((rows, self.symbols), 2, np.int32)
-        self.weight = np.full(rows, 32, np.int64)  # of 64, for the counts by context
-        self.one = np.full((rows, SLOTS), -1, np.int32)
-        self.two = np.full((rows, SLOTS), -1, np.int32)
-        self.last = np.zeros((2, rows), np.int64)
-        self.right = np.zeros(rows, np.int64)
+        self.rows, n = np.arange(rows), classes + 2
+        self.symbols, self.room, self.floor = n, (1 << PRECISION) - n, np.arange(1, n + 1, dtype=np.int32)
+        self.by_context, self.context_n = np.full((rows, CONTEXTS, n), 2, np.int32), np.full((rows, CONTEXTS), 2 * n, np.int32)
+        self.overall, self.overall_n = np.full((rows, n), 2, np.int32), np.full(rows, 2 * n, np.int32)
+        self.weight = np.full(rows, 32, np.int32)  # of 64, for the counts by context
+        self.one, self.two = np.full((rows, SLOTS), -1, np.int64), np.full((rows, SLOTS), -1, np.int64)
+        self.before, self.last, self.right = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        self.edge, self.steps = np.zeros((rows, n + 1), np.int32), 0
 
     def predict(self) -> None:
-        a, b = self.last
-        self.slot1 = (b * 40503) % 65521 % SLOTS
-        self.slot2 = ((a * 48271 + b * 69621) % 2147483647) % SLOTS
-        self.p1, self.p2 = self.one[self.rows, self.slot1], self.two[self.rows, self.slot2]
+        r = self.rows
+        self.slot1 = (self.last * 40503 >> 3) & (SLOTS - 1)
+        self.slot2 = (self.before * 48271 + self.last * 69621 >> 5) & (SLOTS - 1)
+        self.p1, self.p2 = self.one[r, self.slot1], self.two[r, self.slot2]
         self.context = (self.p2 >= 0) * 4 + (self.p1 >= 0) * 2 + self.right
-        near, wide = self.by_context[self.rows, self.context], self.overall
-        n, w = near.sum(1, dtype=np.int64), wide.sum(1, dtype=np.int64)
-        room = (1 << PRECISION) - self.symbols
+        self.near, self.near_n = self.by_context[r, self.context], self.context_n[r, self.context]
         # Each set's share is floored, one is added to every symbol, and what is left goes to the last.
-        f = (near * (self.weight * room // (64 * n))[:, None]) + (wide * ((64 - self.weight) * room // (64 * w))[:, None]) + 1
-        self.edge = np.zeros((len(self.rows), self.symbols + 1), np.int64)
-        np.cumsum(f, axis=1, out=self.edge[:, 1:])
+        f = self.near * ((self.weight * self.room) // (64 * self.near_n))[:, None]
+        f += self.overall * (((64 - self.weight) * self.room) // (64 * self.overall_n))[:, None]
+        np.cumsum(f, axis=1, dtype=np.int32, out=self.edge[:, 1:])
+        self.edge[:, 1:] += self.floor
         self.edge[:, -1] = 1 << PRECISION
-        self.near_n, self.wide_n, self.near, self.wide = n, w, near, wide
 
     def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
         r = self.rows
-        better = self.near[r, symbol] * self.wide_n - self.wide[r, symbol] * self.near_n
-        self.weight = np.clip(self.weight + np.sign(better), 4, 60)
-        self.by_context[r, self.context, symbol] += 24
-        self.overall[r, symbol] += 24
-        for counts, full in ((self.by_context, self.near_n), (self.overall, self.wide_n)):
-            if (old := np.flatnonzero(full > 4000)).size:
-                if counts is self.overall:
+        better = self.near[r, symbol].astype(np.int64) * self.overall_n - self.overall[r, symbol].astype(np.int64) * self.near_n
+        self.weight = np.clip(self.weight + np.sign(better).astype(np.int32), 4, 60)
+        self.by_context[r, self.context, symbol] += self.STEP
+        self.context_n[r, self.context] += self.STEP
+        self.overall[r, symbol] += self.STEP
+        self.overall_n += self.STEP
+        self.steps += 1
+        if self.steps % self.CHECK == 0:
+            for counts, sums in ((self.by_context, self.context_n), (self.overall, self.overall_n)):
+                if (old := np.nonzero(sums > self.FULL))[0].size:
                     counts[old] = (counts[old] + 1) >> 1
-                else:
-                    counts[old, self.context[old]] = (counts[old, self.context[old]] + 1) >> 1
+                    sums[old] = counts[old].sum(-1)
         self.right = (self.p2 == ids).astype(np.int64)
         self.one[r, self.slot1] = ids
         self.two[r, self.slot2] = ids
-        self.last[0], self.last[1] = self.last[1], ids
+        self.before, self.last = self.last, ids
 
 
 def _layout(ids: np.ndarray, sizes: list[int]) -> np.ndarray:
@@ -172,7 +172,7 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
         span = unit * (model.edge[rows, symbol + 1] - start).astype(np.uint64)
         escaped = symbol > 1
         kind = np.maximum(symbol - 2, 0)
-        bits = kind >> 2
+        bits = kind >> 1
         unit = np.where(escaped, span >> bits.astype(np.uint64), span)
         place = np.where(escaped, np.minimum((seen - low) // np.maximum(unit, np.uint64(1)), (np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1)), np.uint64(0)).astype(np.int64)
         low = low + unit * place.astype(np.uint64)

@@ -23,7 +23,7 @@ from cadenza.llm.token_counts import load_tokenizer, text_groups
 
 MAGIC = b"TOKMIX01"
 #: Blocks coded side by side.
-TOGETHER = 1024
+TOGETHER = 2048
 
 
 class FileFormatError(ValueError):
