@@ -18,7 +18,7 @@ that shares most signatures with others. What remains to be found are links betw
 ``D(x)`` the n-grams in which x and the pivot p differ, ``|x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|``, so x and y link only if they share
 at least ``(|D(x)| + |D(y)| - c (|x| + |y|)) / 2`` of these differences, ``c = (1 - t) / (1 + t)``. Those of x and y that are both near p are
 connected already, and for the others this number is positive: a prefix join over the differences, rarest first, finds
-them. No link that would connect two components is lost.
+them (pairs whose prefixes share too few for it are left out). No link that would connect two components is lost.
 """
 
 from __future__ import annotations
@@ -230,18 +230,23 @@ def _open_pairs(stars: DataFrame, differences: DataFrame, roots: DataFrame, num:
     least_minor = F.greatest(F.lit(1), F.col("d") - widest)
     least_any = F.greatest(F.lit(1), F.ceil((F.col("d") + c * (F.col("np") - F.col("nx"))) / 2 - slack))
 
+    def length(least):
+        return F.col("d") - least + 1
+
     def prefix(least):
-        n = F.greatest(F.lit(0), F.col("d") - least + 1 - (F.col("d") - F.size("shared")))
+        n = F.greatest(F.lit(0), length(least) - (F.col("d") - F.size("shared")))
         return F.slice("shared", F.lit(1), n.cast("int"))
 
-    listed = written(
-        ranked.join(members, ["x", "y"]).select("x", "y", "nx", "d", "rx", "minor", prefix(least_any)["e"].alias("any"), F.when(F.col("minor"), prefix(least_minor)["e"]).alias("wide")), "ngram-prefixes"
-    )
-    a = listed.filter("minor").select("y", F.explode("wide").alias("e"), F.col("x").alias("a"), F.col("nx").alias("na"), F.col("d").alias("da"), F.col("rx").alias("ra"))
-    b = listed.select("y", F.explode("any").alias("e"), F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("d").alias("db"), F.col("rx").alias("rb"), F.col("minor").alias("mb"))
+    listed = ranked.join(members, ["x", "y"]).select("x", "y", "nx", "d", "rx", "minor", prefix(least_any).alias("any"), (F.col("d") - length(least_any)).alias("any_rest"), F.when(F.col("minor"), prefix(least_minor)).alias("wide"), (F.col("d") - length(least_minor)).alias("wide_rest"))
+    listed = written(listed, "ngram-prefixes")
+    a = listed.filter("minor").select("y", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("d").alias("da"), F.col("rx").alias("ra"), F.element_at("wide", -1).alias("last_a"), F.col("wide_rest").alias("rest_a"), F.explode("wide.e").alias("e"))
+    b = listed.select("y", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("d").alias("db"), F.col("rx").alias("rb"), F.col("minor").alias("mb"), F.element_at("any", -1).alias("last_b"), F.col("any_rest").alias("rest_b"), F.explode("any.e").alias("e"))
     may = (F.col("ra") != F.col("rb")) & (~F.col("mb") | (F.col("a") < F.col("b"))) & (F.abs(F.col("da") - F.col("db")) <= c * (F.col("na") + F.col("nb")) + slack)
     may = may & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    met = a.join(b, ["y", "e"]).filter(may)
+    # Shared differences are in both prefixes or beyond the one that ends first in the common order.
+    rest = F.when(F.col("last_a") < F.col("last_b"), F.col("rest_a")).when(F.col("last_a") > F.col("last_b"), F.col("rest_b")).otherwise(F.least("rest_a", "rest_b"))
+    spare = ((F.col("da") + F.col("db") - c * (F.col("na") + F.col("nb"))) / 2 - slack - rest).alias("spare")
+    met = a.join(b, ["y", "e"]).filter(may).groupBy("y", "a", "b").agg(F.count("*").alias("met"), F.first(spare).alias("spare")).filter("met >= spare")
     return met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
 
 

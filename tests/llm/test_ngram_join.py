@@ -54,6 +54,23 @@ def test_near_copies_chain_through_others(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 8, 10)])
+def test_groups_of_random_edits(spark, k, num, den):
+    """Copies of three bases with up to a fifth of their words changed, dropped or doubled, some edits in common."""
+    r = np.random.default_rng(17)
+    rows = []
+    for i in range(240):
+        base = [f"b{i % 3}_{j % 90}" for j in range(150 + i % 3)]
+        edits = int(r.integers(0, 1 + (30 if i % 4 == 0 else 6)))
+        for _ in range(edits):
+            at, kind = int(r.integers(0, len(base))), int(r.integers(0, 4))
+            base[at : at + 1] = [[f"new{r.integers(0, 400)}"], [], [base[at], base[at]], [f"often{at // 40}"]][kind]
+        rows.append((i, " ".join(base)))
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), k=k, threshold=(num, den)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, k, num, den)
+    assert 1 < len({r.component_id for r in got}) < 240
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = ngram_components(odd_docs).collect()
     assert sorted(map(tuple, got), key=str) == brute([(r.doc_id, r.text) for r in odd_docs.collect()], 5, 8, 10)
