@@ -5,8 +5,9 @@ The global order of the n-grams is the order of their 64-bit hashes. It is cut i
 *Candidates.* Sizes are dealt into levels ``[lo, hi]`` with ``hi = lo / t``; two linked sets differ in at most
 ``d = (1 - t) / (1 + t) * (a + b)`` n-grams, so of ``d + 1`` fragments one at least is the same in both (pigeonhole). Each set
 therefore gives one signature per filled fragment, for its own level and for the lower levels from which a smaller partner may
-come. Where empty fragments use up that guarantee, a set adds the signatures of a cut into ``d + 1 + e`` fragments, ``e`` = 1, 2,
-4, ..., until it has at most ``e`` empty ones; of two linked sets, the one that stops first proves the pair's common fragment.
+come. Empty fragments would use up that guarantee, so a level is cut into ``d + 1 + e`` fragments, where nearly all of its sets have
+``e`` empty ones or fewer; a set with more adds the cut for ``2 e``, ``4 e`` and so on until it has at most so many. Of two linked
+sets, the one that stops first proves the pair's common fragment.
 Where a threshold below 0.62 allows more differences than a set has n-grams, each n-gram is a signature.
 Nothing is capped and no frequent n-gram is left out.
 
@@ -23,7 +24,9 @@ them (pairs whose prefixes share too few for it are left out). No link that woul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,17 @@ def _levels(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(lows), np.array(highs)
 
 
+@cache
+def _spare(low: int, differ: int) -> int:
+    """Empty fragments to allow for at first: as many as nearly all sets of ``low`` n-grams have."""
+    for extra in range(low):
+        cut = differ + 1 + extra
+        empty = cut * math.exp(-low / cut)
+        if empty + 2 * math.sqrt(empty) <= extra + 0.5:
+            return extra
+    return 0  # too few n-grams to tell: they start from none
+
+
 def signatures(grams: np.ndarray, num: int, den: int, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
     """All fragment signatures of one sorted set; equal fragments of one cut of one level have equal signatures."""
     n, out = len(grams), []
@@ -57,7 +71,7 @@ def signatures(grams: np.ndarray, num: int, den: int, lows: np.ndarray, highs: n
     while level >= 0 and n * num <= int(highs[level]) * den:
         hi = int(highs[level])
         differ = (hi + hi * den // num) * (den - num) // (den + num)
-        extra = 0
+        extra = 0 if lows[level] <= differ else _spare(int(lows[level]), differ)
         if lows[level] <= differ:  # low thresholds: all n-grams may be in different fragments, so each is a signature
             out.append(mix(mixed ^ np.uint64(level)))
             differ = 0
