@@ -155,4 +155,4 @@ def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "so
     chosen = decided.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
     sized = docs.withColumn("_words", word_count(F.col(text_col)))
     match = sized[id_col].eqNullSafe(F.col("_id")) & sized[source_col].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return sized.join(chosen, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[sized[c] for c in docs.columns])
+    return sized.join(bounded(written(chosen, "mix-chosen")), match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[sized[c] for c in docs.columns])

@@ -15,15 +15,20 @@ from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.mixing import mixed_rows
 from cadenza.llm.ngram_join import ngram_components
 from cadenza.llm.sentencepieces import sentencepiece_ids
-from cadenza.llm.shared import written
+from cadenza.llm.shared import bounded, written
 
 
 
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``docs`` less the ids in ``gone``: texts stay where they are while those are few. Rows without an id stay."""
+    return docs.join(bounded(written(gone.select("doc_id"), name)), "doc_id", "left_anti")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language."""
     model = train(docs, id_col="doc_id", text_col="text", label_col="lang")
     found = identify(docs, model, declared=F.col("lang"), host=F.col("source"))
-    return docs.join(found.filter("not accepted").select("doc_id"), "doc_id", "left_anti")
+    return _without(docs, found.filter("not accepted"), "language-rejected")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by 5-word shingles with a similarity of 0.8 or more."""
     groups = ngram_components(docs, k=5, threshold=(8, 10))
-    return docs.join(groups.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    return _without(docs, groups.filter("component_id <> doc_id"), "near-duplicates-gone")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
