@@ -124,3 +124,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT drop), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+# Base32 of the 40 hexadecimal digits of a SHA-1: each letter takes 5 bits out of two neighbouring digits.
+_DIGIT = "(strpos('0123456789abcdef', substr(x, {0} + 1, 1)) - 1)"
+_LETTER = f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({_DIGIT.format('i * 5 // 4')} * 16 + {_DIGIT.format('i * 5 // 4 + 1')}) >> (3 - i * 5 % 4)) & 31)::INT + 1, 1)"
+ORACLES["op10_warc"] = f"""
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: {_LETTER}), '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM d
+"""
