@@ -13,7 +13,7 @@ from cadenza.plans.catalog import query
 KEYS = ("rec_id", "frame_idx")
 
 
-@query("prj1_selection", f"WITH {FRAMES} SELECT rec_id, frame_idx, p.pos AS k, round(x[p.src + 1], 6) + 0.0 AS v FROM frames, (VALUES (0,3),(1,4),(2,5),(3,0),(4,63)) p(pos, src)")
+@query("prj1_selection", f"WITH {FRAMES} SELECT rec_id, frame_idx, p.pos::BIGINT AS k, round(x[p.src + 1], 6) + 0.0 AS v FROM frames, (VALUES (0,3),(1,4),(2,5),(3,0),(4,63)) p(pos, src)")
 def selection(spark, sf_dir):
     return cells(frames(spark, sf_dir).withColumn("x", V.pick(F.col("x"), [3, 4, 5, 0, 63])), *KEYS)
 

@@ -284,7 +284,7 @@ def speech_percentage(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("rec_id")).agg(F.round(100.0 * own / F.count("*"), 6).alias("percentage"))
 
 
-@query("jn1_positional_join", f"WITH {SAMPLES}, m AS (SELECT label AS rec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding[1]::DOUBLE AS e FROM embeddings) SELECT m.rec_id, m.idx, round(e, 6) + 0.0 AS e, round(value, 6) AS value FROM m JOIN samples s ON s.rec_id = m.rec_id AND s.idx = m.idx")
+@query("jn1_positional_join", f"WITH {SAMPLES}, m AS (SELECT label::BIGINT AS rec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding[1]::DOUBLE AS e FROM embeddings) SELECT m.rec_id, m.idx, round(e, 6) + 0.0 AS e, round(value, 6) AS value FROM m JOIN samples s ON s.rec_id = m.rec_id AND s.idx = m.idx")
 def positional_join(spark, sf_dir):
     f = frames(spark, sf_dir).select(F.col("rec_id").cast("long").alias("rec_id"), F.col("frame_idx").alias("idx"), r6(F.element_at("x", 1)).alias("e"))
     return f.join(samples(spark, sf_dir).select("rec_id", "idx", F.round("value", 6).alias("value")), ["rec_id", "idx"])
