@@ -36,8 +36,8 @@ _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW_BITS = np.uint64((1 << 20) - 1)
 #: Characters of a unit up to which units are segmented together; longer ones are cut where no piece joins two characters.
 LONG = 64
-#: Distinct units that a worker keeps with their ids.
-KNOWN = 800_000
+#: Distinct units that a task keeps with their ids.
+KNOWN = 200_000
 
 
 @dataclass
@@ -236,7 +236,7 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
 
     Null texts count as empty and have no ids. Rows stay where they are: no shuffle, nothing per document on the driver.
     """
-    small_batches(docs.sparkSession, 8)
+    small_batches(docs.sparkSession, 4)
     kept = [f for f in docs.schema if f.name not in (ids_col, decoded_col)]
     added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
     names = [f.name for f in kept]
@@ -246,7 +246,7 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
         pieces = kept_pieces(model)
         for batch in batches:
             at = 0
-            for group in text_groups(batch.column(len(names)).to_pylist(), 4 << 20):
+            for group in text_groups(batch.column(len(names)).to_pylist(), 2 << 20):
                 found = encode_texts(pieces, group)
                 part = batch.slice(at, len(group))
                 at += len(group)
@@ -255,5 +255,6 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
                 if decoded_col:
                     columns.append(pa.array([decode_ids(pieces, x) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *[f.name for f in added]])
+        pieces.known.clear()  # the worker goes on to other tasks
 
     return source.mapInArrow(run, T.StructType([*kept, *added]))
