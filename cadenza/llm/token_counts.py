@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import small_batches
+from cadenza.llm.shared import small_batches, written
 
 _CACHE = "digest binary, tokenizer string, n_tokens long"
 _loaded: dict[str, Callable[[list[str]], list]] = {}
@@ -109,5 +109,6 @@ def count_tokens(docs: DataFrame, *, tokenizer: str, cache: str, id_col: str = "
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
     rows = docs.select(F.col(id_col), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    found = rows.join(_cached(spark, cache, version), "digest")
+    # Written first: aggregated in the stage of the join, they would keep Spark from splitting the rows of a hot digest.
+    found = rows.join(written(_cached(spark, cache, version), "token-counts"), "digest")
     return found.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
