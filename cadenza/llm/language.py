@@ -8,6 +8,7 @@ host are smoothed with those by domain, and these with those of all texts (group
 from __future__ import annotations
 
 import math
+from html.entities import name2codepoint
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,46 @@ BUCKETS = 4096
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh"}
 
 
+#: A start tag, end tag or declaration; quoted values may hold a ">". Repeated groups are possessive, so that long tags need no stack.
+_TAG = r"""<[a-zA-Z/!?](?:[^"'>]|"[^"]*+"|'[^']*+')*+>|<[a-zA-Z/!?][^>]*+>"""
+#: What no reader sees: comments, scripts and styles, up to the end where they aren't closed.
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+_ATTRIBUTE = r"""([^\s"'=<>/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def url_host(url: Column) -> Column:
+    """The host of an address in lower case, without user, port and trailing dot; null if there is none."""
+    found = F.regexp_extract(url, r"(?i)^\s*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:@\s]+)", 1)
+    return F.nullif(F.regexp_replace(F.lower(found), r"\.+$", ""), F.lit(""))
+
+
+def declared_language(html: Column) -> Column:
+    """The language that the ``lang`` attribute (else ``xml:lang``) of the html tag names, without region; null if there is none."""
+    tag = F.regexp_extract(F.regexp_replace(html, _UNSEEN, " "), r"""(?i)<html(?=[\s/>])((?:[^"'>]|"[^"]*+"|'[^']*+')*+)>""", 1)
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))
+    each = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda a: a["name"].isin("lang", "xml:lang"))
+    first = F.array_min(F.transform(each, lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value"))))["value"]
+    return F.nullif(F.lower(F.regexp_extract(first, r"""^["']?\s*([A-Za-z]+)""", 1)), F.lit(""))
+
+
+def _character(reference: Column) -> Column:
+    """What "name;", "#123;" or "#x1F;" at the start of ``reference`` stands for, with the rest; other text with its "&"."""
+    name = F.regexp_extract(reference, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z][a-zA-Z0-9]*);", 1)
+    rest = F.substr(reference, F.length(name) + 2)
+    known = F.map_from_arrays(F.lit([*name2codepoint, "apos"]), F.lit([*map(chr, name2codepoint.values()), "'"]))
+    number = F.when(F.lower(name).startswith("#x"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).try_cast("long")
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    coded = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(name == "", F.concat(F.lit("&"), reference)).when(name.startswith("#"), F.concat(F.when(valid, coded).otherwise(" "), rest)).otherwise(F.coalesce(F.concat(F.try_element_at(known, name), rest), F.concat(F.lit("&"), reference)))
+
+
+def visible_text(html: Column) -> Column:
+    """The text of a page: without comments, scripts, styles and tags, character references resolved."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(html, _UNSEEN, " "), _TAG, " "), "&")
+    return F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), _character)), "")
+
+
 def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(trigram bucket at each byte that starts one, its row, rows that have anything but white space)."""
     n = len(offsets) - 1

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.fingerprint import edited_pairs, fingerprint, likeness, text_form
-from cadenza.llm.language import identify, train
+from cadenza.llm.language import declared_language, identify, train, url_host, visible_text
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.mixing import mix_to_targets
 from cadenza.llm.ngram_join import ngram_components
@@ -100,10 +100,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of each document from its text, its declared language and its source's prior."""
-    docs = _table(spark, sf_dir, "documents")
-    model = train(docs, id_col="doc_id", text_col="text", label_col="lang")
-    return identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+    """Language of each page from its text, the language its markup declares, its address's suffix and its host's and domain's priors."""
+    model = train(_table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", label_col="lang")
+    pages = _table(spark, sf_dir, "pages").select("page_id", visible_text(F.col("html")).alias("text"), declared_language(F.col("html")).alias("declared"), url_host(F.col("url")).alias("host"))
+    return identify(pages, model, id_col="page_id", declared=F.col("declared"), host=F.col("host"))
 
 
 @_query

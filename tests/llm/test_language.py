@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from cadenza.llm.language import identify, train
+from cadenza.llm.language import declared_language, identify, train, url_host, visible_text
+from cadenza.llm.queries import QUERIES
 
 WORDS = {"en": "the and of with from that have this were their which".split(), "de": "der die und nicht eine auf werden über können schön".split(), "fr": "le la et une dans pour était être français même".split()}
 
@@ -51,3 +52,25 @@ def test_evidence_and_rejection(spark, no_docs):
     assert identify(no_docs, model, host=F.col("source")).count() == 0
     assert train(no_docs, id_col="doc_id", text_col="text", label_col="lang")[0] == []
     assert not any(r.accepted for r in identify(spark.createDataFrame(odd, SCHEMA), ([], model[1][:0])).collect())
+
+
+def test_evidence_of_pages(spark):
+    cases = [
+        ("https://me@WWW.Tion.example.DE:8080/en/1?u=//x.fr", '<!-- <html lang="fr"> --><!DOCTYPE html><HTML data-a=" lang=es >" Lang=\'de-AT\'><p title="a>b">Sch&ouml;n &#252;ber &#xfc;b &amp;amp; &nix; AT&T</p><script>var t="</p>";</script>', "www.tion.example.de", "de", "Sch\u00f6n \u00fcber \u00fcb &amp; &nix; AT&T"),
+        ("http://a.b.fr./x", '<html xml:lang="fr"><style>p{}</style>un<br>deux<!-- open', "a.b.fr", "fr", "un deux"),
+        ("not an address", "<html><body lang=en>2 < 3", None, None, "2 < 3"),
+        (None, None, None, None, None),
+        ("//x.org", "", "x.org", None, ""),
+    ]
+    table = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, url string, html string")
+    got = table.select("i", url_host(F.col("url")), declared_language(F.col("html")), visible_text(F.col("html"))).orderBy("i").collect()
+    for (_, host, declared, text), case in zip(got, cases, strict=True):
+        assert (host, declared, text and " ".join(text.split())) == case[2:]
+
+
+def test_every_page_is_identified(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html.split('<html lang="')[1][:2] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = QUERIES["op9_language_id"](spark, sf).collect()
+    assert sorted(r.page_id for r in got) == sorted(pages)
+    assert sum(r.language == pages[r.page_id] and r.accepted for r in got) > 0.97 * len(pages)
