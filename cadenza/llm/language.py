@@ -94,19 +94,20 @@ def _count_rows(languages: list[str]):
     return run
 
 
-def train(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, sample_rows: int = 4000, most_languages: int = 64) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities [language, trigram]) from a sample of about ``sample_rows`` labelled rows (the bound).
+def train(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, rows_per_label: int = 1000) -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities [language, trigram]) from about ``rows_per_label`` rows of each label, all rows of smaller ones.
 
-    Rows are sampled by a hash of id and text, so reruns agree; the ``most_languages`` most frequent labels are learnt. What reaches the
-    driver is a count per language and trigram bucket.
+    Rows are sampled by a hash of id and text, so reruns agree; the row of the least hash is always taken. Every label is learnt but
+    those whose rows have no trigram of text. What reaches the driver is a count per language and trigram bucket.
     """
-    rows = docs.select(F.col(label_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col, text_col).alias("h")).filter("lang is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    rows = docs.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)).alias("h"))
+    rows = rows.filter((F.octet_length("text") >= 3) & F.col("text").rlike(r"[^ \t-\r]") & F.col("lang").isNotNull())
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).orderBy("lang").collect()
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return [], np.zeros((0, BUCKETS))
-    share = min(1.0, sample_rows / sum(r["count"] for r in found))
-    sample = rows.filter(F.col("lang").isin(languages) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))).select("lang", "text")
+    upto = [(r["lang"], max(r["least"] + 1, int(min(1.0, rows_per_label / r["n"]) * (1 << 30)))) for r in found]
+    sample = rows.join(F.broadcast(docs.sparkSession.createDataFrame(upto, "lang string, upto long")), "lang").filter("h < upto").select("lang", "text")
     counts = np.full((len(languages), BUCKETS), 0.5)
     for r in sample.mapInArrow(_count_rows(languages), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
         counts[r["lang"], r["gram"]] += r["n"]

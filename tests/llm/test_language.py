@@ -74,3 +74,18 @@ def test_every_page_is_identified(spark):
     got = QUERIES["op9_language_id"](spark, sf).collect()
     assert sorted(r.page_id for r in got) == sorted(pages)
     assert sum(r.language == pages[r.page_id] and r.accepted for r in got) > 0.97 * len(pages)
+
+
+def test_every_label_is_learnt(spark):
+    r = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02}": ["".join(r.choice(alphabet) for _ in range(6)) for _ in range(8)] for i in range(70)}
+    made = [(i, " ".join(r.choice(words[k]) for _ in range(12)), k) for i, k in enumerate(k for k in words for _ in range(2 if k != "l69" else 1))]
+    made += [(1000 + i, "the and of with from that have this", "often") for i in range(6000)] + [(9000, " \t\n ", "none"), (9001, None, "none")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = train(docs, id_col="doc_id", text_col="text", label_col="lang", rows_per_label=50)
+    assert model[0] == [*sorted(words), "often"]
+    assert (model[1].max(1) > model[1].min(1)).all()
+    held_out = [(i, " ".join(r.choice(words[k]) for _ in range(12)), k) for i, k in enumerate(words)]
+    got = identify(spark.createDataFrame(held_out, "doc_id long, text string, lang string"), model).collect()
+    assert sum(g.text_language == held_out[g.doc_id][2] for g in got) > 0.9 * len(got)
