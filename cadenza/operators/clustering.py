@@ -110,11 +110,16 @@ def remove_nuisance(frames: DataFrame, basis: np.ndarray, blocks: int = 1) -> Da
 
 
 def sparse_pca(rows: DataFrame, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """(directions, squared singular values) of few long centred rows, by their Gram matrix: n by n on the driver, n rows at most 4,096."""
-    listed = rows.orderBy("frame_idx").limit(4097).collect()
-    if len(listed) > 4096:
-        raise ValueError("sparse_pca is for up to 4,096 rows; pca has no such bound")
-    x = np.array([r["x"] for r in listed], np.float32)
+    """(directions, squared singular values) of the centred rows.
+
+    By the d by d scatter, added up in the tasks; where rows are fewer than dimensions, by their n by n Gram matrix on the driver.
+    """
+    n, d = rows.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    if n >= d:
+        values, vectors = np.linalg.eigh(covariance_matrix(rows) * n)
+        order = np.argsort(-values)[:keep]
+        return vectors[:, order].T, values[order]
+    x = np.array([r["x"] for r in rows.collect()], np.float32)
     x = x - x.mean(0)
     values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
     order = np.argsort(-values)[:keep]

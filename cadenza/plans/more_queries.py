@@ -131,7 +131,7 @@ def mmie(spark, sf_dir):
 
 @query("sta19_sparse_components")
 def sparse_components(spark, sf_dir):
-    _, values = G.sparse_pca(frames(spark, sf_dir).filter("rec_id = 0"), 5)
+    _, values = G.sparse_pca(frames(spark, sf_dir), 5)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, value double")
 
 

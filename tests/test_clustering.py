@@ -55,3 +55,21 @@ def test_discriminative_update_raises_the_posterior(spark):
         return (logs[np.arange(300), keys] - np.log(np.exp(logs).sum(1))).sum()
 
     assert objective(G.mmie(table(spark, x, keys), start, "rec_id")) > objective(start)
+
+
+def test_sparse_components_of_any_number_of_rows(spark):
+    rng = np.random.default_rng(4)
+    for n, d in ((5000, 3), (4, 9)):
+        x = rng.normal(2, np.arange(1, d + 1), (n, d))
+        directions, values = G.sparse_pca(table(spark, x), 2)
+        _, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+        assert np.allclose(values, s[:2] ** 2, rtol=1e-3) and np.allclose(abs((directions * v[:2]).sum(1)), 1, atol=1e-3)
+
+
+def test_sparse_components_query_takes_all_frames(spark):
+    from cadenza.plans import registered
+
+    sf = "/root/testdata/sf0.001"
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], float)
+    got = [r.value for r in registered().QUERIES["sta19_sparse_components"](spark, sf).orderBy("i").collect()]
+    assert np.allclose(got, np.linalg.svd(x - x.mean(0))[1][:5] ** 2, rtol=1e-6)
