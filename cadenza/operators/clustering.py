@@ -126,11 +126,46 @@ def sparse_pca(rows: DataFrame, keep: int) -> tuple[np.ndarray, np.ndarray]:
     return (vectors[:, order].T @ x) / np.sqrt(np.maximum(values[order], 1e-30))[:, None], values[order]
 
 
-def mmie(frames: DataFrame, models: list[Mixture], key: str, smoothing: float = 2.0) -> list[Mixture]:
-    """One extended Baum-Welch update of each class's mixture against all classes, per frame.
+def _class_shares(frames: DataFrame, models: list[Mixture], keys: list[str], scale: float) -> DataFrame:
+    """keys, share: each segment's posteriors of the classes, the softmax of ``scale`` times its summed log likelihoods."""
+    d, names = models[0].means.shape[1], [f"l{i}" for i in range(len(models))]
+    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in keys)
 
-    Numerators come from frames of the class, denominators from all frames weighted by the classes' posteriors; each component's
-    constant starts at ``smoothing`` times its denominator and doubles until its variances are positive.
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(len(keys)).flatten(), np.float64).reshape(-1, d)
+            logs = [m.score(x) for m in models]
+            tops = [v.max(1) for v in logs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *[pa.array(t + np.log(np.exp(v - t[:, None]).sum(1))) for v, t in zip(logs, tops, strict=True)]], [*keys, *names])
+
+    summed = frames.select(*keys, "x").mapInArrow(scores, f"{kinds}, " + ", ".join(f"{c} double" for c in names)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+    logs = F.array(*[scale * F.col(c) for c in names])
+    return summed.select(*keys, F.transform(logs, lambda v: F.exp(v - V.log_sum_exp(logs))).alias("share"))
+
+
+def _new_weights(weights: np.ndarray, num: np.ndarray, den: np.ndarray, least: float) -> np.ndarray:
+    """50 steps of ``w = num + k w`` with ``k = max(den / w0) - den / w0``, brought to a sum of one at the end and floored.
+
+    The steps aren't normalised, as in the surveyed source; a common factor is carried along so that they can't overflow.
+    """
+    ratio = den / weights
+    k, w, factor = ratio.max() - ratio, weights.copy(), 1.0
+    for _ in range(50):
+        w = num * factor + k * w
+        total = w.sum()
+        if total <= 0:
+            return weights
+        w, factor = w / total, factor / total
+    return np.maximum(w, least)
+
+
+def mmie(frames: DataFrame, models: list[Mixture], key: str, smoothing: float = 2.0, segment: list[str] | None = None, scale: float = 1.0, least_weight: float = 1e-10) -> list[Mixture]:
+    """One extended Baum-Welch update of each class's mixture, weights included, against all classes.
+
+    ``key`` is the class's place in ``models``. Numerators come from frames of the class, denominators from all frames weighted by the
+    classes' posteriors: those of a segment (``key`` and the columns ``segment``), or of each frame without ``segment``. Each
+    component's constant starts at half ``smoothing`` times its denominator, grows by a tenth until its variances are positive and is
+    then doubled.
     """
     n_c, n_k, d = len(models), len(models[0].weights), models[0].means.shape[1]
 
@@ -142,32 +177,44 @@ def mmie(frames: DataFrame, models: list[Mixture], key: str, smoothing: float =
             c = batch.column(0).to_numpy()
             x = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, d)
             logs = np.stack([m.score(x) for m in models], 1)
-            top = logs.max((1, 2), keepdims=True)
-            each = np.exp(logs - top)
-            own = each / each.sum(2, keepdims=True)
-            share = each / each.sum((1, 2), keepdims=True)
+            top = logs.max(2, keepdims=True)
+            whole = top + np.log(np.exp(logs - top).sum(2, keepdims=True))
+            own = np.exp(logs - whole)
+            if segment:
+                share = np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, n_c)
+            else:
+                share = np.exp(scale * (whole[:, :, 0] - whole[:, :, 0].max(1, keepdims=True)))
+                share /= share.sum(1, keepdims=True)
             moments = np.concatenate([np.ones((len(x), 1)), x, x * x], 1)
             for i in range(n_c):
                 sums[0, i] += own[c == i, i].T @ moments[c == i]
-                sums[1, i] += share[:, i].T @ moments
+                sums[1, i] += (own[:, i] * share[:, i, None]).T @ moments
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], ["i", "v"])
 
-    rows = frames.select(F.col(key).cast("int"), "x").mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    rows = frames.withColumn(key, F.col(key).cast("int"))
+    if segment:
+        rows = rows.join(_class_shares(rows, models, [key, *segment], scale), [key, *segment])
+    rows = rows.select(key, "x", *(["share"] if segment else [])).mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
     sums = np.array([r["v"] for r in rows]).reshape(2, n_c, n_k, 1 + 2 * d)
     out = []
     for i, m in enumerate(models):
         num, den = sums[0, i], sums[1, i]
         mean, var = m.means.copy(), m.variances.copy()
+
+        def update(k: int, constant: float, m: Mixture = m, num: np.ndarray = num, den: np.ndarray = den) -> tuple[np.ndarray, np.ndarray] | None:
+            total = num[k, 0] - den[k, 0] + constant
+            if total <= 0:
+                return None
+            mu = (num[k, 1 : d + 1] - den[k, 1 : d + 1] + constant * m.means[k]) / total
+            s = (num[k, d + 1 :] - den[k, d + 1 :] + constant * (m.variances[k] + m.means[k] ** 2)) / total - mu**2
+            return (mu, s) if (s > 0).all() else None
+
         for k in range(n_k):
-            constant = max(smoothing * den[k, 0], 1e-6)
-            for _ in range(60):
-                total = num[k, 0] - den[k, 0] + constant
-                if total > 0:
-                    mu = (num[k, 1 : d + 1] - den[k, 1 : d + 1] + constant * m.means[k]) / total
-                    s = (num[k, d + 1 :] - den[k, d + 1 :] + constant * (m.variances[k] + m.means[k] ** 2)) / total - mu**2
-                    if (s > 1e-6).all():
-                        mean[k], var[k] = mu, s
-                        break
-                constant *= 2
-        out.append(Mixture(m.weights, mean, var))
+            constant = max(smoothing * den[k, 0] / 2, 1e-6)
+            for _ in range(100):
+                if update(k, constant):
+                    mean[k], var[k] = update(k, 2 * constant) or (mean[k], var[k])
+                    break
+                constant *= 1.1
+        out.append(Mixture(_new_weights(m.weights, num[:, 0], den[:, 0], least_weight), mean, var))
     return out

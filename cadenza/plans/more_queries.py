@@ -122,11 +122,18 @@ def hierarchical_clusters(spark, sf_dir):
 
 @query("sta17_mmie")
 def mmie(spark, sf_dir):
-    f = frames(spark, sf_dir).filter("rec_id < 3")
-    rows = M.class_gaussians(f, "rec_id").orderBy("id").collect()
-    start = [M.Mixture(np.ones(1), np.array([r["m"]]), np.array([r["s"]])) for r in rows]
-    new = G.mmie(f, start, "rec_id")
-    return spark.createDataFrame([(c, k, float(m.means[0, k]), float(m.variances[0, k])) for c, m in enumerate(new) for k in range(64)], "c int, k int, mean double, var double")
+    """All classes, each with two components (of its even and odd frames), updated by segments of 4 frames."""
+    f = frames(spark, sf_dir).filter("rec_id is not null")
+    dealt = f.withColumn("one", F.struct("rec_id", (F.col("frame_idx") % 2).alias("j")))
+    by = {}
+    for r in M.class_gaussians(dealt, "one").orderBy("id").collect():
+        by.setdefault(r["id"]["rec_id"], []).append(r)
+    by = {c: g * (2 // len(g)) for c, g in by.items()}  # a class of one frame has its component twice
+    start = [M.Mixture(w / w.sum(), np.array([r["m"] for r in g]), np.array([r["s"] for r in g])) for g in by.values() for w in [np.array([r["weight"] for r in g])]]
+    placed = f.withColumn("c", F.array_position(F.lit(list(by)), F.col("rec_id")) - 1).withColumn("seg_id", F.floor(F.col("frame_idx") / 4))
+    new = G.mmie(placed, start, "c", segment=["seg_id"])
+    rows = [(c, j, k, float(m.weights[j]), float(m.means[j, k]), float(m.variances[j, k])) for c, m in zip(by, new, strict=True) for j in range(2) for k in range(64)]
+    return spark.createDataFrame(rows, "c int, j int, k int, weight double, mean double, var double")
 
 
 @query("sta19_sparse_components")

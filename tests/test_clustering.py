@@ -73,3 +73,36 @@ def test_sparse_components_query_takes_all_frames(spark):
     x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], float)
     got = [r.value for r in registered().QUERIES["sta19_sparse_components"](spark, sf).orderBy("i").collect()]
     assert np.allclose(got, np.linalg.svd(x - x.mean(0))[1][:5] ** 2, rtol=1e-6)
+
+
+def test_discriminative_update_by_segments_against_numpy(spark):
+    rng = np.random.default_rng(12)
+    keys = np.repeat([0, 1, 2], 80)
+    x = rng.normal(keys[:, None] * 0.7, 1.3, (240, 2))
+    start = [M.Mixture(np.array([0.4, 0.6]), np.array([[c - 0.5, c], [c + 0.5, c]]) * 0.7, np.full((2, 2), 1.5)) for c in range(3)]
+    f = spark.createDataFrame([(int(c), i // 4, v.tolist()) for i, (c, v) in enumerate(zip(keys, x, strict=True))], "rec_id int, seg_id long, x array<double>").repartition(3)
+    got = G.mmie(f, start, "rec_id", segment=["seg_id"])
+    logs = np.stack([m.score(x) for m in start], 1)
+    whole = np.log(np.exp(logs).sum(2))
+    share = np.exp(whole.reshape(60, 4, 3).sum(1))
+    share = np.repeat(share / share.sum(1, keepdims=True), 4, 0)
+    for c, m in enumerate(start):
+        own = np.exp(logs[:, c] - whole[:, c, None])
+        num, den = own[keys == c], own * share[:, c, None]
+        ny, dy = num.sum(0), den.sum(0)
+        w = m.weights.copy()
+        k = (dy / m.weights).max() - dy / m.weights
+        for _ in range(50):
+            w = ny + k * w
+        assert np.allclose(got[c].weights, w / w.sum()) and not np.allclose(got[c].weights, m.weights)
+        big = 2 * dy[:, None]
+        mu = (num.T @ x[keys == c] - den.T @ x + big * m.means) / (ny - dy + 2 * dy)[:, None]
+        assert np.allclose(got[c].means, mu)
+
+
+def test_discriminative_query_has_all_classes(spark):
+    from cadenza.plans import registered
+
+    got = registered().QUERIES["sta17_mmie"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r.c, r.j, r.k) for r in got} == {(c, j, k) for c in range(10) for j in range(2) for k in range(64)}
+    assert all(r["var"] > 0 for r in got)
