@@ -226,10 +226,19 @@ _pair_query("jn9_kernel_matrix", "sum(x * y) / 64", lambda x, y, sx, sy: V.dot(x
 
 @query("scl10_outer_product_trace", f"WITH {FRAMES} SELECT rec_id, frame_idx, round(sum(v * v), 6) AS trace, round(sum(v) ** 2, 6) AS all_cells FROM cells WHERE k < 8 GROUP BY ALL")
 def outer_product(spark, sf_dir):
-    x = F.slice("x", 1, 8)
+    return _outer_product(frames(spark, sf_dir), F.slice("x", 1, 8))
+
+
+@query("scl10_outer_product_trace_whole", f"WITH {FRAMES} SELECT rec_id, frame_idx, round(sum(v * v), 6) AS trace, round(sum(v) ** 2, 6) AS all_cells FROM cells GROUP BY ALL")
+def outer_product_whole(spark, sf_dir):
+    """As above, of whole vectors."""
+    return _outer_product(frames(spark, sf_dir), F.col("x"))
+
+
+def _outer_product(table, x):
     m = V.outer(x, x)
     trace = V.total(F.transform(m, lambda r, i: F.element_at(r, (i + 1).cast("int"))))
-    return frames(spark, sf_dir).select(*KEYS, F.round(trace, 6).alias("trace"), F.round(V.total(F.flatten(m)), 6).alias("all_cells"))
+    return table.select(*KEYS, F.round(trace, 6).alias("trace"), F.round(V.total(F.flatten(m)), 6).alias("all_cells"))
 
 
 @query("sig9_dct", f"""WITH {FRAMES} SELECT rec_id, frame_idx, j AS k, round(sum(v * cos(pi() * (k + 0.5) * j / 64)) * CASE WHEN j = 0 THEN sqrt(1.0 / 64) ELSE sqrt(2.0 / 64) END, 6) + 0.0 AS v
@@ -279,9 +288,20 @@ def column_deviation(spark, sf_dir):
 @query("agg6_full_gaussian", f"""WITH {FRAMES}, m AS (SELECT k, avg(v) AS m FROM cells GROUP BY k), c AS (SELECT rec_id, frame_idx, k, v - m AS v FROM cells JOIN m USING (k) WHERE k < 6)
 SELECT a.k AS i, b.k AS j, round(avg(a.v * b.v), 6) + 0.0 AS cov FROM c a JOIN c b USING (rec_id, frame_idx) WHERE b.k <= a.k GROUP BY a.k, b.k""")
 def full_gaussian(spark, sf_dir):
+    return _full_gaussian(frames(spark, sf_dir).withColumn("x", F.slice("x", 1, 6)))
+
+
+@query("agg6_full_gaussian_whole", f"""WITH {FRAMES}, m AS (SELECT k, avg(v) AS m FROM cells GROUP BY k), c AS (SELECT rec_id, frame_idx, k, v - m AS v FROM cells JOIN m USING (k))
+SELECT a.k AS i, b.k AS j, round(avg(a.v * b.v), 6) + 0.0 AS cov FROM c a JOIN c b USING (rec_id, frame_idx) WHERE b.k <= a.k GROUP BY a.k, b.k""")
+def full_gaussian_whole(spark, sf_dir):
+    """As above, of whole vectors."""
+    return _full_gaussian(frames(spark, sf_dir))
+
+
+def _full_gaussian(table):
     from cadenza.operators.models import full_covariance
 
-    cov = full_covariance(frames(spark, sf_dir).withColumn("x", F.slice("x", 1, 6)))
+    cov = full_covariance(table)
     return cov.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6(F.col("cov")).alias("cov"))
 
 

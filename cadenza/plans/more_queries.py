@@ -58,9 +58,19 @@ def supervector(spark, sf_dir):
 @query("prj10_full_to_diagonal", f"WITH {FRAMES} SELECT k, round(var_pop(v), 6) AS var FROM cells WHERE k < 6 GROUP BY k")
 def full_to_diagonal(spark, sf_dir):
     """The diagonal of a packed full covariance: places i (i + 3) / 2."""
-    cov = M.full_covariance(frames(spark, sf_dir).withColumn("x", F.slice("x", 1, 6)))
+    return _packed_diagonal(frames(spark, sf_dir).withColumn("x", F.slice("x", 1, 6)), 6)
+
+
+@query("prj10_full_to_diagonal_whole", f"WITH {FRAMES} SELECT k, round(var_pop(v), 6) AS var FROM cells GROUP BY k")
+def full_to_diagonal_whole(spark, sf_dir):
+    """As above, of whole vectors."""
+    return _packed_diagonal(frames(spark, sf_dir), 64)
+
+
+def _packed_diagonal(table, size):
+    cov = M.full_covariance(table)
     packed = cov.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "cov"))), lambda c: c["cov"]).alias("x"))
-    diagonal = packed.select(F.posexplode(V.pick(F.col("x"), [i * (i + 3) // 2 for i in range(6)])).alias("k", "var"))
+    diagonal = packed.select(F.posexplode(V.pick(F.col("x"), [i * (i + 3) // 2 for i in range(size)])).alias("k", "var"))
     return diagonal.select(F.col("k").cast("long").alias("k"), F.round("var", 6).alias("var"))
 
 
@@ -101,10 +111,10 @@ def decision_boundary(spark, sf_dir):
 
 @query("sta2_full_gaussian_scores")
 def full_gaussian_scores(spark, sf_dir):
-    """Log density of each frame's first 6 components under their full Gaussian."""
-    f = frames(spark, sf_dir).withColumn("x", F.slice("x", 1, 6))
+    """Log density of each frame under the full Gaussian of all."""
+    f = frames(spark, sf_dir)
     cov = M.covariance_matrix(f)
-    precision, half = np.linalg.inv(cov), -0.5 * (np.linalg.slogdet(cov)[1] + 6 * np.log(2 * np.pi))
+    precision, half = np.linalg.inv(cov), -0.5 * (np.linalg.slogdet(cov)[1] + len(cov) * np.log(2 * np.pi))
     d = V.sub(F.col("x"), F.lit(M._mean_vector(f).tolist()))
     return f.select(*KEYS, F.round(F.lit(float(half)) - 0.5 * V.dot(d, V.linear(precision.tolist(), d)), 6).alias("score"))
 

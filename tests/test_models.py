@@ -112,3 +112,14 @@ def test_speaker_counts_against_plain_python(spark):
     owner = spark.createDataFrame([([1.0, 0.5], 100.0)], "s array<double>, pitch double")
     r = P.count_with_owner(P._ordered(same), owner, (15.6, 21.6), (15.6, 21.6), VOICE).first()
     assert r.speakers == 1 and r.percentage == 100.0
+
+
+def test_full_gaussian_scores_of_whole_vectors(spark):
+    from cadenza.plans import registered
+
+    sf = "/root/testdata/sf0.001"
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], float)
+    d, cov = x - x.mean(0), np.cov(x.T, bias=True)
+    want = -0.5 * ((d @ np.linalg.inv(cov) * d).sum(1) + np.linalg.slogdet(cov)[1] + 64 * np.log(2 * np.pi))
+    got = [r.score for r in registered().QUERIES["sta2_full_gaussian_scores"](spark, sf).collect()]
+    assert np.allclose(sorted(got), np.sort(want), atol=1e-4)
