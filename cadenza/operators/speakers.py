@@ -7,6 +7,8 @@ greedy count depends on the order of segments within a recording, so each record
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,8 +69,12 @@ def _merged(a: Column, b: Column) -> Column:
     return F.struct(V.add(a["s"], b["s"]).alias("s"), (a["n"] + b["n"]).alias("n"), ((a["pitch"] + b["pitch"]) / 2).alias("pitch"))
 
 
-def merge_neighbours(listed: DataFrame, same: float, voice: Voice, rounds: int = 8) -> DataFrame:
-    """Neighbouring segments within ``same`` degrees and of one gender become one, up to ``rounds`` times."""
+def merge_neighbours(listed: DataFrame, same: float, voice: Voice) -> DataFrame:
+    """Neighbouring segments within ``same`` degrees and of one gender become one, until no recording has any to merge.
+
+    The table is written between rounds, to ``spark.checkpoint.dir`` or where unset a temporary folder; recordings that are stable
+    aren't touched again.
+    """
 
     def step(done: Column, b: Column) -> Column:
         a = F.element_at(done, -1)
@@ -76,9 +82,17 @@ def merge_neighbours(listed: DataFrame, same: float, voice: Voice, rounds: int =
         return F.when((F.size(done) > 0) & (_apart(a, b) <= same) & (_decided(a, b, voice) == 1), joined).otherwise(F.concat(done, F.array(b)))
 
     kind = listed.schema["segs"].dataType.simpleString()
-    for _ in range(rounds):
-        listed = listed.withColumn("segs", F.aggregate("segs", F.array().cast(kind), step))
-    return listed
+    spark = listed.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cadenza-")
+    listed, columns = listed.withColumn("_open", F.lit(True)), listed.columns
+    while True:
+        merged = F.when(F.col("_open"), F.aggregate("segs", F.array().cast(kind), step)).otherwise(F.col("segs"))
+        step_done = listed.withColumn("_next", merged).withColumn("_open", F.size("_next") < F.size("segs")).withColumn("segs", F.col("_next")).drop("_next")
+        path = f"{base.rstrip('/')}/segments-{uuid.uuid4().hex}"
+        step_done.write.parquet(path)
+        listed = spark.read.schema(step_done.schema).parquet(path)
+        if listed.filter("_open").isEmpty():
+            return listed.select(columns)
 
 
 def count_speakers(listed: DataFrame, same: float, different: float, voice: Voice) -> DataFrame:

@@ -28,7 +28,7 @@ def _model_rows(spark, mixture: M.Mixture):
 
 @query("sta14_expectation_maximisation")
 def expectation_maximisation(spark, sf_dir):
-    return _model_rows(spark, M.em(frames(spark, sf_dir), _start(spark, sf_dir), turns=3))
+    return _model_rows(spark, M.em(frames(spark, sf_dir), _start(spark, sf_dir)))
 
 
 @query("sta16_map_adaptation")
@@ -38,13 +38,13 @@ def map_adaptation(spark, sf_dir):
 
 @query("sta8_k_means")
 def k_means(spark, sf_dir):
-    at = M.k_means(frames(spark, sf_dir), _start(spark, sf_dir).means, turns=5)
+    at = M.k_means(frames(spark, sf_dir), _start(spark, sf_dir).means)
     return spark.createDataFrame([(i, k, float(v)) for i, m in enumerate(at) for k, v in enumerate(m)], "c int, k int, v double")
 
 
 @query("sta9_lbg_codebook")
 def lbg(spark, sf_dir):
-    at = M.lbg(frames(spark, sf_dir), 4, turns=3)
+    at = M.lbg(frames(spark, sf_dir), 4)
     return spark.createDataFrame([(i, k, float(v)) for i, m in enumerate(at) for k, v in enumerate(m)], "c int, k int, v double")
 
 

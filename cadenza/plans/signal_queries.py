@@ -356,7 +356,7 @@ def _listed(spark, sf_dir):
 
 @query("spk3_spk4_count_speakers")
 def count_speakers(spark, sf_dir):
-    merged = P.merge_neighbours(_listed(spark, sf_dir), 70.0, VOICE, rounds=2)
+    merged = P.merge_neighbours(_listed(spark, sf_dir), 70.0, VOICE)
     return P.count_speakers(merged, 75.0, 85.0, VOICE)
 
 

@@ -123,3 +123,50 @@ def test_full_gaussian_scores_of_whole_vectors(spark):
     want = -0.5 * ((d @ np.linalg.inv(cov) * d).sum(1) + np.linalg.slogdet(cov)[1] + 64 * np.log(2 * np.pi))
     got = [r.score for r in registered().QUERIES["sta2_full_gaussian_scores"](spark, sf).collect()]
     assert np.allclose(sorted(got), np.sort(want), atol=1e-4)
+
+
+def _plain_merge(segs, same):
+    """Segments (s, n, pitch) merged with their neighbours until no round merges any, and the number of rounds."""
+    rounds = 0
+    while True:
+        done = []
+        for s, n, pitch in segs:
+            if done and np.degrees(np.arccos(np.clip(done[-1][0] @ s / np.linalg.norm(done[-1][0]) / np.linalg.norm(s), -1, 1))) <= same:
+                a = done[-1]
+                done[-1] = (a[0] + s, a[1] + n, (a[2] + pitch) / 2)
+            else:
+                done.append((s, n, pitch))
+        rounds += 1
+        if len(done) == len(segs):
+            return done, rounds
+        segs = done
+
+
+def test_neighbours_merge_until_stable(spark):
+    # Angles and weights for which each round lets one more segment join: light segments on one side, a heavy tail that draws them in.
+    rng = np.random.default_rng(0)
+    best, most = None, 0
+    for _ in range(3000):
+        n = rng.integers(5, 40)
+        turn, size = np.radians(rng.uniform(0, 60, n)), 10.0 ** rng.uniform(-2, 2, n)
+        segs = [(np.array([np.cos(a), np.sin(a)]) * w, 1.0, 100.0) for a, w in zip(turn, size, strict=True)]
+        rounds = _plain_merge(segs, 15.0)[1]
+        if rounds > most:
+            best, most = segs, rounds
+    assert most > 3
+    rows = [(1, i, s.tolist(), n, p) for i, (s, n, p) in enumerate(best)] + [(2, 0, [1.0, 0.0], 1.0, 100.0)]
+    table = spark.createDataFrame(rows, "rec_id int, seg_id long, s array<double>, n double, pitch double")
+    got = {r.rec_id: r.segs for r in P.merge_neighbours(P._ordered(table), 15.0, VOICE).collect()}
+    want = _plain_merge(best, 15.0)[0]
+    assert len(got[2]) == 1 and np.allclose([g.s for g in got[1]], [w[0] for w in want])
+
+
+def test_iterative_queries_run_to_their_stop_rules(spark):
+    from cadenza.plans import model_queries as Q
+    from cadenza.plans.bindings import frames
+
+    sf = "/root/testdata/sf0.001"
+    at = np.zeros((4, 64))
+    for r in Q.k_means(spark, sf).collect():
+        at[r.c, r.k] = r.v
+    assert np.abs(M.k_means(frames(spark, sf), at, turns=1) - at).sum() <= 1e-5
