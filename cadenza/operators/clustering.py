@@ -17,7 +17,7 @@ from cadenza.operators.models import Mixture, assign, class_means, covariance_ma
 
 # Critical values of the corrected A squared by significance.
 CRITICAL = {0.1: 0.656, 0.05: 0.787, 0.025: 0.918, 0.01: 1.092, 0.005: 1.227, 0.001: 1.552, 0.0001: 1.8692}
-RANKINGS = ("count", "variance", "sum_variance", "largest_eigenvalue", "weight_variance", "score")
+RANKINGS = ("count", "variance", "sum_variance", "largest_eigenvalue", "weight_variance", "score", "covariance", "eigenvalue_difference", "anderson_darling")
 
 
 def anderson_darling(samples: DataFrame) -> DataFrame:
@@ -64,6 +64,16 @@ def g_means(frames: DataFrame, significance: float = 0.0001, most: int = 16, lea
     return at
 
 
+def _cluster_score(own: DataFrame, ranking: str) -> float:
+    """A ranking that needs the cluster's whole covariance: d by d values on the driver."""
+    cov = covariance_matrix(own)
+    values, vectors = np.linalg.eigh(cov)
+    if ranking == "anderson_darling":
+        along = own.select(F.lit(0).alias("rec_id"), V.dot(F.col("x"), F.lit(vectors[:, -1].tolist())).alias("value"))
+        return float(anderson_darling(along).first()["a2"])
+    return float({"covariance": np.abs(cov[np.tril_indices(len(cov))]).sum(), "largest_eigenvalue": values[-1], "eigenvalue_difference": values[-1] - values[0]}[ranking])
+
+
 def hierarchical(frames: DataFrame, most: int, ranking: str = "sum_variance", least: int = 50) -> DataFrame:
     """frames with cluster: the best ranked cluster is split in two at the mean of its principal direction, again and again."""
     if ranking not in RANKINGS:
@@ -71,8 +81,12 @@ def hierarchical(frames: DataFrame, most: int, ranking: str = "sum_variance", le
     placed, done, clusters = frames.withColumn("cluster", F.lit(0)), set(), 1
     while clusters < most:
         per = placed.select("cluster", F.posexplode("x").alias("k", "v")).groupBy("cluster", "k").agg(F.var_pop("v").alias("s"), F.count("*").alias("n")).groupBy("cluster").agg(F.sum("s").alias("s"), F.max("s").alias("top"), F.first("n").alias("n"))
-        score = {"count": F.col("n"), "variance": F.col("top"), "sum_variance": F.col("s"), "largest_eigenvalue": F.col("top"), "weight_variance": F.col("n") * F.col("s"), "score": F.col("n") * F.log("s")}[ranking]
-        best = per.filter((F.col("n") >= 2 * least) & ~F.col("cluster").isin(list(done) or [-1])).orderBy(F.desc(score), "cluster").first()
+        open_ = per.filter((F.col("n") >= 2 * least) & ~F.col("cluster").isin(list(done) or [-1]))
+        score = {"count": F.col("n"), "variance": F.col("top"), "sum_variance": F.col("s"), "weight_variance": F.col("n") * F.col("s"), "score": F.col("n") * F.log("s")}.get(ranking)
+        if score is not None:
+            best = open_.orderBy(F.desc(score), "cluster").first()
+        else:  # a row per cluster
+            best = max(open_.orderBy("cluster").collect(), key=lambda r: _cluster_score(placed.filter(F.col("cluster") == r["cluster"]), ranking), default=None)
         if best is None:
             break
         own = placed.filter(F.col("cluster") == best["cluster"])

@@ -106,3 +106,19 @@ def test_discriminative_query_has_all_classes(spark):
     got = registered().QUERIES["sta17_mmie"](spark, "/root/testdata/sf0.001").collect()
     assert {(r.c, r.j, r.k) for r in got} == {(c, j, k) for c in range(10) for j in range(2) for k in range(64)}
     assert all(r["var"] > 0 for r in got)
+
+
+def test_rankings_by_eigenvalues_and_normality(spark):
+    rng = np.random.default_rng(3)
+    # Equal columns: variance 4 each, eigenvalue 8. Unequal ones: variance 5, eigenvalue 5.
+    along = rng.normal(0, 2, 200)
+    alike = np.stack([along, along], 1)
+    apart = np.stack([rng.normal(40, 5**0.5, 200), rng.normal(0, 0.1, 200)], 1)
+    f = table(spark, np.concatenate([alike, apart]))
+    for ranking, first in (("largest_eigenvalue", 0), ("eigenvalue_difference", 0), ("covariance", 0), ("variance", 1)):
+        got = G.hierarchical(f, 3, ranking, least=50).orderBy("frame_idx").collect()
+        parts = [{r.cluster for r in got[:200]}, {r.cluster for r in got[200:]}]
+        assert len(parts[first]) == 2 and len(parts[1 - first]) == 1, ranking
+    two = np.stack([np.repeat([39.0, 41.0], 100) + rng.normal(0, 0.05, 200), rng.normal(0, 0.01, 200)], 1)
+    got = G.hierarchical(table(spark, np.concatenate([alike, two])), 3, "anderson_darling", least=50).orderBy("frame_idx").collect()
+    assert len({r.cluster for r in got[:200]}) == 1 and len({r.cluster for r in got[200:]}) == 2
