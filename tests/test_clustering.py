@@ -122,3 +122,16 @@ def test_rankings_by_eigenvalues_and_normality(spark):
     two = np.stack([np.repeat([39.0, 41.0], 100) + rng.normal(0, 0.05, 200), rng.normal(0, 0.01, 200)], 1)
     got = G.hierarchical(table(spark, np.concatenate([alike, two])), 3, "anderson_darling", least=50).orderBy("frame_idx").collect()
     assert len({r.cluster for r in got[:200]}) == 1 and len({r.cluster for r in got[200:]}) == 2
+
+
+def test_normality_in_ranges_against_numpy(spark):
+    from math import erf
+
+    x = np.round(np.random.default_rng(1).gamma(3, 1, 3000), 2)
+    found = G.anderson_darling(spark.createDataFrame([(0, float(v)) for v in x], "rec_id int, value double").repartition(4))
+    n, p = len(x), np.sort([0.5 * (1 + erf(z / 2**0.5)) for z in (x - x.mean()) / x.std(ddof=1)])
+    i = np.arange(1, n + 1)
+    a2 = -n - ((2 * i - 1) * (np.log(p) + np.log(1 - p[::-1]))).sum() / n
+    assert np.isclose(found.first().a2, a2 * (1 + 0.75 / n + 2.25 / n**2), rtol=1e-5)
+    windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition(rec_id" in x.lower()]
+    assert windows and all("part#" in x or "here#" in x for x in windows)
