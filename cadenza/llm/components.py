@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import written
+from cadenza.llm.shared import Tables, written
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -26,10 +26,15 @@ def components(links: DataFrame) -> DataFrame:
     Every round is written, so lineage stays short. They end when each vertex has one link at most and none from a vertex that is
     linked to, after about log(size) rounds. Loops and repeated links are harmless; an empty table has no components.
     """
-    edges = written(_star(links.select("x", "y"), False), "links")
+    tables, turn = Tables(links.sparkSession), 0
+    edges = tables.keep(_star(links.select("x", "y"), False), "links-0")
     while True:
         ends = edges.select(F.col("x").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("y").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("into")))
         ends = ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
         if ends.filter("out > 1 or (out = 1 and into = 1)").isEmpty():
-            return ends.filter("out = 0").select(F.col("v").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("x").alias("id"), F.col("y").alias("root")))
-        edges = written(_star(_star(edges, True), False), "links")
+            found = written(ends.filter("out = 0").select(F.col("v").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("x").alias("id"), F.col("y").alias("root"))), "components")
+            tables.drop()
+            return found
+        edges = tables.keep(_star(_star(edges, True), False), f"links-{turn + 1}")
+        tables.drop(f"links-{turn}")
+        turn += 1

@@ -39,7 +39,7 @@ def fingerprint(text: Column, paragraph: str = PARAGRAPH) -> Column:
         return F.array(*exact, *signs, F.size(hashed["h0"]).cast("long").bitwiseAND(F.lit(_FULL)))
 
     def seeded(seed: int):
-        return lambda p: F.xxhash64(p, F.lit(seed))
+        return lambda p: F.xxhash64(F.lit(seed), p)  # the seed first: what follows an argument is a function of its hash
 
     def hashed(ps: Column) -> Column:
         return F.struct(*[F.transform(ps, seeded(i)).alias(f"h{i}") for i in range(EXACT + SIGNS)])
@@ -88,23 +88,25 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """id, n_chars, text, fp, edited, next_fp: each text, its edit and the fingerprint of the next text by descending id.
 
     The edit replaces the last floor(n_chars / 2) code points by as many first ones of the next document (all, if fewer); after
-    the last document comes the first. Null texts are empty; rows that repeat an id stand in the order of their texts; null ids
-    come last. Texts are dealt once, by chunks of ids cut at quantiles; each chunk's first document goes to the chunk before
-    it as well, so no task sees more than a chunk.
+    the last document comes the first. Null texts are empty; rows that repeat an id stand in the order of their texts' hashes; null ids
+    come last. Texts are dealt once, by chunks of ids cut at quantiles (an id with the rows of several chunks is dealt over them by those
+    hashes); each chunk's first document goes to the chunk before it as well, so no task sees more than a chunk.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = id_bounds(rows, "id", rows_per_chunk)
-    chunks = rows.select("id", chunk_of(F.col("id"), bounds).alias("chunk"))
-    heads = chunks.groupBy("chunk").agg(F.max("id").alias("id")).orderBy(F.desc("chunk")).collect()  # a row per chunk
-    spark = docs.sparkSession
-    lend = [(b["id"], a["chunk"]) for a, b in zip([heads[-1], *heads[:-1]], heads, strict=True)] if heads else []
-    lend = F.broadcast(spark.createDataFrame(lend, f"head {rows.schema['id'].dataType.simpleString()}, lender int"))
-    known = rows.withColumn("fp", fingerprint(F.col("text"))).withColumn("chunk", chunk_of(F.col("id"), bounds))
-    known = known.join(lend, F.col("id").eqNullSafe(F.col("head")), "left")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("tie"))
+    cuts = id_bounds(rows, "id", rows_per_chunk)
+    place = chunk_of(F.col("id"), F.col("tie"), cuts)
+    # The first of a chunk, a row each: the largest id and of its rows the least tie; null ids are alone in theirs.
+    heads = rows.select("id", "tie", place.alias("chunk")).groupBy("chunk").agg(F.max(F.struct("id", (-F.col("tie")).alias("tie"))).alias("head")).orderBy(F.desc("chunk")).collect()
+    spark, kind = docs.sparkSession, rows.schema["id"].dataType.simpleString()
+    lend = [(b["head"]["id"], -b["head"]["tie"], a["chunk"]) for a, b in zip([heads[-1], *heads[:-1]], heads, strict=True)] if heads else []
+    lend = F.broadcast(spark.createDataFrame(lend, f"head {kind}, head_tie long, lender int"))
+    known = rows.withColumn("fp", fingerprint(F.col("text"))).withColumn("chunk", place)
+    known = known.join(lend, F.col("id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie")), "left")
     own = F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("lent"))
     places = F.when(F.col("lender").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("lender").alias("chunk"), F.lit(True).alias("lent"))))
-    dealt = known.withColumn("at", F.explode(places)).select("id", "text", "fp", "at.*")
-    down = W.partitionBy("chunk").orderBy("lent", F.desc("id"), "text")
+    dealt = known.withColumn("at", F.explode(places)).select("id", "tie", "text", "fp", "at.*")
+    down = W.partitionBy("chunk").orderBy("lent", F.desc("id"), "tie")
     dealt = dealt.withColumn("next", F.lead("text").over(down)).withColumn("next_fp", F.lead("fp").over(down)).filter("not lent")
     n = F.length("text").cast("long")
     half = F.floor(F.length("text") / 2).cast("int")

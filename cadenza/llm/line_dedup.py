@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import bounded, written
+from cadenza.llm.shared import bounded, free_name, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,7 +16,8 @@ def _key(line: Column) -> Column:
 
 
 def _hash(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))
+    """128 bits. The seeds stand first: what follows an argument is a function of its hash."""
+    return F.struct(F.xxhash64(F.lit(1), key).alias("a"), F.xxhash64(F.lit(2), key).alias("b"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -30,19 +31,21 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Keys travel as 128-bit hashes, once per document; a hot line's documents are counted by (line, document) first.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = F.filter(F.transform(F.split(text, "\n"), _key), lambda k: F.length(k) >= min_chars)
-    lines = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.transform(keys, _hash))).alias("_h"))
-    common = lines.groupBy("_h").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_keeper")).filter(F.col("_n") >= min_docs).select("_h", "_keeper")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    parts = F.split(text, "\n")
+    keys = F.filter(F.transform(parts, _key), lambda k: F.length(k) >= min_chars)
+    lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.array_distinct(F.transform(keys, _hash))).alias("h"))
+    common = lines.groupBy("h").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).select("h", "keeper")
     common = written(common, "lines-common")
-    lost = lines.join(bounded(common), "_h").filter(~F.col("_id").eqNullSafe(F.col("_keeper")))
-    lost = lost.groupBy("_id").agg(F.collect_set("_h").alias("_lost"))
-
-    rows = docs.withColumn("_text", text)
-    joined = rows.join(lost, rows[id_col].eqNullSafe(lost["_id"]), "left")
-    parts = F.split(F.col("_text"), "\n")
-    kept = F.filter(parts, lambda line: ~((F.length(_key(line)) >= min_chars) & F.array_contains(F.col("_lost"), _hash(_key(line)))))
-    joined = joined.withColumn("_kept", F.when(F.col("_lost").isNotNull(), kept))
+    # Names that the input can't have.
+    owner, lost, kept = (free_name(docs.columns, x) for x in ("line_owner", "lines_lost", "lines_kept"))
+    lose = lines.join(bounded(common), "h").filter(~F.col("id").eqNullSafe(F.col("keeper")))
+    lose = lose.groupBy(F.col("id").alias(owner)).agg(F.collect_set("h").alias(lost))
+
+    joined = docs.join(lose, F.col(f"`{id_col}`").eqNullSafe(F.col(owner)), "left")
+    stay = F.filter(parts, lambda line: ~((F.length(_key(line)) >= min_chars) & F.array_contains(F.col(lost), _hash(_key(line)))))
+    joined = joined.withColumn(kept, F.when(F.col(lost).isNotNull(), stay))
     n = F.size(parts).cast("long")
-    out = {text_col: F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")), "n_lines": n, "n_dropped": F.when(F.col("_kept").isNull(), F.lit(0).cast("long")).otherwise(n - F.size("_kept"))}
-    return joined.select(*[F.col(c) for c in docs.columns if c not in out], *[v.alias(k) for k, v in out.items()])
+    out = {text_col: F.when(F.col(kept).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n")), "n_lines": n, "n_dropped": F.when(F.col(kept).isNull(), F.lit(0).cast("long")).otherwise(n - F.size(kept))}
+    same = {k.lower() for k in out}
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in same], *[v.alias(k) for k, v in out.items()])

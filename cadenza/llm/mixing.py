@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import bounded, written
+from cadenza.llm.shared import bounded, free_name, written
 
 #: Items that meet in one bucket, on average.
 FAN = 32
@@ -121,7 +121,7 @@ def mix_to_targets(
     items = items.join(plan, F.col("source").eqNullSafe(F.col("own"))).withColumn("ratio", ratio).withColumn("whole", F.floor(F.col("ratio") + 1e-12).cast("int"))
     full = (F.col("size") * F.col("rows")).cast("double")
     item = F.struct(
-        F.xxhash64("id", "source", "size", F.lit(seed)).alias("h"), "id", "size", "rows", "whole", full.alias("full"), (F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)) * full).alias("mass")
+        F.xxhash64(F.lit(seed), "id", "source", "size").alias("h"), "id", "size", "rows", "whole", full.alias("full"), (F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)) * full).alias("mass")
     ).alias("item")
     current = items.select("source", "items", item)
 
@@ -129,7 +129,7 @@ def mix_to_targets(
     done_type = f"array<struct<id:{kind['id'].dataType.simpleString()},size:bigint,rows:bigint,whole:int,bit:int>>"
     while True:
         buckets = F.ceil(F.col("items") / float(FAN ** (level + 1)))
-        dealt = current.withColumn("bucket", F.pmod(F.xxhash64(F.col("item.h"), F.lit(level)), buckets))
+        dealt = current.withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), F.col("item.h")), buckets))
         start = F.struct(F.lit(None).cast(kind).alias("rest"), F.array().cast(done_type).alias("done"))
         fold = F.aggregate(F.array_sort(F.collect_list("item")), start, _meet(level, seed))
         folded = written(dealt.groupBy("source", "bucket").agg(F.first("items").alias("items"), fold.alias("s")), "mix-level")
@@ -150,9 +150,12 @@ def mix_to_targets(
 
 
 def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` itself, each row as often as the mix takes it."""
+    """``docs`` itself, all its columns under their names, each row as often as the mix takes it."""
     decided = mix_to_targets(docs, id_col=id_col, source_col=source_col, text_col=text_col, **how)
-    chosen = decided.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    sized = docs.withColumn("_words", word_count(F.col(text_col)))
-    match = sized[id_col].eqNullSafe(F.col("_id")) & sized[source_col].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return sized.join(bounded(written(chosen, "mix-chosen")), match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[sized[c] for c in docs.columns])
+    # Names that the input can't have.
+    own_id, own_source, own_size, copies, words, copy = (free_name(docs.columns, f"mix_{x}") for x in ("id", "source", "size", "copies", "words", "copy"))
+    chosen = decided.groupBy(F.col(id_col).alias(own_id), F.col(source_col).alias(own_source), F.col("size").alias(own_size)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    sized = docs.withColumn(words, word_count(F.col(f"`{text_col}`")))
+    match = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & F.col(f"`{source_col}`").eqNullSafe(F.col(own_source)) & (F.col(words) == F.col(own_size))
+    joined = sized.join(bounded(written(chosen, "mix-chosen")), match).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,6 +11,8 @@ sets, the one that stops first proves the pair's common fragment.
 Where a threshold below 0.62 allows more differences than a set has n-grams, each n-gram is a signature.
 Nothing is capped and no frequent n-gram is left out.
 
+Sets are told apart by a 64-bit digest, which is expected to confuse 2.7 pairs of 10^10 distinct texts.
+
 *Counting.* The sets of candidates are cut into ``fragments`` ranges; overlaps are counted for each (pair, fragment) separately
 and summed per pair.
 
@@ -35,10 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm.components import components
-from cadenza.llm.shared import bounded, small_batches, written
+from cadenza.llm.shared import Tables, bounded, join_hot, small_batches, written
 from cadenza.llm.shingles import mix, shingle_sets
 
 _LEVELS = 4_000_000_000
+#: Shingles for which a bucket of signatures is made, buckets at most, and signatures that a task packs or folds at once.
+PER_BUCKET, BUCKETS, AT_ONCE = 500_000, 1 << 23, 2_000_000
 
 
 def _levels(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +121,28 @@ def _size_rows(k: int):
     return run
 
 
-def _signature_rows(k: int, num: int, den: int):
+def _signature_rows(k: int, num: int, den: int, buckets: int):
+    """Packed signatures: (bucket, 40 further bits of each signature, place of its set in ``sets``, sets). A bucket holds about a
+    million signatures, so 40 bits confuse one in a million of them, which only makes a candidate pair that counting refutes."""
     lows, highs = _levels(num, den)
+    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("owners", pa.binary()), ("sets", pa.binary())])
+
+    def packed(sigs: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        sig = np.concatenate(sigs).view(np.uint64)
+        place = np.repeat(np.arange(len(owners), dtype=np.uint16), [len(s) for s in sigs])
+        order = np.argsort(sig)
+        sig, place = sig[order], place[order]
+        spread = (sig >> np.uint64(32)) * np.uint64(buckets)
+        bucket = (spread >> np.uint64(32)).astype(np.int32)
+        rest = ((spread & np.uint64(0xFFFFFFFF)) << np.uint64(8)) | (sig & np.uint64(0xFF))
+        raw, held = rest.view(np.uint8).reshape(-1, 8)[:, :5], np.array(owners, np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        rows = [[], [], [], []]
+        for s, e in zip(starts, [*starts[1:], len(sig)], strict=True):
+            used, local = np.unique(place[s:e], return_inverse=True)
+            for c, x in zip(rows, (bucket[s], raw[s:e].tobytes(), local.astype(np.uint16).tobytes(), held[used].tobytes()), strict=True):
+                c.append(x)
+        return _flush(rows, schema)
 
     def run(batches):
         seen: set[int] = set()  # copies within the task, at most one entry for each of its rows
@@ -127,19 +151,68 @@ def _signature_rows(k: int, num: int, den: int):
             if not len(grams) or (v := _digest(grams)) in seen:
                 continue
             seen.add(v)
-            found = signatures(grams, num, den, lows, highs)
-            sigs.append(found)
-            owners.append(np.full(len(found), v))
-            held += len(found)
-            if held >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(owners))], ["sig", "v"])
+            sigs.append(signatures(grams, num, den, lows, highs))
+            owners.append(v)
+            held += len(sigs[-1])
+            if held >= AT_ONCE or len(owners) == 1 << 16:
+                yield packed(sigs, owners)
                 sigs, owners, held = [], [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(owners))], ["sig", "v"])
+            yield packed(sigs, owners)
 
     return run
 
 
+def _fold(first: tuple[np.ndarray, np.ndarray, np.ndarray], sig: np.ndarray, v: np.ndarray):
+    """(signatures with the first set seen of each and whether it was given out, signatures and sets to give out)."""
+    keys, sets = np.concatenate([first[0], sig]), np.concatenate([first[1], v])
+    known, given = np.arange(len(keys)) < len(first[0]), np.concatenate([first[2], np.zeros(len(sig), bool)])
+    order = np.argsort(keys, kind="stable")
+    keys, sets, known, given = keys[order], sets[order], known[order], given[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    run = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    other = sets != sets[at][run]
+    shared = np.bincount(run, other, minlength=len(at)) > 0
+    out = other | (new & shared[run] & ~given)
+    return (keys[at], sets[at], given[at] | shared), keys[out], sets[out]
+
+
+def _shared_rows(batches):
+    """(sig, v) of the signatures that two sets or more have, rows in the order of their buckets.
+
+    What is kept for a bucket is its distinct signatures, each with one set: the holders of a frequent one pass through.
+    """
+
+    def nothing():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    bucket, first, waiting, held = None, nothing(), [], 0
+
+    def folded():
+        nonlocal first, waiting, held
+        sig, v = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        first, keys, sets = _fold(first, sig, v)
+        waiting, held = [], 0
+        both = np.unique(np.rec.fromarrays([(keys | (np.uint64(bucket) << np.uint64(40))).view(np.int64), sets]))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both["f0"])), pa.array(np.ascontiguousarray(both["f1"]))], ["sig", "v"])
+
+    for batch in batches:
+        for at, sigs, owners, sets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != bucket:
+                if waiting:
+                    yield folded()
+                bucket, first = at, nothing()
+            wide = np.zeros((len(sigs) // 5, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(sigs, np.uint8).reshape(-1, 5)
+            waiting.append((wide.view(np.uint64).ravel(), np.frombuffer(sets, np.int64)[np.frombuffer(owners, np.uint16)]))
+            held += len(wide)
+            if held >= AT_ONCE:
+                yield folded()
+    if waiting:
+        yield folded()
+
+
 def _pack(grams: np.ndarray) -> bytes:
     """The upper 48 bits of each hash: two sets of 20,000 n-grams confuse one with a probability of about 1e-6."""
     return (grams >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -221,23 +294,25 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _summed(_by_fragment(pairs, sets).mapInArrow(_overlap_rows, "x long, y long, common long, nx long, ny long"))
 
 
-def _open_pairs(stars: DataFrame, differences: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def _open_pairs(stars: DataFrame, differences: DataFrame, roots: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
     """Pairs (x, y) of different components that may link, from their differences to a common pivot.
 
-    stars: x, y (the pivot), common, nx, ny; differences: x, y, differ (by fragment); roots: id, root.
+    stars: x, y (the pivot), common, nx, ny; differences: x, y, differ (by fragment); roots: id, root. A pivot may have a large
+    part of all rows: only small tables are joined by it alone.
     """
     c = (den - num) / (den + num)
     root_of = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
-    pivot_root = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
-    members = stars.join(root_of, "x", "left").join(pivot_root, "y", "left").select(
+    pivot_root = roots.select(F.col("id").alias("y"), F.col("root").alias("ry")).join(stars.select("y").distinct(), "y", "left_semi")
+    members = join_hot(stars.join(root_of, "x", "left"), pivot_root, "y", "x", "left").select(
         "x", "y", "nx", (F.col("nx") + F.col("ny") - 2 * F.col("common")).alias("d"), F.col("ny").alias("np"), F.coalesce("rx", "x").alias("rx"), (F.coalesce("rx", "x") != F.coalesce("ry", "y")).alias("minor")
     )
+    members = tables.keep(members, "ngram-members")
     split = members.groupBy("y").agg(F.max("minor").alias("split")).filter("split").select("y")
-    members = written(members.join(split, "y"), "ngram-members")
+    members = tables.keep(join_hot(members, split, "y", "x"), "ngram-split")
 
-    each = differences.join(split, "y").select("x", "y", F.explode("differ").alias("e"))
-    often = each.groupBy("y", "e").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = each.join(often, ["y", "e"]).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("shared"))
+    each = differences.join(bounded(members.select("x", "y")), ["x", "y"]).select("x", "y", F.explode("differ").alias("e"))
+    often = tables.keep(each.groupBy("y", "e").agg(F.count("*").alias("df")).filter("df > 1"), "ngram-often")
+    ranked = each.join(bounded(often), ["y", "e"]).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("shared"))
     # The rarest differences are those that nobody shares; what the prefix has beyond them is listed.
     widest = F.floor(c * (F.col("nx") + F.floor(F.col("nx") * den / num)))
     slack = 1e-6
@@ -252,7 +327,7 @@ def _open_pairs(stars: DataFrame, differences: DataFrame, roots: DataFrame, num:
         return F.slice("shared", F.lit(1), n.cast("int"))
 
     listed = ranked.join(members, ["x", "y"]).select("x", "y", "nx", "d", "rx", "minor", prefix(least_any).alias("any"), (F.col("d") - length(least_any)).alias("any_rest"), F.when(F.col("minor"), prefix(least_minor)).alias("wide"), (F.col("d") - length(least_minor)).alias("wide_rest"))
-    listed = written(listed, "ngram-prefixes")
+    listed = tables.keep(listed, "ngram-prefixes")
     a = listed.filter("minor").select("y", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("d").alias("da"), F.col("rx").alias("ra"), F.element_at("wide", -1).alias("last_a"), F.col("wide_rest").alias("rest_a"), F.explode("wide.e").alias("e"))
     b = listed.select("y", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("d").alias("db"), F.col("rx").alias("rb"), F.col("minor").alias("mb"), F.element_at("any", -1).alias("last_b"), F.col("any_rest").alias("rest_b"), F.explode("any.e").alias("e"))
     may = (F.col("ra") != F.col("rb")) & (~F.col("mb") | (F.col("a") < F.col("b"))) & (F.abs(F.col("da") - F.col("db")) <= c * (F.col("na") + F.col("nb")) + slack)
@@ -273,36 +348,39 @@ def ngram_components(
     texts and texts without words have no shingle and link with nothing; equal sets always link; repeated rows and null ids are
     kept (a null id never becomes a component's id, unless it has no other). Other columns are not read, so their names are free.
     """
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     small_batches(spark)
     num, den = threshold
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sizes = written(texts.mapInArrow(_size_rows(k), T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("v", T.LongType())])), "ngram-sizes")
+    sizes = tables.keep(texts.mapInArrow(_size_rows(k), T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("v", T.LongType())])), "ngram-sizes")
 
-    signed = texts.mapInArrow(_signature_rows(k, num, den), "sig long, v long")
-    shared = written(signed.groupBy("sig").agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a <> b").select("sig"), "ngram-shared")
+    buckets = min(BUCKETS, 1 + (sizes.agg(F.sum("n")).first()[0] or 0) // PER_BUCKET)
+    packed = texts.mapInArrow(_signature_rows(k, num, den, buckets), "bucket int, sigs binary, owners binary, sets binary")
     # Who holds a shared signature: the copies of a set meet here, so that each holder is one row.
-    held = written(signed.join(bounded(shared), "sig").distinct(), "ngram-held")
+    held = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows, "sig long, v long")
+    held = tables.keep(held.distinct(), "ngram-held")
     among = held.groupBy("sig").agg(F.count("*").alias("c"))
-    known = held.join(among, "sig").groupBy("v").agg(F.sum("c").alias("known"))
-    pivots = held.join(known, "v").groupBy("sig").agg(F.max_by("v", F.struct("known", "v")).alias("pivot"))
+    known = tables.keep(held.join(among, "sig").groupBy("v").agg(F.sum("c").alias("known")), "ngram-known")
+    pivots = tables.keep(held.join(known, "v").groupBy("sig").agg(F.max_by("v", F.struct("known", "v")).alias("pivot")), "ngram-pivots")
 
-    candidates = held.select("v").distinct()
-    one = sizes.join(candidates, "v").groupBy("v").agg(F.min("id").alias("id"))
-    of = texts.join(bounded(one.select("id")), "id", "left_semi")
-    # Without an id to find them by, rows are told apart by their sets alone.
-    of = of if texts.filter("id is null").limit(1).count() == 0 else texts
-    sets = written(of.mapInArrow(_fragment_rows(k, fragments), "v long, n long, frag int, grams binary").dropDuplicates(["v", "frag"]), "ngram-sets")
+    one = sizes.join(bounded(known.select("v")), "v").groupBy("v").agg(F.min("id").alias("id"))
+    # Rows without an id can't be found by it: all of them are looked at.
+    of = texts.join(bounded(tables.keep(one.select("id"), "ngram-chosen")), "id", "left_semi").unionByName(texts.filter("id is null"))
+    sets = tables.keep(of.mapInArrow(_fragment_rows(k, fragments), "v long, n long, frag int, grams binary").join(bounded(known.select("v")), "v", "left_semi").dropDuplicates(["v", "frag"]), "ngram-sets")
 
     linked = F.col("common") * (den + num) >= num * (F.col("nx") + F.col("ny"))
-    stars = held.join(pivots, "sig").filter("v <> pivot").select(F.col("v").alias("x"), F.col("pivot").alias("y")).distinct()
-    differences = written(_by_fragment(stars, sets).mapInArrow(_difference_rows, "x long, y long, common long, nx long, ny long, differ array<long>"), "ngram-differences")
-    starred = written(_summed(differences), "ngram-stars")
+    stars = join_hot(held, pivots, "sig", "v").filter("v <> pivot").select(F.col("v").alias("x"), F.col("pivot").alias("y")).distinct()
+    stars = tables.keep(stars, "ngram-pairs")
+    tables.drop("ngram-held", "ngram-known", "ngram-pivots", "ngram-chosen")
+    differences = tables.keep(_by_fragment(stars, sets).mapInArrow(_difference_rows, "x long, y long, common long, nx long, ny long, differ array<long>"), "ngram-differences")
+    starred = tables.keep(_summed(differences), "ngram-stars")
     links = starred.filter(linked).select("x", "y")
-    near = written(components(links), "ngram-near")
-    more = written(overlaps(_open_pairs(starred, differences, near, num, den), sets).filter(linked).select("x", "y"), "ngram-links")
-    joined = components(links.unionByName(more)) if not more.isEmpty() else near
+    near = tables.keep(components(links), "ngram-near")
+    more = tables.keep(overlaps(_open_pairs(starred, differences, near, num, den, tables), sets).filter(linked).select("x", "y"), "ngram-links")
+    joined = near if more.isEmpty() else tables.keep(components(links.unionByName(more)), "ngram-joined")
 
     home = sizes.join(joined.select(F.col("id").alias("v"), "root"), "v", "left").select("id", "n", F.coalesce("root", "v").alias("root"))
     least = home.groupBy("root").agg(F.min("id").alias("least"))
-    return home.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    found = written(home.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")), "ngram-components")
+    tables.drop()
+    return found
