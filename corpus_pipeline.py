@@ -15,20 +15,29 @@ from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.mixing import mixed_rows
 from cadenza.llm.ngram_join import ngram_components
 from cadenza.llm.sentencepieces import sentencepiece_ids
-from cadenza.llm.shared import bounded, written
+from cadenza.llm.shared import bounded, free_name, written
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a 128-bit key of the whole row, so that rows without an id or of one id are told apart; the key's name."""
+    key, row = free_name(docs.columns, "row_key"), [F.col(f"`{c}`") for c in docs.columns]
+    # An argument that is null leaves the hash as it was: which ones are is hashed as well.
+    nulls = F.concat(*[F.when(c.isNull(), "n").otherwise("v") for c in row])
+    return docs.withColumn(key, F.struct(F.xxhash64(F.lit(1), nulls, *row).alias("a"), F.xxhash64(F.lit(2), nulls, *row).alias("b"))), key
 
-def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """``docs`` less the ids in ``gone``: texts stay where they are while those are few. Rows without an id stay."""
-    return docs.join(bounded(written(gone.select("doc_id"), name)), "doc_id", "left_anti")
+
+def _without(keyed: DataFrame, key: str, gone: DataFrame, name: str, keep_key: bool = False) -> DataFrame:
+    """``keyed`` less the keys in ``gone``: texts stay where they are while those are few."""
+    rest = keyed.join(bounded(written(gone.select(key), name)), key, "left_anti")
+    return rest if keep_key else rest.drop(key)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language."""
+    """Documents whose text is in a language. Rows are judged one by one, also without an id or where one repeats."""
     model = train(docs, id_col="doc_id", text_col="text", label_col="lang")
-    found = identify(docs, model, declared=F.col("lang"), host=F.col("source"))
-    return _without(docs, found.filter("not accepted"), "language-rejected")
+    keyed, key = _keyed(docs)
+    found = identify(keyed, model, id_col=key, declared=F.col("lang"), host=F.col("source"))
+    return _without(keyed, key, found.filter("not accepted"), "language-rejected")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +48,20 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by 5-word shingles with a similarity of 0.8 or more."""
-    groups = ngram_components(docs, k=5, threshold=(8, 10))
-    return _without(docs, groups.filter("component_id <> doc_id"), "near-duplicates-gone")
+    """One document of each group linked by 5-word shingles with a similarity of 0.8 or more: that of the smallest id.
+
+    Rows without an id come after those with one; of rows of one id, that of the least key stays, and of equal rows one.
+    """
+    keyed, key = _keyed(docs)
+    member = free_name(keyed.columns, "member")
+    ranked = keyed.withColumn(member, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(f"{key}.a").alias("a"), F.col(f"{key}.b").alias("b")))
+    groups = ngram_components(ranked, id_col=member, k=5, threshold=(8, 10))
+    groups = groups.select((F.col("component_id") == F.col(member)).alias("stays"), F.struct(F.col(f"{member}.a").alias("a"), F.col(f"{member}.b").alias("b")).alias(key))
+    rest = _without(keyed, key, groups.filter("not stays"), "near-duplicates-gone", keep_key=True)
+    again = written(groups.filter("stays").groupBy(key).count().filter("count > 1").select(key), "near-duplicates-equal")
+    if again.isEmpty():
+        return rest.drop(key)
+    return rest.join(bounded(again), key, "left_anti").unionByName(rest.join(bounded(again), key, "left_semi").dropDuplicates([key])).drop(key)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
