@@ -42,11 +42,11 @@ def op1_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of each document, and whether decoding them gives the text back."""
+    """Piece ids of each document, and whether decoding them gives the text back."""
     model = str(public_tokenizers.path("piece_bpe_32k.model"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = sentencepiece_ids(docs, model=model, decoded_col="decoded")
-    return pieces.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
+    return pieces.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
 
 
 @_query

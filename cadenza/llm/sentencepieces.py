@@ -1,43 +1,45 @@
-"""SentencePiece encoding and decoding in numpy: units of equal length are segmented together.
+"""SentencePiece encoding and decoding: batched Viterbi in numpy, units of equal length advance together.
 
-A text is cut into units at word marks, and each distinct unit of a batch is segmented once. Hashes of all substrings of all units of one length
-probe the sorted hashes of the pieces, which gives a lattice of piece ids.
+Texts are cut into units where no piece joins the two bytes, and each distinct unit is segmented once. Hashes of all substrings of all
+units of one length probe the sorted hashes of the pieces, which gives a lattice of piece ids; then all units of a length go one
+position further at a time, and vectorised maxima over the pieces that end there store backpointers.
 
-Unigram models: Viterbi over the lattice, all units of a length one position after the other; maxima over the piece lengths store
-backpointers. BPE models: the best segmentation is not the one of the largest sum of scores, so Viterbi can't give the
-library's ids; the same lattice then gives, for every unit at once, the adjacent pair of the best score (the leftmost of
-equals), which is merged until no pair is a piece. Characters outside the pieces become byte pieces, or the unknown id.
+Unigram models: the maximum is that of the summed scores. BPE models: the largest sum of scores is not what the library gives, since it
+merges the best adjacent pair again and again. There a piece is *possible* after the piece before it if merging the text of the two
+alone leaves these two, and what merging makes of a prefix ends with the longest possible piece (each text has one sequence of
+pieces whose neighbours are all possible), so the maximum is over the lengths of possible pieces. Whether two neighbours are
+possible is told by undoing their merges, the last first: no pair across the border may have been the better one to merge.
+Units longer than :data:`LONG` are merged with a heap, in n log n steps. Tests hold both against the library.
 
-The normaliser handled is the identity with spaces as word marks (what the BPE model here has).
+Characters outside the pieces become byte pieces, or one unknown id for a run of them. The normaliser handled is the identity
+with spaces as word marks (what the BPE model here has).
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.shared import small_batches
-from cadenza.llm.shingles import mix
-from cadenza.llm.token_counts import text_groups
+from cadenza.llm.shared import free_name, small_batches
+from cadenza.llm.shingles import mix, slices, text_buffers
 
 MARK = "▁"
-_UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW_BITS = np.uint64((1 << 20) - 1)
-#: Characters of a unit up to which units are segmented together; longer ones are cut where no piece joins two characters.
+#: Characters of a unit up to which units are segmented together.
 LONG = 64
-#: Distinct units that a task keeps with their ids.
-KNOWN = 200_000
+#: Distinct units that a task keeps with their ids; beyond, it starts anew.
+KNOWN = 1_000_000
 
 
 @dataclass
@@ -53,22 +55,48 @@ class Pieces:
 
     def __post_init__(self) -> None:
         ids = np.flatnonzero(self.ordinary)
-        codes = [np.array([ord(c) for c in self.texts[i]], np.uint64) for i in ids]
-        self.longest = max(map(len, codes), default=1)
-        keys = np.array([_hash(c[None])[0, -1] if len(c) else 0 for c in codes], np.uint64)
+        lengths = np.array([len(self.texts[i]) for i in ids], np.int64)
+        self.longest, keys = int(lengths.max(initial=1)), np.zeros(len(ids), np.uint64)
+        for n in set(lengths.tolist()) - {0}:
+            same = np.flatnonzero(lengths == n)
+            keys[same] = _hash(_codes([self.texts[ids[i]] for i in same], n))[:, -1]
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order].astype(np.int32)
         self.filled = np.zeros(int(_LOW_BITS) + 1, bool)
         self.filled[keys & _LOW_BITS] = True
         # Ranks of scores, best first; no piece, at -1, has the last.
-        self.rank = np.append(np.unique(-self.scores, return_inverse=True)[1], len(self.scores)).astype(np.int32)
+        self.rank = np.append(np.unique(-self.scores, return_inverse=True)[1], len(self.scores)).astype(np.int64)
         self.bytes_of = {i: int(t[3:5], 16) for i, t in enumerate(self.texts) if re.fullmatch(r"<0x[0-9A-F]{2}>", t)}
         self.byte_ids = np.full(256, self.unknown)
         for i, b in self.bytes_of.items():
             self.byte_ids[b] = i
-        self.joined = {a + b for i in ids for a, b in zip(self.texts[i], self.texts[i][1:], strict=False)}
-        self.plain = [bytes([self.bytes_of[i]]) if i in self.bytes_of else t.replace(MARK, " ").encode() if self.ordinary[i] else b"" for i, t in enumerate(self.texts)]
-        self.known: dict[str, bytes] = {}
+        plain = [bytes([self.bytes_of[i]]) if i in self.bytes_of else t.replace(MARK, " ").encode() if self.ordinary[i] else b"" for i, t in enumerate(self.texts)]
+        self.plain = pa.array(plain, pa.large_binary())
+        # Bytes that follow each other in a piece; a text is cut between all others, but not within a character.
+        self.joined = np.zeros((256, 256), bool)  # [first, second]
+        for i in ids:
+            raw = np.frombuffer(plain[i], np.uint8)
+            self.joined[raw[:-1], raw[1:]] = True
+        self.joined[:, 0x80:0xC0] = True
+        self.known: dict[str, np.ndarray] = {}
+        if self.kind == "bpe":
+            self.by_text = {self.texts[i]: int(self.rank[i]) for i in ids}
+            self._undo(ids)
+
+    def _undo(self, ids: np.ndarray) -> None:
+        """Of each piece: its length, whether merging its text gives it, the rank of its last merge (-1: one character), its halves."""
+        n = len(self.texts)
+        self.size, self.reached, self.born = np.zeros(n + 1, np.int64), np.zeros(n + 1, bool), np.full(n + 1, -1, np.int64)
+        self.left, self.right = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+        place = self.place = {self.texts[i]: int(i) for i in ids}
+        for i in ids:
+            text = self.texts[i]
+            self.size[i] = len(text)
+            ends, half = merged(self, text)
+            if len(ends) == 2:
+                self.reached[i] = True
+                if len(text) > 1:
+                    self.born[i], self.left[i], self.right[i] = self.rank[i], place.get(text[:half], -1), place.get(text[half:], -1)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 for no piece; most hashes fail the table of low bits and are not searched for."""
@@ -80,6 +108,11 @@ class Pieces:
         return out
 
 
+def _codes(texts: list[str], n: int) -> np.ndarray:
+    """Code points of texts of ``n`` characters."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").reshape(len(texts), n).astype(np.uint64)
+
+
 def _hash(codes: np.ndarray) -> np.ndarray:
     """Hashes of all prefixes of rows of code points."""
     out, h = np.empty(codes.shape, np.uint64), np.zeros(len(codes), np.uint64)
@@ -108,6 +141,35 @@ def kept_pieces(path: str) -> Pieces:
     return load_pieces(path)
 
 
+def merged(pieces: Pieces, unit: str) -> tuple[list[int], int]:
+    """(borders of what merging makes of a unit, the border that the last merge took away)."""
+    n, rank = len(unit), pieces.by_text
+    after, before, alive = list(range(1, n + 2)), list(range(-1, n)), [True] * (n + 1)
+    # Integers in the order of (rank, begin), with the lengths of both symbols.
+    heap = [((r << 40 | s) << 32) | 0x10001 for s in range(n - 1) if (r := rank.get(unit[s : s + 2])) is not None]
+    heapq.heapify(heap)
+    half = 0
+    while heap:
+        best = heapq.heappop(heap)
+        s = best >> 32 & 0xFFFFFFFFFF
+        m = s + (best >> 16 & 0xFFFF)
+        e = m + (best & 0xFFFF)
+        if not (alive[s] and alive[m]) or after[s] != m or after[m] != e:
+            continue  # one of the two has been merged since
+        alive[m], after[s], half = False, e, m
+        if e < n:
+            before[e] = s
+            if (r := rank.get(unit[s : after[e]])) is not None:
+                heapq.heappush(heap, ((r << 40 | s) << 32) | (e - s) << 16 | (after[e] - e))
+        if s > 0 and (r := rank.get(unit[(t := before[s]) : e])) is not None:
+            heapq.heappush(heap, ((r << 40 | t) << 32) | (s - t) << 16 | (e - s))
+    ends, at = [0], 0
+    while at < n:
+        at = after[at]
+        ends.append(at)
+    return ends, half
+
+
 def _lattice(pieces: Pieces, codes: np.ndarray) -> np.ndarray:
     """[unit, start, length] -> piece id or -1; length 0 and the one past the longest are no piece."""
     rows, n = codes.shape
@@ -119,116 +181,158 @@ def _lattice(pieces: Pieces, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _viterbi(pieces: Pieces, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """[(start, end, id or -1)] of each row, by maxima of summed scores; unknown characters cost more than any piece."""
+def _possible(pieces: Pieces, lattice: np.ndarray, row: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether merging leaves the pieces x and y, which meet at ``at`` in their rows, apart.
+
+    Their merges are undone, the last first (of equal ones the right, as merging goes from the left); a pair across the border that is
+    better than what was undone last would have been merged before.
+    """
+    ok, live, over = np.ones(len(row), bool), np.arange(len(row)), lattice.shape[2] - 1
+    limit = np.full(len(row), 2 * (len(pieces.scores) + 1))
+    while live.size:
+        a, b = pieces.size[x], pieces.size[y]
+        joint = pieces.rank[lattice[row, at - a, np.minimum(a + b, over)]]
+        apart = (2 * joint >= limit) | (joint == len(pieces.scores))
+        ok[live[~apart]] = False
+        bx, by = pieces.born[x], pieces.born[y]
+        stay = apart & ((bx >= 0) | (by >= 0))
+        live, row, at, x, y, bx, by = live[stay], row[stay], at[stay], x[stay], y[stay], bx[stay], by[stay]
+        first = bx > by
+        limit = np.where(first, 2 * bx, 2 * by + 1)
+        x, y = np.where(first, pieces.right[x], x), np.where(first, y, pieces.left[y])
+    return ok
+
+
+def _viterbi(pieces: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length, id or -1) of the last piece of each prefix of each row: [row, end]. Unknown characters are pieces of length 1."""
     lattice, (rows, n) = _lattice(pieces, codes), codes.shape
-    worst = float(pieces.scores[pieces.ordinary].min()) - 10
-    best = np.full((rows, n + 1), -np.inf)
-    best[:, 0] = 0
-    back = np.zeros((rows, n + 1), np.int64)
+    back, last = np.zeros((rows, n + 1), np.int64), np.full((rows, n + 1), -1, np.int32)
+    every, bpe = np.arange(rows), pieces.kind == "bpe"
+    if not bpe:
+        worst = float(pieces.scores[pieces.ordinary].min()) - 10
+        best = np.full((rows, n + 1), -np.inf)
+        best[:, 0] = 0
     for end in range(1, n + 1):
         lengths = np.arange(1, min(end, lattice.shape[2] - 2) + 1)
         ids = lattice[:, end - lengths, lengths]
-        score = np.where(ids >= 0, pieces.scores[ids], np.where(lengths == 1, worst, -np.inf)) + best[:, end - lengths]
-        at = score.argmax(1)
-        best[:, end], back[:, end] = score[np.arange(rows), at], lengths[at]
-    out = []
-    for row in range(rows):
-        cut, end = [], n
-        while end:
-            size = int(back[row, end])
-            cut.append((end - size, end, int(lattice[row, end - size, size])))
-            end -= size
-        out.append(cut[::-1])
-    return out
-
-
-def _merges(pieces: Pieces, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """[(start, end, id or -1)] of each row, by merging the best adjacent pair of every row until none is a piece."""
-    lattice, (rows, n) = _lattice(pieces, codes), codes.shape
-    deep = lattice.shape[2]
-    flat, over, none = lattice.ravel(), np.int32(deep - 1), len(pieces.scores)
-    # Each live row loses one symbol a step, so all have the same number of symbols; edges holds their starts and the end.
-    live, edges, done = np.arange(rows, dtype=np.int32), np.tile(np.arange(n + 1, dtype=np.int32), (rows, 1)), [None] * rows
-    while live.size:
-        a = edges[:, :-2]
-        if not a.shape[1]:
-            for row, last in zip(live.tolist(), edges.tolist(), strict=True):
-                done[row] = last
-            break
-        value = pieces.rank.take(flat.take((live[:, None] * np.int32(n) + a) * np.int32(deep) + np.minimum(edges[:, 2:] - a, over)))
-        at = value.argmin(1)
-        found = value[np.arange(len(live)), at] < none
-        if not found.all():
-            for row, last in zip(live[~found].tolist(), edges[~found].tolist(), strict=True):
-                done[row] = last
-            live, at, edges = live[found], at[found], edges[found]
-        keep = np.ones(edges.shape, bool)
-        keep[np.arange(len(live)), at + 1] = False
-        edges = edges[keep].reshape(len(live), -1) if live.size else edges
-    cut = [(row * n + s) * deep + e - s if e - s < over else -1 for row, ends in enumerate(done) for s, e in pairwise(ends)]
-    ids = iter(np.where(np.array(cut) >= 0, flat[cut], -1).tolist())
-    return [[(s, e, next(ids)) for s, e in pairwise(ends)] for ends in done]
-
-
-def _cuts(pieces: Pieces, unit: str) -> list[str]:
-    """A long unit in parts that no piece can join."""
-    parts, begin = [], 0
-    for i in range(1, len(unit)):
-        if unit[i - 1 : i + 1] not in pieces.joined:
-            parts.append(unit[begin:i])
-            begin = i
-    return [*parts, unit[begin:]]
-
-
-def _ids(pieces: Pieces, unit: str, cut: list[tuple[int, int, int]]) -> bytes:
-    """The unit's ids as native 32-bit integers."""
+        if bpe:
+            maybe = pieces.reached[ids]
+            row, which = np.nonzero(maybe & (last[:, end - lengths] >= 0))
+            begin = end - lengths[which]
+            maybe[row, which] = _possible(pieces, lattice, row, begin, last[row, begin], ids[row, which])
+            value = np.where(maybe, lengths, 0)
+        else:
+            value = np.where(ids >= 0, pieces.scores[ids], np.where(lengths == 1, worst, -np.inf)) + best[:, end - lengths]
+        at = value.argmax(1)
+        back[:, end], last[:, end] = lengths[at], ids[every, at]
+        if not bpe:
+            best[:, end] = value[every, at]
+    return back, last
+
+
+def _ids(pieces: Pieces, unit: str, cut: list[tuple[int, int, int]]) -> np.ndarray:
     out: list[int] = []
     for s, e, i in cut:
         if i >= 0:
             out.append(i)
         elif pieces.bytes_of:
             out += pieces.byte_ids[np.frombuffer(unit[s:e].encode(), np.uint8)].tolist()
-        elif not out or out[-1] != pieces.unknown:
+        else:
             out.append(pieces.unknown)
-    return array("i", out).tobytes()
+    return np.array(out, np.int32)
 
 
-def segment(pieces: Pieces, units: Iterable[str]) -> dict[str, bytes]:
-    """ids of each of the (distinct) units."""
-    by_length: dict[int, list[str]] = {}
+def segment(pieces: Pieces, units: Iterable[str]) -> dict[str, np.ndarray]:
+    """ids of each of the (distinct) units, spaces as word marks."""
+    by_length, out = {}, {}
     for unit in units:
         by_length.setdefault(len(unit), []).append(unit)
-    run, out = _merges if pieces.kind == "bpe" else _viterbi, {}
     for n, same in by_length.items():
+        if n > LONG and pieces.kind == "bpe":
+            for unit in same:
+                marked = unit.replace(" ", MARK)
+                ends, _ = merged(pieces, marked)
+                out[unit] = _ids(pieces, marked, [(s, e, pieces.place.get(marked[s:e], -1)) for s, e in zip(ends, ends[1:], strict=False)])
+            continue
         step = max(1, 2_000_000 // (n * min(n, pieces.longest)))
         for a in range(0, len(same), step):
             some = same[a : a + step]
-            codes = np.frombuffer("".join(some).encode("utf-32-le"), "<u4").reshape(len(some), n).astype(np.uint64)
-            for unit, cut in zip(some, run(pieces, codes), strict=True):
-                out[unit] = _ids(pieces, unit, cut)
+            marked = [u.replace(" ", MARK) for u in some]
+            back, last = _viterbi(pieces, _codes(marked, n))
+            ends, at = np.zeros(back.shape, bool), np.full(len(some), n)
+            rows = np.arange(len(some))
+            while len(rows):
+                ends[rows, at] = True
+                at = at - back[rows, at]
+                rows, at = rows[at > 0], at[at > 0]
+            ids, bounds = last[ends], np.cumsum(ends.sum(1))[:-1]
+            for unit, found in zip(some, np.split(ids, bounds), strict=True):
+                out[unit] = found
+            for row in np.flatnonzero((ends & (last < 0)).any(1)):
+                borders = [0, *np.flatnonzero(ends[row]).tolist()]
+                out[some[row]] = _ids(pieces, marked[row], [(s, e, int(last[row, e])) for s, e in zip(borders, borders[1:], strict=False)])
     return out
 
 
-def encode_texts(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
-    """ids of each text, as the library gives them without begin and end."""
-    units = []
-    for t in texts:
-        us = _UNIT.findall(((" " if pieces.prefix and t else "") + t).replace(" ", MARK))
-        if len(t) > LONG and max(map(len, us)) > LONG:
-            us = [p for u in us for p in ((u,) if len(u) <= LONG else _cuts(pieces, u))]
-        units.append(us)
+def encode_column(pieces: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, where each text's begin and the last end), as the library gives them without begin and end."""
+    texts = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), MARK, " ")
+    if pieces.prefix:
+        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if x is not texts else x for x in (" ", texts, ""))))
+    raw, offsets = text_buffers(texts)
+    if not len(raw):
+        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+    opens = np.ones(len(raw), bool)
+    opens[1:] = ~pieces.joined.ravel().take((raw[:-1].astype(np.uint16) << 8) | raw[1:])
+    opens[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(opens)
+    units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(np.ascontiguousarray(raw)))
+    units = units.dictionary_encode()
+    distinct = units.dictionary.to_pylist()
     if len(pieces.known) > KNOWN:
         pieces.known.clear()
     known = pieces.known
-    known |= segment(pieces, set(chain.from_iterable(units)).difference(known))
-    return [np.frombuffer(b"".join(map(known.__getitem__, us)), np.int32) for us in units]
+    known |= segment(pieces, [u for u in distinct if u not in known])
+    found = [known[u] for u in distinct]
+    lists = pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, found)]), np.concatenate(found)).take(units.indices)
+    ids, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    bounds = ends[np.searchsorted(starts, offsets)]
+    ids, bounds = ids[bounds[0] : bounds[-1]], bounds - bounds[0]
+    if not pieces.bytes_of:  # a run of unknown characters has one id
+        again = np.zeros(len(ids), bool)
+        again[1:] = (ids[1:] == pieces.unknown) & (ids[:-1] == pieces.unknown)
+        again[bounds[:-1][bounds[:-1] < len(ids)]] = False
+        ids, bounds = ids[~again], bounds - np.concatenate([[0], np.cumsum(again)])[bounds]
+    return ids, bounds
+
+
+def encode_texts(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
+    """ids of each text."""
+    ids, bounds = encode_column(pieces, pa.array(texts, pa.large_string()))
+    return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def decode_column(pieces: Pieces, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The texts of rows of ids; bytes that are no UTF-8 become U+FFFD."""
+    taken = pieces.plain.take(pa.array(ids))
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8)
+    raw = np.frombuffer(taken.buffers()[2], np.uint8) if len(taken) and taken.buffers()[2] is not None else np.zeros(0, np.uint8)
+    at = ends[bounds]
+    if pieces.prefix:  # the space before the first word
+        some = at[:-1][at[:-1] < at[1:]]
+        lead = some[raw[some] == 32] if len(some) else some
+        raw = np.delete(raw[: at[-1]], lead)
+        at = at - np.searchsorted(lead, at)
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(np.ascontiguousarray(raw))])
+    try:
+        return out.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode(errors="replace") for x in out.to_pylist()], pa.string())
 
 
 def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:
-    """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-    raw = b"".join(map(pieces.plain.__getitem__, ids.tolist()))
-    return (raw[1:] if pieces.prefix and raw[:1] == b" " else raw).decode(errors="replace")
+    """The text of ids."""
+    return decode_column(pieces, np.asarray(ids, np.int32), np.array([0, len(ids)]))[0].as_py()
 
 
 def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
@@ -237,23 +341,22 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
     Null texts count as empty and have no ids. Rows stay where they are: no shuffle, nothing per document on the driver.
     """
     small_batches(docs.sparkSession, 4)
-    kept = [f for f in docs.schema if f.name not in (ids_col, decoded_col)]
+    new = {ids_col.lower(), (decoded_col or ids_col).lower()}
+    kept = [f for f in docs.schema if f.name.lower() not in new]
     added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
     names = [f.name for f in kept]
-    source = docs.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    source = docs.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(free_name(docs.columns, "encoded_text")))
 
     def run(batches):
         pieces = kept_pieces(model)
         for batch in batches:
-            at = 0
-            for group in text_groups(batch.column(len(names)).to_pylist(), 2 << 20):
-                found = encode_texts(pieces, group)
-                part = batch.slice(at, len(group))
-                at += len(group)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                columns = [part.column(i) for i in range(len(names))] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))]
+            _, offsets = text_buffers(batch.column(len(names)))
+            for a, b in slices(offsets, 4 << 20):
+                part = batch.slice(a, b - a)
+                ids, bounds = encode_column(pieces, part.column(len(names)))
+                columns = [part.column(i) for i in range(len(names))] + [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]
                 if decoded_col:
-                    columns.append(pa.array([decode_ids(pieces, x) for x in found], pa.string()))
+                    columns.append(decode_column(pieces, ids, bounds))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *[f.name for f in added]])
         pieces.known.clear()  # the worker goes on to other tasks
 

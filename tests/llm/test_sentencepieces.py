@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -28,6 +30,37 @@ def test_frame_round_trip(spark, docs, odd_docs, no_docs):
         assert got.count() == table.count()
 
 
+def test_long_unbroken_texts():
+    """A megabyte without a place to cut is merged in n log n steps."""
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=MODEL), kept_pieces(MODEL)
+    for text in ("ab" * 500_000, "x" * 1_000_000):
+        began = time.process_time()
+        with np.errstate(over="ignore"):
+            found = encode_texts(pieces, [text])[0]
+        assert time.process_time() - began < 15 and found.tolist() == library.encode(text)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_viterbi_of_merges_on_random_texts(seed):
+    """Joined pieces, repeated characters, digits, marks and rare letters: the library's ids, through the batched Viterbi."""
+    rng, pieces = np.random.default_rng(seed), kept_pieces(MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    some = [pieces.texts[i].replace("▁", " ") for i in pieces.ids]
+    texts = ["".join(some[i] for i in rng.integers(0, len(some), rng.integers(1, 7))) for _ in range(2000)]
+    texts += ["".join(rng.choice(list("ab=-_. \n\t0a"), rng.integers(1, 60))) for _ in range(1000)]
+    texts += ["".join(map(chr, rng.choice([97, 98, 233, 337, 1080, 20013, 128512], rng.integers(1, 30)))) for _ in range(500)]
+    with np.errstate(over="ignore"):
+        assert [x.tolist() for x in encode_texts(pieces, texts)] == library.encode(texts)
+
+
+def test_runs_of_unknown_characters():
+    """Without byte pieces, a run of unknown characters has one id, across units as well."""
+    texts = ["<unk>", "▁", "a", "▁a", "aa"]
+    pieces = Pieces(texts, np.array([0.0, -1, -2, -3, -4]), np.array([t != "<unk>" for t in texts]), "bpe")
+    with np.errstate(over="ignore"):
+        assert [x.tolist() for x in encode_texts(pieces, ["aé漢字a", "é", "", "éa"])] == [[3, 0, 2], [1, 0], [], [1, 0, 2]]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_viterbi_against_brute_force(seed):
     """Unigram models: the best sum of scores over all segmentations."""
