@@ -104,7 +104,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str, how: str
     if is_small(right):
         return left.join(F.broadcast(right), key, how)
     salted = left.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    return salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), [key, "salt"], how).drop("salt")
+    return salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "salt"], how).drop("salt")
 
 
 def id_bounds(df: DataFrame, key: str, rows: int, most: int = 65_536) -> tuple[list, int]:
@@ -141,8 +141,8 @@ def chunk_of(key: Column, tie: Column, cuts: tuple[list, int]) -> Column:
     often = {b: bounds.count(b) for b in {x for x, y in zip(bounds, bounds[1:], strict=False) if x == y}}
     if often:
         # Bounds that repeat shift the chunks above them.
-        hot = F.lit(sorted(often))
-        shift = F.aggregate(F.arrays_zip(hot.alias("b"), F.lit([often[b] for b in sorted(often)]).alias("n")), F.lit(0), lambda s, x: s + F.when(x["b"] < key, x["n"] - 1).otherwise(0))
-        own = F.coalesce(F.element_at(F.lit([often[b] for b in sorted(often)]), F.nullif(F.array_position(hot, key), F.lit(0)).cast("int")), F.lit(1))
+        pairs = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(often[b] - 1).alias("n")) for b in sorted(often)])
+        shift = F.aggregate(pairs, F.lit(0), lambda s, x: s + F.when(x["b"] < key, x["n"]).otherwise(0))
+        own = F.aggregate(pairs, F.lit(1), lambda s, x: s + F.when(x["b"] == key, x["n"]).otherwise(0))
         below = below + shift + (own - 1 - F.floor(share * own).cast("int"))
     return F.when(key.isNull(), null_chunk).otherwise(below)
