@@ -1,13 +1,14 @@
 """An adaptive context-mixing range coder for token ids, in independently reset blocks that are coded side by side.
 
-A block predicts each id from what it has coded so far. Order 2 and order 1 predict the id that last followed the two and the
-one before it; order 0 learns how often each class of ids occurs (ids of one leading bit and one bit after it are
-a class). The symbols "as order 2 says", "as order 1 says" and each class have counts by context (which predictions exist, and whether order 2
-was right before) and counts of the whole block; the two sets are mixed with weights that follow which of them predicted
-better. A class is followed by the place within it. All arithmetic is on integers, so any machine decodes alike.
-
-Blocks are rows of numpy arrays: one step codes the next id of every block. A block depends on no other; each carries the
-CRC-32 of its ids as little-endian unsigned 32-bit integers.
+Each id is predicted from what its block has coded so far:
+
+* order 2 names the id that followed the last two ids, order 1 the one that followed the last id, each with a confidence that grows
+  with every hit. Whether they are right is coded first. Its probability is mixed from adaptive probabilities under several
+  contexts (confidences, whether both agree, the last outcomes): logistic mixing with weights that learn from each outcome;
+* order 0 has adaptive counts of all ids, as a tree of three digits, and codes the ids that neither named.
+
+All arithmetic is on integers, so any machine decodes alike. Blocks are rows of numpy arrays: one step codes the next id of every
+block. A block depends on no other; each carries the CRC-32 of its ids as little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
@@ -16,126 +17,249 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-#: Hash slots of a block's prediction tables.
-SLOTS = 2048
-CONTEXTS = 8
-PRECISION = 14
+#: Ids of a block, at most.
+BLOCK = 1 << 14
+#: Bits of a digit of an id, and of what three digits hold; lower bits of larger ids are coded as they are.
+DIGIT, TREE = 6, 18
+SLOTS1, SLOTS2 = 1 << 14, 1 << 15
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+_WORD = np.uint64(16)
+#: Logarithms of odds, times 256, of probabilities in 4096ths, and back.
+_STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int64)
+_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.int64)
+
+
+def _bounds(edge: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where the interval of each row's value starts, its size) of cumulated counts."""
+    at, flat = np.arange(len(value)) * edge.shape[1] + value, edge.ravel()
+    start = flat.take(at - 1, mode="clip") * (value > 0)
+    return start, flat.take(at) - start
+
+
+class _Range:
+    """Range coding of one symbol a row: the common part of encoder and decoder."""
+
+    def __init__(self, rows: int) -> None:
+        self.low, self.span = np.zeros(rows, np.uint64), np.full(rows, ~np.uint64(0), np.uint64)
+
+    def narrow(self, at, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
+        self.low[at] += unit * start.astype(np.uint64)
+        self.span[at] = unit * size.astype(np.uint64)
+
+    def due(self) -> np.ndarray:
+        return np.flatnonzero(((self.low ^ (self.low + self.span)) < _TOP) | (self.span < _BOTTOM))
+
+    def shift(self, at: np.ndarray) -> None:
+        low, span = self.low[at], self.span[at]
+        span = np.where((low ^ (low + span)) < _TOP, span, (~low + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
+        self.low[at], self.span[at] = low << _WORD, span << _WORD
+
+
+class _Encoder(_Range):
+    def __init__(self, rows: int, steps: int) -> None:
+        super().__init__(rows)
+        self.out, self.end = np.zeros((rows, steps * 4 + 8), np.uint16), np.zeros(rows, np.int64)
+
+    def flag(self, p: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Codes a bit whose probability to be set is p / 4096."""
+        bound = (self.span >> np.uint64(12)) * p.astype(np.uint64)
+        self.low += np.where(value, np.uint64(0), bound)
+        self.span = np.where(value, bound, self.span - bound)
+        return value
+
+    def digit(self, at: np.ndarray, edge: np.ndarray, value: np.ndarray) -> np.ndarray:
+        start, size = _bounds(edge, value)
+        self.narrow(at, start, size, self.span[at] // edge[:, -1].astype(np.uint64))
+        return value
+
+    def flat(self, at: np.ndarray, bits: int, value: np.ndarray) -> np.ndarray:
+        self.narrow(at, value, np.ones(len(at), np.int64), self.span[at] >> np.uint64(bits))
+        return value
+
+    def settle(self) -> None:
+        while (at := self.due()).size:
+            self.out[at, self.end[at]] = (self.low[at] >> np.uint64(48)).astype(np.uint16)
+            self.end[at] += 1
+            self.shift(at)
+
+    def codes(self) -> list[bytes]:
+        for i in range(4):
+            self.out[np.arange(len(self.end)), self.end + i] = ((self.low >> np.uint64(48 - 16 * i)) & np.uint64(0xFFFF)).astype(np.uint16)
+        return [row[: n + 4].astype("<u2").tobytes() for row, n in zip(self.out, self.end, strict=True)]
+
+
+class _Decoder(_Range):
+    def __init__(self, codes: list[bytes]) -> None:
+        super().__init__(len(codes))
+        self.words = np.zeros((len(codes), max(map(len, codes)) // 2 + 8), np.uint64)
+        for row, code in enumerate(codes):
+            self.words[row, : len(code) // 2] = np.frombuffer(code, "<u2", len(code) // 2)
+        self.seen, self.at = np.zeros(len(codes), np.uint64), np.full(len(codes), 4)
+        for i in range(4):
+            self.seen = (self.seen << _WORD) | self.words[:, i]
+
+    def flag(self, p: np.ndarray, value: None) -> np.ndarray:
+        bound = (self.span >> np.uint64(12)) * p.astype(np.uint64)
+        found = (self.seen - self.low) < bound
+        self.low += np.where(found, np.uint64(0), bound)
+        self.span = np.where(found, bound, self.span - bound)
+        return found
+
+    def digit(self, at: np.ndarray, edge: np.ndarray, value: None) -> np.ndarray:
+        unit = np.maximum(self.span[at] // edge[:, -1].astype(np.uint64), np.uint64(1))
+        spot = np.minimum((self.seen[at] - self.low[at]) // unit, (edge[:, -1] - 1).astype(np.uint64)).astype(np.int64)
+        found = (edge <= spot[:, None]).sum(1)
+        start, size = _bounds(edge, found)
+        self.narrow(at, start, size, unit)
+        return found
+
+    def flat(self, at: np.ndarray, bits: int, value: None) -> np.ndarray:
+        unit = np.maximum(self.span[at] >> np.uint64(bits), np.uint64(1))
+        found = np.minimum((self.seen[at] - self.low[at]) // unit, np.uint64((1 << bits) - 1)).astype(np.int64)
+        self.narrow(at, found, np.ones(len(at), np.int64), unit)
+        return found
+
+    def settle(self) -> None:
+        while (at := self.due()).size:
+            # Blocks that have ended read zeros; what they give is not kept.
+            self.seen[at] = (self.seen[at] << _WORD) | self.words[at, np.minimum(self.at[at], self.words.shape[1] - 1)]
+            self.at[at] += 1
+            self.shift(at)
+
+
+class _Mixer:
+    """The probability of a bit, mixed from adaptive ones under several contexts."""
+
+    RATE, LEARN = 6, 12
+
+    def __init__(self, rows: int, sizes: tuple[int, ...], sets: int) -> None:
+        self.tables = np.full(rows * sum(sizes), 1 << 15, np.int64)
+        self.base = np.arange(rows)[:, None] * sum(sizes) + np.cumsum([0, *sizes[:-1]])
+        self.weights, self.set_base = np.full((rows * sets, len(sizes)), (1 << 16) // 2, np.int64), np.arange(rows) * sets
+        self.at = self.base.copy()
+
+    def predict(self, contexts: tuple[np.ndarray, ...], which: np.ndarray) -> np.ndarray:
+        for i, c in enumerate(contexts):
+            self.at[:, i] = c
+        self.at += self.base
+        self.which = self.set_base + which
+        self.inputs = _STRETCH.take(self.tables.take(self.at) >> 4)
+        self.own = self.weights.take(self.which, axis=0)
+        mixed = np.einsum("ij,ij->i", self.own, self.inputs) >> 16
+        self.p = _SQUASH.take(np.minimum(np.maximum(mixed, -2047), 2047) + 2047)
+        return self.p
+
+    def learn(self, value: np.ndarray, known: np.ndarray) -> None:
+        """``known``: the rows in which the bit was coded."""
+        rows = np.flatnonzero(known)
+        target, at = value[rows].astype(np.int64), self.at[rows]
+        p = self.tables.take(at)
+        self.tables[at] = p + (((target * 65535)[:, None] - p) >> self.RATE)
+        wrong = (target << 12) - self.p[rows]
+        moved = self.own[rows] + ((self.inputs[rows] * wrong[:, None]) >> self.LEARN)
+        self.weights[self.which[rows]] = np.minimum(np.maximum(moved, -(1 << 18)), 1 << 18)
+
+
+class _Counts:
+    """Adaptive counts of one digit under the digits before it."""
+
+    STEP, FULL = 24, 8000
+
+    def __init__(self, rows: int, above: int, digits: int) -> None:
+        self.counts, self.above = np.ones((rows * above, digits), np.uint16), above
+
+    def edges(self, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+        self.at = rows * self.above + above
+        return np.cumsum(self.counts.take(self.at, axis=0), axis=1, dtype=np.int32)
+
+    def learn(self, digit: np.ndarray, total: np.ndarray) -> None:
+        self.counts[self.at, digit] += self.STEP
+        if (old := np.flatnonzero(total > self.FULL - self.STEP)).size:
+            self.counts[self.at[old]] = (self.counts[self.at[old]] + 1) >> 1
+
+
+class _Followers:
+    """For each context of a block the id that followed it, and how surely."""
+
+    SURE = 7
+
+    def __init__(self, rows: int, slots: int) -> None:
+        self.base, self.ids, self.sure = np.arange(rows) * slots, np.full(rows * slots, -1, np.int64), np.zeros(rows * slots, np.int8)
+
+    def predict(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.at = self.base + slot
+        self.named, self.trust = self.ids.take(self.at), self.sure.take(self.at).astype(np.int64)
+        return self.named, self.trust
+
+    def learn(self, ids: np.ndarray) -> None:
+        hit = self.named == ids
+        self.ids[self.at] = np.where(hit | (self.trust > 1), self.named, ids)
+        self.sure[self.at] = np.where(hit, np.minimum(self.trust + 1, self.SURE), self.trust >> 1)
 
 
-def _class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, place within it, bits of the place) of ids."""
-    v = ids.astype(np.int64) + 2
-    bits = np.frexp(v.astype(np.float64))[1] - 2  # exact: ids have 32 bits at most
-    return bits * 2 + ((v >> bits) & 1), v & ((np.int64(1) << bits) - 1), bits
-
-
-def _id_of(kind: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return ((((kind & 1) | 2) << (kind >> 1)) | place) - 2
-
-
-class _Model:
-    """Predictions and counts of many blocks."""
-
-    STEP, FULL, CHECK = 24, 4000, 8
-
-    def __init__(self, rows: int, classes: int) -> None:
-        self.rows, n = np.arange(rows), classes + 2
-        self.symbols, self.room, self.floor = n, (1 << PRECISION) - n, np.arange(1, n + 1, dtype=np.int32)
-        self.by_context, self.context_n = np.full((rows, CONTEXTS, n), 2, np.int32), np.full((rows, CONTEXTS), 2 * n, np.int32)
-        self.overall, self.overall_n = np.full((rows, n), 2, np.int32), np.full(rows, 2 * n, np.int32)
-        self.weight = np.full(rows, 32, np.int32)  # of 64, for the counts by context
-        self.one, self.two = np.full((rows, SLOTS), -1, np.int64), np.full((rows, SLOTS), -1, np.int64)
-        self.before, self.last, self.right = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        self.edge, self.steps = np.zeros((rows, n + 1), np.int32), 0
-
-    def predict(self) -> None:
-        r = self.rows
-        self.slot1 = (self.last * 40503 >> 3) & (SLOTS - 1)
-        self.slot2 = (self.before * 48271 + self.last * 69621 >> 5) & (SLOTS - 1)
-        self.p1, self.p2 = self.one[r, self.slot1], self.two[r, self.slot2]
-        self.context = (self.p2 >= 0) * 4 + (self.p1 >= 0) * 2 + self.right
-        self.near, self.near_n = self.by_context[r, self.context], self.context_n[r, self.context]
-        # Each set's share is floored, one is added to every symbol, and what is left goes to the last.
-        f = self.near * ((self.weight * self.room) // (64 * self.near_n))[:, None]
-        f += self.overall * (((64 - self.weight) * self.room) // (64 * self.overall_n))[:, None]
-        np.cumsum(f, axis=1, dtype=np.int32, out=self.edge[:, 1:])
-        self.edge[:, 1:] += self.floor
-        self.edge[:, -1] = 1 << PRECISION
-
-    def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        r = self.rows
-        better = self.near[r, symbol].astype(np.int64) * self.overall_n - self.overall[r, symbol].astype(np.int64) * self.near_n
-        self.weight = np.clip(self.weight + np.sign(better).astype(np.int32), 4, 60)
-        self.by_context[r, self.context, symbol] += self.STEP
-        self.context_n[r, self.context] += self.STEP
-        self.overall[r, symbol] += self.STEP
-        self.overall_n += self.STEP
-        self.steps += 1
-        if self.steps % self.CHECK == 0:
-            for counts, sums in ((self.by_context, self.context_n), (self.overall, self.overall_n)):
-                if (old := np.nonzero(sums > self.FULL))[0].size:
-                    counts[old] = (counts[old] + 1) >> 1
-                    sums[old] = counts[old].sum(-1)
-        self.right = (self.p2 == ids).astype(np.int64)
-        self.one[r, self.slot1] = ids
-        self.two[r, self.slot2] = ids
-        self.before, self.last = self.last, ids
-
-
-def _layout(ids: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Blocks as rows, padded with zeros."""
-    grid = np.zeros((len(sizes), max(sizes)), np.int64)
-    at = 0
-    for row, n in enumerate(sizes):
-        grid[row, :n] = ids[at : at + n]
-        at += n
-    return grid
+def _code(coder: _Encoder | _Decoder, rows: int, steps: int, bits: int, given: np.ndarray | None) -> np.ndarray:
+    """Codes ``given`` [row, step], or decodes it."""
+    spare, tree = max(0, bits - TREE), min(bits, TREE)
+    wide = [1 << max(0, tree - 2 * DIGIT), 1 << min(DIGIT, max(0, tree - DIGIT)), 1 << min(DIGIT, tree)]
+    levels = [_Counts(rows, 1, wide[0]), _Counts(rows, wide[0], wide[1]), _Counts(rows, wide[0] * wide[1], wide[2])]
+    one, two = _Followers(rows, SLOTS1), _Followers(rows, SLOTS2)
+    first, second = _Mixer(rows, (8, 16, 16, 128), 4), _Mixer(rows, (8, 32, 128), 2)
+    hits, near = np.zeros(rows, np.int64), np.zeros(rows, np.int64)  # the last outcomes of both questions
+    before, last, out = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros((rows, steps), np.int64)
+    for step in range(steps):
+        now = None if given is None else given[:, step]
+        named1, trust1 = one.predict((last * 40503 >> 3 ^ last) & (SLOTS1 - 1))
+        named2, trust2 = two.predict(((before * 48271 + last * 69621) >> 4 ^ last) & (SLOTS2 - 1))
+        has2, agree = named2 >= 0, named1 == named2
+        p = first.predict((trust2, agree * 8 + trust1, hits & 15, (hits & 3) * 32 + np.minimum(trust2, 3) * 8 + agree * 4 + np.minimum(trust1, 3)), np.minimum(trust2, 1) * 2 + agree)
+        right2 = coder.flag(np.where(has2, p, 0), None if now is None else now == named2)
+        asked = (named1 >= 0) & ~right2 & ~agree
+        p = second.predict((trust1, has2 * 16 + (near & 15), np.minimum(trust1, 3) * 32 + has2 * 16 + (near & 3) * 4 + (hits & 3)), has2.astype(np.int64))
+        right1 = coder.flag(np.where(asked, p, 0), None if now is None else asked & (now == named1))
+        coder.settle()
+        found = np.where(right2, named2, named1)
+        if (at := np.flatnonzero(~right2 & ~right1)).size:
+            value = None if now is None else now[at]
+            above, digits = np.zeros(len(at), np.int64), []
+            for k, level in enumerate(levels):
+                low = spare + sum(w.bit_length() - 1 for w in wide[k + 1 :])
+                edge = level.edges(at, above)
+                digit = coder.digit(at, edge, None if value is None else value >> low & (wide[k] - 1))
+                level.learn(digit, edge[:, -1])
+                above = above * wide[k] + digit
+                digits.append(digit)
+                if k:
+                    coder.settle()
+            if spare:
+                tail = coder.flat(at, spare, None if value is None else value & ((1 << spare) - 1))
+                above = (above << spare) + tail
+                coder.settle()
+            found[at] = above
+        first.learn(right2, has2)
+        second.learn(right1, asked)
+        hits, near = np.where(has2, hits << 1 & 127 | right2, hits), np.where(asked, near << 1 & 127 | right1, near)
+        one.learn(found)
+        two.learn(found)
+        out[:, step] = found
+        before, last = last, found
+    return out
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
-    """(number of ids, CRC-32, code) of each block of ``ids`` (below 2**32)."""
+    """(number of ids, CRC-32, code) of blocks of equal size, ``block`` ids at most; ids are below 2**32."""
     if not len(ids):
         return []
-    sizes = [min(block, len(ids) - at) for at in range(0, len(ids), block)]
-    grid = _layout(ids, sizes)
-    kinds, places, bits = _class_of(grid)
-    top = int(kinds.max()) + 1
-    model = _Model(len(sizes), top)
-    rows = model.rows
-    low, span = np.zeros(len(rows), np.uint64), np.full(len(rows), ~np.uint64(0), np.uint64)
-    out, end = np.zeros((len(rows), grid.shape[1] * 3 + 8), np.uint16), np.zeros(len(rows), np.int64)
-    ends = np.array(sizes)
-    for step in range(grid.shape[1]):
-        model.predict()
-        now = grid[:, step]
-        symbol = np.where(now == model.p2, 0, np.where(now == model.p1, 1, kinds[:, step] + 2))
-        start = model.edge[rows, symbol]
-        unit = span >> np.uint64(PRECISION)
-        low += unit * start.astype(np.uint64)
-        span = unit * (model.edge[rows, symbol + 1] - start).astype(np.uint64)
-        escaped = symbol > 1
-        unit = np.where(escaped, span >> bits[:, step].astype(np.uint64), span)
-        low += np.where(escaped, unit * places[:, step].astype(np.uint64), np.uint64(0))
-        span = unit
-        while (live := np.flatnonzero((((low ^ (low + span)) < _TOP) | (span < _BOTTOM)) & (step < ends))).size:
-            l, s = low[live], span[live]
-            s = np.where((l ^ (l + s)) < _TOP, s, (~l + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-            out[live, end[live]] = (l >> np.uint64(48)).astype(np.uint16)
-            end[live] += 1
-            low[live], span[live] = l << np.uint64(16), s << np.uint64(16)
-        model.learn(symbol, now)
-        if step + 1 in sizes:  # blocks that end here are flushed before the padding is coded
-            for row in np.flatnonzero(ends == step + 1):
-                for i in range(4):
-                    out[row, end[row]] = (int(low[row]) >> (48 - 16 * i)) & 0xFFFF
-                    end[row] += 1
-    found, at = [], 0
-    for row, n in enumerate(sizes):
-        found.append((n, zlib.crc32(ids[at : at + n].astype("<u4").tobytes()), np.uint8(top).tobytes() + out[row, : end[row]].astype("<u2").tobytes()))
-        at += n
-    return found
+    rows = -(-len(ids) // block)
+    bounds = np.arange(rows + 1) * len(ids) // rows
+    steps = int(np.diff(bounds).max())
+    grid = np.zeros((rows, steps), np.int64)  # a block of one id less ends with a zero that is not kept
+    for row in range(rows):
+        grid[row, : bounds[row + 1] - bounds[row]] = ids[bounds[row] : bounds[row + 1]]
+    bits = max(1, int(grid.max()).bit_length())
+    coder = _Encoder(rows, steps)
+    _code(coder, rows, steps, bits, grid)
+    parts = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [(len(part), zlib.crc32(part.astype("<u4").tobytes()), bytes([bits]) + code) for part, code in zip(parts, coder.codes(), strict=True)]
 
 
 class BlockError(ValueError):
@@ -143,50 +267,17 @@ class BlockError(ValueError):
 
 
 def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """The ids of blocks that were coded together; each is verified."""
-    if not blocks:
-        return np.zeros(0, np.int64)
-    sizes = [n for n, _, _ in blocks]
-    top = blocks[0][2][0]
-    longest = max((len(code) - 1) // 2 for _, _, code in blocks) + 8
-    code = np.zeros((len(blocks), longest), np.uint64)
-    for row, (_, _, raw) in enumerate(blocks):
-        words = np.frombuffer(raw, "<u2", offset=1)
-        code[row, : len(words)] = words
-    model = _Model(len(blocks), top)
-    rows = model.rows
-    low, span, seen = np.zeros(len(rows), np.uint64), np.full(len(rows), ~np.uint64(0), np.uint64), np.zeros(len(rows), np.uint64)
-    for i in range(4):
-        seen = (seen << np.uint64(16)) | code[:, i]
-    at, ends = np.full(len(rows), 4), np.array(sizes)
-    grid = np.zeros((len(rows), max(sizes)), np.int64)
-    last = np.int64((1 << PRECISION) - 1)
-    for step in range(grid.shape[1]):
-        model.predict()
-        unit = span >> np.uint64(PRECISION)
-        # Blocks that have ended go on with whatever their arrays hold; their results are not kept.
-        spot = np.minimum((seen - low) // np.maximum(unit, np.uint64(1)), np.uint64(last)).astype(np.int64)
-        symbol = (model.edge[:, 1:] <= spot[:, None]).sum(1)
-        start = model.edge[rows, symbol]
-        low = low + unit * start.astype(np.uint64)
-        span = unit * (model.edge[rows, symbol + 1] - start).astype(np.uint64)
-        escaped = symbol > 1
-        kind = np.maximum(symbol - 2, 0)
-        bits = kind >> 1
-        unit = np.where(escaped, span >> bits.astype(np.uint64), span)
-        place = np.where(escaped, np.minimum((seen - low) // np.maximum(unit, np.uint64(1)), (np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1)), np.uint64(0)).astype(np.int64)
-        low = low + unit * place.astype(np.uint64)
-        span = unit
-        now = np.where(symbol == 0, model.p2, np.where(symbol == 1, model.p1, _id_of(kind, place))).astype(np.int64)
-        while (live := np.flatnonzero((((low ^ (low + span)) < _TOP) | (span < _BOTTOM)) & (step < ends))).size:
-            l, s = low[live], span[live]
-            s = np.where((l ^ (l + s)) < _TOP, s, (~l + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-            seen[live] = (seen[live] << np.uint64(16)) | code[live, np.minimum(at[live], longest - 1)]
-            at[live] += 1
-            low[live], span[live] = l << np.uint64(16), s << np.uint64(16)
-        grid[:, step] = now
-        model.learn(symbol, now)
-    for row, (n, crc, _) in enumerate(blocks):
-        if zlib.crc32(grid[row, :n].astype("<u4").tobytes()) != crc:
-            raise BlockError(f"block {row} fails its checksum")
-    return np.concatenate([grid[row, :n] for row, n in enumerate(sizes)])
+    """The ids of blocks; each is verified. Blocks that were coded together are decoded together."""
+    parts: list[np.ndarray | None] = [None] * len(blocks)
+    for bits in {code[0] for _, _, code in blocks}:
+        same = [i for i, (_, _, code) in enumerate(blocks) if code[0] == bits]
+        if not 1 <= bits <= 32:
+            raise BlockError("a block without a valid header")
+        steps = max(blocks[i][0] for i in same)
+        grid = _code(_Decoder([blocks[i][2][1:] for i in same]), len(same), steps, bits, None)
+        for row, i in enumerate(same):
+            n, crc, _ = blocks[i]
+            parts[i] = grid[row, :n]
+            if zlib.crc32(parts[i].astype("<u4").tobytes()) != crc:
+                raise BlockError(f"block {i} fails its checksum")
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)

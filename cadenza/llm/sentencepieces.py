@@ -32,14 +32,13 @@ from pyspark.sql import types as T
 
 from cadenza.llm.shared import free_name, small_batches
 from cadenza.llm.shingles import mix, slices, text_buffers
+from cadenza.llm.units import take_units
 
 MARK = "▁"
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW_BITS = np.uint64((1 << 20) - 1)
 #: Characters of a unit up to which units are segmented together.
 LONG = 64
-#: Distinct units that a task keeps with their ids; beyond, it starts anew.
-KNOWN = 1_000_000
 
 
 @dataclass
@@ -280,24 +279,9 @@ def encode_column(pieces: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
     if pieces.prefix:
         texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if x is not texts else x for x in (" ", texts, ""))))
     raw, offsets = text_buffers(texts)
-    if not len(raw):
-        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
     opens = np.ones(len(raw), bool)
     opens[1:] = ~pieces.joined.ravel().take((raw[:-1].astype(np.uint16) << 8) | raw[1:])
-    opens[offsets[:-1][offsets[:-1] < len(raw)]] = True
-    starts = np.flatnonzero(opens)
-    units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(np.ascontiguousarray(raw)))
-    units = units.dictionary_encode()
-    distinct = units.dictionary.to_pylist()
-    if len(pieces.known) > KNOWN:
-        pieces.known.clear()
-    known = pieces.known
-    known |= segment(pieces, [u for u in distinct if u not in known])
-    found = [known[u] for u in distinct]
-    lists = pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, found)]), np.concatenate(found)).take(units.indices)
-    ids, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    bounds = ends[np.searchsorted(starts, offsets)]
-    ids, bounds = ids[bounds[0] : bounds[-1]], bounds - bounds[0]
+    ids, bounds = take_units(raw, offsets, opens, pieces.known, lambda units: segment(pieces, units))
     if not pieces.bytes_of:  # a run of unknown characters has one id
         again = np.zeros(len(ids), bool)
         again[1:] = (ids[1:] == pieces.unknown) & (ids[:-1] == pieces.unknown)

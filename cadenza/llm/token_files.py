@@ -1,42 +1,47 @@
-"""Token ids in binary files: written in ascending id order by chunks, read back with their places in the whole.
+"""Token ids in binary files: written in ascending id order, read back with their places in the whole.
 
-A file holds the documents of one chunk: a header (number of documents, block count, their ids' presence and values, their id
+A file holds documents that follow each other: a header (number of documents, block count, their ids' presence and values, their id
 counts), then the blocks of :mod:`cadenza.llm.context_coder`. Blocks are reset and checksummed one by one.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.context_coder import decode_blocks, encode_blocks
-from cadenza.llm.shared import chunk_of, id_bounds, small_batches, written
+from cadenza.llm.context_coder import BLOCK, decode_blocks, encode_blocks
+from cadenza.llm.shared import small_batches, written
+from cadenza.llm.shingles import slices, text_buffers
 from cadenza.llm.token_counts import load_tokenizer, text_groups
+from cadenza.llm.units import take_units
 
 MAGIC = b"TOKMIX01"
 #: Blocks coded side by side.
-TOGETHER = 2048
+TOGETHER = 512
 
 
 class FileFormatError(ValueError):
     """A file that is not one of this format, or is cut off."""
 
 
-def pack_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
-    """A whole file of one chunk."""
+def pack_file(doc_ids: list[int | None], counts: np.ndarray | list[int], ids: np.ndarray) -> bytes:
+    """A whole file."""
     present = np.array([i is not None for i in doc_ids], np.uint8)
     values = np.array([i or 0 for i in doc_ids], "<i8")
     head = present.tobytes() + values.tobytes() + np.array(counts, "<u4").tobytes()
     blocks = []
-    step = TOGETHER * 2048
+    step = TOGETHER * BLOCK
     for at in range(0, len(ids), step):
         blocks += encode_blocks(ids[at : at + step])
     body = b"".join(struct.pack("<III", n, crc, len(code)) + code for n, crc, code in blocks)
@@ -65,49 +70,98 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(v) if p else None for p, v in zip(present, values, strict=True)], counts, np.concatenate(ids) if ids else np.zeros(0, np.int64)
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _byte_level(path: str) -> list[str] | None:
+    """The added tokens of a byte-level tokenizer whose words can be encoded one by one; None for other tokenizers."""
+    if not path.endswith(".json"):
+        return None
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    words = spec.get("pre_tokenizer") or {}
+    plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
+    return [t["content"] for t in spec.get("added_tokens", [])] if plain and not spec.get("normalizer") else None
+
+
+def _word_starts(raw: np.ndarray) -> np.ndarray:
+    """ASCII white space after a character that is surely none: there the byte-level pattern always begins a new word.
+
+    That pattern looks ahead only at white space and never back, so what stands before such a place doesn't matter behind it.
+    """
+    solid = (raw > 0x20) & (raw < 0x7F)
+    # Of two-byte characters, white space is only among those that begin with C2.
+    solid[1:] |= (raw[1:] >= 0x80) & (raw[:-1] >= 0xC3) & (raw[:-1] < 0xE0)
+    opens = np.zeros(len(raw), bool)
+    opens[1:] = ((raw[1:] == 0x20) | ((raw[1:] >= 0x09) & (raw[1:] <= 0x0D))) & solid[:-1]
+    return opens
+
+
+class Encoder:
+    """Ids of columns of texts, as the tokenizer's library gives them; a byte-level tokenizer encodes each distinct word once."""
+
+    def __init__(self, path: str) -> None:
+        self.encode, self.added, self.known = load_tokenizer(path), _byte_level(path), {}
+
+    def _new(self, units: list[str]) -> dict[str, np.ndarray]:
+        return {u: np.array(ids, np.int32) for a in range(0, len(units), 10_000) for u, ids in zip(units[a : a + 10_000], self.encode(units[a : a + 10_000]), strict=True)}
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last end)."""
+        raw, offsets = text_buffers(texts)
+        if self.added is not None and not any(pc.any(pc.match_substring(texts, t)).as_py() for t in self.added):
+            return take_units(raw, offsets, _word_starts(raw), self.known, self._new)
+        found = [np.array(ids, np.int32) for group in text_groups(texts.fill_null("").to_pylist()) for ids in self.encode(group)]
+        return np.concatenate(found) if found else np.zeros(0, np.int32), np.cumsum([0, *map(len, found)])
+
+
+def _writer(folder: str, tokenizer: str, end_id: int, ids_per_file: int):
     def write(batches):
-        encode = load_tokenizer(tokenizer)
+        encoder = Encoder(tokenizer)
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top)
-        chunk, doc_ids, counts, ids = None, [], [], []
+        part, place = TaskContext.get().partitionId(), 0
+        doc_ids, counts, ids, held = [], [], [], 0
 
         def flush():
+            nonlocal doc_ids, counts, ids, held, place
             name = f"{uuid.uuid4().hex}.tok"
             with store.open_output_stream(f"{top}/{name}", compression=None) as out:
-                out.write(pack_file(doc_ids, counts, np.concatenate(ids)))
-            kinds = [("chunk", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]
-            row = (chunk, name, len(doc_ids), sum(counts))
+                out.write(pack_file(doc_ids, np.concatenate(counts), np.concatenate(ids)))
+            kinds = [("part", pa.int32()), ("place", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]
+            row = (part, place, name, len(doc_ids), held)
+            doc_ids, counts, ids, held, place = [], [], [], 0, place + 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, kinds, strict=True)], [k for k, _ in kinds])
 
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            lists = (x for group in text_groups(texts) for x in encode(group))
-            for c, i, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists, strict=True):
-                if c != chunk and doc_ids:
+            _, offsets = text_buffers(batch.column(1))
+            for a, b in slices(offsets, 4 << 20):
+                found, bounds = encoder.column(batch.column(1).slice(a, b - a))
+                doc_ids += batch.column(0).slice(a, b - a).to_pylist()
+                counts.append(np.diff(bounds) + 1)
+                ids.append(np.insert(found.astype(np.int64), bounds[1:], end_id))
+                held += len(ids[-1])
+                if held >= ids_per_file:
                     yield flush()
-                    doc_ids, counts, ids = [], [], []
-                chunk = c
-                doc_ids.append(i)
-                counts.append(len(found) + 1)
-                ids.append(np.array([*found, end_id], np.int64))
         if doc_ids:
             yield flush()
 
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 2000) -> DataFrame:
-    """Encodes whole texts (null: empty), each closed by ``end_id``, to files in ``folder``; manifest: chunk, path, documents, ids.
+def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", ids_per_file: int = 4 << 20) -> DataFrame:
+    """Encodes whole texts (null: empty), each closed by ``end_id``, to files in ``folder``; manifest: part, place, path, documents, ids.
 
-    Chunks follow ascending ids (null ids first; rows that repeat an id stand by their texts). A file is written whole under a
-    name of its own before the manifest names it, so repeated attempts do no harm.
+    Files follow ascending ids (null ids first; rows that repeat an id stand by the hashes of their texts, so a hot id is dealt over
+    several tasks). A file is closed when it has ``ids_per_file`` ids, which bounds what a task holds whatever the rows are. It is
+    written whole under a name of its own before the manifest names it, so repeated attempts do no harm.
     """
-    small_batches(docs.sparkSession, 4)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.select(chunk_of(F.col("id"), id_bounds(rows, "id", rows_per_file)).alias("chunk"), "id", "text").repartition("chunk").sortWithinPartitions("chunk", "id", "text")
-    manifest = dealt.mapInArrow(_writer(folder, tokenizer, end_id), "chunk int, file string, documents long, ids long")
-    return written(manifest.select("chunk", F.concat(F.lit(folder.rstrip("/") + "/"), "file").alias("path"), "documents", "ids"), "token-manifest")
+    spark = docs.sparkSession
+    small_batches(spark, 4)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("tie"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // (2 * ids_per_file)), min(spark.sparkContext.defaultParallelism, size >> 20))
+    dealt = rows.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
+    manifest = dealt.mapInArrow(_writer(folder, tokenizer, end_id, ids_per_file), "part int, place int, file string, documents long, ids long")
+    return written(manifest.select("part", "place", F.concat(F.lit(folder.rstrip("/") + "/"), "file").alias("path"), "documents", "ids"), "token-manifest")
 
 
 def _read(batches):
@@ -134,9 +188,12 @@ def _read_without_ids(batches):
 def read_token_files(manifest: DataFrame, *, ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32[, ids: little-endian unsigned 32-bit] of every document.
 
-    Starts come from a running sum over the manifest, a row per file (4,096 at most).
+    Starts are running sums over the manifest, a row per file: within groups of 1,024 parts, after those over the groups.
     """
-    starts = manifest.withColumn("start", F.coalesce(F.sum("ids").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    files = written(starts.select("path", "start"), "token-starts")
+    group = F.floor(F.col("part") / 1024).alias("group")
+    groups = manifest.groupBy(group).agg(F.sum("ids").alias("all")).select("group", F.coalesce(F.sum("all").over(W.orderBy("group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("ids").over(W.partitionBy("group").orderBy("part", "place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = manifest.withColumn("group", group).withColumn("own", own).join(groups, "group").select("path", (F.col("base") + F.col("own")).alias("start"))
+    files = written(starts, "token-starts")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     return files.repartition(max(1, files.count())).mapInArrow(_read if ids else _read_without_ids, schema + ", ids binary" * ids)

