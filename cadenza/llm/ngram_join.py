@@ -2,6 +2,9 @@
 
 The global order of the n-grams is the order of their 64-bit hashes. It is cut into fragments twice.
 
+*Sets that may link.* A set has at least the share ``t`` of its n-grams in common with any it links with, so sets of whose n-grams
+fewer are held by other sets are left out first.
+
 *Candidates.* Sizes are dealt into levels ``[lo, hi]`` with ``hi = lo / t``; two linked sets differ in at most
 ``d = (1 - t) / (1 + t) * (a + b)`` n-grams, so of ``d + 1`` fragments one at least is the same in both (pigeonhole). Each set
 therefore gives one signature per filled fragment, for its own level and for the lower levels from which a smaller partner may
@@ -89,7 +92,7 @@ def signatures(grams: np.ndarray, num: int, den: int, lows: np.ndarray, highs: n
                 break
             extra = max(1, 2 * extra)
         level -= 1
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _digest(grams: np.ndarray) -> int:
@@ -121,14 +124,15 @@ def _size_rows(k: int):
     return run
 
 
-def _signature_rows(k: int, num: int, den: int, buckets: int):
-    """Packed signatures: (bucket, 40 further bits of each signature, place of its set in ``sets``, sets). A bucket holds about a
-    million signatures, so 40 bits confuse one in a million of them, which only makes a candidate pair that counting refutes."""
-    lows, highs = _levels(num, den)
+def _packed_rows(k: int, keys_of, buckets: int):
+    """Keys of distinct sets, packed: (bucket, 40 further bits of each key, place of its set in ``sets``, sets).
+
+    A bucket holds about a million keys, so 40 bits confuse one in a million of them, which only lets through what counting refutes.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("owners", pa.binary()), ("sets", pa.binary())])
 
     def packed(sigs: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
-        sig = np.concatenate(sigs).view(np.uint64)
+        sig = np.concatenate(sigs)
         place = np.repeat(np.arange(len(owners), dtype=np.uint16), [len(s) for s in sigs])
         order = np.argsort(sig)
         sig, place = sig[order], place[order]
@@ -151,7 +155,7 @@ def _signature_rows(k: int, num: int, den: int, buckets: int):
             if not len(grams) or (v := _digest(grams)) in seen:
                 continue
             seen.add(v)
-            sigs.append(signatures(grams, num, den, lows, highs))
+            sigs.append(keys_of(grams))
             owners.append(v)
             held += len(sigs[-1])
             if held >= AT_ONCE or len(owners) == 1 << 16:
@@ -178,12 +182,19 @@ def _fold(first: tuple[np.ndarray, np.ndarray, np.ndarray], sig: np.ndarray, v:
     return (keys[at], sets[at], given[at] | shared), keys[out], sets[out]
 
 
-def _shared_rows(batches):
-    """(sig, v) of the signatures that two sets or more have, rows in the order of their buckets.
+def _shared_rows(counted: bool):
+    """(sig, v) of the keys that two sets or more have, or (v, number of those in the bucket); rows in the order of their buckets.
 
-    What is kept for a bucket is its distinct signatures, each with one set: the holders of a frequent one pass through.
+    What is kept for a bucket is its distinct keys, each with one set: the holders of a frequent one pass through.
     """
 
+    def run(batches):
+        yield from _folded(batches, counted)
+
+    return run
+
+
+def _folded(batches, counted: bool):
     def nothing():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
 
@@ -194,6 +205,9 @@ def _shared_rows(batches):
         sig, v = (np.concatenate(x) for x in zip(*waiting, strict=True))
         first, keys, sets = _fold(first, sig, v)
         waiting, held = [], 0
+        if counted:
+            found, often = np.unique(sets, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(often, pa.int64())], ["v", "n"])
         both = np.unique(np.rec.fromarrays([(keys | (np.uint64(bucket) << np.uint64(40))).view(np.int64), sets]))
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both["f0"])), pa.array(np.ascontiguousarray(both["f1"]))], ["sig", "v"])
 
@@ -354,18 +368,25 @@ def ngram_components(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sizes = tables.keep(texts.mapInArrow(_size_rows(k), T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("v", T.LongType())])), "ngram-sizes")
 
-    buckets = min(BUCKETS, 1 + (sizes.agg(F.sum("n")).first()[0] or 0) // PER_BUCKET)
-    packed = texts.mapInArrow(_signature_rows(k, num, den, buckets), "bucket int, sigs binary, owners binary, sets binary")
-    # Who holds a shared signature: the copies of a set meet here, so that each holder is one row.
-    held = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows, "sig long, v long")
+    def shared(rows: DataFrame, keys_of, total: int, counted: bool) -> DataFrame:
+        packed = rows.mapInArrow(_packed_rows(k, keys_of, min(BUCKETS, 1 + total // PER_BUCKET)), "bucket int, sigs binary, owners binary, sets binary")
+        return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows(counted), "v long, n long" if counted else "sig long, v long")
+
+    # A set that links with another one has the share t of its n-grams in common with it; the others are left out from here on.
+    own = sizes.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.first("n").alias("size"))
+    common = shared(texts, lambda grams: grams, sizes.agg(F.sum("n")).first()[0] or 0, True).groupBy("v").agg(F.sum("n").alias("common"))
+    chosen = tables.keep(own.join(common, "v").filter(F.col("common") * den >= F.col("size") * num).select("v", "id", "size"), "ngram-chosen")
+    # Rows without an id can't be found by it: all of them are looked at.
+    of = texts.join(bounded(chosen.select("id")), "id", "left_semi").unionByName(texts.filter("id is null"))
+
+    lows, highs = _levels(num, den)
+    held = shared(of, lambda grams: signatures(grams, num, den, lows, highs), chosen.agg(F.sum("size")).first()[0] or 0, False)
+    # The copies of a set meet here, so that each holder is one row.
     held = tables.keep(held.distinct(), "ngram-held")
     among = held.groupBy("sig").agg(F.count("*").alias("c"))
     known = tables.keep(held.join(among, "sig").groupBy("v").agg(F.sum("c").alias("known")), "ngram-known")
     pivots = tables.keep(held.join(known, "v").groupBy("sig").agg(F.max_by("v", F.struct("known", "v")).alias("pivot")), "ngram-pivots")
 
-    one = sizes.join(bounded(known.select("v")), "v").groupBy("v").agg(F.min("id").alias("id"))
-    # Rows without an id can't be found by it: all of them are looked at.
-    of = texts.join(bounded(tables.keep(one.select("id"), "ngram-chosen")), "id", "left_semi").unionByName(texts.filter("id is null"))
     sets = tables.keep(of.mapInArrow(_fragment_rows(k, fragments), "v long, n long, frag int, grams binary").join(bounded(known.select("v")), "v", "left_semi").dropDuplicates(["v", "frag"]), "ngram-sets")
 
     linked = F.col("common") * (den + num) >= num * (F.col("nx") + F.col("ny"))

@@ -44,8 +44,8 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(col.flatten(), np.float64).reshape(-1, dim)
 
 
-def _cell_rows(turn: np.ndarray, centroids: np.ndarray, probes: int):
-    """(u, rotated) -> (list, u, rotated) for the nearest ``probes`` centroids."""
+def _cell_rows(turn: np.ndarray, centroids: np.ndarray, probes: int, names: np.ndarray):
+    """(u, rotated) -> (list, u, rotated) for the nearest ``probes`` centroids, which have ``names``."""
 
     def run(batches):
         for batch in batches:
@@ -55,7 +55,7 @@ def _cell_rows(turn: np.ndarray, centroids: np.ndarray, probes: int):
             row = np.repeat(np.arange(len(x)), near.shape[1])
             flat = pa.array(x[row].ravel())
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(turn)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(pa.array(row)), vectors], ["list", "u", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[near.ravel()]), batch.column(0).take(pa.array(row)), vectors], ["list", "u", "x"])
 
     return run
 
@@ -113,42 +113,66 @@ def _cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample_rows: int = 20_000, probe_share: float = 0.6, seed: int = 7) -> DataFrame:
+def _probes(sample: np.ndarray, centroids: np.ndarray, k: int, recall: float, seed: int, queries: int = 256) -> int:
+    """Lists that a query must probe for ``recall`` of its ``k`` nearest, as measured on the sample by brute force.
+
+    In the whole table the nearest are nearer than in a sample of it, so their lists come earlier.
+    """
+    rng = np.random.default_rng(seed)
+    asked = rng.choice(len(sample), min(queries, len(sample)), replace=False)
+    score = sample[asked] @ sample.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    count = min(k, len(sample) - 1)
+    if count < 1:
+        return len(centroids)
+    best = np.argpartition(-score, count - 1, axis=1)[:, :count]
+    cell = (sample @ centroids.T).argmax(1)
+    place = np.argsort(np.argsort(-(sample[asked] @ centroids.T), axis=1), axis=1)  # of each list for each query
+    return int(np.quantile(place[np.arange(len(asked))[:, None], cell[best]], recall, method="higher")) + 1
+
+
+def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample_rows: int = 40_000, recall: float = 0.97, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query row among all other rows.
 
     The score is the cosine of the original vectors in double precision; ties go to the smaller id. Vectors that are null, empty,
-    zero, of another length than the most common one, or that hold null or non-finite components take no part. Rows that
-    repeat an id are candidates of each other only by other ids. The centroids are fitted on about ``sample_rows`` distinct vectors (the
-    bound), at most 1,024 of them; every vector is indexed. A query probes ``probe_share`` of the lists, all if they are few; the
-    default suits vectors without clusters, where the nearest are spread over many lists.
+    zero, of another length than the most common one, or that hold null or non-finite components take no part, nor do rows without
+    an id. Rows that repeat an id are one candidate, that of the best score, and never one of their own id.
+
+    Centroids, a list for every 16 at most, are fitted on about ``sample_rows`` distinct vectors (the bound); every vector is indexed. A
+    query probes as many lists as gave ``recall`` on the sample, so few where vectors cluster and most where they don't. Distinct
+    vectors are named by a 64-bit hash, which is expected to confuse 2.7 pairs of 10^10.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), is_query.alias("is_query")).filter(usable(F.col("x")) & F.col("id").isNotNull())
+    # Adding 0.0 makes -0.0 the 0.0 that it equals.
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col).cast("array<double>"), lambda v: v + 0.0).alias("x"), is_query.alias("is_query")).filter(usable(F.col("x")) & F.col("id").isNotNull())
     dims = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not dims:
         return spark.createDataFrame([], schema)
     dim = dims[0]["d"]
-    rows = rows.filter(F.size("x") == dim)
+    rows = rows.filter(F.size("x") == dim).withColumn("u", F.xxhash64(F.lit(1), "x"))
     # One row per distinct vector with its k + 1 least ids: a query needs no more of them than that.
-    ids = rows.select("x", "id").distinct().withColumn("place", F.row_number().over(W.partitionBy("x").orderBy("id"))).filter(F.col("place") <= k + 1)
-    distinct = written(ids.groupBy("x").agg(F.min("id").alias("u"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    asked = written(rows.filter("is_query").select("id", "x").distinct().join(distinct.select("x", "u"), "x").select("id", "u"), "queries")
+    ids = rows.select("u", "x", "id").distinct().withColumn("place", F.row_number().over(W.partitionBy("u").orderBy("id"))).filter(F.col("place") <= k + 1)
+    distinct = written(ids.groupBy("u").agg(F.first("x").alias("x"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    asked = written(rows.filter("is_query").select("id", "u").distinct(), "queries")
 
     n = distinct.count()
     keep = min(1.0, sample_rows / n)
-    sample = distinct.filter(F.pmod(F.xxhash64("u"), F.lit(1 << 30)) < int(keep * (1 << 30)) + 1).select("x").toPandas()["x"]
+    sample = distinct.filter(F.pmod(F.xxhash64(F.lit(2), "u"), F.lit(1 << 30)) < int(keep * (1 << 30)) + 1).select("x").toPandas()["x"]
     turn = _rotation(dim, seed)
     sample = np.stack([np.asarray(s) for s in sample]) if len(sample) else np.ones((1, dim))
     sample = (sample / np.linalg.norm(sample, axis=1, keepdims=True)) @ turn
-    lists = int(max(1, min(1024, np.sqrt(n) / 2, len(sample))))
+    lists = int(max(1, min(np.sqrt(n) / 2, len(sample) / 16)))
     centroids = _centroids(sample, lists, seed)
-    probes = min(lists, max(16, int(np.ceil(probe_share * lists))))
-
-    cells = distinct.select("u", "x").mapInArrow(_cell_rows(turn, centroids, 1), "list int, u long, x array<double>")
-    questions = distinct.select("u", "x").join(asked.select("u").distinct(), "u", "left_semi").mapInArrow(_cell_rows(turn, centroids, probes), "list int, u long, x array<double>")
-    pairs = _blocks(written(cells, "vector-cells"), VECTORS, "vs").join(_blocks(written(questions, "query-cells"), QUERIES, "qs"), "list").select("vs", "qs")
+    cells = written(distinct.select("u", "x").mapInArrow(_cell_rows(turn, centroids, 1, np.arange(lists, dtype=np.int32)), "list int, u long, x array<double>"), "vector-cells")
+    sizes = {r["list"]: r["count"] for r in cells.groupBy("list").count().collect()}  # a row per list
+    names = np.array(sorted(sizes), np.int32)
+    # Enough lists for k other vectors in any case.
+    least = 1 + int(np.searchsorted(np.cumsum(sorted(sizes.values())), k + 1))
+    probes = min(len(names), max(least, _probes(sample, centroids[names], k, recall, seed)))
+    questions = distinct.select("u", "x").join(asked.select("u").distinct(), "u", "left_semi").mapInArrow(_cell_rows(turn, centroids[names], probes, names), "list int, u long, x array<double>")
+    pairs = _blocks(cells, VECTORS, "vs").join(_blocks(written(questions, "query-cells"), QUERIES, "qs"), "list").select("vs", "qs")
     found = pairs.mapInArrow(_scan_rows(k + 1), "qu long, u long, far double")
     best = found.withColumn("place", F.row_number().over(W.partitionBy("qu").orderBy("far", "u"))).filter(F.col("place") <= k + 1).select("qu", "u")
     best = written(best, "vector-found")
@@ -156,5 +180,6 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     own = distinct.select(F.col("u").alias("qu"), F.col("x").alias("qx"))
     scored = best.join(distinct, "u").join(own, "qu").select("qu", "ids", _cosine(F.col("qx"), F.col("x")).alias("score"))
     candidates = asked.withColumnRenamed("id", "query_id").join(scored, asked["u"] == scored["qu"]).select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    candidates = candidates.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return candidates.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
