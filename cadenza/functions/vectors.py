@@ -90,8 +90,11 @@ def angle(x: Column, y: Column, clamp: bool = False) -> Column:
 
 
 def log_sum_exp(x: Column) -> Column:
-    top = F.array_max(x)
-    return top + F.log(total(F.transform(x, lambda a: F.exp(a - top))))
+    def summed(s: Column) -> Column:
+        return s["top"] + F.log(total(F.transform(s["x"], lambda a: F.exp(a - s["top"]))))
+
+    # As the only element of an array, the maximum is found once.
+    return F.element_at(F.transform(F.array(F.struct(x.alias("x"), F.array_max(x).alias("top"))), summed), 1)
 
 
 def linear(rows: list[list[float]], x: Column) -> Column:

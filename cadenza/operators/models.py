@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cadenza.functions import vectors as V
 
@@ -47,14 +49,31 @@ def assign(frames: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def log_densities(frames: DataFrame, gaussians: DataFrame) -> DataFrame:
-    """frames with scores: array of (id, weight, score), the log density of each diagonal Gaussian."""
+    """frames with scores: array of (id, weight, score), the log density of each diagonal Gaussian.
+
+    The Gaussians (a model's size) go to the driver; frames are scored by Arrow batches.
+    """
+    model = gaussians.select("id", "weight", "m", "s").orderBy("id").collect()
+    fields = {f.name: f.dataType for f in gaussians.schema}
+    kind = T.ArrayType(T.StructType([T.StructField("id", fields["id"]), T.StructField("weight", T.DoubleType()), T.StructField("score", T.DoubleType())]))
+    means, variances = (np.array([r[c] for r in model], np.float64).reshape(len(model), -1) for c in ("m", "s"))
+    names, places = [r["id"] for r in model], frames.columns.index("x")
+    id_type = to_arrow_type(fields["id"])
+    spread = np.log(2 * np.pi * variances).sum(1)
+    weights = np.array([r["weight"] for r in model], np.float64)
 
-    def score(c: Column) -> Column:
-        spread = V.total(F.transform(c["s"], lambda s: F.log(2 * math.pi * s)))
-        apart = V.total(F.zip_with(V.sub(F.col("x"), c["m"]), c["s"], lambda d, s: d * d / s))
-        return F.struct(c["id"].alias("id"), c["weight"].alias("weight"), (-0.5 * (spread + apart)).alias("score"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                x = np.asarray(batch.column(places).flatten(), np.float64).reshape(batch.num_rows, -1)
+                score = -0.5 * (((x[:, None] - means[None]) ** 2 / variances[None]).sum(2) + spread)
+                n = batch.num_rows
+                parts = pa.StructArray.from_arrays([pa.array(names * n, id_type), pa.array(np.tile(weights, n)), pa.array(score.ravel())], ["id", "weight", "score"])
+                scores = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(names)), parts)
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "scores"])
 
-    return frames.crossJoin(F.broadcast(_together(gaussians, "weight", "m", "s"))).withColumn("scores", F.transform("components", score)).drop("components")
+    return frames.mapInArrow(run, T.StructType([*frames.schema, T.StructField("scores", kind)]))
 
 
 def mixture_posteriors(scored: DataFrame) -> DataFrame:
@@ -64,6 +83,33 @@ def mixture_posteriors(scored: DataFrame) -> DataFrame:
     return out.withColumn("posteriors", F.transform("scores", lambda s: F.struct(s["id"].alias("id"), F.exp(F.log(s["weight"]) + s["score"] - F.col("score")).alias("p"))))
 
 
+def interpolate_gaussians(gaussians: DataFrame, towards: DataFrame, weight: float) -> DataFrame:
+    """Means and variances moved by ``weight`` to those of the one Gaussian ``towards`` (m, s)."""
+    other = F.broadcast(towards.limit(1).select(F.col("m").alias("om"), F.col("s").alias("os")))
+    joined = gaussians.crossJoin(other)
+    return joined.withColumn("m", V.interpolate(F.col("m"), F.col("om"), weight)).withColumn("s", V.interpolate(F.col("s"), F.col("os"), weight)).drop("om", "os")
+
+
+def two_pass_gaussian(frames: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, covariance) in two passes: the mean first, then products of centred frames, summed in each task."""
+    mean = _mean_vector(frames)
+    lower = np.tril_indices(len(mean))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, np.zeros((len(mean), len(mean)))
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, len(mean)) - mean
+            n, sums = n + len(x), sums + x.T @ x
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(lower[0]), pa.array(lower[1]), pa.array(np.full(len(lower[0]), n)), pa.array(sums[lower])], ["i", "j", "n", "v"])
+
+    rows = frames.select("x").mapInArrow(partial, "i long, j long, n long, v double").groupBy("i", "j").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
+    out = np.zeros((len(mean), len(mean)))
+    for r in rows:
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
+    return mean, out
+
+
 def full_covariance(frames: DataFrame) -> DataFrame:
     """i, j, cov (j <= i): the population covariance of all frames from per-task Gram matrices."""
 
@@ -262,6 +308,28 @@ class Chain:
         return Chain(first, a, np.full((states, symbols), 1 / symbols))
 
 
+def joined_chains(chains: list[Chain]) -> Chain:
+    """Chains one after the other: the last state of each stays or goes on to the next chain with a probability of 0.5 each."""
+    n, m = sum(len(c.initial) for c in chains), max(c.emissions.shape[1] for c in chains)
+    moves, emits, at = np.zeros((n, n)), np.zeros((n, m)), 0
+    for c in chains:
+        end = at + len(c.initial)
+        moves[at:end, at:end] = c.transitions
+        emits[at:end, : c.emissions.shape[1]] = c.emissions
+        if at:
+            moves[at - 1, at - 1 : at + 1] = 0.5
+        at = end
+    return Chain(np.eye(n)[0], moves, emits)
+
+
+def shared_codebooks(states: DataFrame, codebooks: DataFrame, key: str) -> DataFrame:
+    """``states`` with the codebook that each names; one that is missing raises. Codebooks are a model's size."""
+    table = F.broadcast(codebooks.withColumn("known", F.lit(True)))
+    joined = states.join(table, key, "left")
+    missing = F.raise_error(F.concat(F.lit("missing codebook "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return joined.withColumn("known", F.when(F.col("known"), True).otherwise(missing.cast("boolean"))).filter("known").drop("known")
+
+
 def viterbi(chain: Chain, symbols: np.ndarray, forced: bool = False) -> tuple[np.ndarray, float]:
     """(best states, log score); ``forced`` ends in the last state."""
     with np.errstate(divide="ignore"):
@@ -291,7 +359,10 @@ def decode(sequences: DataFrame, chain: Chain, forced: bool = False) -> DataFram
 
 
 def baum_welch(sequences: DataFrame, chain: Chain, turns: int = 1) -> tuple[Chain, list[float]]:
-    """Re-estimated chain and the log likelihood before each turn; each task adds up its sequences' expected counts."""
+    """Re-estimated chain and the log likelihood before each turn; each task adds up its sequences' expected counts.
+
+    Sequences that the chain cannot produce say nothing about it and are left out, of the likelihood too.
+    """
     n, m = chain.emissions.shape
     lls: list[float] = []
     for _ in range(turns):
@@ -308,7 +379,11 @@ def baum_welch(sequences: DataFrame, chain: Chain, turns: int = 1) -> tuple[Chai
                     for t in range(len(o)):
                         alpha[t] = (now.initial if t == 0 else alpha[t - 1] @ now.transitions) * now.emissions[:, o[t]]
                         size[t] = alpha[t].sum()
+                        if not size[t]:
+                            break
                         alpha[t] /= size[t]
+                    if not size.all():
+                        continue
                     beta = np.ones((len(o), n))
                     for t in range(len(o) - 2, -1, -1):
                         beta[t] = now.transitions @ (now.emissions[:, o[t + 1]] * beta[t + 1]) / size[t + 1]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import vectors as V
-from cadenza.functions.scalars import gender, gender_decision
+from cadenza.functions.scalars import gender, gender_decision, in_range
 
 # Distance thresholds in degrees (same, different) by device.
 DEVICES = {"moto_x": (13.0, 18.0), "nexus_4": (17.0, 22.0), "s2": (18.0, 25.0), "s3": (16.0, 21.0), "s4": (14.0, 24.0)}
@@ -51,6 +51,47 @@ def segments(features: DataFrame, pitches: DataFrame, frames_per_segment: int, v
     return voiced.join(vectors, ["rec_id", "seg_id"]).select("rec_id", "seg_id", "s", "n", F.col("mu").alias("pitch"))
 
 
+#: Seconds of the first pitch value and between two of them.
+FIRST_TIME, STEP_TIME = 0.032, 0.016
+
+
+def timed_segments(features: DataFrame, pitches: DataFrame, seconds: float, voice: Voice, clamp: bool = True) -> DataFrame:
+    """rec_id, seg_id, s, n, pitch: the voiced segments of fixed duration, by the times of their frames.
+
+    A frame belongs to the segment whose end is the first at or after its time; what follows the last whole segment is left out, and
+    so is the last frame of each segment, though it counts in the share of voiced frames. ``clamp`` makes pitches outside the bounds
+    unvoiced (a test); without it (a calibration of the owner) only -1 is. Segments have a bounded number of frames.
+    """
+    time = FIRST_TIME + STEP_TIME * F.col("frame_idx")
+    pitch = in_range(F.col("pitch"), voice.mu_lower, voice.mu_upper) if clamp else F.col("pitch")
+    placed = pitches.withColumn("seg_id", F.greatest(F.ceil(time / seconds - 1e-9) - 1, F.lit(0))).withColumn("pitch", pitch)
+    whole = pitches.groupBy("rec_id").agg(F.floor((FIRST_TIME + STEP_TIME * F.max("frame_idx")) / seconds + 1e-9).alias("segments"))
+    ends = placed.groupBy("rec_id", "seg_id").agg(F.max("frame_idx").alias("last"), F.count("*").alias("all"))
+    inside = placed.join(ends.join(whole, "rec_id").filter("seg_id < segments"), ["rec_id", "seg_id"]).filter("frame_idx < last")
+    heard = F.when(F.col("pitch") != -1, F.col("pitch"))
+    per = inside.groupBy("rec_id", "seg_id").agg(F.count("*").alias("n"), (F.count(heard) / F.max("all")).alias("rate"), F.avg(heard).alias("mu"), F.stddev_pop(heard).alias("sigma"))
+    voiced = per.filter((F.col("rate") >= voice.rate_lower) & F.col("mu").between(voice.mu_lower, voice.mu_upper) & (F.col("sigma") <= voice.sigma_upper))
+    rows = inside.select("rec_id", "frame_idx", "seg_id").join(features, ["rec_id", "frame_idx"]).select("rec_id", "seg_id", F.posexplode("x").alias("k", "v"))
+    vectors = rows.groupBy("rec_id", "seg_id", "k").agg(F.sum("v").alias("v")).groupBy("rec_id", "seg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda c: c["v"]).alias("s"))
+    return voiced.join(vectors, ["rec_id", "seg_id"]).select("rec_id", "seg_id", "s", "n", F.col("mu").alias("pitch"))
+
+
+def owner_model(features: DataFrame, pitches: DataFrame, seconds: float, voice: Voice, least_seconds: float) -> DataFrame:
+    """rec_id, s, n, pitch of recordings with enough voiced segments to calibrate their owner; others have no row."""
+    segs = timed_segments(features, pitches, seconds, voice, clamp=False)
+    enough = segs.groupBy("rec_id").agg(F.count("*").alias("segments"), F.sum("n").alias("n"), F.avg("pitch").alias("pitch")).filter(F.col("segments") * seconds >= least_seconds)
+    sums = segs.select("rec_id", F.posexplode("s").alias("k", "v")).groupBy("rec_id", "k").agg(F.sum("v").alias("v"))
+    vectors = sums.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda c: c["v"]).alias("s"))
+    return enough.join(vectors, "rec_id").select("rec_id", "s", "n", "pitch")
+
+
+def count_in_recordings(features: DataFrame, pitches: DataFrame, seconds: float, voice: Voice, same: float, different: float) -> DataFrame:
+    """rec_id, speakers of every recording, from its features and pitches: segments, neighbours merged, speakers admitted in order."""
+    listed = _ordered(timed_segments(features, pitches, seconds, voice))
+    found = count_speakers(merge_neighbours(listed, same, voice), same, different, voice)
+    return pitches.select("rec_id").distinct().join(found, "rec_id", "left").select("rec_id", F.coalesce("speakers", F.lit(0)).alias("speakers"))
+
+
 def _apart(a: Column, b: Column) -> Column:
     return V.angle(a["s"], b["s"], clamp=True)
 

@@ -107,6 +107,46 @@ class MelBank:
         return rows
 
 
+def window_weights(kind: str, n: int) -> np.ndarray:
+    """Weights of a window of ``n`` samples. The triangular one rises to 1 in its first half and falls to 0 at its end; n is even there."""
+    i = np.arange(n)
+    if kind == "rectangular":
+        return np.ones(n)
+    if kind == "hamming":
+        return 0.54 - 0.46 * np.cos(2 * np.pi * i / (n - 1))
+    if kind == "hann":
+        return 0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1))
+    if kind == "triangular":
+        half = n // 2
+        return np.where(i < half, 2.0 * (i + 1) / n, np.where(i < 2 * half, 2.0 * (2 * half - 1 - i) / n, 0.0))
+    raise ValueError(f"unknown window {kind}")
+
+
+def resolution(rate: float, frame: int) -> float:
+    """Hertz between the bins of a frame's spectrum."""
+    return rate / fft_size(frame, 1)
+
+
+def filter_weights(spec: str, bins: int, unit: float) -> np.ndarray:
+    """[filter, bin] of a specification ``type,shape,start,end:...``: mel (m) or hertz (f), rectangular (r) or triangular (t).
+
+    Each row sums to 1. ``unit`` is the distance of the bins in hertz; ends beyond the bins collapse on the nearest.
+    """
+    rows = []
+    for part in spec.strip().split(":"):
+        fields = part.split(",")
+        if len(fields) != 4 or fields[0] not in ("m", "f") or fields[1] not in ("r", "t"):
+            raise ValueError(f"not a filter <m|f>,<r|t>,<start>,<end>: {part}")
+        low, high = float(fields[2]), float(fields[3])
+        left, center, right = (min(bins - 1, max(0, math.floor(float(hertz(v) if fields[0] == "m" else v) / unit + 0.5))) for v in (low, low + (high - low) / 2, high))
+        at = np.arange(bins)
+        up, down = (at - left + 1) / (center - left + 1), 1 - (at - center) / (right - center + 1)
+        shape = np.ones(bins) if fields[1] == "r" else np.where(at <= center, up, down)
+        row = np.where((at >= left) & (at <= right), shape, 0.0)
+        rows.append(row / row.sum())
+    return np.array(rows)
+
+
 def filter_bank(spectrum: Column, weights: np.ndarray, log: bool = True) -> Column:
     """Filter outputs, ``log(v + 1e-6)`` if ``log``."""
 

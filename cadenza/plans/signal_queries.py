@@ -241,7 +241,7 @@ def location_choice(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(gps, network, F.lit(-1.0)).alias("latitude"))
 
 
-@query("scl7_mel_scale", "SELECT o_orderkey, round(1127 * ln(1 + o_totalprice / 700), 6) AS mel, round(700 * (exp(1127 * ln(1 + o_totalprice / 700) / 1127) - 1), 4) AS back FROM orders")
+@query("sig7_mel_scale", "SELECT o_orderkey, round(1127 * ln(1 + o_totalprice / 700), 6) AS mel, round(700 * (exp(1127 * ln(1 + o_totalprice / 700) / 1127) - 1), 4) AS back FROM orders")
 def mel_scale(spark, sf_dir):
     mel = C.hertz_to_mel(F.col("o_totalprice"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(mel, 6).alias("mel"), F.round(C.mel_to_hertz(mel), 4).alias("back"))
