@@ -42,9 +42,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five documents share stay in one of them; documents that lose all their text this way go."""
-    kept = dedup_lines(docs)
+    # Columns of the input that have the names of the operator's results get their own back.
+    own = {c: free_name(docs.columns, f"own_{c}") for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    kept = dedup_lines(docs.withColumnsRenamed(own))
     rest = kept.filter("n_dropped = 0 or length(trim(text)) > 0")
-    return rest.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rest.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
