@@ -255,19 +255,36 @@ def map_adapt(frames: DataFrame, prior: Mixture, relevance: float = 16.0, parame
     return now
 
 
+def _nearest_sums(frames: DataFrame, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, sums) of the frames nearest to each centroid, ties to the lowest: one partial row per task and centroid, one pass."""
+    n_c, d = at.shape
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = np.zeros(n_c, np.int64), np.zeros((n_c, d))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                x = np.asarray(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, d)
+                near = np.round(np.sqrt(((x[:, None] - at[None]) ** 2).sum(2)), 9).argmin(1)
+                n += np.bincount(near, minlength=n_c)
+                np.add.at(sums, near, x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_c)), pa.array(n), pa.array(sums.tolist(), pa.list_(pa.float64()))], ["c", "n", "x"])
+
+    rows = frames.select("x").mapInArrow(partial, "c long, n long, x array<double>").select("c", "n", F.posexplode("x").alias("k", "v")).groupBy("c", "k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    n, sums = np.zeros(n_c, np.int64), np.zeros((n_c, d))
+    for r in rows.collect():  # centroids times dimensions
+        n[r["c"]], sums[r["c"], r["k"]] = r["n"], r["v"]
+    return n, sums
+
+
 def k_means(frames: DataFrame, start: np.ndarray, turns: int = 100, least_shift: float = 1e-5) -> np.ndarray:
     """Centroids after at most ``turns`` rounds or a total shift of ``least_shift``; an empty cluster splits the largest one."""
-    at, spark = np.asarray(start, float), frames.sparkSession
+    at = np.asarray(start, float)
     for _ in range(turns):
-        table = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(at)], "id int, m array<double>")
-        placed = assign(frames, table)
-        sizes = {r["cluster"]: r["n"] for r in placed.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
-        new = at.copy()
-        for r in class_means(placed, "cluster").collect():
-            new[r["id"]] = r["m"]
-        for i in range(len(at)):
-            if i not in sizes and sizes:
-                new[i] = new[max(sizes, key=sizes.get)] * (1 + 1e-3)
+        n, sums = _nearest_sums(frames, at)
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], at)
+        if n.any():
+            new[n == 0] = new[n.argmax()] * (1 + 1e-3)
         moved = float(np.abs(new - at).sum())
         at = new
         if moved <= least_shift:
@@ -279,8 +296,7 @@ def lbg(frames: DataFrame, size: int, eps: float = 0.01, turns: int = 20) -> np.
     """A codebook grown by splitting the most occupied centroid by ``1 +- eps`` and refining all."""
     at = _mean_vector(frames)[None]
     while len(at) < size:
-        table = frames.sparkSession.createDataFrame([(i, m.tolist()) for i, m in enumerate(at)], "id int, m array<double>")
-        top = assign(frames, table).groupBy("cluster").count().orderBy(F.desc("count"), "cluster").first()["cluster"]
+        top = int(_nearest_sums(frames, at)[0].argmax())
         at = k_means(frames, np.concatenate([np.delete(at, top, 0), at[top : top + 1] * (1 + eps), at[top : top + 1] * (1 - eps)]), turns)
     return at
 
@@ -330,34 +346,91 @@ def shared_codebooks(states: DataFrame, codebooks: DataFrame, key: str) -> DataF
     return joined.withColumn("known", F.when(F.col("known"), True).otherwise(missing.cast("boolean"))).filter("known").drop("known")
 
 
-def viterbi(chain: Chain, symbols: np.ndarray, forced: bool = False) -> tuple[np.ndarray, float]:
-    """(best states, log score); ``forced`` ends in the last state."""
+def viterbi_rows(chain: Chain, symbols: np.ndarray, forced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(best states, log scores) of sequences of one length, advanced together: [sequence, time]."""
     with np.errstate(divide="ignore"):
         a, b, p = np.log(chain.transitions), np.log(chain.emissions), np.log(chain.initial)
-    score, back = p + b[:, symbols[0]], np.zeros((len(symbols), len(p)), int)
-    for t in range(1, len(symbols)):
-        each = score[:, None] + a
-        back[t] = each.argmax(0)
-        score = each.max(0) + b[:, symbols[t]]
-    q = np.empty(len(symbols), int)
-    q[-1] = len(p) - 1 if forced else int(score.argmax())
-    for t in range(len(symbols) - 1, 0, -1):
-        q[t - 1] = back[t, q[t]]
-    return q, float(score[q[-1]])
+    rows, n = symbols.shape
+    score, back = p + b.T[symbols[:, 0]], np.zeros((n, rows, len(p)), np.int32)
+    for t in range(1, n):
+        each = score[:, :, None] + a
+        back[t] = each.argmax(1)
+        score = each.max(1) + b.T[symbols[:, t]]
+    q, every = np.empty((rows, n), np.int32), np.arange(rows)
+    q[:, -1] = len(p) - 1 if forced else score.argmax(1)
+    for t in range(n - 1, 0, -1):
+        q[:, t - 1] = back[t, every, q[:, t]]
+    return q, score[every, q[:, -1]]
+
+
+def viterbi(chain: Chain, symbols: np.ndarray, forced: bool = False) -> tuple[np.ndarray, float]:
+    """(best states, log score) of one sequence; ``forced`` ends in the last state."""
+    q, score = viterbi_rows(chain, np.asarray(symbols)[None], forced)
+    return q[0], float(score[0])
 
 
 def decode(sequences: DataFrame, chain: Chain, forced: bool = False) -> DataFrame:
-    """rec_id, q array<int>, score of every sequence (rec_id, symbols array<int>): one row in, one out, no shuffle."""
+    """rec_id, q array<int>, score of every sequence (rec_id, symbols array<int>): one row in, one out, no shuffle.
+
+    Sequences of one length advance together, as many as keep the backpointers within about 32 MB.
+    """
     kind = sequences.schema["rec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [viterbi(chain, np.asarray(s), forced) if s else (np.zeros(0, int), 0.0) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([q.tolist() for q, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.float64())], ["rec_id", "q", "score"])
+            lists = batch.column(1).to_pylist()
+            paths, scores, by_length = [[]] * len(lists), [0.0] * len(lists), {}
+            for i, s in enumerate(lists):
+                if s:
+                    by_length.setdefault(len(s), []).append(i)
+            for n, same in by_length.items():
+                step = max(1, (8 << 20) // (n * len(chain.initial)))
+                for at in range(0, len(same), step):
+                    some = same[at : at + step]
+                    q, score = viterbi_rows(chain, np.array([lists[i] for i in some]), forced)
+                    for i, path, value in zip(some, q.tolist(), score.tolist(), strict=True):
+                        paths[i], scores[i] = path, value
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.list_(pa.int32())), pa.array(scores, pa.float64())], ["rec_id", "q", "score"])
 
     return sequences.select("rec_id", "symbols").mapInArrow(run, f"rec_id {kind}, q array<int>, score double")
 
 
+def boundary(mixture: Mixture, steps: int = 10_000) -> float:
+    """Where the upper of two one-dimensional Gaussians becomes as likely as the lower, in steps between their means."""
+    low, high = np.argsort(mixture.means[:, 0], kind="stable")[[0, -1]]
+    x = mixture.means[low, 0] + (mixture.means[high, 0] - mixture.means[low, 0]) * np.arange(steps) / steps
+    logs = -0.5 * (np.log(mixture.variances[:, 0])[:, None] + (x[None] - mixture.means) ** 2 / mixture.variances)
+    found = np.flatnonzero(logs[high] >= logs[low])
+    return float(x[found[0]]) if len(found) else float(mixture.means[high, 0])
+
+
+def energy_threshold(energies: DataFrame, strategy: str = "mean") -> float:
+    """The threshold between silence and speech from energies (x: arrays of one): mean, cluster, em1 or em5.
+
+    "mean" is for representative silence. Otherwise two Gaussians are fitted, from a split at the mean along the data (k-means where a
+    side has no frames), and refined by 0, 1 or 1 + 5 turns of expectation maximisation; the threshold is their boundary. Fewer than
+    two energies give 0.
+    """
+    n, mean = energies.agg(F.count("*"), F.avg(F.element_at("x", 1))).first()
+    if n < 2:
+        return 0.0
+    if strategy == "mean":
+        return float(mean)
+    turns = {"cluster": 0, "em1": 1, "em5": 6}.get(strategy)
+    if turns is None:
+        raise ValueError("strategy is mean, cluster, em1 or em5")
+    value = F.element_at("x", 1)
+    cut = mean
+    if not 0 < energies.filter(value > mean).count() < n:
+        at = k_means(energies, np.array([[mean * (1 - 1e-2)], [mean * (1 + 1e-2)]]))
+        cut = float(at.mean())
+    halves = energies.groupBy((value > cut).alias("upper")).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.greatest(F.var_pop(value), F.lit(1e-3)).alias("s")).orderBy("upper").collect()
+    fitted = Mixture(np.array([r["n"] / n for r in halves]), np.array([[r["m"]] for r in halves]), np.array([[r["s"]] for r in halves]))
+    if len(halves) < 2:
+        return float(mean)
+    return boundary(em(energies, fitted, turns, least_occupancy=0.0) if turns else fitted)
+
+
 def baum_welch(sequences: DataFrame, chain: Chain, turns: int = 1) -> tuple[Chain, list[float]]:
     """Re-estimated chain and the log likelihood before each turn; each task adds up its sequences' expected counts.
 

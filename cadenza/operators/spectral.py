@@ -249,36 +249,52 @@ def voicing(x: Column, zero_crossings: float, energy: float, peak: float) -> Col
 
 
 def yin_pitch(x: Column, rate: float = 8000.0, threshold: float = 0.15) -> Column:
-    """Pitch of each frame by YIN in single precision, -1 if unvoiced (also for constant frames)."""
+    """Pitch of each frame by YIN in single precision, -1 if unvoiced (also for constant frames). Frames of one length go together."""
 
     @F.pandas_udf("double")
     def run(frames: pd.Series) -> pd.Series:
-        return frames.map(lambda f: None if f is None else yin(np.asarray(f, np.float32), rate, threshold))
+        out = pd.Series([None] * len(frames), index=frames.index, dtype="float64")
+        for n, part in frames.groupby(frames.map(lambda f: -1 if f is None else len(f))):
+            if n >= 0:
+                out.loc[part.index] = yin_rows(np.stack([np.asarray(f, np.float32) for f in part]) if n else np.zeros((len(part), 0), np.float32), rate, threshold)
+        return out
 
     return run(x)
 
 
-def yin(frame: np.ndarray, rate: float, threshold: float = 0.15) -> float:
-    half = len(frame) // 2
+def yin_rows(frames: np.ndarray, rate: float, threshold: float = 0.15) -> np.ndarray:
+    """Pitches of frames of one length, in slices whose differences take about 16 MB."""
+    half = frames.shape[1] // 2
     if half < 4:
-        return -1.0
-    head = frame[:half]
-    lagged = np.lib.stride_tricks.sliding_window_view(frame, half)[:half]
-    difference = ((head[None] - lagged) ** 2).sum(1, dtype=np.float32)
-    running = np.cumsum(difference[1:], dtype=np.float32)
+        return np.full(len(frames), -1.0)
+    step = max(1, (4 << 20) // (half * half))
+    return np.concatenate([_yin(frames[a : a + step], half, rate, threshold) for a in range(0, len(frames), step)]) if len(frames) else np.zeros(0)
+
+
+def _yin(frames: np.ndarray, half: int, rate: float, threshold: float) -> np.ndarray:
+    lagged = np.lib.stride_tricks.sliding_window_view(frames, half, axis=1)[:, :half]
+    difference = ((frames[:, None, :half] - lagged) ** 2).sum(2, dtype=np.float32)
+    running = np.cumsum(difference[:, 1:], axis=1, dtype=np.float32)
     with np.errstate(divide="ignore", invalid="ignore"):
-        normal = np.concatenate([np.ones(1, np.float32), difference[1:] * np.arange(1, half, dtype=np.float32) / running])
-    below = np.flatnonzero(normal[2:] < threshold)
-    if not below.size:
-        return -1.0
-    tau = int(below[0]) + 2
-    while tau + 1 < half and normal[tau + 1] < normal[tau]:
-        tau += 1
-    if 1 <= tau < half - 1:
-        a, b, c = (float(v) for v in normal[tau - 1 : tau + 2])
-        bend = 2 * (2 * b - c - a)
-        return rate / (tau + ((c - a) / bend if bend else 0.0))
-    return rate / tau
+        normal = difference[:, 1:] * np.arange(1, half, dtype=np.float32) / running
+    normal = np.concatenate([np.ones((len(frames), 1), np.float32), normal], axis=1)
+    lags, every = np.arange(half), np.arange(len(frames))
+    below = (normal < threshold) & (lags >= 2)
+    first = below.argmax(1)
+    # From the first lag below the threshold on to where the next one is not lower.
+    ends = np.ones(normal.shape, bool)
+    ends[:, :-1] = ~(normal[:, 1:] < normal[:, :-1])
+    tau = (ends & (lags >= first[:, None])).argmax(1)
+    a, b, c = (normal[every, np.clip(tau + i, 0, half - 1)].astype(np.float64) for i in (-1, 0, 1))
+    bend = 2 * (2 * b - c - a)
+    inner = (tau >= 1) & (tau < half - 1) & (bend != 0)
+    shift = np.where(inner, (c - a) / np.where(bend != 0, bend, 1.0), 0.0)
+    return np.where(below.any(1), rate / np.maximum(tau + shift, 1e-9), -1.0)
+
+
+def yin(frame: np.ndarray, rate: float, threshold: float = 0.15) -> float:
+    """The pitch of one frame."""
+    return float(yin_rows(np.asarray(frame, np.float32)[None], rate, threshold)[0])
 
 
 def feature_frames(framed: DataFrame, bank: MelBank | None = None, coefficients: int = 19) -> DataFrame:

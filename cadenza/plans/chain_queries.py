@@ -217,6 +217,13 @@ def mfcc_chain(spark, sf_dir):
     return flat.join(stats, ["rec_id", "k"]).select(*KEYS, F.col("k").cast("long").alias("k"), r6(normal).alias("v"))
 
 
+@query("sig18_threshold_strategies")
+def threshold_strategies(spark, sf_dir):
+    """Thresholds of window energies: their mean, and the boundary of two Gaussians after 0, 1 and 6 turns."""
+    windows = samples(spark, sf_dir).groupBy("rec_id", F.floor(F.col("idx") / 5).alias("win")).agg(F.array(F.sum(F.abs("value"))).alias("x"))
+    return spark.createDataFrame([(s, round(M.energy_threshold(windows, s), 6)) for s in ("mean", "cluster", "em1", "em5")], "strategy string, threshold double")
+
+
 VOICE = P.Voice(0.05, 50.0, 4000.0, 4000.0, 160.0, 190.0)
 
 

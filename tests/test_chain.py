@@ -118,3 +118,37 @@ def test_written_files(spark, tmp_path):
         assert np.allclose(formats.decode_pcm(raw, header=44), np.clip(x[rec::3, 0] / 8, -1, 1), atol=2e-5)
     with pytest.raises(ValueError, match="unknown audio format"):
         sinks.audio_format("mp3")
+
+
+def test_energy_thresholds(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.normal(1.0, 0.3, 400), rng.normal(6.0, 1.0, 200)])
+    t = spark.createDataFrame([([float(v)],) for v in values], "x array<double>")
+    assert abs(M.energy_threshold(t, "mean") - values.mean()) < 1e-9
+    for strategy in ("cluster", "em1", "em5"):
+        assert 1.8 < M.energy_threshold(t, strategy) < 3.8
+    assert M.energy_threshold(t.limit(1), "em5") == 0.0
+    with pytest.raises(ValueError, match="strategy"):
+        M.energy_threshold(t, "other")
+
+
+def test_pitches_and_paths_of_one_length_go_together():
+    """Rows alone give what they give together."""
+    rng = np.random.default_rng(7)
+    frames = np.stack([np.sin(2 * np.pi * f * np.arange(256) / 8000) + 0.05 * rng.standard_normal(256) for f in (110, 220, 333, 440)] + [np.zeros(256), rng.standard_normal(256)]).astype(np.float32)
+    together = spectral.yin_rows(frames, 8000.0)
+    assert np.allclose(together, [spectral.yin(f, 8000.0) for f in frames]) and np.allclose(together[:4], [110, 220, 333, 440], rtol=0.02) and together[4] == -1
+    chain = M.Chain.topology("ERGODIC", 3, 4)
+    chain = M.Chain(chain.initial, np.array([[0.6, 0.3, 0.1], [0.2, 0.5, 0.3], [0.1, 0.1, 0.8]]), rng.dirichlet(np.ones(4), 3))
+    symbols = rng.integers(0, 4, (4, 6))
+    for forced in (False, True):
+        q, score = M.viterbi_rows(chain, symbols, forced)
+        for row, s in enumerate(symbols):
+            best = max((sum(np.log(chain.transitions[a, b]) for a, b in zip(p, p[1:], strict=False)) + np.log(chain.initial[p[0]]) + sum(np.log(chain.emissions[a, o]) for a, o in zip(p, s, strict=True)) for p in paths(6) if not forced or p[-1] == 2), default=0)
+            assert abs(score[row] - best) < 1e-9 and (not forced or q[row, -1] == 2)
+
+
+def paths(n, states=3):
+    import itertools
+
+    return itertools.product(range(states), repeat=n)
