@@ -45,7 +45,7 @@ from cadenza.llm.shingles import mix, shingle_sets
 
 _LEVELS = 4_000_000_000
 #: Shingles for which a bucket of signatures is made, buckets at most, and signatures that a task packs or folds at once.
-PER_BUCKET, BUCKETS, AT_ONCE = 500_000, 1 << 23, 2_000_000
+PER_BUCKET, BUCKETS, AT_ONCE = 2_000_000, 1 << 23, 2_000_000
 
 
 def _levels(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,15 +340,18 @@ def _open_pairs(stars: DataFrame, differences: DataFrame, roots: DataFrame, num:
         n = F.greatest(F.lit(0), length(least) - (F.col("d") - F.size("shared")))
         return F.slice("shared", F.lit(1), n.cast("int"))
 
-    listed = ranked.join(members, ["x", "y"]).select("x", "y", "nx", "d", "rx", "minor", prefix(least_any).alias("any"), (F.col("d") - length(least_any)).alias("any_rest"), F.when(F.col("minor"), prefix(least_minor)).alias("wide"), (F.col("d") - length(least_minor)).alias("wide_rest"))
+    listed = ranked.join(members, ["x", "y"]).select("x", "y", "nx", "d", "rx", "minor", F.size("shared").alias("s"), prefix(least_any).alias("any"), (F.col("d") - length(least_any)).alias("any_rest"), F.when(F.col("minor"), prefix(least_minor)).alias("wide"), (F.col("d") - length(least_minor)).alias("wide_rest"))
     listed = tables.keep(listed, "ngram-prefixes")
-    a = listed.filter("minor").select("y", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("d").alias("da"), F.col("rx").alias("ra"), F.element_at("wide", -1).alias("last_a"), F.col("wide_rest").alias("rest_a"), F.explode("wide.e").alias("e"))
-    b = listed.select("y", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("d").alias("db"), F.col("rx").alias("rb"), F.col("minor").alias("mb"), F.element_at("any", -1).alias("last_b"), F.col("any_rest").alias("rest_b"), F.explode("any.e").alias("e"))
+    a = listed.filter("minor").select("y", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("d").alias("da"), F.col("rx").alias("ra"), F.element_at("wide", -1).alias("last_a"), F.col("wide_rest").alias("rest_a"), F.col("s").alias("sa"), F.posexplode("wide.e").alias("pa", "e"))
+    b = listed.select("y", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("d").alias("db"), F.col("rx").alias("rb"), F.col("minor").alias("mb"), F.element_at("any", -1).alias("last_b"), F.col("any_rest").alias("rest_b"), F.col("s").alias("sb"), F.posexplode("any.e").alias("pb", "e"))
     may = (F.col("ra") != F.col("rb")) & (~F.col("mb") | (F.col("a") < F.col("b"))) & (F.abs(F.col("da") - F.col("db")) <= c * (F.col("na") + F.col("nb")) + slack)
     may = may & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    # What both share stands before this difference in both orders, or behind it in both; what nobody else has can't be shared.
+    needed = (F.col("da") + F.col("db") - c * (F.col("na") + F.col("nb"))) / 2 - slack
+    may = may & (F.least("pa", "pb") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= needed)
     # Shared differences are in both prefixes or beyond the one that ends first in the common order.
     rest = F.when(F.col("last_a") < F.col("last_b"), F.col("rest_a")).when(F.col("last_a") > F.col("last_b"), F.col("rest_b")).otherwise(F.least("rest_a", "rest_b"))
-    spare = ((F.col("da") + F.col("db") - c * (F.col("na") + F.col("nb"))) / 2 - slack - rest).alias("spare")
+    spare = (needed - rest).alias("spare")
     met = a.join(b, ["y", "e"]).filter(may).groupBy("y", "a", "b").agg(F.count("*").alias("met"), F.first(spare).alias("spare")).filter("met >= spare")
     return met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
 
