@@ -2,8 +2,8 @@
 
 The global order of the n-grams is the order of their 64-bit hashes. It is cut into fragments twice.
 
-*Sets that may link.* A set has at least the share ``t`` of its n-grams in common with any it links with, so sets of whose n-grams
-fewer are held by other sets are left out first.
+*Sets that may link.* They have a signature in common (below), and at least the share ``t`` of each one's n-grams. So sets without a
+signature that another set has are left out first, then sets of whose n-grams other such sets hold fewer.
 
 *Candidates.* Sizes are dealt into levels ``[lo, hi]`` with ``hi = lo / t``; two linked sets differ in at most
 ``d = (1 - t) / (1 + t) * (a + b)`` n-grams, so of ``d + 1`` fragments one at least is the same in both (pigeonhole). Each set
@@ -125,26 +125,25 @@ def _size_rows(k: int):
 
 
 def _packed_rows(k: int, keys_of, buckets: int):
-    """Keys of distinct sets, packed: (bucket, 40 further bits of each key, place of its set in ``sets``, sets).
+    """Keys of distinct sets, packed by bucket: 40 further bits of each key and 40 bits of its set's digest, 10 bytes at any scale.
 
-    A bucket holds about a million keys, so 40 bits confuse one in a million of them, which only lets through what counting refutes.
+    A bucket holds about two million keys, so 40 bits confuse one in 500,000 of them, which only lets through what counting refutes.
+    Two sets of one 40-bit digest (a chance of 10^-12 for a pair that links) would not count as two.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("owners", pa.binary()), ("sets", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("owners", pa.binary())])
 
     def packed(sigs: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
         sig = np.concatenate(sigs)
-        place = np.repeat(np.arange(len(owners), dtype=np.uint16), [len(s) for s in sigs])
+        owner = np.repeat(np.array(owners, np.int64), [len(s) for s in sigs])
         order = np.argsort(sig)
-        sig, place = sig[order], place[order]
+        sig, owner = sig[order], owner[order]
         spread = (sig >> np.uint64(32)) * np.uint64(buckets)
         bucket = (spread >> np.uint64(32)).astype(np.int32)
         rest = ((spread & np.uint64(0xFFFFFFFF)) << np.uint64(8)) | (sig & np.uint64(0xFF))
-        raw, held = rest.view(np.uint8).reshape(-1, 8)[:, :5], np.array(owners, np.int64)
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rows = [[], [], [], []]
+        rows = [[], [], []]
         for s, e in zip(starts, [*starts[1:], len(sig)], strict=True):
-            used, local = np.unique(place[s:e], return_inverse=True)
-            for c, x in zip(rows, (bucket[s], raw[s:e].tobytes(), local.astype(np.uint16).tobytes(), held[used].tobytes()), strict=True):
+            for c, x in zip(rows, (bucket[s], _narrow(rest[s:e]), _narrow(owner[s:e])), strict=True):
                 c.append(x)
         return _flush(rows, schema)
 
@@ -158,7 +157,7 @@ def _packed_rows(k: int, keys_of, buckets: int):
             sigs.append(keys_of(grams))
             owners.append(v)
             held += len(sigs[-1])
-            if held >= AT_ONCE or len(owners) == 1 << 16:
+            if held >= AT_ONCE:
                 yield packed(sigs, owners)
                 sigs, owners, held = [], [], 0
         if held:
@@ -167,6 +166,17 @@ def _packed_rows(k: int, keys_of, buckets: int):
     return run
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """The lower 40 bits of each value."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.int64).ravel()
+
+
 def _fold(first: tuple[np.ndarray, np.ndarray, np.ndarray], sig: np.ndarray, v: np.ndarray):
     """(signatures with the first set seen of each and whether it was given out, signatures and sets to give out)."""
     keys, sets = np.concatenate([first[0], sig]), np.concatenate([first[1], v])
@@ -183,7 +193,7 @@ def _fold(first: tuple[np.ndarray, np.ndarray, np.ndarray], sig: np.ndarray, v:
 
 
 def _shared_rows(counted: bool):
-    """(sig, v) of the keys that two sets or more have, or (v, number of those in the bucket); rows in the order of their buckets.
+    """(sig, o) of the keys that two sets or more have, or (o, number of those in the bucket), o for 40 bits of a set; rows in the order of their buckets.
 
     What is kept for a bucket is its distinct keys, each with one set: the holders of a frequent one pass through.
     """
@@ -207,20 +217,18 @@ def _folded(batches, counted: bool):
         waiting, held = [], 0
         if counted:
             found, often = np.unique(sets, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(often, pa.int64())], ["v", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(often, pa.int64())], ["o", "n"])
         both = np.unique(np.rec.fromarrays([(keys | (np.uint64(bucket) << np.uint64(40))).view(np.int64), sets]))
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both["f0"])), pa.array(np.ascontiguousarray(both["f1"]))], ["sig", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both["f0"])), pa.array(np.ascontiguousarray(both["f1"]))], ["sig", "o"])
 
     for batch in batches:
-        for at, sigs, owners, sets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for at, sigs, owners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if at != bucket:
                 if waiting:
                     yield folded()
                 bucket, first = at, nothing()
-            wide = np.zeros((len(sigs) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(sigs, np.uint8).reshape(-1, 5)
-            waiting.append((wide.view(np.uint64).ravel(), np.frombuffer(sets, np.int64)[np.frombuffer(owners, np.uint16)]))
-            held += len(wide)
+            waiting.append((_wide(sigs).view(np.uint64), _wide(owners)))
+            held += len(waiting[-1][0])
             if held >= AT_ONCE:
                 yield folded()
     if waiting:
@@ -371,19 +379,27 @@ def ngram_components(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sizes = tables.keep(texts.mapInArrow(_size_rows(k), T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("v", T.LongType())])), "ngram-sizes")
 
-    def shared(rows: DataFrame, keys_of, total: int, counted: bool) -> DataFrame:
-        packed = rows.mapInArrow(_packed_rows(k, keys_of, min(BUCKETS, 1 + total // PER_BUCKET)), "bucket int, sigs binary, owners binary, sets binary")
-        return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows(counted), "v long, n long" if counted else "sig long, v long")
+    own = sizes.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.first("n").alias("size")).withColumn("o", F.col("v").bitwiseAND(F.lit((1 << 40) - 1)))
+    lows, highs = _levels(num, den)
 
-    # A set that links with another one has the share t of its n-grams in common with it; the others are left out from here on.
-    own = sizes.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.first("n").alias("size"))
-    common = shared(texts, lambda grams: grams, sizes.agg(F.sum("n")).first()[0] or 0, True).groupBy("v").agg(F.sum("n").alias("common"))
-    chosen = tables.keep(own.join(common, "v").filter(F.col("common") * den >= F.col("size") * num).select("v", "id", "size"), "ngram-chosen")
-    # Rows without an id can't be found by it: all of them are looked at.
-    of = texts.join(bounded(chosen.select("id")), "id", "left_semi").unionByName(texts.filter("id is null"))
+    def signed(grams: np.ndarray) -> np.ndarray:
+        return signatures(grams, num, den, lows, highs)
 
-    lows, highs = _levels(num, den)
-    held = shared(of, lambda grams: signatures(grams, num, den, lows, highs), chosen.agg(F.sum("size")).first()[0] or 0, False)
+    def shared(rows: DataFrame, keys_of, total: int, counted: bool) -> DataFrame:
+        packed = rows.mapInArrow(_packed_rows(k, keys_of, min(BUCKETS, 1 + total // PER_BUCKET)), "bucket int, sigs binary, owners binary")
+        return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows(counted), "o long, n long" if counted else "sig long, o long")
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        # Rows without an id can't be found by it: all of them are looked at.
+        return texts.join(bounded(some.select("id")), "id", "left_semi").unionByName(texts.filter("id is null"))
+
+    # Sets with a signature that another one has; of those, sets that share enough of their n-grams with others of those.
+    meet = shared(texts, signed, sizes.agg(F.sum("n")).first()[0] or 0, True).select("o").distinct()
+    some = tables.keep(own.join(meet, "o", "left_semi"), "ngram-meet")
+    common = shared(rows_of(some), lambda grams: grams, some.agg(F.sum("size")).first()[0] or 0, True).groupBy("o").agg(F.sum("n").alias("common"))
+    chosen = tables.keep(some.join(common, "o").filter(F.col("common") * den >= F.col("size") * num).select("v", "o", "id", "size"), "ngram-chosen")
+    of = rows_of(chosen)
+    held = shared(of, signed, chosen.agg(F.sum("size")).first()[0] or 0, False).join(bounded(chosen.select("o", "v")), "o").select("sig", "v")
     # The copies of a set meet here, so that each holder is one row.
     held = tables.keep(held.distinct(), "ngram-held")
     among = held.groupBy("sig").agg(F.count("*").alias("c"))
@@ -403,8 +419,10 @@ def ngram_components(
     more = tables.keep(overlaps(_open_pairs(starred, differences, near, num, den, tables), sets).filter(linked).select("x", "y"), "ngram-links")
     joined = near if more.isEmpty() else tables.keep(components(links.unionByName(more)), "ngram-joined")
 
-    home = sizes.join(joined.select(F.col("id").alias("v"), "root"), "v", "left").select("id", "n", F.coalesce("root", "v").alias("root"))
-    least = home.groupBy("root").agg(F.min("id").alias("least"))
-    found = written(home.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")), "ngram-components")
+    # A set may have most rows, and so may a component: neither is a key that its rows meet by.
+    home = join_hot(sizes, joined.select(F.col("id").alias("v"), "root"), "v", "id", "left").select("id", "n", F.coalesce("root", "v").alias("root"))
+    home = tables.keep(home, "ngram-home")
+    least = tables.keep(home.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("root", "least"), "ngram-least")
+    found = written(join_hot(home, least, "root", "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")), "ngram-components")
     tables.drop()
     return found
