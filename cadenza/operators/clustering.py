@@ -129,6 +129,31 @@ def nuisance_basis(frames: DataFrame, key: str, rank: int) -> np.ndarray:
     return vectors.T[np.argsort(-values)[:rank]]
 
 
+def block_nuisance_bases(frames: DataFrame, key: str, rank: int, blocks: int) -> list[np.ndarray]:
+    """A basis [rank, d / blocks] for each of so many equal parts of x, from the blocks of one scatter within the classes."""
+    means = class_means(frames, key).withColumnRenamed("id", key)  # a row per class
+    within = covariance_matrix(frames.join(means, key).withColumn("x", V.sub(F.col("x"), F.col("m"))))
+    if len(within) % blocks:
+        raise ValueError("the width is not a multiple of the number of blocks")
+    size, bases = len(within) // blocks, []
+    for b in range(blocks):
+        values, vectors = np.linalg.eigh(within[b * size : (b + 1) * size, b * size : (b + 1) * size])
+        bases.append(vectors.T[np.argsort(-values)[:rank]])
+    return bases
+
+
+def remove_block_nuisance(frames: DataFrame, bases: list[np.ndarray]) -> DataFrame:
+    """Each part of x without the directions of its own basis."""
+    size, parts = bases[0].shape[1], []
+    for b, basis in enumerate(bases):
+        x = F.slice("x", b * size + 1, size)
+        y = x
+        for v in basis.tolist():
+            y = V.sub(y, V.scale(F.lit(v), V.dot(x, F.lit(v))))
+        parts.append(y)
+    return frames.withColumn("x", F.concat(*parts))
+
+
 def remove_nuisance(frames: DataFrame, basis: np.ndarray, blocks: int = 1) -> DataFrame:
     """``x - sum of v (v . x)`` over the rows of ``basis``; with ``blocks``, on each of so many equal parts of x."""
 

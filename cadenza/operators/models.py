@@ -7,7 +7,7 @@ per component; parameters are small and live on the driver between iterations as
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -346,16 +346,16 @@ def shared_codebooks(states: DataFrame, codebooks: DataFrame, key: str) -> DataF
     return joined.withColumn("known", F.when(F.col("known"), True).otherwise(missing.cast("boolean"))).filter("known").drop("known")
 
 
-def viterbi_rows(chain: Chain, symbols: np.ndarray, forced: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(best states, log scores) of sequences of one length, advanced together: [sequence, time]."""
+def best_paths(chain: Chain, emitted: np.ndarray, forced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(best states, log scores) of sequences of one length, advanced together; emitted: log densities [sequence, time, state]."""
     with np.errstate(divide="ignore"):
-        a, b, p = np.log(chain.transitions), np.log(chain.emissions), np.log(chain.initial)
-    rows, n = symbols.shape
-    score, back = p + b.T[symbols[:, 0]], np.zeros((n, rows, len(p)), np.int32)
+        a, p = np.log(chain.transitions), np.log(chain.initial)
+    rows, n, _ = emitted.shape
+    score, back = p + emitted[:, 0], np.zeros((n, rows, len(p)), np.int32)
     for t in range(1, n):
         each = score[:, :, None] + a
         back[t] = each.argmax(1)
-        score = each.max(1) + b.T[symbols[:, t]]
+        score = each.max(1) + emitted[:, t]
     q, every = np.empty((rows, n), np.int32), np.arange(rows)
     q[:, -1] = len(p) - 1 if forced else score.argmax(1)
     for t in range(n - 1, 0, -1):
@@ -363,6 +363,41 @@ def viterbi_rows(chain: Chain, symbols: np.ndarray, forced: bool = False) -> tup
     return q, score[every, q[:, -1]]
 
 
+def viterbi_rows(chain: Chain, symbols: np.ndarray, forced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`best_paths` of sequences of symbols [sequence, time]."""
+    with np.errstate(divide="ignore"):
+        return best_paths(chain, np.log(chain.emissions).T[symbols], forced)
+
+
+def mixture_emissions(x: np.ndarray, states: list[Mixture]) -> np.ndarray:
+    """Log densities [frame, state] where each state has a mixture of its own."""
+    return np.stack([np.logaddexp.reduce(m.score(x), axis=1) for m in states], axis=1)
+
+
+def shared_emissions(x: np.ndarray, codebook: Mixture, weights: np.ndarray) -> np.ndarray:
+    """Log densities [frame, state] where all states weigh the densities of one codebook: weights [state, component]."""
+    score = codebook.score(x) - np.log(codebook.weights)
+    top = score.max(1, keepdims=True)
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.exp(score - top) @ weights.T)
+
+
+def decode_frames(sequences: DataFrame, chain: Chain, emit: Callable[[np.ndarray], np.ndarray], forced: bool = False) -> DataFrame:
+    """rec_id, q, score of sequences of frames (rec_id, frames array<array<double>>); ``emit`` gives log densities [frame, state]."""
+    kind = sequences.schema["rec_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, scores = [], []
+            for frames in batch.column(1).to_pylist():
+                q, score = best_paths(chain, emit(np.array(frames, np.float64))[None], forced) if frames else (np.zeros((1, 0), np.int32), [0.0])
+                paths.append(q[0].tolist())
+                scores.append(float(score[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.list_(pa.int32())), pa.array(scores, pa.float64())], ["rec_id", "q", "score"])
+
+    return sequences.select("rec_id", "frames").mapInArrow(run, f"rec_id {kind}, q array<int>, score double")
+
+
 def viterbi(chain: Chain, symbols: np.ndarray, forced: bool = False) -> tuple[np.ndarray, float]:
     """(best states, log score) of one sequence; ``forced`` ends in the last state."""
     q, score = viterbi_rows(chain, np.asarray(symbols)[None], forced)

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as C
+from cadenza.operators import clustering as G
 from cadenza.operators import models as M
 from cadenza.operators import sequence as S
 from cadenza.operators import speakers as P
@@ -260,3 +261,21 @@ acf AS (SELECT x.rec_id, x.frame_idx, x.lag AS k, x.v / z.v / (w.w / w0.w) AS v
 @query("sig12_autocorrelation", f"WITH {_ACF} SELECT rec_id, frame_idx, k, round(v, 6) + 0.0 AS v FROM acf")
 def autocorrelation(spark, sf_dir):
     return cells(frames(spark, sf_dir).withColumn("x", spectral.fft_autocorrelation(F.col("x"))), *KEYS)
+
+
+@query("sta22_blockwise_nuisance_training")
+def blockwise_training(spark, sf_dir):
+    """Each 16 components without the two leading directions within the classes of their own."""
+    f = frames(spark, sf_dir)
+    return cells(G.remove_block_nuisance(f, G.block_nuisance_bases(f, "rec_id", 2, 4)), *KEYS)
+
+
+@query("sta28_mixture_emissions")
+def mixture_emissions(spark, sf_dir):
+    """Frames of each class along a linear chain of three states, whose mixtures are the Gaussians of classes 0 to 2."""
+    f = frames(spark, sf_dir)
+    rows = M.class_gaussians(f, "rec_id").filter("id < 3").orderBy("id").collect()
+    states = [M.Mixture(np.array([1.0]), np.array([r["m"]]), np.array([r["s"]])) for r in rows]
+    listed = f.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "x"))), lambda c: c["x"]).alias("frames"))
+    out = M.decode_frames(listed, M.Chain.topology("LINEAR", 3, 1), lambda x: M.mixture_emissions(x, states))
+    return out.select("rec_id", F.concat_ws(" ", F.transform("q", lambda q: q.cast("string"))).alias("q"), F.round("score", 4).alias("score"))

@@ -240,3 +240,37 @@ def mvn_of(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     n, dim = struct.unpack_from("<qi", raw)
     values = np.frombuffer(raw, "<f8", 3 * dim, 12).reshape(3, dim)
     return n, values[0].copy(), values[1].copy(), values[2].copy()
+
+
+def projection_bytes(mean: np.ndarray, rows: np.ndarray, values: np.ndarray) -> bytes:
+    """A projection: rows, width, mean, rows and eigenvalues."""
+    return struct.pack("<ii", *rows.shape) + b"".join(np.asarray(x, "<f8").tobytes() for x in (mean, rows, values))
+
+
+def projection_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, rows, eigenvalues) of a projection file."""
+    n, dim = struct.unpack_from("<ii", raw)
+    if len(raw) != 8 + 8 * (dim + n * dim + n):
+        raise FormatError("a projection of another size than its header says")
+    flat = np.frombuffer(raw, "<f8", offset=8)
+    return flat[:dim].copy(), flat[dim : dim + n * dim].reshape(n, dim).copy(), flat[dim + n * dim :].copy()
+
+
+def chain_bytes(initial: np.ndarray, transitions: np.ndarray, emissions: np.ndarray, model_id: int = 0) -> bytes:
+    """A chain with discrete emissions: id, states, initial and transition probabilities in single precision, then each state's."""
+    out = struct.pack("<ih", model_id, len(initial)) + initial.astype("<f4").tobytes() + transitions.astype("<f4").tobytes()
+    return out + b"".join(struct.pack("<i", len(e)) + e.astype("<f8").tobytes() for e in emissions)
+
+
+def chain_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(initial, transitions, emissions) of a chain file."""
+    _, n = struct.unpack_from("<ih", raw)
+    flat = np.frombuffer(raw, "<f4", n + n * n, 6).astype(np.float64)
+    at, emissions = 6 + 4 * (n + n * n), []
+    for _ in range(n):
+        (m,) = struct.unpack_from("<i", raw, at)
+        emissions.append(np.frombuffer(raw, "<f8", m, at + 4))
+        at += 4 + 8 * m
+    if at != len(raw):
+        raise FormatError("a chain of another size than its header says")
+    return flat[:n], flat[n:].reshape(n, n), np.array(emissions)

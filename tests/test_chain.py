@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as C
+from cadenza.operators import clustering as G
 from cadenza.operators import models as M
 from cadenza.operators import speakers as P
 from cadenza.operators import spectral
@@ -148,6 +149,52 @@ def test_pitches_and_paths_of_one_length_go_together():
             assert abs(score[row] - best) < 1e-9 and (not forced or q[row, -1] == 2)
 
 
+def test_emissions_of_mixtures_and_shared_codebooks(spark):
+    rng = np.random.default_rng(9)
+    book = M.Mixture(np.array([0.3, 0.7]), rng.standard_normal((2, 3)), 0.5 + rng.random((2, 3)))
+    weights = np.array([[0.3, 0.7], [1.0, 0.0], [0.5, 0.5]])
+    x = rng.standard_normal((5, 3))
+    own = [M.Mixture(w, book.means, book.variances) for w in (np.array([0.3, 0.7]), np.array([1 - 1e-300, 1e-300]), np.array([0.5, 0.5]))]
+    assert np.allclose(M.shared_emissions(x, book, weights), M.mixture_emissions(x, own))
+    chain = M.Chain.topology("LINEAR", 3, 1)
+    emitted = M.mixture_emissions(x, own)
+    table = spark.createDataFrame([("r", x.tolist()), ("none", [])], "rec_id string, frames array<array<double>>")
+    got = {r.rec_id: r for r in M.decode_frames(table, chain, lambda v: M.mixture_emissions(v, own), forced=True).collect()}
+    with np.errstate(divide="ignore"):
+        a, p = np.log(chain.transitions), np.log(chain.initial)
+    best = max(p[q[0]] + sum(a[i, j] for i, j in zip(q, q[1:], strict=False)) + sum(emitted[t, s] for t, s in enumerate(q)) for q in paths(5) if q[-1] == 2)
+    assert abs(got["r"].score - best) < 1e-9 and got["r"].q[-1] == 2 and got["none"].q == []
+
+
+def test_block_nuisance(spark):
+    rng = np.random.default_rng(10)
+    x, y = rng.standard_normal((200, 6)), rng.integers(0, 3, 200)
+    f = spark.createDataFrame([(int(c), i, v.tolist()) for i, (c, v) in enumerate(zip(y, x, strict=True))], "rec_id int, frame_idx long, x array<double>")
+    bases = G.block_nuisance_bases(f, "rec_id", 1, 2)
+    within = sum((x[y == c] - x[y == c].mean(0)).T @ (x[y == c] - x[y == c].mean(0)) for c in range(3)) / 200
+    for b, basis in enumerate(bases):
+        part = within[3 * b : 3 * b + 3, 3 * b : 3 * b + 3]
+        assert abs(abs(basis[0] @ np.linalg.eigh(part)[1][:, -1]) - 1) < 1e-9
+    for r in G.remove_block_nuisance(f, bases).collect():
+        want = np.concatenate([x[r.frame_idx, :3] - bases[0][0] * (x[r.frame_idx, :3] @ bases[0][0]), x[r.frame_idx, 3:] - bases[1][0] * (x[r.frame_idx, 3:] @ bases[1][0])])
+        assert np.allclose(r.x, want)
+    with pytest.raises(ValueError, match="multiple"):
+        G.block_nuisance_bases(f, "rec_id", 1, 4)
+
+
+def test_model_files():
+    rng = np.random.default_rng(11)
+    mean, rows, values = rng.standard_normal(4), rng.standard_normal((2, 4)), rng.random(2)
+    raw = formats.projection_bytes(mean, rows, values)
+    assert all(np.array_equal(a, b) for a, b in zip(formats.projection_of(raw), (mean, rows, values), strict=True))
+    chain = M.Chain(np.array([0.5, 0.5]), np.array([[0.25, 0.75], [0.0, 1.0]]), rng.dirichlet(np.ones(3), 2))
+    raw2 = formats.chain_bytes(chain.initial, chain.transitions, chain.emissions)
+    assert all(np.array_equal(a, b) for a, b in zip(formats.chain_of(raw2), (chain.initial, chain.transitions, chain.emissions), strict=True))
+    for read, whole in ((formats.projection_of, raw), (formats.chain_of, raw2)):
+        with pytest.raises(formats.FormatError):
+            read(whole + b"x")
+
+
 def paths(n, states=3):
     import itertools
 
