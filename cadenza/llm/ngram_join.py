@@ -40,12 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm.components import components
-from cadenza.llm.shared import Tables, bounded, join_hot, small_batches, written
+from cadenza.llm.shared import Tables, bounded, give_back, join_hot, small_batches, written
 from cadenza.llm.shingles import mix, shingle_sets
 
 _LEVELS = 4_000_000_000
 #: Shingles for which a bucket of signatures is made, buckets at most, and signatures that a task packs or folds at once.
-PER_BUCKET, BUCKETS, AT_ONCE = 2_000_000, 1 << 23, 2_000_000
+PER_BUCKET, BUCKETS, AT_ONCE = 2_000_000, 1 << 23, 1_000_000
+#: Sets for which a part of their counts is made.
+PER_PART = 2_000
 
 
 def _levels(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +164,7 @@ def _packed_rows(k: int, keys_of, buckets: int):
                 sigs, owners, held = [], [], 0
         if held:
             yield packed(sigs, owners)
+        give_back()
 
     return run
 
@@ -192,19 +195,22 @@ def _fold(first: tuple[np.ndarray, np.ndarray, np.ndarray], sig: np.ndarray, v:
     return (keys[at], sets[at], given[at] | shared), keys[out], sets[out]
 
 
-def _shared_rows(counted: bool):
-    """(sig, o) of the keys that two sets or more have, or (o, number of those in the bucket), o for 40 bits of a set; rows in the order of their buckets.
+def _shared_rows(parts: int):
+    """(sig, o) of the keys that two sets or more have, o for 40 bits of a set; rows in the order of their buckets.
+
+    With ``parts``, instead packed numbers of such keys by set: (part, sets, numbers), a row per part and fold of a bucket.
 
     What is kept for a bucket is its distinct keys, each with one set: the holders of a frequent one pass through.
     """
 
     def run(batches):
-        yield from _folded(batches, counted)
+        yield from _folded(batches, parts)
+        give_back()
 
     return run
 
 
-def _folded(batches, counted: bool):
+def _folded(batches, parts: int):
     def nothing():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
 
@@ -215,9 +221,11 @@ def _folded(batches, counted: bool):
         sig, v = (np.concatenate(x) for x in zip(*waiting, strict=True))
         first, keys, sets = _fold(first, sig, v)
         waiting, held = [], 0
-        if counted:
+        if parts:
             found, often = np.unique(sets, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(often, pa.int64())], ["o", "n"])
+            place = found % parts
+            rows = [(int(i), _narrow(found[place == i]), often[place == i].astype("<i4").tobytes()) for i in np.unique(place)]
+            return _flush([list(c) for c in zip(*rows, strict=True)] or [[], [], []], _COUNTS)
         both = np.unique(np.rec.fromarrays([(keys | (np.uint64(bucket) << np.uint64(40))).view(np.int64), sets]))
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both["f0"])), pa.array(np.ascontiguousarray(both["f1"]))], ["sig", "o"])
 
@@ -235,6 +243,29 @@ def _folded(batches, counted: bool):
         yield folded()
 
 
+_COUNTS = pa.schema([("part", pa.int32()), ("sets", pa.binary()), ("numbers", pa.binary())])
+
+
+def _summed_counts(batches):
+    """(o, n): the numbers of :func:`_shared_rows` summed by set, rows in the order of their parts; a part's sets are held."""
+    part, sets, sums = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(sets), pa.array(sums)], ["o", "n"])
+
+    for batch in batches:
+        for at, some, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != part:
+                if len(sets):
+                    yield rows()
+                part, sets, sums = at, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            both, place = np.unique(np.concatenate([sets, _wide(some)]), return_inverse=True)
+            sums = np.bincount(place, np.concatenate([sums, np.frombuffer(numbers, "<i4")]), minlength=len(both)).astype(np.int64)
+            sets = both
+    if len(sets):
+        yield rows()
+
+
 def _pack(grams: np.ndarray) -> bytes:
     """The upper 48 bits of each hash: two sets of 20,000 n-grams confuse one with a probability of about 1e-6."""
     return (grams >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -385,21 +416,24 @@ def ngram_components(
     def signed(grams: np.ndarray) -> np.ndarray:
         return signatures(grams, num, den, lows, highs)
 
-    def shared(rows: DataFrame, keys_of, total: int, counted: bool) -> DataFrame:
+    def shared(rows: DataFrame, keys_of, total: int, parts: int) -> DataFrame:
         packed = rows.mapInArrow(_packed_rows(k, keys_of, min(BUCKETS, 1 + total // PER_BUCKET)), "bucket int, sigs binary, owners binary")
-        return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows(counted), "o long, n long" if counted else "sig long, o long")
+        found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows(parts), "part int, sets binary, numbers binary" if parts else "sig long, o long")
+        return found.repartition("part").sortWithinPartitions("part").mapInArrow(_summed_counts, "o long, n long") if parts else found
 
     def rows_of(some: DataFrame) -> DataFrame:
         # Rows without an id can't be found by it: all of them are looked at.
         return texts.join(bounded(some.select("id")), "id", "left_semi").unionByName(texts.filter("id is null"))
 
     # Sets with a signature that another one has; of those, sets that share enough of their n-grams with others of those.
-    meet = shared(texts, signed, sizes.agg(F.sum("n")).first()[0] or 0, True).select("o").distinct()
+    grams, rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    parts = 1 + rows // PER_PART
+    meet = shared(texts, signed, grams, parts).select("o")
     some = tables.keep(own.join(meet, "o", "left_semi"), "ngram-meet")
-    common = shared(rows_of(some), lambda grams: grams, some.agg(F.sum("size")).first()[0] or 0, True).groupBy("o").agg(F.sum("n").alias("common"))
+    common = shared(rows_of(some), lambda grams: grams, some.agg(F.sum("size")).first()[0] or 0, parts).select("o", F.col("n").alias("common"))
     chosen = tables.keep(some.join(common, "o").filter(F.col("common") * den >= F.col("size") * num).select("v", "o", "id", "size"), "ngram-chosen")
     of = rows_of(chosen)
-    held = shared(of, signed, chosen.agg(F.sum("size")).first()[0] or 0, False).join(bounded(chosen.select("o", "v")), "o").select("sig", "v")
+    held = shared(of, signed, chosen.agg(F.sum("size")).first()[0] or 0, 0).join(bounded(chosen.select("o", "v")), "o").select("sig", "v")
     # The copies of a set meet here, so that each holder is one row.
     held = tables.keep(held.distinct(), "ngram-held")
     among = held.groupBy("sig").agg(F.count("*").alias("c"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.shared import free_name, small_batches
+from cadenza.llm.shared import free_name, give_back, small_batches
 from cadenza.llm.shingles import mix, slices, text_buffers
 from cadenza.llm.units import take_units
 
@@ -335,7 +335,7 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
         pieces = kept_pieces(model)
         for batch in batches:
             _, offsets = text_buffers(batch.column(len(names)))
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, 2 << 20):
                 part = batch.slice(a, b - a)
                 ids, bounds = encode_column(pieces, part.column(len(names)))
                 columns = [part.column(i) for i in range(len(names))] + [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]
@@ -343,5 +343,6 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
                     columns.append(decode_column(pieces, ids, bounds))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *[f.name for f in added]])
         pieces.known.clear()  # the worker goes on to other tasks
+        give_back()
 
     return source.mapInArrow(run, T.StructType([*kept, *added]))

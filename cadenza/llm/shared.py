@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +76,13 @@ def small_batches(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system, so that the tasks it runs later start small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def is_small(side: DataFrame) -> bool:
     """Whether ``side`` is within :data:`BROADCAST_BYTES`: its rows are counted and its texts, binaries and arrays measured."""
     fixed, wide = 16, []

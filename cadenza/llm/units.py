@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct units that a task keeps with their ids; beyond, it starts anew.
-KNOWN = 1_000_000
+KNOWN = 300_000
 
 
 def take_units(raw: np.ndarray, offsets: np.ndarray, opens: np.ndarray, known: dict[str, np.ndarray], encode: Callable[[list[str]], dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
