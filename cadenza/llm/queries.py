@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.llm.fill_middle import fill_in_middle, restored
 from cadenza.llm.fingerprint import edited_pairs, fingerprint, likeness, text_form
 from cadenza.llm.language import declared_language, identify, train, url_host, visible_text
 from cadenza.llm.line_dedup import dedup_lines
@@ -112,6 +113,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut at lines into prefix, middle and suffix, the digest of the new text and of the one rebuilt from it."""
+    docs = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, rate=100, spm_rate=50)
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("text")).alias("output_sha256"), digest(restored(F.col("text"), F.col("form"))).alias("restored_sha256"))
+
+
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op8_line_dedup"] = f"""
 WITH lines AS (
@@ -132,3 +141,21 @@ WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_b
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: {_LETTER}), '') AS payload_digest,
   CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM d
 """
+_DRAW = "('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), {0}, 8))::BIGINT"
+ORACLES["op11_fill_in_middle"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS cut,
+    {_DRAW.format(1)} AS h1, {_DRAW.format(9)} AS h2, {_DRAW.format(17)} AS h3, {_DRAW.format(25)} AS h4 FROM documents
+), u AS (SELECT *, len(cut) - (cut[-1] = '')::INT AS n FROM d),
+-- The text before a cut of k lines: k lines with their line ends, or the whole text.
+e AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM u),
+p AS (
+  SELECT *, CASE WHEN a = n THEN text WHEN a = 0 THEN '' ELSE array_to_string(cut[1:a], chr(10)) || chr(10) END AS prefix,
+    CASE WHEN b = n THEN text WHEN b = 0 THEN '' ELSE array_to_string(cut[1:b], chr(10)) || chr(10) END AS until,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM e
+), q AS (SELECT *, substr(until, length(prefix) + 1) AS middle, substr(text, length(until) + 1) AS suffix FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM q
+"""
