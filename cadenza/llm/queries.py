@@ -14,6 +14,7 @@ from cadenza.llm.language import declared_language, identify, train, url_host, v
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.mixing import mix_to_targets
 from cadenza.llm.ngram_join import ngram_components
+from cadenza.llm.prefix_trie import conversation_trie
 from cadenza.llm.sentencepieces import sentencepiece_ids
 from cadenza.llm.shared import fresh_path
 from cadenza.llm.token_counts import count_tokens
@@ -121,6 +122,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("text")).alias("output_sha256"), digest(restored(F.col("text"), F.col("form"))).alias("restored_sha256"))
 
 
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt with a beginning that five of them share."""
+    trie = conversation_trie(_table(spark, sf_dir, "conversations"), group=5, most_shared=8)
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op8_line_dedup"] = f"""
 WITH lines AS (
@@ -159,3 +167,35 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
     ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM q
 """
+# CRC-32 bit by bit over the digits of a number.
+_BIT = "xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)"
+_CRC = f"list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda r, d: list_reduce(list_prepend(xor(r, d), range(8)), lambda v, i: {_BIT}))"
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (SELECT c, c - c % 5 AS src, xor({_CRC}, 4294967295) % 9 AS h, count(*) AS n FROM t GROUP BY c),
+lent AS (SELECT n.c, n.src, n.h, least(n.h, coalesce(s.n, 0)) AS k FROM n LEFT JOIN n s ON n.src = s.c),
+r AS (
+  SELECT l.c, t.pos AS d, t.role, t.text FROM lent l JOIN t ON t.c = l.src AND t.pos <= l.k
+  UNION ALL SELECT l.c, t.pos - l.h + l.k, t.role, t.text FROM lent l JOIN t ON t.c = l.c AND t.pos > l.h
+), p AS (
+  SELECT c, d, list({{'role': role, 'text': text}}) OVER (PARTITION BY c ORDER BY d) AS path, octet_length(encode(text)) AS bytes FROM r
+  UNION ALL SELECT c, 0, [], 0 FROM n
+), e AS (SELECT *, max(d) OVER (PARTITION BY c) AS last FROM p),
+nodes AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = last), '')) AS ends_sha256 FROM e GROUP BY path, d
+), kids AS (
+  SELECT path[1:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), tree AS (
+  SELECT x.*, coalesce(k.n_children, 0) AS n_children, u.conv_id AS parent_conv_id
+  FROM nodes x LEFT JOIN kids k ON x.path = k.path LEFT JOIN nodes u ON x.d > 0 AND u.path = x.path[1:x.d - 1]
+), below AS (
+  -- Of each node, its ancestors and itself: the prefixes of its first member.
+  SELECT a.path, sum((x.n_children = 0)::INT) AS n_leaves, sum((x.n_convs - 1) * x.bytes) AS saved_tokens
+  FROM tree x JOIN p a ON a.c = x.conv_id AND a.d <= x.d GROUP BY a.path
+)
+SELECT t.conv_id, t.d AS depth, t.parent_conv_id, t.n_convs, t.n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, t.ends_sha256
+FROM tree t JOIN below b ON t.path = b.path
+"""
