@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import Tables, bounded, is_small
+from cadenza.llm.shared import Tables, bounded, is_small, parts_of
 
 #: Turns of a conversation that one group holds; longer ones are joined from such blocks.
 BLOCK = 1024
@@ -40,7 +40,8 @@ def turn_rows(conversations: DataFrame, tables: Tables, *, id_col: str, turn_col
     role, text = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (role_col, text_col))
     a, b = _lanes(role, text)
     turn = F.col(f"`{turn_col}`")
-    slim = conversations.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("conv"), turn.alias("turn"), F.coalesce(F.floor(turn / BLOCK), F.lit(-(2**62))).alias("block"), a.alias("a"), b.alias("b"), F.octet_length(text).cast("long").alias("bytes"))
+    slim = conversations.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("conv"), turn.alias("turn"), a.alias("a"), b.alias("b"), F.octet_length(text).cast("long").alias("bytes"))
+    slim = parts_of(slim, "conv", "turn", BLOCK).withColumnRenamed("part", "block")
     within = W.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "a", "b")
     placed = tables.keep(slim.select("conv", "block", "a", "b", "bytes", F.row_number().over(within).cast("long").alias("at")), "trie-turns")
     return _after_blocks(placed, "block", [("at", F.max("at"), F.sum)]).select("conv", F.col("at").alias("pos"), "a", "b", "bytes")
@@ -185,7 +186,7 @@ def conversation_trie(conversations: DataFrame, *, id_col: str = "conv_id", turn
     as empty. Rows without a conversation id belong to none and are left out; repeated rows are turns of their own. Texts of any
     length are hashed where they are read and are not shuffled. An empty table has no nodes. Columns other than the named ones play no part.
 
-    One conversation may hold most turns: positions and digests are found in blocks of :data:`BLOCK` turn numbers, then
+    One conversation may hold most turns: positions and digests are found in blocks of about :data:`BLOCK` turns, then
     shifted by what the earlier blocks amount to; only copies of a single turn number share a group, sorted with spilling.
     """
     tables = Tables(conversations.sparkSession)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.llm.chat_windows import chat_windows, read_turns, unescaped
 from cadenza.llm.fill_middle import fill_in_middle, restored
 from cadenza.llm.fingerprint import edited_pairs, fingerprint, likeness, text_form
 from cadenza.llm.language import declared_language, identify, train, url_host, visible_text
@@ -122,6 +123,21 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("text")).alias("output_sha256"), digest(restored(F.col("text"), F.col("form"))).alias("restored_sha256"))
 
 
+@_query
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted in windows of 1,024 tokens, and what is read back from these: all turns, and the text under the loss mask."""
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    windows = chat_windows(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd), budget=1024, history=256)
+    turns = F.slice(read_turns(F.col("text")), F.col("n_repeated") + 1, F.greatest(F.col("n_new"), F.lit(1)))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join(F.transform("loss", lambda s: unescaped(F.substring("text", s["begin"] + 1, s["end"] - s["begin"]))), "")
+    rows = windows.select("conv_id", F.size(turns).cast("long").alias("n"), F.length("text").cast("long").alias("chars"), F.struct("block", "window", said.alias("said"), learnt.alias("learnt")).alias("part"))
+    whole = rows.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("part")).alias("parts"))
+    joined = whole.select("*", F.array_join(F.col("parts.said"), "").alias("said"), F.array_join(F.col("parts.learnt"), "").alias("learnt"))
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return joined.select("conv_id", "n_turns", digest(F.col("said")).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), digest(F.col("learnt")).alias("loss_sha256"), "formatted_chars")
+
+
 @_query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations, each rebuilt with a beginning that five of them share."""
@@ -199,3 +215,45 @@ nodes AS (
 SELECT t.conv_id, t.d AS depth, t.parent_conv_id, t.n_convs, t.n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, t.ends_sha256
 FROM tree t JOIN below b ON t.path = b.path
 """
+_MARKED = "regexp_replace(regexp_replace({0}, '\\[(\\\\*/?INST\\])', '[\\\\\\1', 'g'), '<(\\\\*/s>)', '<\\\\\\1', 'g')"
+ORACLES["op12_chat_windows"] = f"""
+WITH a AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), large AS (SELECT conv_id, count(*) AS n, min(turn) AS low, max(turn) AS high FROM a GROUP BY conv_id HAVING count(*) > 512),
+p AS (
+  SELECT a.*, CASE WHEN n IS NULL THEN 0 WHEN turn IS NULL THEN -1 ELSE floor((turn - low) * n / ((high - low + 1) * 512)) END AS part,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 3 AS size,
+    length('[INST]' || {_MARKED.format('role')} || '[/INST]' || {_MARKED.format('text')} || '</s>') AS chars
+  FROM a LEFT JOIN large ON a.conv_id IS NOT DISTINCT FROM large.conv_id
+), o AS (
+  SELECT *, row_number() OVER w AS place, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS pend, row_number() OVER c AS pos
+  FROM p WINDOW w AS (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text), c AS (PARTITION BY conv_id ORDER BY part, turn NULLS FIRST, role, text)
+), k AS (
+  SELECT *, pend - size AS pbegin, dense_rank() OVER (PARTITION BY conv_id ORDER BY part, (place - 1) // 512) AS block,
+    pos = 1 AND role = 'system' AS is_sys, max(CASE WHEN pos = 1 AND role = 'system' THEN size ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_size,
+    max(CASE WHEN pos = 1 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_chars FROM o
+), t AS (SELECT *, min(pbegin) OVER (PARTITION BY conv_id, block) AS base, greatest(1, 1024 - 256 - sys_size) AS room FROM k WHERE NOT is_sys),
+x AS (SELECT *, (pbegin - base) // room AS low, (pend - 1 - base) // room > (pbegin - base) // room AS crosses FROM t),
+g AS (SELECT *, CASE WHEN crosses THEN (pend - base) // room ELSE low END AS stretch FROM x),
+f AS (
+  SELECT *, lag(stretch) OVER b AS last_stretch, coalesce(lag(crosses) OVER b AND max(pend) OVER (PARTITION BY conv_id, block, stretch) - lag(pbegin) OVER b > room, false) AS full_up
+  FROM g WINDOW b AS (PARTITION BY conv_id, block ORDER BY pos)
+), begun AS (SELECT conv_id, block, pos, base, pbegin AS edge, sys_chars FROM f WHERE last_stretch IS NULL OR last_stretch <> stretch OR full_up),
+same AS (
+  SELECT b.conv_id, sum(t.chars) AS chars FROM begun b JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.block = b.block AND t.pos < b.pos AND b.edge - t.pbegin <= 256 GROUP BY b.conv_id
+), tails AS (SELECT *, max(pend) OVER (PARTITION BY conv_id, block) AS last FROM t),
+handed AS (
+  SELECT b.conv_id, sum(t.chars) AS chars FROM begun b JOIN tails t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.block = b.block - 1 AND t.last - t.pbegin + b.edge - b.base <= 256 GROUP BY b.conv_id
+), alone AS (SELECT k.conv_id, count(*) AS n FROM k WHERE is_sys AND NOT EXISTS (SELECT 1 FROM t WHERE t.conv_id IS NOT DISTINCT FROM k.conv_id AND t.block = k.block) GROUP BY k.conv_id),
+spent AS (SELECT conv_id, sum(sys_chars) AS chars FROM begun GROUP BY conv_id),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars) FILTER (NOT is_sys) AS own, max(sys_chars) AS sys_chars FROM k GROUP BY conv_id
+)
+SELECT w.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+  (coalesce(own, 0) + coalesce(spent.chars, 0) + coalesce(same.chars, 0) + coalesce(handed.chars, 0) + CASE WHEN alone.n > 0 THEN w.sys_chars ELSE 0 END)::BIGINT AS formatted_chars
+FROM whole w LEFT JOIN spent ON w.conv_id IS NOT DISTINCT FROM spent.conv_id LEFT JOIN same ON w.conv_id IS NOT DISTINCT FROM same.conv_id
+  LEFT JOIN handed ON w.conv_id IS NOT DISTINCT FROM handed.conv_id LEFT JOIN alone ON w.conv_id IS NOT DISTINCT FROM alone.conv_id
+"""

@@ -117,6 +117,18 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str, how: str
     return salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "salt"], how).drop("salt")
 
 
+def parts_of(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """``rows`` with "part": 0 for keys of up to ``most`` rows, else the stretch of ``order`` (a number) a row lies in.
+
+    The stretches of a key have one width and about ``most`` rows each if its numbers are spread evenly; null numbers have part -1.
+    Large keys are fewer than rows / ``most``.
+    """
+    large = rows.groupBy(key).agg(F.count("*").alias("part_n"), F.min(order).alias("part_low"), F.max(order).alias("part_high")).filter(F.col("part_n") > most)
+    share = (F.col(order) - F.col("part_low")) * F.col("part_n") / ((F.col("part_high") - F.col("part_low") + 1) * most)
+    part = F.when(F.col("part_n").isNull(), 0).otherwise(F.coalesce(F.floor(share), F.lit(-1))).cast("long")
+    return rows.join(bounded(large), key, "left").withColumn("part", part).drop("part_n", "part_low", "part_high")
+
+
 def id_bounds(df: DataFrame, key: str, rows: int, most: int = 65_536) -> tuple[list, int]:
     """(ascending upper bounds that cut ``key`` into chunks of about ``rows`` rows, chunks for null keys).
 
