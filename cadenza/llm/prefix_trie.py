@@ -101,23 +101,28 @@ def _follow(rows: DataFrame, by: str, targets: DataFrame, share: int) -> DataFra
 
 
 def subtree_sums(nodes: DataFrame, tables: Tables, columns: list[str]) -> DataFrame:
-    """(key, ``columns`` summed over the subtree of each of ``nodes``, itself included); ``nodes`` has key, parent and the columns."""
+    """(key, ``columns`` summed over the subtree of each of ``nodes``, itself included); ``nodes`` has key, parent and the columns.
+
+    Only nodes with an ancestor 2**k above take part in round k; the others have sent all they have, and what they still receive is
+    added up at the end.
+    """
     count, deepest = nodes.agg(F.count("*"), F.coalesce(F.max("key.depth"), F.lit(0))).first()
-    share = max(1, count // HOT)
-    held = tables.keep(nodes.select("key", F.col("parent").alias("up"), *columns), "trie-round-0")
-    rounds = int(deepest).bit_length()
-    for k in range(rounds):
-        sent = held.filter("up is not null").groupBy(F.col("up").alias("key")).agg(*[F.sum(c).alias(f"sent_{c}") for c in columns], F.count("*").alias("n"))
-        summed = held.join(bounded(sent), "key", "left").select("key", "up", *[(F.col(c) + F.coalesce(f"sent_{c}", F.lit(0).cast("long"))).alias(c) for c in columns], "n")
-        summed = tables.keep(summed, f"trie-sums-{k}")
-        if k + 1 == rounds:
-            return summed.select("key", *columns)
+    share, none = max(1, count // HOT), F.lit(0).cast("long")
+    start = nodes.select("key", F.col("parent").alias("up"), *columns)
+    still, active = [start.filter("up is null")], start.filter("up is not null")
+    for k in range(int(deepest).bit_length()):
+        sent = active.groupBy(F.col("up").alias("key")).agg(*[F.sum(c).alias(f"sent_{c}") for c in columns], F.count("*").alias("n"))
+        both = active.join(sent, "key", "full_outer")
+        summed = tables.keep(both.select("key", "up", *[(F.coalesce(c, none) + F.coalesce(f"sent_{c}", none)).alias(c) for c in columns], "n"), "trie-sums")
         targets = summed.filter("n is not null").select(F.col("key").alias("up"), F.col("up").alias("next"), "n")
         moved = _follow(summed.drop("n").filter("up is not null"), "up", targets, share).select("key", F.col("next").alias("up"), *columns)
-        still = summed.filter("up is null").select("key", "up", *columns)
-        held = tables.keep(moved.unionByName(still), f"trie-round-{k + 1}")
-        tables.drop(f"trie-round-{k}", f"trie-sums-{k}")
-    return held.select("key", *columns)
+        moved = tables.keep(moved, "trie-moved")
+        still += [summed.filter("up is null").drop("n"), moved.filter("up is null")]
+        active = moved.filter("up is not null")
+    whole = still[0]
+    for part in still[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy("key").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def _id_digests(ends: DataFrame) -> DataFrame:
