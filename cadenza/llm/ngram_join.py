@@ -44,10 +44,12 @@ from cadenza.llm.shared import Tables, bounded, give_back, join_hot, small_batch
 from cadenza.llm.shingles import mix, shingle_sets
 
 _LEVELS = 4_000_000_000
+#: The bits of a set's digest that travel.
+_MASK = (1 << 40) - 1
 #: Shingles for which a bucket of signatures is made, buckets at most, and signatures that a task packs or folds at once.
 PER_BUCKET, BUCKETS, AT_ONCE = 2_000_000, 1 << 23, 1_000_000
 #: Sets for which a part of their counts is made.
-PER_PART = 2_000
+PER_PART = 20_000
 
 
 def _levels(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +128,14 @@ def _size_rows(k: int):
     return run
 
 
-def _packed_rows(k: int, keys_of, buckets: int):
+def _packed_rows(k: int, keys_of, buckets: int, parts: int, at_once: int = AT_ONCE):
     """Keys of distinct sets, packed by bucket: 40 further bits of each key and 40 bits of its set's digest, 10 bytes at any scale.
 
     A bucket holds about two million keys, so 40 bits confuse one in 500,000 of them, which only lets through what counting refutes.
     Two sets of one 40-bit digest (a chance of 10^-12 for a pair that links) would not count as two.
+
+    A key that several sets have within one pack is shared already: it is sent once, without owners, and what it gives its sets goes
+    along in rows of negative buckets (see :func:`_shared_rows`). So a frequent key costs its bucket one entry a pack.
     """
     schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("owners", pa.binary())])
 
@@ -139,13 +144,25 @@ def _packed_rows(k: int, keys_of, buckets: int):
         owner = np.repeat(np.array(owners, np.int64), [len(s) for s in sigs])
         order = np.argsort(sig)
         sig, owner = sig[order], owner[order]
-        spread = (sig >> np.uint64(32)) * np.uint64(buckets)
+        at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        times = np.diff(np.append(at, len(sig)))
+        spread = (sig[at] >> np.uint64(32)) * np.uint64(buckets)
         bucket = (spread >> np.uint64(32)).astype(np.int32)
-        rest = ((spread & np.uint64(0xFFFFFFFF)) << np.uint64(8)) | (sig & np.uint64(0xFF))
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rows = [[], [], []]
-        for s, e in zip(starts, [*starts[1:], len(sig)], strict=True):
-            for c, x in zip(rows, (bucket[s], _narrow(rest[s:e]), _narrow(owner[s:e])), strict=True):
+        rest = ((spread & np.uint64(0xFFFFFFFF)) << np.uint64(8)) | (sig[at] & np.uint64(0xFF))
+        rows, often = [[], [], []], times > 1
+        for some, owned in ((np.flatnonzero(~often), True), (np.flatnonzero(often), False)):
+            if len(some):
+                for s, e in _runs(bucket[some]):
+                    for c, x in zip(rows, (bucket[some[s]], _narrow(rest[some[s:e]]), _narrow(owner[at[some[s:e]]]) if owned else b""), strict=True):
+                        c.append(x)
+        held = np.repeat(often, times)
+        if parts and held.any():
+            for part, sets, numbers in _counted(owner[held] & _MASK, parts):
+                for c, x in zip(rows, (-1 - part, sets, numbers), strict=True):
+                    c.append(x)
+        elif held.any():
+            whole = np.repeat(rest | (bucket.astype(np.uint64) << np.uint64(40)), times)[held]
+            for c, x in zip(rows, (-1 - int(whole[0] % np.uint64(4096)), whole.tobytes(), _narrow(owner[held])), strict=True):
                 c.append(x)
         return _flush(rows, schema)
 
@@ -159,7 +176,7 @@ def _packed_rows(k: int, keys_of, buckets: int):
             sigs.append(keys_of(grams))
             owners.append(v)
             held += len(sigs[-1])
-            if held >= AT_ONCE:
+            if held >= at_once:
                 yield packed(sigs, owners)
                 sigs, owners, held = [], [], 0
         if held:
@@ -169,6 +186,21 @@ def _packed_rows(k: int, keys_of, buckets: int):
     return run
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])).tolist()
+    return list(zip(starts, [*starts[1:], len(values)], strict=True))
+
+
+def _counted(sets: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes]]:
+    """(part, sets, numbers): how often each set occurs, packed by part; the sets are sorted by part once and cut."""
+    found, often = np.unique(sets, return_counts=True)
+    place = found % parts
+    order = np.argsort(place, kind="stable")
+    found, often, place = found[order], often[order].astype("<i4"), place[order]
+    return [(int(place[s]), _narrow(found[s:e]), often[s:e].tobytes()) for s, e in _runs(place)] if len(found) else []
+
+
 def _narrow(x: np.ndarray) -> bytes:
     """The lower 40 bits of each value."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -181,7 +213,10 @@ def _wide(raw: bytes) -> np.ndarray:
 
 
 def _fold(first: tuple[np.ndarray, np.ndarray, np.ndarray], sig: np.ndarray, v: np.ndarray):
-    """(signatures with the first set seen of each and whether it was given out, signatures and sets to give out)."""
+    """(signatures with the first set seen of each and whether it was given out, signatures and sets to give out).
+
+    A set below 0 stands for several that have been given out.
+    """
     keys, sets = np.concatenate([first[0], sig]), np.concatenate([first[1], v])
     known, given = np.arange(len(keys)) < len(first[0]), np.concatenate([first[2], np.zeros(len(sig), bool)])
     order = np.argsort(keys, kind="stable")
@@ -191,7 +226,7 @@ def _fold(first: tuple[np.ndarray, np.ndarray, np.ndarray], sig: np.ndarray, v:
     at = np.flatnonzero(new)
     other = sets != sets[at][run]
     shared = np.bincount(run, other, minlength=len(at)) > 0
-    out = other | (new & shared[run] & ~given)
+    out = (other | (new & shared[run] & ~given)) & (sets >= 0)
     return (keys[at], sets[at], given[at] | shared), keys[out], sets[out]
 
 
@@ -200,7 +235,8 @@ def _shared_rows(parts: int):
 
     With ``parts``, instead packed numbers of such keys by set: (part, sets, numbers), a row per part and fold of a bucket.
 
-    What is kept for a bucket is its distinct keys, each with one set: the holders of a frequent one pass through.
+    What is kept for a bucket is its distinct keys, each with one set: the holders of a frequent one pass through. So do rows of negative
+    buckets, which hold such results of the tasks before.
     """
 
     def run(batches):
@@ -222,20 +258,21 @@ def _folded(batches, parts: int):
         first, keys, sets = _fold(first, sig, v)
         waiting, held = [], 0
         if parts:
-            found, often = np.unique(sets, return_counts=True)
-            place = found % parts
-            rows = [(int(i), _narrow(found[place == i]), often[place == i].astype("<i4").tobytes()) for i in np.unique(place)]
-            return _flush([list(c) for c in zip(*rows, strict=True)] or [[], [], []], _COUNTS)
+            return _flush([list(c) for c in zip(*_counted(sets, parts), strict=True)] or [[], [], []], _COUNTS)
         both = np.unique(np.rec.fromarrays([(keys | (np.uint64(bucket) << np.uint64(40))).view(np.int64), sets]))
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both["f0"])), pa.array(np.ascontiguousarray(both["f1"]))], ["sig", "o"])
 
     for batch in batches:
         for at, sigs, owners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at < 0:  # known before the shuffle
+                yield _flush([[-1 - at], [sigs], [owners]], _COUNTS) if parts else pa.RecordBatch.from_arrays([pa.array(np.frombuffer(sigs, np.int64)), pa.array(_wide(owners))], ["sig", "o"])
+                continue
             if at != bucket:
                 if waiting:
                     yield folded()
                 bucket, first = at, nothing()
-            waiting.append((_wide(sigs).view(np.uint64), _wide(owners)))
+            keys = _wide(sigs).view(np.uint64)
+            waiting.append((keys, _wide(owners) if owners else np.full(len(keys), -1, np.int64)))
             held += len(waiting[-1][0])
             if held >= AT_ONCE:
                 yield folded()
@@ -248,22 +285,27 @@ _COUNTS = pa.schema([("part", pa.int32()), ("sets", pa.binary()), ("numbers", pa
 
 def _summed_counts(batches):
     """(o, n): the numbers of :func:`_shared_rows` summed by set, rows in the order of their parts; a part's sets are held."""
-    part, sets, sums = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    part, waiting, held, room = None, [], 0, AT_ONCE
 
-    def rows():
-        return pa.RecordBatch.from_arrays([pa.array(sets), pa.array(sums)], ["o", "n"])
+    def summed():
+        sets, numbers = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        sets, place = np.unique(sets, return_inverse=True)
+        return sets, np.bincount(place, numbers, minlength=len(sets)).astype(np.int64)
 
     for batch in batches:
         for at, some, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at != part:
-                if len(sets):
-                    yield rows()
-                part, sets, sums = at, np.zeros(0, np.int64), np.zeros(0, np.int64)
-            both, place = np.unique(np.concatenate([sets, _wide(some)]), return_inverse=True)
-            sums = np.bincount(place, np.concatenate([sums, np.frombuffer(numbers, "<i4")]), minlength=len(both)).astype(np.int64)
-            sets = both
-    if len(sets):
-        yield rows()
+            if at != part and waiting:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], ["o", "n"])
+                waiting, held, room = [], 0, AT_ONCE
+            part = at
+            waiting.append((_wide(some), np.frombuffer(numbers, "<i4")))
+            held += len(waiting[-1][0])
+            if held >= room:
+                waiting = [summed()]
+                held = len(waiting[0][0])
+                room = max(AT_ONCE, 2 * held)  # each entry is sorted a few times, not once a row
+    if waiting:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], ["o", "n"])
 
 
 def _pack(grams: np.ndarray) -> bytes:
@@ -410,14 +452,14 @@ def ngram_components(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sizes = tables.keep(texts.mapInArrow(_size_rows(k), T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("v", T.LongType())])), "ngram-sizes")
 
-    own = sizes.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.first("n").alias("size")).withColumn("o", F.col("v").bitwiseAND(F.lit((1 << 40) - 1)))
+    own = sizes.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.first("n").alias("size")).withColumn("o", F.col("v").bitwiseAND(F.lit(_MASK)))
     lows, highs = _levels(num, den)
 
     def signed(grams: np.ndarray) -> np.ndarray:
         return signatures(grams, num, den, lows, highs)
 
     def shared(rows: DataFrame, keys_of, total: int, parts: int) -> DataFrame:
-        packed = rows.mapInArrow(_packed_rows(k, keys_of, min(BUCKETS, 1 + total // PER_BUCKET)), "bucket int, sigs binary, owners binary")
+        packed = rows.mapInArrow(_packed_rows(k, keys_of, min(BUCKETS, 1 + total // PER_BUCKET), parts), "bucket int, sigs binary, owners binary")
         found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows(parts), "part int, sets binary, numbers binary" if parts else "sig long, o long")
         return found.repartition("part").sortWithinPartitions("part").mapInArrow(_summed_counts, "o long, n long") if parts else found
 

@@ -2,8 +2,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from cadenza.llm import ngram_join
 from cadenza.llm.line_dedup import LOWER, UPPER
 from cadenza.llm.ngram_join import _levels, ngram_components, signatures
 
@@ -89,3 +91,32 @@ def test_linked_sets_share_a_signature():
             both = len(np.intersect1d(a, b))
             if both < len(a) + len(b) - both and both * den >= num * (len(a) + len(b) - both):
                 assert Counter(signatures(a, num, den, lows, highs).tolist()) & Counter(signatures(b, num, den, lows, highs).tolist())
+
+
+@pytest.mark.parametrize("parts", [3, 0])
+def test_shared_keys_of_small_packs(parts):
+    """Keys that are shared within a pack, across packs, in both ways and not at all; one key is everybody's."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(["common", *(f"w{i}" for i in r.integers(0, 400, 12)), f"own{n}"]) for n in range(150)]
+    tasks = [texts[:60], texts[60:110], texts[110:]]
+    rows, sets = [], {}
+    for some in tasks:
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(some))), pa.array(some)], ["id", "text"])
+        for out in ngram_join._packed_rows(1, lambda grams: grams, 7, parts, at_once=90)([batch]):
+            rows += out.to_pylist()
+    for text in texts:
+        (grams,) = [g for _, g in ngram_join.shingle_sets(pa.array([text]), 1)]
+        sets[ngram_join._digest(grams) & ngram_join._MASK] = set(grams.tolist())
+    holders = Counter(g for grams in sets.values() for g in grams)
+    rows.sort(key=lambda x: x["bucket"])
+    assert sum(x["bucket"] >= 0 and len(x["owners"]) == 0 for x in rows) > 10
+    packed = [pa.RecordBatch.from_pylist(rows[i : i + 9], out.schema) for i in range(0, len(rows), 9)]
+    found = [x for b in ngram_join._folded(packed, parts) for x in b.to_pylist()]
+    want = {v: sum(holders[g] > 1 for g in grams) for v, grams in sets.items()}
+    if parts:
+        found.sort(key=lambda x: x["part"])
+        counted = ngram_join._summed_counts([pa.RecordBatch.from_pylist(found, ngram_join._COUNTS)])
+        assert {x["o"]: x["n"] for b in counted for x in b.to_pylist()} == {v: n for v, n in want.items() if n}
+    else:
+        assert Counter(x["o"] for x in {(x["sig"], x["o"]): x for x in found}.values()) == Counter({v: n for v, n in want.items() if n})
+        assert len({x["sig"] for x in found}) == sum(n > 1 for n in holders.values())
