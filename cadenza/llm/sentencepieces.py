@@ -123,15 +123,26 @@ def _hash(codes: np.ndarray) -> np.ndarray:
 
 
 def load_pieces(path: str) -> Pieces:
-    """The vocabulary of a .model file; whether it is BPE is told by its scores, which there are minus the merge ranks."""
-    import sentencepiece
+    """The vocabulary of a .model file, its algorithm and whether a space goes before each text.
 
+    A model that normalises texts further, or marks words in another way, raises: its ids would be wrong.
+    """
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(path, "rb") as f:
+        proto = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    norm, trained = proto.normalizer_spec, proto.trainer_spec
+    kinds = {trained.UNIGRAM: "unigram", trained.BPE: "bpe"}
+    if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or trained.treat_whitespace_as_suffix or trained.model_type not in kinds:
+        raise ValueError(f"{path}: only BPE and unigram models with the identity normaliser and spaces as word marks are handled")
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     n = p.get_piece_size()
+    if any(piece.type == piece.USER_DEFINED for piece in proto.pieces):
+        raise ValueError(f"{path}: pieces that are always cut out are not handled")
     scores = np.array([p.get_score(i) for i in range(n)])
     ordinary = np.array([not (p.is_unknown(i) or p.is_control(i) or p.is_unused(i) or p.is_byte(i)) for i in range(n)])
-    ranks = scores[ordinary]
-    return Pieces([p.id_to_piece(i) for i in range(n)], scores, ordinary, "bpe" if len(ranks) and (ranks == np.round(ranks)).all() else "unigram", p.unk_id())
+    return Pieces([p.id_to_piece(i) for i in range(n)], scores, ordinary, kinds[trained.model_type], p.unk_id(), norm.add_dummy_prefix)
 
 
 @cache

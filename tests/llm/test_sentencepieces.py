@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from cadenza.llm.sentencepieces import Pieces, decode_ids, encode_texts, kept_pieces, sentencepiece_ids
+from cadenza.llm.sentencepieces import Pieces, decode_ids, encode_texts, kept_pieces, load_pieces, sentencepiece_ids
 
 MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 ODD = ["", " ", "   a  b ", "\n\t", "日本語のテキスト 漢字漢字", "😀😀 ok", "a" * 300, "=-" * 200, " " * 100 + "y" * 100, "<s> </s> <unk> <0x41>", "\x00\x01", "Ünïcödé naïve", "x" * 20_000]
@@ -82,3 +82,28 @@ def test_viterbi_against_brute_force(seed):
             ids = encode_texts(pieces, [unit.replace("▁", "")])[0].tolist() if unit != "▁" else []
         if ids:
             assert "".join(texts[i] for i in ids) == unit and abs(sum(scores[i] for i in ids) - best(unit)) < 1e-9
+
+
+@pytest.mark.parametrize("change", [lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"), lambda m: setattr(m.trainer_spec, "model_type", 4), lambda m: setattr(m.pieces[900], "type", 4)])
+def test_models_that_are_not_handled(tmp_path, change):
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    change(model)
+    path = tmp_path / "other.model"
+    path.write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError):
+        load_pieces(str(path))
+
+
+def test_a_model_without_a_space_before_the_text(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    model.normalizer_spec.add_dummy_prefix = False
+    path = tmp_path / "bare.model"
+    path.write_bytes(model.SerializeToString())
+    library, texts = sentencepiece.SentencePieceProcessor(model_file=str(path)), ["house", " house", "the old  man", ""]
+    assert [x.tolist() for x in encode_texts(load_pieces(str(path)), texts)] == library.encode(texts)
