@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,7 @@ from pyspark.sql import Window as W
 
 from cadenza.functions.scalars import normal_cdf
 from cadenza.functions import vectors as V
+from cadenza.functions.shared import rewritten
 from cadenza.operators.models import Mixture, assign, class_means, covariance_matrix, k_means
 
 # Critical values of the corrected A squared by significance.
@@ -28,15 +27,10 @@ def anderson_darling(samples: DataFrame) -> DataFrame:
     Equal probabilities are one row with their count. Rows are dealt by ranges and ranked within them; the ranges' counts before give
     the rest, so no task sorts a whole record. Reverse ranks are n + 1 - i.
     """
-    spark = samples.sparkSession
     of = samples.groupBy(F.col("rec_id").alias("_of")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"))
     p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), normal_cdf((F.col("value") - F.col("mean")) / F.col("sd"))))
     each = samples.join(of, F.col("rec_id").eqNullSafe(F.col("_of"))).select("rec_id", "n", p.alias("p")).groupBy("rec_id", "n", "p").agg(F.count("*").alias("c"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cadenza-")
-    path = f"{base.rstrip('/')}/ranges-{uuid.uuid4().hex}"
-    dealt = each.repartitionByRange(F.col("rec_id"), F.col("p")).withColumn("part", F.spark_partition_id())
-    dealt.write.parquet(path)
-    dealt = spark.read.schema(dealt.schema).parquet(path)
+    dealt = rewritten(each.repartitionByRange(F.col("rec_id"), F.col("p")).withColumn("part", F.spark_partition_id()), "ranges")
     before = dealt.groupBy("rec_id", "part").agg(F.sum("c").alias("here"))
     before = before.withColumn("before", F.sum("here").over(W.partitionBy("rec_id").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("here"))
     before = before.select(F.col("rec_id").alias("_rec"), F.col("part").alias("_part"), "before")

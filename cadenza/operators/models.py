@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cadenza.functions import vectors as V
+from cadenza.functions.shared import only_row
 
 VARIANCE_FLOOR, WEIGHT_FLOOR = 1e-10, 1e-10
 
@@ -85,7 +86,7 @@ def mixture_posteriors(scored: DataFrame) -> DataFrame:
 
 def interpolate_gaussians(gaussians: DataFrame, towards: DataFrame, weight: float) -> DataFrame:
     """Means and variances moved by ``weight`` to those of the one Gaussian ``towards`` (m, s)."""
-    other = F.broadcast(towards.limit(1).select(F.col("m").alias("om"), F.col("s").alias("os")))
+    other = F.broadcast(only_row(towards, "towards").select(F.col("m").alias("om"), F.col("s").alias("os")))
     joined = gaussians.crossJoin(other)
     return joined.withColumn("m", V.interpolate(F.col("m"), F.col("om"), weight)).withColumn("s", V.interpolate(F.col("s"), F.col("os"), weight)).drop("om", "os")
 

@@ -7,14 +7,13 @@ greedy count depends on the order of segments within a recording, so each record
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import vectors as V
+from cadenza.functions.shared import only_row, rewritten
 from cadenza.functions.scalars import gender, gender_decision, in_range
 
 # Distance thresholds in degrees (same, different) by device.
@@ -113,8 +112,7 @@ def _merged(a: Column, b: Column) -> Column:
 def merge_neighbours(listed: DataFrame, same: float, voice: Voice) -> DataFrame:
     """Neighbouring segments within ``same`` degrees and of one gender become one, until no recording has any to merge.
 
-    The table is written between rounds, to ``spark.checkpoint.dir`` or where unset a temporary folder; recordings that are stable
-    aren't touched again.
+    The table is written between rounds; recordings that are stable aren't touched again.
     """
 
     def step(done: Column, b: Column) -> Column:
@@ -123,15 +121,11 @@ def merge_neighbours(listed: DataFrame, same: float, voice: Voice) -> DataFrame:
         return F.when((F.size(done) > 0) & (_apart(a, b) <= same) & (_decided(a, b, voice) == 1), joined).otherwise(F.concat(done, F.array(b)))
 
     kind = listed.schema["segs"].dataType.simpleString()
-    spark = listed.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cadenza-")
     listed, columns = listed.withColumn("_open", F.lit(True)), listed.columns
     while True:
         merged = F.when(F.col("_open"), F.aggregate("segs", F.array().cast(kind), step)).otherwise(F.col("segs"))
         step_done = listed.withColumn("_next", merged).withColumn("_open", F.size("_next") < F.size("segs")).withColumn("segs", F.col("_next")).drop("_next")
-        path = f"{base.rstrip('/')}/segments-{uuid.uuid4().hex}"
-        step_done.write.parquet(path)
-        listed = spark.read.schema(step_done.schema).parquet(path)
+        listed = rewritten(step_done, "segments")
         if listed.filter("_open").isEmpty():
             return listed.select(columns)
 
@@ -161,7 +155,7 @@ def count_with_owner(listed: DataFrame, owner: DataFrame, semi: tuple[float, flo
     The owner is compared by the ``semi`` thresholds, others by ``un``; an owner without a segment of their own isn't counted. The
     percentage is the owner's share of frames, -1 without segments.
     """
-    model = F.broadcast(owner.limit(1).select(F.struct("s", F.lit(0.0).alias("n"), "pitch").alias("owner")))
+    model = F.broadcast(only_row(owner, "owner").select(F.struct("s", F.lit(0.0).alias("n"), "pitch").alias("owner")))
     joined = listed.crossJoin(model)
     kind = listed.schema["segs"].dataType.simpleString()
 

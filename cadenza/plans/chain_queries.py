@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as C
+from cadenza.functions.shared import fresh_folder
 from cadenza.operators import clustering as G
 from cadenza.operators import models as M
 from cadenza.operators import sequence as S
@@ -22,11 +20,7 @@ KEYS = ("rec_id", "frame_idx")
 
 
 def _folder(spark) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, or where unset (local sessions) below a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='cadenza-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+    return fresh_folder(spark, "files")
 
 
 @query("win4_win5_windows", """SELECT 'rectangular' AS kind, i, 1.0::DOUBLE AS w FROM range(26) t(i)

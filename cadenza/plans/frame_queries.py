@@ -241,12 +241,24 @@ def _outer_product(table, x):
     return table.select(*KEYS, F.round(trace, 6).alias("trace"), F.round(V.total(F.flatten(m)), 6).alias("all_cells"))
 
 
-@query("sig9_dct", f"""WITH {FRAMES} SELECT rec_id, frame_idx, j AS k, round(sum(v * cos(pi() * (k + 0.5) * j / 64)) * CASE WHEN j = 0 THEN sqrt(1.0 / 64) ELSE sqrt(2.0 / 64) END, 6) + 0.0 AS v
-FROM cells, range(8) t(j) GROUP BY rec_id, frame_idx, j""")
-def dct(spark, sf_dir):
+_DCT = f"""WITH {FRAMES} SELECT rec_id, frame_idx, j AS k, round(sum(v * cos(pi() * (k + 0.5) * j / 64)) * CASE WHEN j = 0 THEN sqrt(1.0 / 64) ELSE sqrt(2.0 / 64) END, 6) + 0.0 AS v
+FROM cells, range(8) t(j) GROUP BY rec_id, frame_idx, j"""
+
+
+def _dct(spark, sf_dir, n):
     from cadenza.operators.spectral import dct_basis
 
-    return cells(frames(spark, sf_dir).withColumn("x", V.linear(dct_basis(64, 8).tolist(), F.col("x"))), *KEYS)
+    return cells(frames(spark, sf_dir).withColumn("x", V.linear(dct_basis(64, n).tolist(), F.col("x"))), *KEYS)
+
+
+@query("sig9_dct", _DCT)
+def dct(spark, sf_dir):
+    return _dct(spark, sf_dir, 8)
+
+
+@query("sig9_dct_whole", _DCT.replace("range(8)", "range(64)"))
+def dct_whole(spark, sf_dir):
+    return _dct(spark, sf_dir, 64)
 
 
 @query("sig10_hartley", f"""WITH {FRAMES} SELECT rec_id, frame_idx, j AS k, round(sum(v * (cos(2 * pi() * k * j / 64) + sin(2 * pi() * k * j / 64))), 6) + 0.0 AS v FROM cells, range(64) t(j) GROUP BY rec_id, frame_idx, j""")
@@ -256,11 +268,23 @@ def hartley(spark, sf_dir):
     return cells(frames(spark, sf_dir).withColumn("x", hartley_transform(F.col("x"))), *KEYS)
 
 
-@query("sig11_circular_acf", f"""WITH {FRAMES} SELECT a.rec_id, a.frame_idx, j AS k, round(sum(a.v * b.v), 6) + 0.0 AS v FROM cells a, range(8) t(j), cells b
-WHERE b.rec_id = a.rec_id AND b.frame_idx = a.frame_idx AND b.k = (a.k + j) % 64 GROUP BY a.rec_id, a.frame_idx, j""")
+_ACF = f"""WITH {FRAMES} SELECT a.rec_id, a.frame_idx, j AS k, round(sum(a.v * b.v), 6) + 0.0 AS v FROM cells a, range(8) t(j), cells b
+WHERE b.rec_id = a.rec_id AND b.frame_idx = a.frame_idx AND b.k = (a.k + j) % 64 GROUP BY a.rec_id, a.frame_idx, j"""
+
+
+def _acf(spark, sf_dir, lags):
+    turned = lambda j: V.dot(F.col("x"), F.concat(F.slice("x", j + 1, F.size("x")), F.slice("x", F.lit(1), j)))
+    return cells(frames(spark, sf_dir).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), turned)), *KEYS)
+
+
+@query("sig11_circular_acf", _ACF)
 def circular_acf(spark, sf_dir):
-    lags = [V.dot(F.col("x"), F.concat(F.slice("x", j + 1, 64), F.slice("x", 1, j)) if j else F.col("x")) for j in range(8)]
-    return cells(frames(spark, sf_dir).withColumn("x", F.array(*lags)), *KEYS)
+    return _acf(spark, sf_dir, 8)
+
+
+@query("sig11_circular_acf_whole", _ACF.replace("range(8)", "range(64)"))
+def circular_acf_whole(spark, sf_dir):
+    return _acf(spark, sf_dir, 64)
 
 
 @query("jn5_nearest_centroid", f"""WITH {FRAMES}, cen AS (SELECT rec_id AS c, k, avg(v) AS m FROM cells GROUP BY ALL),

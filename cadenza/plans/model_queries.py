@@ -120,7 +120,7 @@ p AS (SELECT f.rec_id, f.frame_idx, b AS k, sum(value * cos(2 * pi() * b * (idx
 SELECT rec_id, frame_idx, k, round(CASE WHEN k = 0 THEN sqrt(re * re + im * im) ELSE re * re + im * im END, 3) AS v FROM p""",
 )
 def power_spectrum(spark, sf_dir):
-    return _power_spectrum(spark, sf_dir, 4)
+    return _power_spectrum(spark, sf_dir, 4, 3)
 
 
 @query(
@@ -128,17 +128,17 @@ def power_spectrum(spark, sf_dir):
     f"""WITH {SAMPLES}, n AS (SELECT rec_id, count(*) AS n FROM samples GROUP BY rec_id), f AS (SELECT rec_id, unnest(range(CASE WHEN n < 16 THEN 1 ELSE (n - 16) // 8 + 2 END)) AS frame_idx FROM n),
 p AS (SELECT f.rec_id, f.frame_idx, b AS k, sum(value * cos(2 * pi() * b * (idx - f.frame_idx * 8) / 512)) AS re, sum(value * sin(2 * pi() * b * (idx - f.frame_idx * 8) / 512)) AS im
   FROM f JOIN samples s ON s.rec_id = f.rec_id AND s.idx >= f.frame_idx * 8 AND s.idx < f.frame_idx * 8 + 16, range(257) t(b) GROUP BY ALL)
-SELECT rec_id, frame_idx, k, round(CASE WHEN k = 0 THEN sqrt(re * re + im * im) ELSE re * re + im * im END, 3) AS v FROM p""",
+SELECT rec_id, frame_idx, k, round(CASE WHEN k = 0 THEN sqrt(re * re + im * im) ELSE re * re + im * im END, 4) + 0.0 AS v FROM p""",
 )
 def power_spectrum_whole(spark, sf_dir):
-    """As above, all bins."""
-    return _power_spectrum(spark, sf_dir, 257)
+    """As above, all bins, at four decimals: values of two decimals give bins 128 and 256 exactly four, which three would cut at ties."""
+    return _power_spectrum(spark, sf_dir, 257, 4)
 
 
-def _power_spectrum(spark, sf_dir, bins):
+def _power_spectrum(spark, sf_dir, bins, places):
     full = samples(spark, sf_dir).groupBy("rec_id").agg(F.count("*").alias("n"))
     out = _framed(spark, sf_dir).join(full, "rec_id").filter("frame_idx * 8 < n").withColumn("x", F.slice(spectral.power_spectrum(F.col("x")), 1, bins))
-    return out.select("rec_id", "frame_idx", F.posexplode("x").alias("k", "v")).select("rec_id", "frame_idx", F.col("k").cast("long").alias("k"), (F.round("v", 3) + F.lit(0.0)).alias("v"))
+    return out.select("rec_id", "frame_idx", F.posexplode("x").alias("k", "v")).select("rec_id", "frame_idx", F.col("k").cast("long").alias("k"), (F.round("v", places) + F.lit(0.0)).alias("v"))
 
 
 @query("sig3_mel_filter_bank")

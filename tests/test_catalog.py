@@ -24,9 +24,9 @@ def _rows(columns, rows):
 
 
 def _same(a, b):
-    """Equal, or numbers within the rounding of the queries (they keep 3 to 9 places)."""
+    """Equal: the queries round their numbers, and what is left of the last binary place is nothing."""
     if isinstance(a, float) and isinstance(b, float):
-        return (math.isnan(a) and math.isnan(b)) or a == b or abs(a - b) <= 1.1e-5 * max(1.0, abs(a), abs(b))
+        return (math.isnan(a) and math.isnan(b)) or a == b or abs(a - b) <= 1e-13 * max(abs(a), abs(b))
     return repr(a) == repr(b)
 
 
