@@ -77,7 +77,7 @@ class Pieces:
             raw = np.frombuffer(plain[i], np.uint8)
             self.joined[raw[:-1], raw[1:]] = True
         self.joined[:, 0x80:0xC0] = True
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         if self.kind == "bpe":
             self.by_text = {self.texts[i]: int(self.rank[i]) for i in ids}
             self._undo(ids)
@@ -264,7 +264,7 @@ def segment(pieces: Pieces, units: Iterable[str]) -> dict[str, np.ndarray]:
                 ends, _ = merged(pieces, marked)
                 out[unit] = _ids(pieces, marked, [(s, e, pieces.place.get(marked[s:e], -1)) for s, e in zip(ends, ends[1:], strict=False)])
             continue
-        step = max(1, 2_000_000 // (n * min(n, pieces.longest)))
+        step = max(1, 1_000_000 // (n * min(n, pieces.longest)))
         for a in range(0, len(same), step):
             some = same[a : a + step]
             marked = [u.replace(" ", MARK) for u in some]
@@ -335,7 +335,7 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
 
     Null texts count as empty and have no ids. Rows stay where they are: no shuffle, nothing per document on the driver.
     """
-    small_batches(docs.sparkSession, 4)
+    small_batches(docs.sparkSession, 2)
     new = {ids_col.lower(), (decoded_col or ids_col).lower()}
     kept = [f for f in docs.schema if f.name.lower() not in new]
     added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
@@ -346,7 +346,7 @@ def sentencepiece_ids(docs: DataFrame, *, model: str, text_col: str = "text", id
         pieces = kept_pieces(model)
         for batch in batches:
             _, offsets = text_buffers(batch.column(len(names)))
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 part = batch.slice(a, b - a)
                 ids, bounds = encode_column(pieces, part.column(len(names)))
                 columns = [part.column(i) for i in range(len(names))] + [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct units that a task keeps with their ids; beyond, it starts anew.
-KNOWN = 300_000
+KNOWN = 150_000
 
 
-def take_units(raw: np.ndarray, offsets: np.ndarray, opens: np.ndarray, known: dict[str, np.ndarray], encode: Callable[[list[str]], dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def take_units(raw: np.ndarray, offsets: np.ndarray, opens: np.ndarray, known: dict[str, bytes], encode: Callable[[list[str]], dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all rows, where each row's begin and the last end). ``opens`` marks the bytes that begin a unit; rows always do."""
     if not len(raw):
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
@@ -23,9 +23,11 @@ def take_units(raw: np.ndarray, offsets: np.ndarray, opens: np.ndarray, known: d
     distinct = units.dictionary.to_pylist()
     if len(known) > KNOWN:
         known.clear()
-    known |= encode([u for u in distinct if u not in known])
+    # As bytes: an array of a few ids would take twice the memory and keep alive what it was cut from.
+    known |= {u: np.asarray(x, np.int32).tobytes() for u, x in encode([u for u in distinct if u not in known]).items()}
     found = [known[u] for u in distinct]
-    lists = pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, found)]), np.concatenate(found)).take(units.indices)
+    ends = np.cumsum([0, *map(len, found)]) // 4
+    lists = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(found), np.int32)).take(units.indices)
     ids, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     bounds = ends[np.searchsorted(starts, offsets)]
     return ids[bounds[0] : bounds[-1]], bounds - bounds[0]
