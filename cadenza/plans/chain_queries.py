@@ -176,6 +176,23 @@ def wav_files(spark, sf_dir):
     return back.select(F.regexp_extract("rec_id", r"([^/]+)\.wav$", 1).cast("long").alias("rec_id"), "idx", r6(F.col("value")).alias("value"))
 
 
+@query("src4_concatenated_audio", f"""WITH {SAMPLES}, t AS (SELECT max(abs(value)) AS top FROM samples), n AS (SELECT rec_id, count(*) AS n, (count(*) + 15) // 16 * 16 AS filled FROM samples GROUP BY rec_id),
+b AS (SELECT *, coalesce(sum(filled) OVER (ORDER BY rec_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM n)
+SELECT (b.begin + r.i)::BIGINT AS idx, coalesce(round(floor(value / top * 32767 + 0.5) / 32767, 6), 0) + 0.0 AS value, 1::BIGINT AS skipped
+FROM b, LATERAL (SELECT unnest(range(b.filled)) AS i) r, t LEFT JOIN samples s ON s.rec_id = b.rec_id AND s.idx = r.i""")
+def concatenated_audio(spark, sf_dir):
+    """Recordings one after the other in the order of a list, each filled up to whole buffers; a listed file that isn't there is reported."""
+    folder, s = _folder(spark), samples(spark, sf_dir)
+    top = s.agg(F.max(F.abs("value"))).first()[0]
+    files = sinks.write_wav_files(s.select("rec_id", "idx", (F.col("value") / top).alias("value")), folder)
+    ids = s.select("rec_id").distinct()
+    files.count()
+    listed = ids.select((-F.col("rec_id")).alias("pos"), F.concat(F.lit(f"{folder}/"), F.col("rec_id").cast("string"), F.lit(".wav")).alias("path"))
+    listed = listed.unionByName(spark.range(1).select(F.lit(-3).cast("long").alias("pos"), F.lit(f"{folder}/missing.wav").alias("path")))
+    rows, skipped = formats.concatenated_audio(listed, buffer=16)
+    return rows.select("idx", r6(F.col("value")).alias("value"), F.lit(skipped.count()).cast("long").alias("skipped"))
+
+
 @query("snk16_conversion", f"WITH {FRAMES} SELECT round((floor(v * 1000 + 0.5) / 1000)::FLOAT::DOUBLE, 6) + 0.0 AS v, count(*) AS n FROM cells GROUP BY ALL")
 def conversion(spark, sf_dir):
     """Frames as double precision files, converted to text of three decimals and on to single precision files."""

@@ -1,7 +1,7 @@
 """File formats of frames, samples, labels, audio and models: readers and writers over Spark's file sources.
 
-Binary files are read whole by ``binaryFile`` and decoded where they are read; text formats are split by Spark. Everything is
-little-endian.
+Frame, sample and audio files are read by byte ranges (:mod:`cadenza.sources.ranges`), text formats are split by Spark; files of byte
+labels and labelled frames are read whole. Everything is little-endian.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.sources import ranges
+
 #: Bytes of decoded frames in one batch handed back to Spark.
 BATCH_BYTES = 8 << 20
 LABEL_BYTES = 12
@@ -52,19 +54,28 @@ def encode_frames(rows: np.ndarray, double: bool = False, header: bool = True) -
     return (struct.pack("<i", rows.shape[1]) if header else b"") + rows.astype("<f8" if double else "<f4").tobytes()
 
 
-def read_frames(spark: SparkSession, path: str | list[str], *, double: bool = False, dim: int | None = None) -> DataFrame:
-    """rec_id (the file), frame_idx, x of binary frame files."""
+def _frame_layout(double: bool, dim: int | None) -> ranges.Layout:
+    size = 8 if double else 4
+
+    def layout(head: bytes, length: int) -> tuple[int, int, int, int]:
+        width, at = dim, 0
+        if width is None:
+            if len(head) < 4:
+                raise FormatError("a frame file without its width")
+            width, at = struct.unpack_from("<i", head)[0], 4
+        if width <= 0 or (length - at) % (width * size):
+            raise FormatError("the rows of a frame file are not whole")
+        return width, at, width * size, (length - at) // (width * size)
+
+    return layout
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = decode_frames(raw, double, dim)
-                step = max(1, BATCH_BYTES // (8 * rows.shape[1]))
-                for a in range(0, len(rows), step):
-                    part = rows[a : a + step]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(a, a + len(part))), _vectors(part)], ["rec_id", "frame_idx", "x"])
 
-    return _files(spark, path).mapInArrow(run, "rec_id string, frame_idx long, x array<double>")
+def read_frames(spark: SparkSession, path: str | list[str], *, double: bool = False, dim: int | None = None, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """rec_id (the file), frame_idx, x of binary frame files, by byte ranges."""
+    kind = "<f8" if double else "<f4"
+    files = ranges.whole(ranges.measured(ranges.listed(spark, path), _frame_layout(double, dim)))
+    rows = ranges.read_ranges(files, lambda raw, width: [_vectors(np.frombuffer(raw, kind).reshape(-1, width))], "x array<double>", range_bytes)
+    return rows.select(F.col("path").alias("rec_id"), F.col("row").alias("frame_idx"), "x")
 
 
 def read_labelled_frames(spark: SparkSession, path: str, dim: int) -> DataFrame:
@@ -81,17 +92,23 @@ def read_labelled_frames(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return _files(spark, path).mapInArrow(run, "rec_id string, frame_idx long, label string, x array<double>")
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """rec_id, idx, c, y, x of binary sample files: a 32-bit width, then class, result and single precision row."""
+def read_samples(spark: SparkSession, path: str, *, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """rec_id, idx, c, y, x of binary sample files: a 32-bit width, then class, result and single precision row; by byte ranges."""
 
-    def run(batches):
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (dim,) = struct.unpack_from("<i", raw)
-                rows = np.frombuffer(raw, np.dtype([("c", "<i2"), ("y", "<i2"), ("x", "<f4", (dim,))]), offset=4)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(np.arange(len(rows))), pa.array(rows["c"].astype(np.int16)), pa.array(rows["y"].astype(np.int16)), _vectors(rows["x"])], ["rec_id", "idx", "c", "y", "x"])
+    def layout(head: bytes, length: int) -> tuple[int, int, int, int]:
+        if len(head) < 4:
+            raise FormatError("a sample file without its width")
+        (width,) = struct.unpack_from("<i", head)
+        if width <= 0 or (length - 4) % (4 + 4 * width):
+            raise FormatError("the rows of a sample file are not whole")
+        return width, 4, 4 + 4 * width, (length - 4) // (4 + 4 * width)
 
-    return _files(spark, path).mapInArrow(run, "rec_id string, idx long, c smallint, y smallint, x array<double>")
+    def decode(raw: bytes, width: int) -> list[pa.Array]:
+        rows = np.frombuffer(raw, np.dtype([("c", "<i2"), ("y", "<i2"), ("x", "<f4", (width,))]))
+        return [pa.array(rows["c"].astype(np.int16)), pa.array(rows["y"].astype(np.int16)), _vectors(rows["x"])]
+
+    rows = ranges.read_ranges(ranges.whole(ranges.measured(ranges.listed(spark, path), layout)), decode, "c smallint, y smallint, x array<double>", range_bytes)
+    return rows.select(F.col("path").alias("rec_id"), F.col("row").alias("idx"), "c", "y", "x")
 
 
 def encode_samples(c: np.ndarray, y: np.ndarray, x: np.ndarray) -> bytes:
@@ -186,17 +203,40 @@ def encode_wav(values: np.ndarray, rate: int = 8000) -> bytes:
     return wav_header(len(values), rate) + np.clip(np.round(np.asarray(values) * 32767), -32768, 32767).astype("<i2").tobytes()
 
 
-def read_audio(spark: SparkSession, path: str | list[str], *, wav: bool = True, chunk: int = 8000, **form) -> DataFrame:
-    """rec_id, chunk_idx, samples (array): ``chunk`` samples a row; the header of ``wav`` files is skipped."""
+def _audio_layout(wav: bool, bits: int, law: str | None) -> ranges.Layout:
+    step, at = 1 if law else bits // 8, 44 if wav else 0
+
+    def layout(head: bytes, length: int) -> tuple[int, int, int, int]:
+        if wav and (head[:4] != b"RIFF" or head[8:12] != b"WAVE"):
+            raise FormatError("not a WAV file")
+        return 1, at, step, max(0, length - at) // step
+
+    return layout
+
+
+def read_audio(spark: SparkSession, path: str | list[str], *, wav: bool = True, chunk: int = 8000, bits: int = 16, law: str | None = None, **form) -> DataFrame:
+    """rec_id, chunk_idx, samples (array): ``chunk`` samples a row, by byte ranges; the 44 bytes before those of ``wav`` files are skipped."""
+    inner, step = _audio_layout(wav, bits, law), 1 if law else bits // 8
+
+    def layout(head: bytes, length: int) -> tuple[int, int, int, int]:  # a row is a chunk; the last may be short
+        _, at, _, n = inner(head, length)
+        return 1, at, chunk * step, n // chunk
+
+    def decode(raw: bytes, _: int) -> list[pa.Array]:
+        return [_vectors(decode_pcm(raw, bits=bits, law=law, **form).reshape(-1, chunk))]
+
+    files = ranges.whole(ranges.measured(ranges.listed(spark, path), layout))
+    full = ranges.read_ranges(files, decode, "samples array<double>").select(F.col("path").alias("rec_id"), F.col("row").alias("chunk_idx"), "samples")
+    rest = ranges.whole(ranges.measured(ranges.listed(spark, path), lambda head, length: (1, inner(head, length)[1] + inner(head, length)[3] // chunk * chunk * step, step, inner(head, length)[3] % chunk)))
+    each = ranges.read_ranges(rest, lambda raw, _: [pa.array(decode_pcm(raw, bits=bits, law=law, **form))], "value double")
+    short = each.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("s"))  # fewer than a chunk
+    short = short.join(rest.select("path", "at", "step"), "path").select(F.col("path").alias("rec_id"), F.floor((F.col("at") - (44 if wav else 0)) / (chunk * F.col("step"))).alias("chunk_idx"), F.col("s.value").alias("samples"))
+    return full.unionByName(short)
 
-    def run(batches):
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = decode_pcm(raw, header=44 if wav else 0, **form)
-                parts = [values[a : a + chunk] for a in range(0, len(values), chunk)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(np.arange(len(parts))), pa.array([p.tolist() for p in parts], pa.list_(pa.float64()))], ["rec_id", "chunk_idx", "samples"])
 
-    return _files(spark, path).mapInArrow(run, "rec_id string, chunk_idx long, samples array<double>")
+def concatenated_audio(files: DataFrame, *, buffer: int, wav: bool = True, bits: int = 16, law: str | None = None, **form) -> tuple[DataFrame, DataFrame]:
+    """(idx, value; the skipped files) of audio files listed as (pos, path): see :func:`cadenza.sources.ranges.concatenated`."""
+    return ranges.concatenated(files, _audio_layout(wav, bits, law), lambda raw, _: [pa.array(decode_pcm(raw, bits=bits, law=law, **form))], buffer)
 
 
 def sample_rows(audio: DataFrame, chunk: int = 8000) -> DataFrame:
