@@ -196,12 +196,23 @@ def concatenated_audio(spark, sf_dir):
 @query("snk16_conversion", f"WITH {FRAMES} SELECT round((floor(v * 1000 + 0.5) / 1000)::FLOAT::DOUBLE, 6) + 0.0 AS v, count(*) AS n FROM cells GROUP BY ALL")
 def conversion(spark, sf_dir):
     """Frames as double precision files, converted to text of three decimals and on to single precision files."""
+    return _converted(spark, sf_dir).select(F.explode("x").alias("v")).groupBy(r6(F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+
+
+@query("snk16_conversion_by_record", f"WITH {FRAMES} SELECT rec_id::BIGINT AS rec_id, frame_idx, k, round((floor(v * 1000 + 0.5) / 1000)::FLOAT::DOUBLE, 6) + 0.0 AS v FROM cells")
+def conversion_by_record(spark, sf_dir):
+    """As above: records and the order of their frames come through the text."""
+    return cells(_converted(spark, sf_dir), *KEYS)
+
+
+def _converted(spark, sf_dir):
+    """Each form is written and read by record, so by as many tasks as there are records."""
     first, second, third = (_folder(spark) for _ in range(3))
     sinks.write_as(frames(spark, sf_dir), first, "double")
-    sinks.convert(spark, first, "double", second, "ascii")
-    lines = sinks.read_as(spark, second, "ascii", 64).withColumn("rec_id", F.lit("all"))
-    sinks.write_as(lines, third, "float")
-    return sinks.read_as(spark, third, "float").select(F.explode("x").alias("v")).groupBy(r6(F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    named = sinks.read_as(spark, first, "double").withColumn("rec_id", F.regexp_extract("rec_id", r"([^/]+)\.ft$", 1))
+    sinks.write_as(named, second, "ascii")
+    sinks.write_as(sinks.read_as(spark, second, "ascii", 64), third, "float")
+    return sinks.read_as(spark, third, "float").withColumn("rec_id", F.regexp_extract("rec_id", r"([^/]+)\.ft$", 1).cast("long"))
 
 
 @query("src26_audio_formats", """SELECT * FROM (VALUES ('ssg/16', 16, 16000, 0, NULL), ('ssg/8', 16, 8000, 0, NULL), ('ulaw/16', 8, 16000, 0, 'ulaw'), ('ulaw/8', 8, 8000, 0, 'ulaw'), ('alaw/16', 8, 16000, 0, 'alaw'), ('alaw/8', 8, 8000, 0, 'alaw'),

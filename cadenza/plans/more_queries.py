@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadenza.functions import vectors as V
+from cadenza.functions.shared import rewritten
+from cadenza.operators import accumulators as A
 from cadenza.operators import clustering as G
 from cadenza.operators import models as M
 from cadenza.plans.bindings import FRAMES, cells, frames, r6
-from cadenza.plans.catalog import query
+from cadenza.plans.catalog import query, table
 
 KEYS = ("rec_id", "frame_idx")
 _CLASSES = "g AS (SELECT rec_id AS c, k, avg(v) AS m, greatest(var_pop(v), 1e-10) AS s, count(*) AS n FROM cells GROUP BY ALL)"
@@ -119,6 +121,28 @@ def full_gaussian_scores(spark, sf_dir):
     return f.select(*KEYS, F.round(F.lit(float(half)) - 0.5 * V.dot(d, V.linear(precision.tolist(), d)), 6).alias("score"))
 
 
+@query("agg8_kept_accumulator", f"""WITH {FRAMES.replace('FROM embeddings)', 'FROM embeddings WHERE vec_id % 3 <> 0)', 1)}
+SELECT rec_id, k, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(var_pop(v), 6) + 0.0 AS var FROM cells GROUP BY rec_id, k""")
+def kept_accumulator(spark, sf_dir):
+    """Statistics of two parts, kept as tables and added; then one part is taken away again."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("rec_id"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    a, b = (rewritten(A.statistics(rows.filter(which)), "statistics") for which in ("vec_id % 3 = 0", "vec_id % 3 <> 0"))
+    left = A.without(rewritten(A.merged(a, b), "statistics"), a)
+    squares = F.transform("s", lambda v, i: F.element_at("q", ((i + 1) * (i + 2) / 2).cast("int")))
+    cells_ = left.select("rec_id", "n", F.posexplode(F.arrays_zip("s", squares.alias("q"))).alias("k", "c"))
+    mean = F.col("c.s") / F.col("n")
+    return cells_.select("rec_id", F.col("k").cast("long").alias("k"), "n", r6(mean).alias("mean"), r6(F.col("c.q") / F.col("n") - mean * mean).alias("var"))
+
+
+@query("sta2_full_gaussians_by_class")
+def full_gaussians_by_class(spark, sf_dir):
+    """The best of full Gaussians of each class and its log density; class 0 loses a component, so its covariance has no inverse."""
+    x = F.when(F.col("rec_id") == 0, F.transform("x", lambda v, i: F.when(i == 0, 0.0).otherwise(v))).otherwise(F.col("x"))
+    f = frames(spark, sf_dir).withColumn("x", x)
+    scored = A.full_scores(f, A.FullGaussians.of(A.statistics(f)))
+    return scored.select(*KEYS, (F.array_position("scores", F.array_max("scores")) - 1).alias("best"), F.round(F.array_max("scores"), 6).alias("score"))
+
+
 @query("sta10_g_means")
 def g_means(spark, sf_dir):
     at = G.g_means(frames(spark, sf_dir), 0.0001, most=4)

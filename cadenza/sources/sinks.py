@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import round_half_up
@@ -138,17 +139,34 @@ def read_as(spark: SparkSession, path: str, form: str, dim: int | None = None) -
     if form in ("float", "double"):
         return formats.read_frames(spark, path, double=form == "double", dim=dim)
     if form == "ascii":
-        return formats.read_text_frames(spark, path, dim).withColumn("frame_idx", F.monotonically_increasing_id()).select("rec_id", "frame_idx", "x")
+        return _numbered_text(spark, path, dim)
     raise ValueError(f"unknown format {form}")
 
 
+def _numbered_text(spark: SparkSession, path: str, dim: int | None) -> DataFrame:
+    """rec_id, frame_idx, x of text frames: a record is a ``rec_id=`` folder, or where there are none a file.
+
+    Lines are numbered by file, split and order within the split, so frames keep their order whatever the number of tasks.
+    """
+    text = spark.read.text(path)
+    record = F.col("rec_id").cast("string") if "rec_id" in text.columns else F.col("_metadata.file_path")
+    lines = text.select(record.alias("rec_id"), F.split(F.trim("value"), r"\s+").alias("parts"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.filter(F.col("parts")[0] != "")
+    x = F.transform("parts", lambda v: v.cast("double"))
+    if dim is not None:
+        x = F.when(F.size("parts") == dim, x).otherwise(F.raise_error(F.lit(f"a frame that is not {dim} wide")))
+    order = W.partitionBy("rec_id").orderBy("file", "at", "line")
+    return lines.select("rec_id", (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), x.alias("x"))
+
+
 def write_as(frames: DataFrame, folder: str, form: str) -> None:
     """Frames in one of the formats that :func:`read_as` reads; text has three decimals."""
     if form in ("float", "double"):
         write_frame_files(frames, folder, double=form == "double").count()
     elif form == "ascii":
         rounded = frames.withColumn("line", F.concat_ws(" ", F.transform("x", lambda v: round_half_up(v).cast("string"))))
-        rounded.repartition("rec_id").sortWithinPartitions("rec_id", "frame_idx").select(F.col("line").alias("value")).write.mode("overwrite").text(folder)
+        rounded = rounded.repartition("rec_id").sortWithinPartitions("rec_id", "frame_idx")
+        rounded.select("rec_id", F.col("line").alias("value")).write.mode("append").partitionBy("rec_id").text(folder)
     else:
         raise ValueError(f"unknown format {form}")
 
