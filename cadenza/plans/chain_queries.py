@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as C
-from cadenza.functions.shared import fresh_folder
+from cadenza.functions.shared import fresh_folder, rewritten
+from cadenza.operators import chains as H
 from cadenza.operators import clustering as G
 from cadenza.operators import models as M
+from cadenza.operators import nuisance as N
 from cadenza.operators import sequence as S
 from cadenza.operators import speakers as P
 from cadenza.operators import spectral
@@ -301,3 +303,81 @@ def mixture_emissions(spark, sf_dir):
     listed = f.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "x"))), lambda c: c["x"]).alias("frames"))
     out = M.decode_frames(listed, M.Chain.topology("LINEAR", 3, 1), lambda x: M.mixture_emissions(x, states))
     return out.select("rec_id", F.concat_ws(" ", F.transform("q", lambda q: q.cast("string"))).alias("q"), F.round("score", 4).alias("score"))
+
+
+def _class_mixture(f) -> M.Mixture:
+    """The Gaussians of all classes, by class."""
+    rows = M.class_gaussians(f, "rec_id").orderBy("id").collect()
+    return M.Mixture(np.array([r["weight"] for r in rows]), np.array([r["m"] for r in rows]), np.array([r["s"] for r in rows]))
+
+
+def _own_mixtures(f) -> H.FrameChain:
+    """States that start from two classes' Gaussians each, the last one from what is left."""
+    whole = _class_mixture(f)
+    pairs = [slice(i, i + 2) for i in range(0, len(whole.weights), 2)]
+    states = [M.Mixture(whole.weights[p] / whole.weights[p].sum(), whole.means[p], whole.variances[p]) for p in pairs]
+    return H.FrameChain.of_mixtures(M.Chain.topology("ERGODIC", len(states), 1), states)
+
+
+def _shared_codebook(f) -> H.FrameChain:
+    """Three states over one codebook of all classes' Gaussians, each of which prefers another third of it."""
+    book = _class_mixture(f)
+    prefer = np.array([[3.0 if c % 3 == s else 1.0 for c in range(len(book.weights))] for s in range(3)])
+    return H.FrameChain.of_codebook(M.Chain.topology("ERGODIC", 3, 1), book, prefer / prefer.sum(1, keepdims=True))
+
+
+def _trained(spark, chain: H.FrameChain, lls: list[float]):
+    rows = [(part, i, j, float(v)) for part in ("transitions", "weights", "means", "variances") for i, r in enumerate(getattr(chain, part)) for j, v in enumerate(r)]
+    rows += [("initial", i, 0, float(v)) for i, v in enumerate(chain.initial)] + [("log likelihood", t, 0, v) for t, v in enumerate(lls)]
+    return spark.createDataFrame(rows, "part string, i int, j int, v double")
+
+
+@query("sta28_train_mixtures")
+def train_mixtures(spark, sf_dir):
+    """Three turns over the frames of every class, states with mixtures of their own."""
+    f = frames(spark, sf_dir)
+    return _trained(spark, *H.train(f, _own_mixtures(f), 3))
+
+
+@query("sta28_train_shared_codebook")
+def train_shared_codebook(spark, sf_dir):
+    """Three turns over the frames of every class, states that share a codebook."""
+    f = frames(spark, sf_dir)
+    return _trained(spark, *H.train(f, _shared_codebook(f), 3))
+
+
+@query("sta28_sta27_best_states")
+def best_states(spark, sf_dir):
+    """The best state of every frame along its class, by chunks."""
+    f = frames(spark, sf_dir)
+    return H.best_states(f, _own_mixtures(f)).select("rec_id", "frame_idx", "q", F.round("score", 4).alias("score"))
+
+
+@query(
+    "sta21_channel_scatter",
+    f"""WITH {FRAMES}, n AS (SELECT rec_id, count(*) AS n FROM frames GROUP BY rec_id), t AS (SELECT count(*) AS t FROM frames),
+s AS (SELECT rec_id, k, sum(v) AS s FROM cells GROUP BY ALL), w AS (SELECT k, sum(s) AS s FROM s GROUP BY k),
+q AS (SELECT a.k AS i, b.k AS j, sum((t - n) * a.v * b.v) AS v FROM cells a JOIN cells b USING (rec_id, frame_idx) JOIN n USING (rec_id), t WHERE b.k <= a.k GROUP BY ALL),
+c AS (SELECT a.k AS i, b.k AS j, sum(a.s * b.s) AS v FROM s a JOIN s b USING (rec_id) GROUP BY ALL)
+SELECT i, j, round((q.v + c.v - a.s * b.s) / t / t, 8) + 0.0 AS v FROM q JOIN c USING (i, j) JOIN w a ON a.k = i JOIN w b ON b.k = j, t""",
+)
+def channel_scatter(spark, sf_dir):
+    """Scatter between frames of different classes, a pair's share of all pairs."""
+    f = frames(spark, sf_dir)
+    whole = N.scatter(N.channel_rows(f, "rec_id")) / float(f.count()) ** 2
+    return spark.createDataFrame([(i, j, float(whole[i, j])) for i in range(len(whole)) for j in range(i + 1)], "i long, j long, v double").select("i", "j", (F.round("v", 8) + 0.0).alias("v"))
+
+
+@query("sta21_channel_compensation")
+def channel_compensation(spark, sf_dir):
+    """Frames without the two leading directions between classes."""
+    f = frames(spark, sf_dir)
+    return cells(G.remove_nuisance(f, N.directions(N.channel_rows(f, "rec_id"), 2)[0]), *KEYS)
+
+
+@query("sta21_session_compensation")
+def session_compensation(spark, sf_dir):
+    """Frames without the two leading directions between frames of one place in different classes, by subspace iteration."""
+    f = frames(spark, sf_dir)
+    rows = rewritten(N.session_rows(f, "rec_id", "frame_idx", ragged=True), "pairs")
+    return cells(G.remove_nuisance(f, N.directions(rows, 2, widest=0)[0]), *KEYS)
