@@ -16,7 +16,8 @@ from cadenza.operators import speakers as P
 from cadenza.operators import spectral
 from cadenza.plans.bindings import DIARY, FRAMES, SAMPLES, cells, diary, frames, r6, samples
 from cadenza.plans.catalog import query, table
-from cadenza.sources import formats, sinks
+from cadenza.sources import formats, ranges, sinks
+from cadenza.sources.work import ChunkWork
 
 KEYS = ("rec_id", "frame_idx")
 
@@ -381,3 +382,24 @@ def session_compensation(spark, sf_dir):
     f = frames(spark, sf_dir)
     rows = rewritten(N.session_rows(f, "rec_id", "frame_idx", ragged=True), "pairs")
     return cells(G.remove_nuisance(f, N.directions(rows, 2, widest=0)[0]), *KEYS)
+
+
+@query("src14_resumable_chunks", f"WITH {FRAMES} SELECT rec_id::BIGINT AS rec_id, count(DISTINCT frame_idx) AS n, round(sum(v::FLOAT::DOUBLE), 6) + 0.0 AS v FROM cells GROUP BY rec_id")
+def resumable_chunks(spark, sf_dir):
+    """Frame files as a list of chunks: three batches of it are run, the rest by another start, each file once."""
+    folder = _folder(spark)
+    written = sinks.write_frame_files(frames(spark, sf_dir), folder)
+    written.count()
+    files = ranges.listed(spark, folder, "*.ft").select(F.col("path").alias("chunk"))
+
+    def work(chunks):
+        paths = [r["chunk"] for r in chunks.collect()]  # the names of one batch
+        each = formats.read_frames(spark, paths)
+        total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
+        return each.groupBy(F.regexp_extract("rec_id", r"([^/]+)\.ft$", 1).cast("long").alias("rec_id")).agg(F.count("*").alias("n"), F.sum(total).alias("v"))
+
+    at = _folder(spark)
+    ChunkWork.create(files, at, 8).run(work, 3)
+    again = ChunkWork(spark, at)
+    again.run(work)
+    return again.results().select("rec_id", "n", r6(F.col("v")).alias("v"))
