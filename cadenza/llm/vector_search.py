@@ -3,7 +3,8 @@
 Vectors are scaled to length 1 and rotated at random, so that the first columns of a difference estimate the whole. Lists are the
 cells of centroids fitted on a bounded sample; every vector is in one list, lists are cut into blocks of bounded size, and a
 query probes the lists of its nearest centroids. A block is scanned by blocks of columns: a candidate is dropped as soon as
-its partial distance refutes, at the chosen level, that it is as near as the k-th found. Equal vectors are one until the end.
+its partial distance refutes, at the chosen level, that it is as near as the k-th found. The nearest list is scanned first, and the k-th
+distance found in all of its blocks goes with the query to the other lists. Equal vectors are one until the end.
 """
 
 from __future__ import annotations
@@ -45,28 +46,34 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def _cell_rows(turn: np.ndarray, centroids: np.ndarray, probes: int, names: np.ndarray):
-    """(u, rotated) -> (list, u, rotated) for the nearest ``probes`` centroids, which have ``names``."""
+    """(u, rotated) -> (list, u, rotated, whether it is the nearest) for the nearest ``probes`` centroids, which have ``names``."""
 
     def run(batches):
         for batch in batches:
             x = _matrix(batch.column(1), len(turn))
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn
-            near = np.argpartition(-(x @ centroids.T), probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.tile(np.arange(len(centroids)), (len(x), 1))
+            close = x @ centroids.T
+            near = np.argpartition(-close, probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.tile(np.arange(len(centroids)), (len(x), 1))
+            nearest = np.zeros(near.shape, bool)
+            nearest[np.arange(len(x)), np.take_along_axis(close, near, 1).argmax(1)] = True
             row = np.repeat(np.arange(len(x)), near.shape[1])
             flat = pa.array(x[row].ravel())
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(turn)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(names[near.ravel()]), batch.column(0).take(pa.array(row)), vectors], ["list", "u", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[near.ravel()]), batch.column(0).take(pa.array(row)), vectors, pa.array(nearest.ravel())], ["list", "u", "x", "nearest"])
 
     return run
 
 
-def scan_block(v: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(indices, squared distances) of the up to ``k`` nearest rows of ``v`` found for each row of ``q``."""
+def scan_block(v: np.ndarray, q: np.ndarray, k: int, bounds: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices, squared distances) of the up to ``k`` nearest rows of ``v`` found for each row of ``q``.
+
+    ``bounds``: distances of k rows that are known elsewhere; what is farther isn't returned. Without one (infinite) the first rows give it.
+    """
     dim, out = v.shape[1], []
-    head = min(len(v), max(4 * k, 32))
-    for row in q:
+    for row, known in zip(q, np.full(len(q), np.inf) if bounds is None else bounds, strict=True):
+        head = min(len(v), max(4 * k, 32)) if known == np.inf else 0
         near = ((v[:head] - row) ** 2).sum(1)
-        bound = np.partition(near, k - 1)[k - 1] if head >= k else np.inf
+        bound = np.partition(near, k - 1)[k - 1] if head >= k else known
         live, partial = np.arange(head, len(v)), np.zeros(len(v) - head)
         for c in range(0, dim, COLUMNS):
             partial = partial + ((v[live, c : c + COLUMNS] - row[c : c + COLUMNS]) ** 2).sum(1)
@@ -87,17 +94,17 @@ def _scan_rows(k: int):
                 vu, qu = vs.field("u").to_numpy(), qs.field("u").to_numpy()
                 v = np.asarray(vs.field("x").flatten()).reshape(len(vu), -1)
                 q = np.asarray(qs.field("x").flatten()).reshape(len(qu), -1)
-                found = scan_block(v, q, k)
+                found = scan_block(v, q, k, qs.field("bound").to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qu, [len(a) for a, _ in found])), pa.array(vu[np.concatenate([a for a, _ in found])]), pa.array(np.concatenate([d for _, d in found]))], ["qu", "u", "far"])
 
     return run
 
 
-def _blocks(cells: DataFrame, size: int, name: str) -> DataFrame:
-    """(list, ``name``: array of (u, x)), blocks of about ``size`` rows: large lists are dealt over several."""
+def _blocks(cells: DataFrame, size: int, name: str, *more: str) -> DataFrame:
+    """(list, ``name``: array of (u, x, more)), blocks of about ``size`` rows: large lists are dealt over several."""
     sizes = cells.groupBy("list").agg(F.ceil(F.count("*") / F.lit(size)).alias("parts"))
     dealt = cells.join(bounded(sizes), "list").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")))
-    return dealt.groupBy("list", "part").agg(F.collect_list(F.struct("u", "x")).alias(name)).drop("part")
+    return dealt.groupBy("list", "part").agg(F.collect_list(F.struct("u", "x", *more)).alias(name)).drop("part")
 
 
 def usable(x: Column) -> Column:
@@ -165,17 +172,29 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     sample = (sample / np.linalg.norm(sample, axis=1, keepdims=True)) @ turn
     lists = int(max(1, min(np.sqrt(n) / 2, len(sample) / 16)))
     centroids = _centroids(sample, lists, seed)
-    cells = written(distinct.select("u", "x").mapInArrow(_cell_rows(turn, centroids, 1, np.arange(lists, dtype=np.int32)), "list int, u long, x array<double>"), "vector-cells")
+    cell = "list int, u long, x array<double>, nearest boolean"
+    cells = written(distinct.select("u", "x").mapInArrow(_cell_rows(turn, centroids, 1, np.arange(lists, dtype=np.int32)), cell).drop("nearest"), "vector-cells")
     sizes = {r["list"]: r["count"] for r in cells.groupBy("list").count().collect()}  # a row per list
     names = np.array(sorted(sizes), np.int32)
     # Enough lists for k other vectors in any case.
     least = 1 + int(np.searchsorted(np.cumsum(sorted(sizes.values())), k + 1))
     probes = min(len(names), max(least, _probes(sample, centroids[names], k, recall, seed)))
-    questions = distinct.select("u", "x").join(asked.select("u").distinct(), "u", "left_semi").mapInArrow(_cell_rows(turn, centroids[names], probes, names), "list int, u long, x array<double>")
-    pairs = _blocks(cells, VECTORS, "vs").join(_blocks(written(questions, "query-cells"), QUERIES, "qs"), "list").select("vs", "qs")
-    found = pairs.mapInArrow(_scan_rows(k + 1), "qu long, u long, far double")
-    best = found.withColumn("place", F.row_number().over(W.partitionBy("qu").orderBy("far", "u"))).filter(F.col("place") <= k + 1).select("qu", "u")
-    best = written(best, "vector-found")
+    questions = written(distinct.select("u", "x").join(asked.select("u").distinct(), "u", "left_semi").mapInArrow(_cell_rows(turn, centroids[names], probes, names), cell), "query-cells")
+    blocks = written(_blocks(cells, VECTORS, "vs"), "vector-blocks")
+
+    def kept(found: DataFrame) -> DataFrame:
+        return found.withColumn("place", F.row_number().over(W.partitionBy("qu").orderBy("far", "u"))).filter(F.col("place") <= k + 1).select("qu", "u", "far")
+
+    def scanned(some: DataFrame) -> DataFrame:
+        return blocks.join(_blocks(some, QUERIES, "qs", "bound"), "list").select("vs", "qs").mapInArrow(_scan_rows(k + 1), "qu long, u long, far double")
+
+    best = written(kept(scanned(questions.filter("nearest").withColumn("bound", F.lit(float("inf"))))), "vector-first")
+    if probes > 1:
+        known = best.groupBy(F.col("qu").alias("u")).agg(F.count("*").alias("n"), F.max("far").alias("bound"))
+        bound = F.when(F.col("n") == k + 1, F.col("bound")).otherwise(float("inf"))
+        others = questions.filter("not nearest").join(known, "u", "left").select("list", "u", "x", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
+        best = written(kept(best.unionByName(scanned(written(others, "query-others")))), "vector-found")
+    best = best.select("qu", "u")
 
     own = distinct.select(F.col("u").alias("qu"), F.col("x").alias("qx"))
     scored = best.join(distinct, "u").join(own, "qu").select("qu", "ids", _cosine(F.col("qx"), F.col("x")).alias("score"))

@@ -87,3 +87,17 @@ def test_scan_drops_few_true_neighbours():
     for row, (ids, _) in zip(q, scan_block(v, q, 6), strict=True):
         hits += len(set(ids) & set(np.argsort(((v - row) ** 2).sum(1))[:6]))
     assert hits >= 0.95 * 120
+
+
+def test_a_bound_from_elsewhere_drops_only_what_is_farther():
+    rng = np.random.default_rng(2)
+    v, q = rng.normal(size=(300, 64)), rng.normal(size=(20, 64))
+    far = ((v[None] - q[:, None]) ** 2).sum(2)
+    bounds = np.sort(far, axis=1)[:, 3]
+    bounds[0] = np.inf
+    bounds[1] = 0.0
+    found = scan_block(v, q, 6, bounds)
+    assert len(found[0][0]) == 6 and len(found[1][0]) == 0
+    for i in range(2, 20):
+        assert set(found[i][0]) <= set(np.flatnonzero(far[i] <= bounds[i])) and np.allclose(found[i][1], far[i][found[i][0]])
+    assert np.mean([len(f[0]) for f in found[2:]]) > 3.6
