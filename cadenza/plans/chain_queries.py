@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as C
 from cadenza.functions.shared import fresh_folder, rewritten
+from cadenza.operators import accumulators as A
 from cadenza.operators import chains as H
 from cadenza.operators import clustering as G
 from cadenza.operators import models as M
@@ -17,6 +18,7 @@ from cadenza.operators import spectral
 from cadenza.plans.bindings import DIARY, FRAMES, SAMPLES, cells, diary, frames, r6, samples
 from cadenza.plans.catalog import query, table
 from cadenza.sources import formats, ranges, sinks
+from cadenza.sources import models as model_files
 from cadenza.sources.work import ChunkWork
 
 KEYS = ("rec_id", "frame_idx")
@@ -403,3 +405,24 @@ def resumable_chunks(spark, sf_dir):
     again = ChunkWork(spark, at)
     again.run(work)
     return again.results().select("rec_id", "n", r6(F.col("v")).alias("v"))
+
+
+@query(
+    "snk14_src21_full_mixture_file",
+    f"""WITH {FRAMES}, m AS (SELECT rec_id, k, avg(v) AS m FROM cells GROUP BY ALL)
+SELECT rec_id::BIGINT AS rec_id, i, j, round(v, 6) + 0.0 AS v FROM (SELECT a.rec_id, a.k AS i, b.k AS j, avg((a.v - ma.m) * (b.v - mb.m)) AS v
+  FROM cells a JOIN cells b ON a.rec_id = b.rec_id AND a.frame_idx = b.frame_idx AND b.k <= a.k JOIN m ma ON ma.rec_id = a.rec_id AND ma.k = a.k JOIN m mb ON mb.rec_id = b.rec_id AND mb.k = b.k GROUP BY ALL)
+UNION ALL SELECT rec_id::BIGINT, k, -1, round(m, 6) + 0.0 FROM m""",
+)
+def full_mixture_file(spark, sf_dir):
+    """Means (j = -1) and covariances of the classes, written as a mixture of full covariances and read back."""
+    stats = A.statistics(frames(spark, sf_dir)).orderBy("rec_id").collect()  # a row per class
+    n = np.array([r["n"] for r in stats], float)
+    means = np.array([r["s"] for r in stats]) / n[:, None]
+    low = np.tril_indices(means.shape[1])
+    at = f"{_folder(spark)}/classes.mixture"
+    model_files.save(at, model_files.full_mixture_bytes(n / n.sum(), means, np.array([r["q"] for r in stats]) / n[:, None] - means[:, low[0]] * means[:, low[1]]))
+    _, means, packed = model_files.full_mixture_of(model_files.load(at))
+    rows = [(int(r["rec_id"]), int(i), int(j), float(v)) for r, p in zip(stats, packed, strict=True) for i, j, v in zip(*low, p, strict=True)]
+    rows += [(int(r["rec_id"]), i, -1, float(v)) for r, m in zip(stats, means, strict=True) for i, v in enumerate(m)]
+    return spark.createDataFrame(rows, "rec_id long, i long, j long, v double").select("rec_id", "i", "j", r6(F.col("v")).alias("v"))
