@@ -21,6 +21,8 @@ from cadenza.functions import vectors as V
 from cadenza.functions.shared import only_row
 
 VARIANCE_FLOOR, WEIGHT_FLOOR = 1e-10, 1e-10
+#: Frames times components times dimensions that a task scores at once.
+SCORED = 1 << 21
 
 
 def class_means(frames: DataFrame, key: str) -> DataFrame:
@@ -202,13 +204,15 @@ def em_statistics(frames: DataFrame, mixture: Mixture) -> dict[str, np.ndarray]:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_c, d = mixture.means.shape
         occ, first, second, ll, n = np.zeros(n_c), np.zeros((n_c, d)), np.zeros((n_c, d)), 0.0, 0
+        step = max(1, SCORED // (n_c * d))
         for batch in batches:
-            x = np.asarray(batch.column(0).flatten(), np.float64).reshape(-1, d)
-            log = mixture.score(x)
-            top = log.max(1, keepdims=True)
-            whole = top[:, 0] + np.log(np.exp(log - top).sum(1))
-            p = np.exp(log - whole[:, None])
-            occ, first, second, ll, n = occ + p.sum(0), first + p.T @ x, second + p.T @ (x * x), ll + whole.sum(), n + len(x)
+            for at in range(0, batch.num_rows, step):
+                x = np.asarray(batch.slice(at, step).column(0).flatten(), np.float64).reshape(-1, d)
+                log = mixture.score(x)
+                top = log.max(1, keepdims=True)
+                whole = top[:, 0] + np.log(np.exp(log - top).sum(1))
+                p = np.exp(log - whole[:, None])
+                occ, first, second, ll, n = occ + p.sum(0), first + p.T @ x, second + p.T @ (x * x), ll + whole.sum(), n + len(x)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(n_c, dtype=np.int32)), pa.array(occ), pa.array(first.tolist(), pa.list_(pa.float64())), pa.array(second.tolist(), pa.list_(pa.float64())), pa.array(np.full(n_c, ll)), pa.array(np.full(n_c, n))],
             ["c", "occ", "first", "second", "ll", "n"],
