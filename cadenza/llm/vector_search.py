@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cosine: inverted lists scanned with adaptive dimension sampling.
 
 Vectors are scaled to length 1 and rotated at random, so that the first columns of a difference estimate the whole. Lists are the
-cells of centroids fitted on a bounded sample; every vector is in one list, lists are cut into blocks of bounded size, and a
-query probes the lists of its nearest centroids. A block is scanned by blocks of columns: a candidate is dropped as soon as
+cells of centroids fitted on a bounded sample; every vector is in one list. A list that holds too many vectors is cut by centroids of
+its own, fitted on a bounded sample of it, and so are its parts, so that lists don't grow with the table. Lists are dealt to blocks of
+bounded size, and a query probes the lists of its nearest centroids on each level. A block is scanned by blocks of columns: a candidate is dropped as soon as
 its partial distance refutes, at the chosen level, that it is as near as the k-th found. The nearest list is scanned first, and the k-th
 distance found in all of its blocks goes with the query to the other lists. Equal vectors are one until the end.
 """
@@ -15,12 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import bounded, small_batches, written
+from cadenza.llm.shared import bounded, join_hot, small_batches, written
 
 COLUMNS = 16
 LEVEL = 2.1
 #: Vectors and queries of a block, on average.
 VECTORS, QUERIES = 1024, 256
+#: Vectors of a list on average that its own centroids are fitted on; parts that a list is cut into at most; levels below the first.
+FITTED, PARTS, LEVELS = 4096, 256, 6
+_CELL = "list long, u long, x array<double>, nearest boolean"
 
 
 def _rotation(dim: int, seed: int) -> np.ndarray:
@@ -45,25 +49,87 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(col.flatten(), np.float64).reshape(-1, dim)
 
 
+def _probed(x: np.ndarray, u: pa.Array, centroids: np.ndarray, probes: int, names: np.ndarray) -> pa.RecordBatch:
+    """list, u, x, nearest: each row of ``x`` once for each of its ``probes`` nearest centroids, which have ``names``."""
+    close = x @ centroids.T
+    near = np.argpartition(-close, probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.tile(np.arange(len(centroids)), (len(x), 1))
+    nearest = np.zeros(near.shape, bool)
+    nearest[np.arange(len(x)), np.take_along_axis(close, near, 1).argmax(1)] = True
+    row = np.repeat(np.arange(len(x)), near.shape[1])
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[row].ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(names[near.ravel()]), u.take(pa.array(row)), vectors, pa.array(nearest.ravel())], ["list", "u", "x", "nearest"])
+
+
 def _cell_rows(turn: np.ndarray, centroids: np.ndarray, probes: int, names: np.ndarray):
-    """(u, rotated) -> (list, u, rotated, whether it is the nearest) for the nearest ``probes`` centroids, which have ``names``."""
+    """(u, x) -> (list, u, rotated unit vector, whether it is the nearest) for the nearest ``probes`` centroids, which have ``names``."""
 
     def run(batches):
         for batch in batches:
             x = _matrix(batch.column(1), len(turn))
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn
-            close = x @ centroids.T
-            near = np.argpartition(-close, probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.tile(np.arange(len(centroids)), (len(x), 1))
-            nearest = np.zeros(near.shape, bool)
-            nearest[np.arange(len(x)), np.take_along_axis(close, near, 1).argmax(1)] = True
-            row = np.repeat(np.arange(len(x)), near.shape[1])
-            flat = pa.array(x[row].ravel())
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(turn)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(names[near.ravel()]), batch.column(0).take(pa.array(row)), vectors, pa.array(nearest.ravel())], ["list", "u", "x", "nearest"])
+            yield _probed((x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn, batch.column(0), centroids, probes, names)
 
     return run
 
 
+def _part_rows(batches):
+    """(list, block of u, x, nearest; the list's own centroids, probes) -> the rows by parts of the list."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows, flat = batch.column(1)[i].values, np.asarray(batch.column(2)[i].values)
+            x = np.asarray(rows.field("x").flatten()).reshape(len(rows), -1)
+            centroids = flat.reshape(-1, x.shape[1])
+            names = batch.column(0)[i].as_py() * PARTS + np.arange(len(centroids))
+            out = _probed(x, rows.field("u"), centroids, min(batch.column(3)[i].as_py(), len(centroids)), names)
+            first = np.repeat(rows.field("nearest").to_numpy(zero_copy_only=False), out.num_rows // len(x))
+            yield out.set_column(3, "nearest", pa.array(out.column(3).to_numpy(zero_copy_only=False) & first))
+
+
+def _fit_parts(k: int, recall: float, seed: int, most: int):
+    """Sample of one list (list, n, u, x) -> its own centroids and the probes that ``recall`` takes; no row if they don't divide it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("u").combine_chunks()
+        x = np.stack(table.column("x").to_numpy())
+        parts = min(PARTS, -(-8 * table.column("n")[0].as_py() // most), len(x) // 4)
+        centroids = _centroids(x, parts, seed) if parts > 1 else x[:1]
+        divided = np.bincount((x @ centroids.T).argmax(1)).max() <= 0.9 * len(x)
+        rows = [(table.column("list")[0].as_py(), centroids.ravel().tolist(), _probes(x, centroids, k, recall, seed))] if divided else []
+        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.list_(pa.float64()), pa.int32()))], ["list", "centroids", "probes"])
+
+    return run
+
+
+def _divided(cells: DataFrame, questions: DataFrame, k: int, recall: float, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """``cells`` (list, u, x) and ``questions`` (and nearest) with lists of more than ``most`` vectors cut into parts, level by level."""
+    for level in range(LEVELS):
+        large = written(cells.groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > most), "vector-large")
+        if large.isEmpty():
+            break
+        picked = F.pmod(F.xxhash64(F.lit(level + 3), "u"), F.lit(1 << 30)) < F.ceil(F.lit(float(FITTED << 30)) / F.col("n"))
+        sample = cells.join(bounded(large), "list").filter(picked).select("list", "n", "u", "x")
+        cuts = written(sample.groupBy("list").applyInArrow(_fit_parts(k, recall, seed, most), "list long, centroids array<double>, probes int"), "vector-cuts")
+        if cuts.isEmpty():
+            break
+        cut = bounded(cuts.select("list"))
+
+        def dealt(rows: DataFrame, size: int, cuts: DataFrame, cut: DataFrame = cut) -> DataFrame:
+            blocks = join_hot(_blocks(rows.join(cut, "list", "left_semi"), size, "rows", "nearest"), cuts, "list", "part")
+            parts = blocks.select("list", "rows", "centroids", "probes").mapInArrow(_part_rows, _CELL)
+            # What isn't cut is the first part of itself.
+            return parts.unionByName(rows.join(cut, "list", "left_anti").select((F.col("list") * PARTS).alias("list"), "u", "x", "nearest"))
+
+        cells = written(dealt(cells.withColumn("nearest", F.lit(True)), VECTORS, cuts.withColumn("probes", F.lit(1))).drop("nearest"), "vector-cells")
+        sizes = cells.groupBy("list").agg(F.count("*").alias("n")).withColumn("of", F.floor(F.col("list") / PARTS))
+        upto = F.sum("n").over(W.partitionBy("of").orderBy("n", "list"))  # at most PARTS rows each
+        # Enough parts for k other vectors in any case, empty ones not counted.
+        least = sizes.withColumn("upto", upto).groupBy(F.col("of").alias("list")).agg(F.count("*").alias("parts"), F.count_if(F.col("upto") < k + 1).alias("few"))
+        width = F.size("centroids") / F.lit(cells.select(F.size("x")).first()[0])
+        probes = F.greatest("probes", (width - F.col("parts") + F.col("few") + 1).cast("int"))
+        probed = written(cuts.join(bounded(least), "list").select("list", "centroids", probes.alias("probes")), "vector-cuts")
+        questions = written(dealt(questions, QUERIES, probed), "query-cells")
+    return cells, questions
+
+
 def scan_block(v: np.ndarray, q: np.ndarray, k: int, bounds: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """(indices, squared distances) of the up to ``k`` nearest rows of ``v`` found for each row of ``q``.
 
@@ -101,10 +167,10 @@ def _scan_rows(k: int):
 
 
 def _blocks(cells: DataFrame, size: int, name: str, *more: str) -> DataFrame:
-    """(list, ``name``: array of (u, x, more)), blocks of about ``size`` rows: large lists are dealt over several."""
+    """(list, part, ``name``: array of (u, x, more)), blocks of about ``size`` rows: large lists are dealt over several."""
     sizes = cells.groupBy("list").agg(F.ceil(F.count("*") / F.lit(size)).alias("parts"))
     dealt = cells.join(bounded(sizes), "list").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")))
-    return dealt.groupBy("list", "part").agg(F.collect_list(F.struct("u", "x", *more)).alias(name)).drop("part")
+    return dealt.groupBy("list", "part").agg(F.collect_list(F.struct("u", "x", *more)).alias(name))
 
 
 def usable(x: Column) -> Column:
@@ -138,7 +204,7 @@ def _probes(sample: np.ndarray, centroids: np.ndarray, k: int, recall: float, se
     return int(np.quantile(place[np.arange(len(asked))[:, None], cell[best]], recall, method="higher")) + 1
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample_rows: int = 40_000, recall: float = 0.97, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample_rows: int = 40_000, recall: float = 0.97, seed: int = 7, most: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query row among all other rows.
 
     The score is the cosine of the original vectors in double precision; ties go to the smaller id. Vectors that are null, empty,
@@ -146,8 +212,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     an id. Rows that repeat an id are one candidate, that of the best score, and never one of their own id.
 
     Centroids, a list for every 16 at most, are fitted on about ``sample_rows`` distinct vectors (the bound); every vector is indexed. A
-    query probes as many lists as gave ``recall`` on the sample, so few where vectors cluster and most where they don't. Distinct
-    vectors are named by a 64-bit hash, which is expected to confuse 2.7 pairs of 10^10.
+    query probes as many lists as gave ``recall`` on the sample, so few where vectors cluster and most where they don't. A list of more
+    than ``most`` vectors is cut into up to 256 parts by centroids fitted on about 4,096 of its vectors, and its parts are cut again;
+    what a query probes of its parts is measured on that sample, so ``recall`` is that of a level. A list of nearly one direction can't be
+    cut and stays whole, in blocks. Distinct vectors are named by a 64-bit hash, which is expected to confuse 2.7 pairs of 10^10. An empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -172,14 +241,15 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     sample = (sample / np.linalg.norm(sample, axis=1, keepdims=True)) @ turn
     lists = int(max(1, min(np.sqrt(n) / 2, len(sample) / 16)))
     centroids = _centroids(sample, lists, seed)
-    cell = "list int, u long, x array<double>, nearest boolean"
-    cells = written(distinct.select("u", "x").mapInArrow(_cell_rows(turn, centroids, 1, np.arange(lists, dtype=np.int32)), cell).drop("nearest"), "vector-cells")
+    cells = written(distinct.select("u", "x").mapInArrow(_cell_rows(turn, centroids, 1, np.arange(lists)), _CELL).drop("nearest"), "vector-cells")
     sizes = {r["list"]: r["count"] for r in cells.groupBy("list").count().collect()}  # a row per list
-    names = np.array(sorted(sizes), np.int32)
+    names = np.array(sorted(sizes))
     # Enough lists for k other vectors in any case.
     least = 1 + int(np.searchsorted(np.cumsum(sorted(sizes.values())), k + 1))
     probes = min(len(names), max(least, _probes(sample, centroids[names], k, recall, seed)))
-    questions = written(distinct.select("u", "x").join(asked.select("u").distinct(), "u", "left_semi").mapInArrow(_cell_rows(turn, centroids[names], probes, names), cell), "query-cells")
+    questions = written(distinct.select("u", "x").join(asked.select("u").distinct(), "u", "left_semi").mapInArrow(_cell_rows(turn, centroids[names], probes, names), _CELL), "query-cells")
+    if max(sizes.values()) > most:
+        cells, questions = _divided(cells, questions, k, recall, seed, most)
     blocks = written(_blocks(cells, VECTORS, "vs"), "vector-blocks")
 
     def kept(found: DataFrame) -> DataFrame:
@@ -189,7 +259,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
         return blocks.join(_blocks(some, QUERIES, "qs", "bound"), "list").select("vs", "qs").mapInArrow(_scan_rows(k + 1), "qu long, u long, far double")
 
     best = written(kept(scanned(questions.filter("nearest").withColumn("bound", F.lit(float("inf"))))), "vector-first")
-    if probes > 1:
+    if probes > 1 or max(sizes.values()) > most:
         known = best.groupBy(F.col("qu").alias("u")).agg(F.count("*").alias("n"), F.max("far").alias("bound"))
         bound = F.when(F.col("n") == k + 1, F.col("bound")).otherwise(float("inf"))
         others = questions.filter("not nearest").join(known, "u", "left").select("list", "u", "x", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm.vector_search import _centroids, _probes, _rotation, nearest, scan_block
+from cadenza.llm.vector_search import _centroids, _divided, _probes, _rotation, nearest, scan_block
 
 
 def exact(rows, queries, k):
@@ -79,6 +79,46 @@ def test_recall_where_lists_are_left_out(spark, clusters, capsys):
     assert found >= 0.9 and len({(r.query_id, r["rank"]) for r in got}) == len(got) == 600
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_where_lists_are_cut_again(spark, clusters, capsys):
+    """Lists of about 160 vectors, cut until none holds more than 40; a hundred scaled copies of one vector can't be cut."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 32))
+    if clusters:
+        x = 0.35 * x + rng.standard_normal((clusters, 32))[rng.integers(0, clusters, 6000)]
+    x[1000:1100] = x[1000] * np.arange(1, 101)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, most=40).collect()
+    found = recall(got, exact(rows, list(range(0, 6000, 50)), 5))
+    with capsys.disabled():
+        print(f" recall {found:.3f}")
+    assert found >= 0.9 and len({(r.query_id, r["rank"]) for r in got}) == len(got) == 600
+
+
+def test_parts_keep_every_row(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(0 if i < 2900 else 7, i, v.tolist()) for i, v in enumerate(x)]
+    cells = spark.createDataFrame(rows, "list long, u long, x array<double>")
+    asked = cells.filter("u % 100 = 0").withColumn("nearest", F.lit(True))
+    asked = asked.unionByName(asked.withColumns({"list": 7 - F.col("list"), "nearest": F.lit(False)}))
+    parts, questions = _divided(cells, asked, 5, 0.97, 7, 200)
+    parts, questions = parts.collect(), questions.collect()
+    assert sorted(r.u for r in parts) == list(range(3000)) and all(np.allclose(r.x, x[r.u]) for r in parts[::50])
+    sizes, held = {}, {}
+    for r in parts:
+        sizes[r.list] = sizes.get(r.list, 0) + 1
+    assert max(sizes.values()) <= 200 and 100 in sizes.values()
+    for r in questions:
+        held.setdefault(r.u, []).append(r)
+    assert len(held) == 30
+    for u, some in held.items():
+        assert sum(r.nearest for r in some) == 1 and len({r.list for r in some}) == len(some)
+        own = next(r.list for r in parts if r.u == u)
+        assert next(r.list for r in some if r.nearest) == own and sum(sizes.get(r.list, 0) for r in some) >= 6
+
+
 def test_scan_drops_few_true_neighbours():
     rng = np.random.default_rng(4)
     v = rng.standard_normal((2000, 64))
