@@ -71,12 +71,42 @@ class FrameChain:
         return out
 
     def emissions(self, densities: np.ndarray) -> np.ndarray:
-        """[frame, state] from [frame, component]."""
-        out = np.empty((len(densities), len(self.weights)))
+        """[frame, state] from [frame, component]; a state of no components emits nothing."""
+        out = np.full((len(densities), len(self.weights)), -np.inf)
         for s, w in enumerate(self.weights):
-            out[:, s] = _log_sum(densities[:, w > 0] + np.log(w[w > 0]), 1)
+            if (w > 0).any():
+                out[:, s] = _log_sum(densities[:, w > 0] + np.log(w[w > 0]), 1)
         return out
 
+    def updated(self, s: dict[str, np.ndarray], least_occupancy: float, least_variance: float) -> FrameChain:
+        """The chain that the sums ``s`` of a turn give."""
+        seen = s["occ"].sum(0)[:, None]
+        ok = seen > least_occupancy
+        mean = np.where(ok, s["sum"] / np.where(ok, seen, 1.0), self.means)
+        variance = np.where(ok, np.maximum(s["square"] / np.where(ok, seen, 1.0) - mean**2, least_variance), self.variances)
+        return FrameChain(_shares(s["first"], self.initial), _shares(s["moves"], self.transitions), _shares(s["occ"], self.weights), mean, variance)
+
+
+class SymbolChain(FrameChain):
+    """A chain whose states show symbols: x is an array of one, the symbol's number, and weights are [S, symbols].
+
+    Numbers that aren't symbols can't be shown by any state, so their records have a score of minus infinity.
+    """
+
+    @staticmethod
+    def of(chain: Chain) -> SymbolChain:
+        n = chain.emissions.shape[1]
+        return SymbolChain(chain.initial, chain.transitions, chain.emissions, np.arange(n, dtype=float)[:, None], np.ones((n, 1)))
+
+    def chain(self) -> Chain:
+        return Chain(self.initial, self.transitions, self.weights)
+
+    def densities(self, x: np.ndarray) -> np.ndarray:
+        return np.where(x == self.means[:, 0], 0.0, -np.inf)
+
+    def updated(self, s: dict[str, np.ndarray], least_occupancy: float, least_variance: float) -> SymbolChain:
+        return SymbolChain.of(Chain(_shares(s["first"], self.initial), _shares(s["moves"], self.transitions), _shares(s["occ"], self.weights)))
+
 
 def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     top = a.max(axis, keepdims=True)
@@ -225,6 +255,12 @@ def best_states(frames: DataFrame, chain: FrameChain, forced: bool = False, size
     return _joined(chunks, placed).mapInArrow(run, f"rec_id {kind}, frame_idx long, q int, score double")
 
 
+def record_scores(frames: DataFrame, chain: FrameChain, best: bool = False, forced: bool = False, size: int = FRAMES, fan: int = FAN) -> DataFrame:
+    """rec_id, score: each record's log likelihood, or with ``best`` that of its best path; ``forced`` paths end in the last state."""
+    placed = _places(_transfers(chunked(frames, size), chain, best), len(chain.initial), best, forced, _checked(fan))
+    return placed.groupBy("rec_id").agg(F.max("score").alias("score"))
+
+
 def _checked(fan: int) -> int:
     if fan < 2:
         raise ValueError("fan is 2 or more")
@@ -254,7 +290,8 @@ def _expected(joined: DataFrame, chain: FrameChain) -> dict[str, np.ndarray]:
         gamma = np.exp(alpha + beta - score)
         for s, w in enumerate(chain.weights):
             own = np.flatnonzero(w > 0)
-            share = gamma[:, s, None] * np.exp(each[:, own] + np.log(w[own]) - e[:, s, None])
+            shown = np.where(np.isfinite(e[:, s]), e[:, s], 0.0)[:, None]  # what can't be shown has no weight
+            share = gamma[:, s, None] * np.exp(each[:, own] + np.log(w[own]) - shown)
             out["occ"][s, own] += share.sum(0)
             out["sum"][own] += share.T @ x
             out["square"][own] += share.T @ (x * x)
@@ -300,9 +337,5 @@ def train(frames: DataFrame, chain: FrameChain, turns: int = 10, least_occupancy
         lls.append(float(s["ll"][0]))
         if watch:
             watch(turn, lls[-1])
-        seen = s["occ"].sum(0)[:, None]
-        ok = seen > least_occupancy
-        mean = np.where(ok, s["sum"] / np.where(ok, seen, 1.0), chain.means)
-        variance = np.where(ok, np.maximum(s["square"] / np.where(ok, seen, 1.0) - mean**2, least_variance), chain.variances)
-        chain = FrameChain(_shares(s["first"], chain.initial), _shares(s["moves"], chain.transitions), _shares(s["occ"], chain.weights), mean, variance)
+        chain = chain.updated(s, least_occupancy, least_variance)
     return chain, lls

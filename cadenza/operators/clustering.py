@@ -58,7 +58,7 @@ def g_means(frames: DataFrame, significance: float = 0.0001, most: int = 16, lea
     mean = class_means(frames.withColumn("one", F.lit(0)), "one").first()["m"]
     at = np.array([mean])
     while len(at) < most:
-        placed = assign(frames, _table(frames, at)).cache()
+        placed = rewritten(assign(frames, _table(frames, at)), "clusters")
         sizes = {r["cluster"]: r["count"] for r in placed.groupBy("cluster").count().collect()}
         new = []
         for i, m in enumerate(at):
@@ -69,7 +69,6 @@ def g_means(frames: DataFrame, significance: float = 0.0001, most: int = 16, lea
             along = own.select(F.lit(0).alias("rec_id"), V.dot(F.col("x"), F.lit(d.tolist())).alias("value"))
             if anderson_darling(along).first()["a2"] > CRITICAL[significance]:
                 new.append((i, m + d * math.sqrt(2 * value / math.pi), m - d * math.sqrt(2 * value / math.pi)))
-        placed.unpersist()
         if not new:
             break
         gone = {i for i, _, _ in new}
@@ -110,7 +109,8 @@ def hierarchical(frames: DataFrame, most: int, ranking: str = "sum_variance", le
         if min(upper, best["n"] - upper) < least:
             done.add(best["cluster"])
             continue
-        placed = placed.withColumn("cluster", F.when((F.col("cluster") == best["cluster"]) & (along > cut), clusters).otherwise(F.col("cluster")))
+        # Written, so that a later split doesn't repeat the earlier ones.
+        placed = rewritten(placed.withColumn("cluster", F.when((F.col("cluster") == best["cluster"]) & (along > cut), clusters).otherwise(F.col("cluster"))), "clusters")
         clusters += 1
     return placed
 

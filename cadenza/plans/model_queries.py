@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadenza import streaming
+from cadenza.operators import chains as H
 from cadenza.operators import models as M
 from cadenza.operators import sequence as S
 from cadenza.operators import spectral
@@ -100,9 +101,47 @@ def forced_alignment(spark, sf_dir):
     return out.select("rec_id", F.concat_ws(" ", F.transform("q", lambda q: q.cast("string"))).alias("q"), F.round("score", 6).alias("score"))
 
 
+def _symbols(spark, sf_dir):
+    """Event types as frames of one number."""
+    number = F.array_position(F.lit(SYMBOLS), F.col("event_type")).cast("double")
+    return samples(spark, sf_dir).select("rec_id", F.col("idx").cast("long").alias("frame_idx"), F.when(number.isNotNull(), F.array(number)).alias("x"))
+
+
+@query("sta27_symbol_states")
+def symbol_states(spark, sf_dir):
+    """The best state of every event along its user's events, by chunks."""
+    out = H.best_states(_symbols(spark, sf_dir), H.SymbolChain.of(_chain()))
+    return out.select("rec_id", "frame_idx", "q", F.round("score", 6).alias("score"))
+
+
+_SHOWN = f"""{SAMPLES}, e AS (SELECT rec_id, idx, coalesce(list_position({SYMBOLS}, event_type), 0) % 3 AS p FROM samples WHERE event_type IS NOT NULL),
+b AS (SELECT rec_id, idx, (CASE WHEN p = 0 THEN 3 ELSE 1 END) / 18.0::DOUBLE AS b0, (CASE WHEN p = 1 THEN 3 ELSE 1 END) / 16.0::DOUBLE AS b1, (CASE WHEN p = 2 THEN 3 ELSE 1 END) / 16.0::DOUBLE AS b2 FROM e)"""
+
+
+@query(
+    "sta27_sta23_record_scores",
+    f"""WITH RECURSIVE {_SHOWN},
+v AS (SELECT rec_id, idx, ln(b0 / 3) AS s0, ln(b1 / 3) AS s1, ln(b2 / 3) AS s2, ln(b0) AS l0, NULL::DOUBLE AS l1, NULL::DOUBLE AS l2, b0 / 3 AS f0, b1 / 3 AS f1, b2 / 3 AS f2 FROM b WHERE idx = 0
+UNION ALL SELECT b.rec_id, b.idx, greatest(s0 + ln(0.8), s1 + ln(0.1), s2 + ln(0.1)) + ln(b0), greatest(s0 + ln(0.1), s1 + ln(0.8), s2 + ln(0.1)) + ln(b1), greatest(s0 + ln(0.1), s1 + ln(0.1), s2 + ln(0.8)) + ln(b2),
+  l0 + ln(0.5) + ln(b0), greatest(l0, l1) + ln(0.5) + ln(b1), greatest(l1 + ln(0.5), l2) + ln(b2),
+  (0.8 * f0 + 0.1 * f1 + 0.1 * f2) * b0, (0.1 * f0 + 0.8 * f1 + 0.1 * f2) * b1, (0.1 * f0 + 0.1 * f1 + 0.8 * f2) * b2 FROM v JOIN b ON b.rec_id = v.rec_id AND b.idx = v.idx + 1),
+n AS (SELECT rec_id, max(idx) AS idx FROM b GROUP BY rec_id)
+SELECT rec_id, round(greatest(s0, s1, s2), 6) AS best, round(l2, 6) AS forced, round(ln(f0 + f1 + f2), 6) AS likelihood FROM v JOIN n USING (rec_id, idx)""",
+)
+def record_scores(spark, sf_dir):
+    """Each user's best path, best path through the linear chain to its end (null if there is none) and log likelihood."""
+    f, chain, linear = _symbols(spark, sf_dir), H.SymbolChain.of(_chain()), H.SymbolChain.of(_chain("LINEAR"))
+    out = H.record_scores(f, chain, best=True).withColumnRenamed("score", "best")
+    out = out.join(H.record_scores(f, linear, best=True, forced=True).withColumnRenamed("score", "forced"), "rec_id")
+    out = out.join(H.record_scores(f, chain).withColumnRenamed("score", "likelihood"), "rec_id")
+    return out.select("rec_id", *[F.round(F.when(F.col(c) > float("-inf"), F.col(c)), 6).alias(c) for c in ("best", "forced", "likelihood")])
+
+
 @query("sta23_sta25_baum_welch")
 def baum_welch(spark, sf_dir):
-    chain, lls = M.baum_welch(_sequences(spark, sf_dir), _chain(), turns=2)
+    """Two turns over all events, by chunks."""
+    trained, lls = H.train(_symbols(spark, sf_dir), H.SymbolChain.of(_chain()), 2)
+    chain = trained.chain()
     rows = [("transition", i, j, float(v)) for i, r in enumerate(chain.transitions) for j, v in enumerate(r)]
     rows += [("emission", i, j, float(v)) for i, r in enumerate(chain.emissions) for j, v in enumerate(r)] + [("log likelihood", t, 0, v) for t, v in enumerate(lls)]
     return spark.createDataFrame(rows, "part string, i int, j int, v double")

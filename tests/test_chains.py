@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from cadenza.operators import chains as H
+from cadenza.operators import models as M
 from cadenza.operators.models import Chain, Mixture, best_paths
 
 RNG = np.random.default_rng(5)
@@ -114,6 +115,47 @@ def test_ties_are_one_path(spark):
         assert all(a != b for a, b in zip(q, q[1:]))
 
 
+SYMBOLS = {k: RNG.integers(0, 4, n) for k, n in LENGTHS.items()}
+
+
+def _shown():
+    """A symbol that one state never shows, and moves that don't exist."""
+    return Chain(np.array([0.5, 0.5, 0.0]), np.array([[0.6, 0.4, 0.0], [0.1, 0.7, 0.2], [0.3, 0.0, 0.7]]), np.array([[0.5, 0.2, 0.3, 0.0], [0.1, 0.2, 0.3, 0.4], [0.25, 0.25, 0.0, 0.5]]))
+
+
+@pytest.mark.parametrize("size, fan", [(4, 2), (256, 256)])
+def test_symbols_in_chunks_equal_whole_sequences(spark, size, fan):
+    plain, frames = _shown(), _frames(spark, {k: s[:, None].astype(float) for k, s in SYMBOLS.items()})
+    table = spark.createDataFrame([(k, s.tolist()) for k, s in SYMBOLS.items()], "rec_id string, symbols array<int>")
+    got, lls = H.train(frames, H.SymbolChain.of(plain), 3, size=size, fan=fan)
+    want, ll = M.baum_welch(table, plain, 3)
+    assert np.allclose(lls, ll, rtol=1e-10) and np.array_equal(got.means[:, 0], np.arange(4))
+    for part in ("initial", "transitions", "emissions"):
+        assert np.allclose(getattr(got.chain(), part), getattr(want, part), rtol=1e-8, atol=1e-12), part
+    for forced in (False, True):
+        rows = H.best_states(frames, H.SymbolChain.of(plain), forced, size, fan).collect()
+        scores = {r["rec_id"]: r["score"] for r in H.record_scores(frames, H.SymbolChain.of(plain), True, forced, size, fan).collect()}
+        for k, s in SYMBOLS.items():
+            _, best = M.viterbi(plain, s, forced)
+            assert scores[k] == best or abs(scores[k] - best) < 1e-9
+            q = [r["q"] for r in sorted((r for r in rows if r["rec_id"] == k), key=lambda r: r["frame_idx"])]
+            if np.isfinite(best):  # of paths that tie, any
+                with np.errstate(divide="ignore"):
+                    own = np.log(plain.initial[q[0]]) + np.log(plain.transitions)[q[:-1], q[1:]].sum() + np.log(plain.emissions)[q, s].sum()
+                assert len(q) == len(s) and abs(own - best) < 1e-9 and (not forced or q[-1] == 2)
+
+
+def test_unknown_symbols_and_missing_ones(spark):
+    chain = H.SymbolChain.of(_shown())
+    rows = [("bad", 0, [0.0]), ("bad", 1, [9.0]), ("none", 0, None), ("ok", 0, [1.0])]
+    frames = spark.createDataFrame(rows, "rec_id string, frame_idx long, x array<double>")
+    scores = {r["rec_id"]: r["score"] for r in H.record_scores(frames, chain).collect()}
+    assert set(scores) == {"bad", "ok"} and scores["bad"] == -np.inf and abs(scores["ok"] - np.log(0.5 * 0.2 + 0.5 * 0.2)) < 1e-12
+    one, lls = H.train(frames, chain, 1)
+    assert abs(lls[0] - scores["ok"]) < 1e-12 and np.isfinite(one.weights).all()
+    assert H.record_scores(frames.filter("false"), chain).count() == 0
+
+
 def test_odd_tables(spark):
     chain = _own()
     none = _frames(spark).filter("false")
