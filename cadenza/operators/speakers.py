@@ -175,17 +175,35 @@ def count_with_owner(listed: DataFrame, owner: DataFrame, semi: tuple[float, flo
     return folded.select("rec_id", (F.size("found") - F.when(own > 0, 0).otherwise(1)).alias("speakers"), F.when(frames > 0, 100.0 * own / frames).otherwise(-1.0).alias("percentage"))
 
 
+def every_pair(a: DataFrame, b: DataFrame, on: list[str], rows: int = 2048) -> DataFrame:
+    """Each row of ``a`` with each row of ``b`` that is equal in ``on`` (no columns: with every row); other names must differ.
+
+    The rows of a value are dealt to blocks of about ``rows`` on each side, and a task joins two blocks, so no value is one task's work.
+    """
+
+    def blocks(side: DataFrame) -> int:
+        return max(1, -(-(side.groupBy(*on).count().agg(F.max("count")).first()[0] or 0) // rows))
+
+    n, m = blocks(a), blocks(b)
+
+    def dealt(side: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(*side.columns), F.lit(own_blocks)).cast("long")
+        return side.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_blocks - 1).cast("long"))))
+
+    return dealt(a, "_a", n, "_b", m).join(dealt(b, "_b", m, "_a", n), [*on, "_a", "_b"]).drop("_a", "_b")
+
+
 def calibration_distances(segs: DataFrame) -> DataFrame:
     """seg_sec, kind (self or other), dist of every two different segments of one duration, quotas applied.
 
-    segs: speaker, seg_sec, seg_id, s. A calibration set has a bounded number of segments per speaker (:data:`QUOTAS`), so durations
-    join by equality and pairs are few.
+    segs: speaker, seg_sec, seg_id, s. A speaker has a bounded number of segments (:data:`QUOTAS`), speakers may be many: the segments
+    of a duration meet in blocks.
     """
     quota = F.create_map(*[F.lit(x) for pair in QUOTAS.items() for x in pair])
     kept = segs.filter(F.col("seg_id") < quota[F.col("seg_sec")])
     a = kept.select("seg_sec", *[F.col(c).alias(f"a_{c}") for c in ("speaker", "seg_id", "s")])
     b = kept.select("seg_sec", *[F.col(c).alias(f"b_{c}") for c in ("speaker", "seg_id", "s")])
-    pairs = a.join(b, "seg_sec").filter("a_speaker <> b_speaker or a_seg_id <> b_seg_id")
+    pairs = every_pair(a, b, ["seg_sec"]).filter("a_speaker <> b_speaker or a_seg_id <> b_seg_id")
     return pairs.select("seg_sec", "a_speaker", "b_speaker", "a_seg_id", "b_seg_id", F.when(F.col("a_speaker") == F.col("b_speaker"), "self").otherwise("other").alias("kind"), V.angle(F.col("a_s"), F.col("b_s"), clamp=True).alias("dist"))
 
 

@@ -342,7 +342,7 @@ def asymmetric_calibration(spark, sf_dir):
 
     pre = class_means(frames(spark, sf_dir).filter("frame_idx < 12"), "rec_id").select(F.col("id").alias("a"), F.col("m"))
     segs = _segs(spark, sf_dir).select(F.col("speaker").alias("c"), "seg_id", "s")
-    pairs = segs.crossJoin(F.broadcast(pre))  # a row per enrolled speaker
+    pairs = P.every_pair(segs, pre, [])
     return pairs.select("a", "c", "seg_id", F.when(F.col("a") == F.col("c"), "self").otherwise("other").alias("kind"), F.round(V.angle(F.col("m"), F.col("s")), 5).alias("dist"))
 
 

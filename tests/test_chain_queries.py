@@ -72,3 +72,15 @@ def test_compensation(spark, records, name, session):
     want = x - x @ lead @ lead.T
     got = np.array([[found[r[0], r[1], k] for k in range(x.shape[1])] for r in rows])
     assert np.abs(got - want).max() < 1e-4
+
+
+def test_every_pair_meets_once_in_blocks(spark):
+    from cadenza.operators.speakers import every_pair
+
+    a = spark.createDataFrame([(i % 3 if i < 50 else 7, i) for i in range(90)], "k long, x long")
+    b = spark.createDataFrame([(i % 2, i) for i in range(40)] + [(None, 99)], "k long, y long")
+    for rows in (1, 7, 2048):
+        got = sorted((r["x"], r["y"]) for r in every_pair(a, b, ["k"], rows).collect())
+        assert got == sorted((r["x"], r["y"]) for r in a.join(b, "k").collect())
+        assert every_pair(a, b.select("y"), [], rows).count() == 90 * 41
+    assert every_pair(a.filter("false"), b, ["k"]).count() == 0 and every_pair(a, b.select("y").filter("false"), []).count() == 0
