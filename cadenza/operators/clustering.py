@@ -118,7 +118,7 @@ def hierarchical(frames: DataFrame, most: int, ranking: str = "sum_variance", le
 def nuisance_basis(frames: DataFrame, key: str, rank: int) -> np.ndarray:
     """[rank, d]: leading directions of the scatter within the classes, to be removed from every frame."""
     means = class_means(frames, key).withColumnRenamed("id", key)
-    centred = frames.join(F.broadcast(means), key).withColumn("x", V.sub(F.col("x"), F.col("m")))
+    centred = frames.join(means, key).withColumn("x", V.sub(F.col("x"), F.col("m")))
     values, vectors = np.linalg.eigh(covariance_matrix(centred))
     return vectors.T[np.argsort(-values)[:rank]]
 

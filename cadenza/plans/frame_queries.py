@@ -400,5 +400,5 @@ def fast_init(spark, sf_dir):
     f = frames(spark, sf_dir)
     before = f.groupBy("rec_id").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("rec_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     place = F.col("before") + F.col("frame_idx")
-    dealt = f.join(F.broadcast(before), "rec_id").withColumn("c", F.floor(place / 25) % 4)
+    dealt = f.join(before, "rec_id").withColumn("c", F.floor(place / 25) % 4)
     return dealt.select("c", F.posexplode("x").alias("k", "v")).groupBy("c", F.col("k").cast("long").alias("k")).agg(r6(F.avg("v")).alias("m"), F.round(F.var_pop("v"), 6).alias("s"))

@@ -181,7 +181,7 @@ def drawn_samples(spark, sf_dir):
     """A sample for every frame from its class's Gaussian, from a fixed seed."""
     f = frames(spark, sf_dir)
     g = M.class_gaussians(f, "rec_id").withColumnRenamed("id", "rec_id")
-    drawn = f.select(*KEYS).join(F.broadcast(g), "rec_id").withColumn("u", F.xxhash64(*KEYS, F.lit(7)))
+    drawn = f.select(*KEYS).join(g, "rec_id").withColumn("u", F.xxhash64(*KEYS, F.lit(7)))
     uniform = F.shiftrightunsigned(F.xxhash64("u", "i"), 11) / F.lit(float(1 << 53))
     other = F.shiftrightunsigned(F.xxhash64("u", "i", F.lit(1)), 11) / F.lit(float(1 << 53))
     normal = F.sqrt(-2 * F.log(F.greatest(uniform, F.lit(1e-300)))) * F.cos(2 * np.pi * other)
