@@ -22,9 +22,15 @@ def mul(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda a, b: a * b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """``a / b``; a zero divisor gives infinity or NaN as floating point does, null stays null."""
+    beyond = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b != 0, F.try_divide(a, b)).when(b == 0, beyond)
+
+
 def div(x: Column, y: Column) -> Column:
     """Component-wise quotient; a zero divisor gives infinity or NaN as floating point does."""
-    return F.zip_with(x, y, lambda a, b: F.when(b != 0, F.try_divide(a, b)).otherwise(F.when(a == 0, float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))))
+    return F.zip_with(x, y, quotient)
 
 
 def scale(x: Column, s: Column | float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as C
+from cadenza.functions import vectors as V
 from cadenza.operators import sequence as S
 from cadenza.operators import speakers as P
 from cadenza.plans.bindings import DIARY, FRAMES, SAMPLES, diary, frames, r6, samples
@@ -96,7 +97,7 @@ def segment_bounds(spark, sf_dir):
 @query("win14_cumulative_mean", f"WITH {SAMPLES} SELECT rec_id, idx, round(value * (idx + 1) / sum(value) {_over('all', 0)}, 6) AS d FROM samples")
 def cumulative_mean(spark, sf_dir):
     so_far = F.sum("value").over(S.sample_order().rowsBetween(W.unboundedPreceding, 0))
-    return samples(spark, sf_dir).select("rec_id", "idx", F.round(F.col("value") * (F.col("idx") + 1) / so_far, 6).alias("d"))
+    return samples(spark, sf_dir).select("rec_id", "idx", F.round(V.quotient(F.col("value") * (F.col("idx") + 1), so_far), 6).alias("d"))
 
 
 @query("win17_linear_alignment", f"WITH {SAMPLES}, n AS (SELECT rec_id, count(*) AS n FROM samples GROUP BY rec_id) SELECT rec_id, idx, idx * 3 // n AS q FROM samples JOIN n USING (rec_id)")
