@@ -22,6 +22,17 @@ def mul(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda a, b: a * b)
 
 
+def running_deviation(x: Column) -> Column:
+    """Population standard deviation of a short array by the running update in its order; null for none."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"))
+
+    def update(s: Column, v: Column) -> Column:
+        mean = s["mean"] + (v - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["square"] + (v - mean) * (v - s["mean"])).alias("square"))
+
+    return F.when(F.size(x) > 0, F.aggregate(x, start, update, lambda s: F.sqrt(s["square"] / s["n"])))
+
+
 def quotient(a: Column, b: Column) -> Column:
     """``a / b``; a zero divisor gives infinity or NaN as floating point does, null stays null."""
     beyond = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))

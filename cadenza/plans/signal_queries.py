@@ -157,8 +157,10 @@ def pitch_clamp(spark, sf_dir):
 @query("agg17_flt4_voiced_segments", f"""WITH {SAMPLES}, {_PITCH}, s AS (SELECT rec_id, idx // 5 AS seg_id, count(*) FILTER (pitch > 0) / count(*)::DOUBLE AS rate, avg(pitch) FILTER (pitch > 0) AS mu, stddev_pop(pitch) FILTER (pitch > 0) AS sigma FROM pitches GROUP BY ALL)
 SELECT rec_id, seg_id, round(rate, 6) AS rate, round(mu, 6) AS mu, round(sigma, 6) AS sigma FROM s WHERE rate >= 0.3 AND mu BETWEEN 25 AND 100 AND sigma <= 30""")
 def voiced_segments(spark, sf_dir):
-    heard = F.when(F.col("pitch") > 0, F.col("pitch"))
-    per = _pitches(spark, sf_dir).groupBy("rec_id", F.floor(F.col("idx") / 5).alias("seg_id")).agg((F.count(heard) / F.count("*")).alias("rate"), F.avg(heard).alias("mu"), F.stddev_pop(heard).alias("sigma"))
+    """Bounds are compared with moments taken in the order of the samples: values of two decimals often lie on them."""
+    heard = F.transform(F.array_sort(F.collect_list(F.when(F.col("pitch") > 0, F.struct("idx", "pitch")))), lambda c: c["pitch"])
+    per = _pitches(spark, sf_dir).groupBy("rec_id", F.floor(F.col("idx") / 5).alias("seg_id")).agg(F.count("*").alias("n"), heard.alias("x"))
+    per = per.filter(F.size("x") > 0).withColumn("sigma", V.running_deviation(F.col("x"))).withColumn("mu", V.quotient(V.total(F.col("x")), F.size("x"))).withColumn("rate", F.size("x") / F.col("n"))
     return per.filter((F.col("rate") >= 0.3) & F.col("mu").between(25, 100) & (F.col("sigma") <= 30)).select("rec_id", "seg_id", *[F.round(c, 6).alias(c) for c in ("rate", "mu", "sigma")])
 
 

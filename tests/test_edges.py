@@ -40,3 +40,11 @@ def test_cumulative_mean_from_zero(spark, events):
     """The mean of a record that starts with zeros is no divisor; one that falls back to zero gives infinity."""
     got, want = both(spark, events([(1, 0), (1, 0), (1, 4.5), (2, 3), (2, -3), (3, 7.25)]), "win14_cumulative_mean")
     assert got == want and [g[2] for g in got] == ["nan", "nan", 3.0, 1.0, float("-inf"), 1.0]
+
+
+def test_voiced_segments_on_the_bound(spark, events):
+    """Deviations of exactly 30: what the running update gives decides, as in SQL."""
+    pairs = [(83.04, 23.04), (23.04, 83.04), (83.62, 23.62), (20, 80), (90, 30), (30, 90), (20.5, 80.52), (500, 500)]
+    rows = [(u, v) for u, (a, b) in enumerate(pairs) for v in (a, 500, b, 500, 500)]
+    got, want = both(spark, events(rows), "agg17_flt4_voiced_segments")
+    assert got == want and [g[0] for g in got] == [3, 4, 5]
