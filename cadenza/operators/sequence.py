@@ -89,6 +89,15 @@ def smooth_voicing(frames: DataFrame, flag: str = "voiced") -> DataFrame:
     return frames.withColumn(flag, new)
 
 
+def above_mean(samples: DataFrame, *order: str, key: str = "rec_id") -> DataFrame:
+    """Samples with speech: 1 above the mean of their record, else 0.
+
+    The mean is added up in the order of the samples (``order``, or idx), wherever rows lie: a sample may equal it, and the last bit decides.
+    """
+    whole = W.partitionBy(key).orderBy(*(order or ("idx",))).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return samples.withColumn("speech", (F.col("value") > F.avg("value").over(whole)).cast("int"))
+
+
 def close_then_open(samples: DataFrame, radius: int, mask: str = "speech") -> DataFrame:
     """Morphological closing, then opening of a 0/1 mask."""
     w = sample_order().rowsBetween(-radius, radius)

@@ -24,8 +24,8 @@ def r6(x: Column) -> Column:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("rec_id"), place.cast("long").alias("frame_idx"), F.col("embedding").cast("array<double>").alias("x"))
+    place = F.row_number().over(W.partitionBy("rec_id").orderBy("vec_id")) - 1
+    return table(spark, sf_dir, "embeddings").withColumnRenamed("label", "rec_id").select("rec_id", place.cast("long").alias("frame_idx"), F.col("embedding").cast("array<double>").alias("x"))
 
 
 def cells(df: DataFrame, *keys: str) -> DataFrame:
@@ -34,8 +34,8 @@ def cells(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), place.cast("long").alias("idx"), "value", "event_type")
+    place = F.row_number().over(W.partitionBy("rec_id").orderBy("ts", "event_id")) - 1
+    return table(spark, sf_dir, "events").withColumnRenamed("user_id", "rec_id").select("rec_id", place.cast("long").alias("idx"), "value", "event_type")
 
 
 def diary(spark: SparkSession, sf_dir: str) -> DataFrame:

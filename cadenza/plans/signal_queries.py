@@ -59,8 +59,7 @@ _MASK = f"voiced AS (SELECT rec_id, idx, (value > avg(value) OVER (PARTITION BY
 
 
 def _mask(spark, sf_dir):
-    mean = F.avg("value").over(W.partitionBy("rec_id"))
-    return samples(spark, sf_dir).withColumn("speech", (F.col("value") > mean).cast("int")).select("rec_id", "idx", "speech")
+    return S.above_mean(samples(spark, sf_dir)).select("rec_id", "idx", "speech")
 
 
 _AT = {j: f"coalesce({'lead' if j > 0 else 'lag'}(speech, {abs(j)}) {_O}, {'last' if j > 0 else 'first'}(speech) OVER (PARTITION BY rec_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))" for j in (-2, -1, 1, 2)}
