@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza import streaming
 from cadenza.functions.shared import fresh_folder
+from cadenza.operators import sequence as S
 from cadenza.plans import frame_queries, model_queries, signal_queries  # noqa: F401  their SQL is used below
 from cadenza.plans.bindings import SAMPLES, cells, r6
 from cadenza.plans.catalog import ORACLES, query, table
@@ -76,9 +76,8 @@ _framed("str7_stream_trajectories", "win9_trajectories", lambda s, **k: stateful
 
 @query("str7_stream_voicing", ORACLES["win10_voicing_smoothing"])
 def stream_voicing(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    flag = (F.col("value") > F.avg("value").over(W.partitionBy("user_id"))).cast("double")
-    rows = events.select(F.col("user_id").alias("rec_id"), "ts", F.col("event_id").alias("seq"), F.array(flag).alias("x"))
+    events = S.above_mean(table(spark, sf_dir, "events"), "ts", "event_id", key="user_id")
+    rows = events.select(F.col("user_id").alias("rec_id"), "ts", F.col("event_id").alias("seq"), F.array(F.col("speech").cast("double")).alias("x"))
     return _run(spark, rows, stateful.smooth_voicing).select("rec_id", F.col("frame_idx").alias("idx"), F.col("x")[0].cast("int").alias("speech"))
 
 

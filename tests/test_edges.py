@@ -5,8 +5,10 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
+from cadenza.operators import sequence as S
 from cadenza.plans import registered
 
 FOUND = registered()
@@ -48,3 +50,28 @@ def test_voiced_segments_on_the_bound(spark, events):
     rows = [(u, v) for u, (a, b) in enumerate(pairs) for v in (a, 500, b, 500, 500)]
     got, want = both(spark, events(rows), "agg17_flt4_voiced_segments")
     assert got == want and [g[0] for g in got] == [3, 4, 5]
+
+
+def tied(users):
+    """Records of made values, one of which is their mean; what the sum in order gives differs from the exact mean in some."""
+    r, out = np.random.default_rng(7), []
+    for u in range(users):
+        v, x = int(r.exponential(5000)) + 100, np.round(r.exponential(5000, 40)).astype(int)
+        while (apart := 40 * v - int(x.sum())) != 0:
+            i = r.integers(40)
+            x[i] = max(0, x[i] + apart)
+        out += [(u, float(c) / 100) for c in r.permutation(np.append(x, v))]
+    return out
+
+
+@pytest.mark.parametrize("name", ["sig20_speech_string", "win10_voicing_smoothing", "str7_stream_voicing", "win12_closing_opening", "win15_silence_ends"])
+def test_samples_that_are_the_mean(spark, events, name):
+    got, want = both(spark, events(tied(30)), name)
+    assert got == want
+
+
+def test_mean_is_added_up_in_order(spark):
+    rows = [(u, i, v) for i, (u, v) in enumerate(tied(200))]
+    means = {u: np.cumsum([v for w, _, v in rows if w == u])[-1] / 41 for u in range(200)}
+    df = spark.createDataFrame([rows[i] for i in np.random.default_rng(1).permutation(len(rows))], "rec_id long, idx long, value double").repartition(16)
+    assert all(r["speech"] == int(r["value"] > means[r["rec_id"]]) for r in S.above_mean(df).collect())
