@@ -1,36 +1,55 @@
 """Spectral operators on frames: vectorised functions over Arrow batches of equally long frames.
 
-Each takes a column of array<double> and gives one; a batch's frames are transformed as one matrix. Frames of another length than
-the first of the batch are transformed in groups of equal length.
+Each takes a column of array<double> and gives one; a batch's frames of one length are transformed as matrices, in slices.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DOUBLES = "array<double>"
 FLOOR = 1e-6
+#: Values of frames, or of spectra of 1,024 values, that are transformed at once.
+SLICE = 1 << 19
+
+
+def _lengths(frames: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, frames of that length as a matrix) in slices of a bounded number of values; null frames are in none."""
+    at, values = np.asarray(frames.offsets), np.asarray(frames.values.to_numpy(zero_copy_only=False), np.float64)
+    sizes = np.where(np.asarray(frames.is_valid()), np.diff(at), -1)
+    for n in np.unique(sizes[sizes >= 0]).tolist():
+        rows, step = np.flatnonzero(sizes == n), max(1, SLICE // max(n, 1024))
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            yield n, part, values[at[part][:, None] + np.arange(n)]
 
 
 def _batched(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
-    """A column function from one on matrices (a frame per row); null frames stay null."""
-
-    @F.pandas_udf(DOUBLES)
-    def run(frames: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(frames), index=frames.index, dtype=object)
-        sizes = frames.map(lambda x: -1 if x is None else len(x))
-        for n, part in frames.groupby(sizes):
-            if n >= 0:
-                done = f(np.stack([np.asarray(x, np.float64) for x in part])) if n else np.zeros((len(part), 0))
-                out.loc[part.index] = pd.Series(list(done), index=part.index)
-        return out
+    """A column function from one on matrices (a frame per row); null frames stay null.
+
+    Frames are transformed by slices, from Arrow's own buffer into another: what a task holds beside a batch and its results is bounded.
+    """
+
+    @F.arrow_udf(DOUBLES)
+    def run(frames: pa.Array) -> pa.Array:
+        done = [(rows, f(m) if n else np.zeros((len(rows), 0))) for n, rows, m in _lengths(frames)]
+        widths = np.zeros(len(frames) + 1, np.int32)
+        for rows, m in done:
+            widths[rows + 1] = m.shape[1]
+        at = np.cumsum(widths, dtype=np.int32)
+        values = np.empty(at[-1])
+        while done:
+            rows, m = done.pop()
+            values[at[rows][:, None] + np.arange(m.shape[1])] = m
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(values), mask=pc.is_null(frames))
 
     return run
 
@@ -251,13 +270,12 @@ def voicing(x: Column, zero_crossings: float, energy: float, peak: float) -> Col
 def yin_pitch(x: Column, rate: float = 8000.0, threshold: float = 0.15) -> Column:
     """Pitch of each frame by YIN in single precision, -1 if unvoiced (also for constant frames). Frames of one length go together."""
 
-    @F.pandas_udf("double")
-    def run(frames: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(frames), index=frames.index, dtype="float64")
-        for n, part in frames.groupby(frames.map(lambda f: -1 if f is None else len(f))):
-            if n >= 0:
-                out.loc[part.index] = yin_rows(np.stack([np.asarray(f, np.float32) for f in part]) if n else np.zeros((len(part), 0), np.float32), rate, threshold)
-        return out
+    @F.arrow_udf("double")
+    def run(frames: pa.Array) -> pa.Array:
+        out = np.zeros(len(frames))
+        for _, rows, m in _lengths(frames):
+            out[rows] = yin_rows(m.astype(np.float32), rate, threshold)
+        return pa.array(out, mask=np.asarray(pc.is_null(frames)))
 
     return run(x)
 

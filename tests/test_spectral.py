@@ -63,3 +63,22 @@ def test_delta_of_a_ramp_and_smoothing(spark):
     assert len(rows) == 30 - 20 and all(set(r.x) == {2.0} for r in rows)
     flags = spark.createDataFrame([("r", i, v) for i, v in enumerate([0, 0, 1, 0, 0, 0])], "rec_id string, frame_idx long, voiced int")
     assert [r.voiced for r in S.smooth_voicing(flags).orderBy("frame_idx").collect()] == [0] * 6
+
+
+def test_frames_are_transformed_in_slices(spark):
+    """Frames of several lengths, empty and null ones come back in their rows; no call gets more than a slice."""
+    r = np.random.default_rng(3)
+    rows = [(i, None if i % 7 == 0 else r.normal(0, 1, (16, 24, 0)[i % 3]).tolist()) for i in range(1500)]
+    top = P.SLICE // 1024
+
+    def run(m):
+        assert len(m) <= top
+        return np.concatenate([m[:, ::-1], m.sum(1, keepdims=True)], 1)
+
+    df = spark.createDataFrame(rows, "i int, x array<double>").coalesce(1)
+    got = {g["i"]: g for g in df.select("i", P._batched(run)("x").alias("y"), P.yin_pitch(F.col("x")).alias("p")).collect()}
+    for i, x in rows:
+        if x is None:
+            assert got[i]["y"] is None and got[i]["p"] is None
+        else:
+            assert np.allclose(got[i]["y"], x[::-1] + [sum(x)] if x else []) and got[i]["p"] == P.yin(np.array(x), 8000.0)
