@@ -15,7 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions.shared import rewritten
@@ -132,20 +134,42 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.array([v.tolist() for v in values], pa.list_(kind))
 
 
+def _rows(values: np.ndarray) -> pa.Array:
+    """A list a row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+
+def _side_by_side(chunks: pa.Array, d: int, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, lengths, frames [row, time, d]) of chunks of similar lengths, longest first; what a chunk lacks are copies of its last frame.
+
+    They are as many as keep ``cells`` values a frame within bounds.
+    """
+    at, values = np.asarray(chunks.offsets), np.asarray(chunks.values.to_numpy(zero_copy_only=False), np.float64)
+    lengths = np.diff(at) // d
+    order, i = np.argsort(-lengths, kind="stable"), 0
+    while i < len(order):
+        longest = int(lengths[order[i]])
+        rows = order[i : i + max(1, _CELLS // (4 * longest * max(cells, d)))]
+        places = np.minimum(np.arange(longest), lengths[rows, None] - 1) * d + at[rows, None]
+        yield rows, lengths[rows], values[places[:, :, None] + np.arange(d)]
+        i += len(rows)
+
+
 def _transfers(chunks: DataFrame, chain: FrameChain, best: bool) -> DataFrame:
     """rec_id, at, m: log weight, for each state before a chunk (or none) and at its end, of all paths or of the best one."""
     a, add, d = chain.moves(), _max if best else _log_sum, chain.means.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for row in batch.column(2):
-                e = chain.emissions(chain.densities(np.asarray(row.values, np.float64).reshape(-1, d)))
-                m = a + e[0]
-                for emitted in e[1:]:
-                    m = add(m[:, :, None] + a[None, :-1], 1) + emitted
-                found.append(m.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(found, pa.float64())], ["rec_id", "at", "m"])
+            found = np.empty((batch.num_rows, a.size))
+            for rows, lengths, x in _side_by_side(batch.column(2), d, max(chain.weights.shape[1], a.size * a.shape[1])):
+                e = chain.emissions(chain.densities(x.reshape(-1, d))).reshape(*x.shape[:2], -1)
+                m = a + e[:, :1]
+                for t in range(1, x.shape[1]):
+                    k = int((lengths > t).sum())
+                    m[:k] = add(m[:k, :, :, None] + a[:-1], 2) + e[:k, t, None]
+                found[rows] = m.reshape(len(rows), -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _rows(found)], ["rec_id", "at", "m"])
 
     kind = chunks.schema["rec_id"].dataType.simpleString()
     return chunks.select("rec_id", "at", "x").mapInArrow(run, f"rec_id {kind}, at long, m array<double>")
@@ -209,13 +233,35 @@ def _places(transfers: DataFrame, states: int, best: bool, forced: bool, fan: in
             m = add(m[:, :, None] + other[None, :-1], 1)
         return pa.table([table.column("rec_id")[:1], pa.array([table.column("at")[0].as_py() // fan]), _lists([m.ravel()], pa.float64())], ["rec_id", "at", "m"])
 
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As ``start``, for records of one matrix, all of a batch at once."""
+        for batch in batches:
+            m = np.asarray(batch.column(2).flatten(), np.float64).reshape(shape)
+            f, g, n = np.full(states + 1, -np.inf), np.zeros(states), len(m)
+            f[-1] = 0.0
+            if forced:
+                g[:-1] = -np.inf
+            end = add(f[:, None] + m, 1) + g
+            first = last = np.full(n, -1, np.int32)
+            if best:
+                last = end.argmax(1).astype(np.int32)
+                first = (f + m[np.arange(n), :, last]).argmax(1).astype(np.int32)
+            columns = [_rows(np.tile(f, (n, 1))), _rows(np.tile(g, (n, 1))), pa.array(first), pa.array(last), pa.array(add(end, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
+
     levels = [rewritten(transfers, "transfers")]
     most = levels[0].agg(F.max("at")).first()[0] or 0
     up = F.floor(F.col("at") / fan)
     while most >= fan:
         levels.append(rewritten(levels[-1].groupBy("rec_id", up.alias("up")).applyInArrow(product, f"rec_id {kind}, at long, m array<double>"), "transfers"))
         most //= fan
-    placed = rewritten(levels.pop().groupBy("rec_id").applyInArrow(start, out), "places")
+    top = levels.pop()
+    if most:
+        top = rewritten(top.withColumn("n", F.count("*").over(W.partitionBy("rec_id"))), "transfers")
+        placed = top.filter("n = 1").drop("n").mapInArrow(alone, out).union(top.filter("n > 1").drop("n").groupBy("rec_id").applyInArrow(start, out))
+    else:
+        placed = top.mapInArrow(alone, out)
+    placed = rewritten(placed, "places")
     while levels:
         below = levels.pop()
         placed = rewritten(placed.groupBy("rec_id", "at").cogroup(below.groupBy("rec_id", up.alias("up"))).applyInArrow(down, out), "places")
@@ -257,7 +303,12 @@ def best_states(frames: DataFrame, chain: FrameChain, forced: bool = False, size
 
 def record_scores(frames: DataFrame, chain: FrameChain, best: bool = False, forced: bool = False, size: int = FRAMES, fan: int = FAN) -> DataFrame:
     """rec_id, score: each record's log likelihood, or with ``best`` that of its best path; ``forced`` paths end in the last state."""
-    placed = _places(_transfers(chunked(frames, size), chain, best), len(chain.initial), best, forced, _checked(fan))
+    return scores_of_chunks(chunked(frames, size), chain, best, forced, fan)
+
+
+def scores_of_chunks(chunks: DataFrame, chain: FrameChain, best: bool = False, forced: bool = False, fan: int = FAN) -> DataFrame:
+    """As :func:`record_scores`, of frames that are :func:`chunked` already: for several chains."""
+    placed = _places(_transfers(chunks, chain, best), len(chain.initial), best, forced, _checked(fan))
     return placed.groupBy("rec_id").agg(F.max("score").alias("score"))
 
 
@@ -272,22 +323,23 @@ def _expected(joined: DataFrame, chain: FrameChain) -> dict[str, np.ndarray]:
     a, (s_n, c_n), d = chain.moves(), chain.weights.shape, chain.means.shape[1]
     shapes = {"first": (s_n,), "moves": (s_n, s_n), "occ": (s_n, c_n), "sum": (c_n, d), "square": (c_n, d), "ll": (1,), "n": (1,)}
 
-    def add(out: dict[str, np.ndarray], x: np.ndarray, f: np.ndarray, g: np.ndarray, score: float) -> None:
-        each = chain.densities(x)
-        e = chain.emissions(each)
-        alpha, beta = np.empty_like(e), np.empty_like(e)
-        alpha[0], beta[-1] = _log_sum(f[:, None] + a, 0) + e[0], g
-        for t in range(1, len(e)):
-            alpha[t] = _log_sum(alpha[t - 1][:, None] + a[:-1], 0) + e[t]
-        for t in range(len(e) - 1, 0, -1):
-            beta[t - 1] = _log_sum(a[:-1] + e[t] + beta[t], 1)
-        into = np.exp(f[:, None] + a + e[0] + beta[0] - score)
+    def add(out: dict[str, np.ndarray], x: np.ndarray, lengths: np.ndarray, f: np.ndarray, g: np.ndarray, score: np.ndarray) -> None:
+        each = chain.densities(x.reshape(-1, d))
+        e = chain.emissions(each).reshape(*x.shape[:2], -1)
+        alpha, beta, alive = np.full_like(e, -np.inf), np.full_like(e, -np.inf), [int((lengths > t).sum()) for t in range(x.shape[1])]
+        alpha[:, 0], beta[np.arange(len(x)), lengths - 1] = _log_sum(f[:, :, None] + a, 1) + e[:, 0], g
+        for t, k in enumerate(alive[1:], 1):
+            alpha[:k, t] = _log_sum(alpha[:k, t - 1, :, None] + a[:-1], 1) + e[:k, t]
+        for t in range(len(alive) - 1, 0, -1):
+            k = alive[t]
+            into = a[:-1] + (e[:k, t] + beta[:k, t])[:, None]
+            beta[:k, t - 1] = _log_sum(into, 2)
+            out["moves"] += np.exp(alpha[:k, t - 1, :, None] + into - score[:k, None, None]).sum(0)
+        into = np.exp(f[:, :, None] + a + (e[:, 0] + beta[:, 0])[:, None] - score[:, None, None]).sum(0)
         out["first"] += into[-1]
         out["moves"] += into[:-1]
-        for t in range(0, len(e) - 1, 64):
-            late = slice(t + 1, min(t + 65, len(e)))
-            out["moves"] += np.exp(alpha[t : late.stop - 1, :, None] + a[:-1] + (e + beta)[late, None] - score).sum(0)
-        gamma = np.exp(alpha + beta - score)
+        gamma = np.exp(alpha + beta - score[:, None, None]).reshape(-1, s_n)  # 0 where a chunk has no frame
+        e, x = e.reshape(-1, s_n), x.reshape(-1, d)
         for s, w in enumerate(chain.weights):
             own = np.flatnonzero(w > 0)
             shown = np.where(np.isfinite(e[:, s]), e[:, s], 0.0)[:, None]  # what can't be shown has no weight
@@ -295,16 +347,17 @@ def _expected(joined: DataFrame, chain: FrameChain) -> dict[str, np.ndarray]:
             out["occ"][s, own] += share.sum(0)
             out["sum"][own] += share.T @ x
             out["square"][own] += share.T @ (x * x)
-        out["n"] += len(x)
-        if f[-1] == 0.0:  # once a record
-            out["ll"] += score
+        out["n"] += lengths.sum()
+        out["ll"] += score[f[:, -1] == 0.0].sum()  # once a record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = {k: np.zeros(shape) for k, shape in shapes.items()}
         for batch in batches:
-            for x, f, g, score in zip(*(batch.column(i) for i in range(4)), strict=True):
-                if np.isfinite(score.as_py()):
-                    add(out, np.asarray(x.values, np.float64).reshape(-1, d), np.asarray(f.values), np.asarray(g.values), score.as_py())
+            batch = batch.filter(pc.is_finite(batch.column(3)))
+            f, g = (np.asarray(batch.column(i).flatten(), np.float64).reshape(-1, n) for i, n in ((1, s_n + 1), (2, s_n)))
+            score = np.asarray(batch.column(3))
+            for rows, lengths, x in _side_by_side(batch.column(0), d, max(c_n, 4 * s_n, a.size)):
+                add(out, x, lengths, f[rows], g[rows], score[rows])
         flat = np.concatenate([v.ravel() for v in out.values()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "v"])
 

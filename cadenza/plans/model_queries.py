@@ -130,10 +130,10 @@ SELECT rec_id, round(greatest(s0, s1, s2), 6) AS best, round(l2, 6) AS forced, r
 )
 def record_scores(spark, sf_dir):
     """Each user's best path, best path through the linear chain to its end (null if there is none) and log likelihood."""
-    f, chain, linear = _symbols(spark, sf_dir), H.SymbolChain.of(_chain()), H.SymbolChain.of(_chain("LINEAR"))
-    out = H.record_scores(f, chain, best=True).withColumnRenamed("score", "best")
-    out = out.join(H.record_scores(f, linear, best=True, forced=True).withColumnRenamed("score", "forced"), "rec_id")
-    out = out.join(H.record_scores(f, chain).withColumnRenamed("score", "likelihood"), "rec_id")
+    f, chain, linear = H.chunked(_symbols(spark, sf_dir)), H.SymbolChain.of(_chain()), H.SymbolChain.of(_chain("LINEAR"))
+    out = H.scores_of_chunks(f, chain, best=True).withColumnRenamed("score", "best")
+    out = out.join(H.scores_of_chunks(f, linear, best=True, forced=True).withColumnRenamed("score", "forced"), "rec_id")
+    out = out.join(H.scores_of_chunks(f, chain).withColumnRenamed("score", "likelihood"), "rec_id")
     return out.select("rec_id", *[F.round(F.when(F.col(c) > float("-inf"), F.col(c)), 6).alias(c) for c in ("best", "forced", "likelihood")])
 
 

@@ -1,6 +1,7 @@
 """Chains over frames in chunks against forward-backward and best paths over whole records in plain numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cadenza.operators import chains as H
@@ -172,3 +173,14 @@ def test_odd_tables(spark):
         H.chunked(none, 0)
     with pytest.raises(ValueError):
         H.best_states(none, chain, fan=1)
+
+
+def test_chunks_go_side_by_side():
+    """Many short chunks are few slices, each within bounds, and none of their frames is lost."""
+    r = np.random.default_rng(4)
+    made = [r.normal(0, 1, (int(n), 2)) for n in r.integers(1, 257, 3000)]
+    slices = list(H._side_by_side(pa.array([m.ravel().tolist() for m in made])[1:], 2, 12))
+    assert len(slices) < 100 and sorted(int(i) for rows, _, _ in slices for i in rows) == list(range(2999))
+    for rows, lengths, x in slices:
+        assert x.shape[0] * x.shape[1] * 12 <= H._CELLS
+        assert all(np.array_equal(v[:n], made[i + 1]) and np.array_equal(v[n:], np.repeat(v[n - 1 : n], len(v) - n, 0)) for i, n, v in zip(rows, lengths, x, strict=True))
