@@ -180,6 +180,31 @@ def _extended(mask: np.ndarray, radius: int, most: bool) -> np.ndarray:
     return near.max(1) if most else near.min(1)
 
 
+class _Held:
+    """A map state of two lists a key: while a source is worked on, each entry is fetched once and stored once, if it has changed."""
+
+    def __init__(self, state) -> None:
+        self.state, self.known, self.touched = state, {}, set()
+
+    def get(self, key: int) -> list[list]:
+        if key not in self.known:
+            self.known[key] = [list(x) for x in self.state.getValue((key,))] if self.state.containsKey((key,)) else [[], []]
+        return self.known[key]
+
+    def changed(self, key: int) -> list[list]:
+        self.touched.add(key)
+        return self.get(key)
+
+    def store(self) -> None:
+        for key in self.touched:
+            self.state.updateValue((key,), tuple(self.known[key]))
+        self.known, self.touched = {}, set()
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.known, self.touched = {}, set()
+
+
 class _Speech(_InOrder):
     """Labels windows of samples as speech by a threshold over all windows so far, and says again what a moved threshold changes.
 
@@ -195,8 +220,8 @@ class _Speech(_InOrder):
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.sums = handle.getValueState("sums", "samples long, total double, windows long, logs double, version long, rest array<double>, parts array<double>")
-        self.by_energy = handle.getMapState("by_energy", "stretch long", "wins array<bigint>, energies array<double>")
-        self.labels = handle.getMapState("labels", "chunk long", "raw array<int>, smooth array<int>")
+        self.by_energy = _Held(handle.getMapState("by_energy", "stretch long", "wins array<bigint>, energies array<double>"))
+        self.labels = _Held(handle.getMapState("labels", "chunk long", "raw array<int>, smooth array<int>"))
 
     def _stretch(self, energy: float) -> int:
         return int(np.floor(np.log2(energy + self.base) * self.STRETCH))
@@ -205,30 +230,27 @@ class _Speech(_InOrder):
         """Windows whose energy is in (low, high]."""
         out = []
         for s in range(self._stretch(low), self._stretch(high) + 1):
-            if self.by_energy.containsKey((s,)):
-                out += [(w, e) for w, e in zip(*self.by_energy.getValue((s,)), strict=True) if low < e <= high]
+            out += [(w, e) for w, e in zip(*self.by_energy.get(s), strict=True) if low < e <= high]
         return out
 
     def _read(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """(raw, smoothed) labels of windows a to b - 1; -1 where there is none yet."""
         raw, smooth = np.full(b - a, -1), np.full(b - a, -1)
         for c in range(a // self.CHUNK, (b - 1) // self.CHUNK + 1):
-            if self.labels.containsKey((c,)):
-                left, at = max(a, c * self.CHUNK), c * self.CHUNK
-                for out, values in zip((raw, smooth), self.labels.getValue((c,)), strict=True):
-                    part = np.array(values[left - at : b - at], np.int64)
-                    out[left - a : left - a + len(part)] = part
+            left, at = max(a, c * self.CHUNK), c * self.CHUNK
+            for out, values in zip((raw, smooth), self.labels.get(c), strict=True):
+                part = np.array(values[left - at : b - at], np.int64)
+                out[left - a : left - a + len(part)] = part
         return raw, smooth
 
     def _write(self, a: int, values: np.ndarray, which: int) -> None:
         for c in range(a // self.CHUNK, (a + len(values) - 1) // self.CHUNK + 1):
-            both = [list(x) for x in self.labels.getValue((c,))] if self.labels.containsKey((c,)) else [[], []]
+            both = self.labels.changed(c)
             for w in range(max(a, c * self.CHUNK), min(a + len(values), (c + 1) * self.CHUNK)):
                 place = w - c * self.CHUNK
                 for x in both:
                     x += [-1] * (place + 1 - len(x))
                 both[which][place] = int(values[w - a])
-            self.labels.updateValue((c,), tuple(both))
 
     def step(self, rows: np.ndarray, ended: bool) -> list[tuple]:
         count, total, windows, logs, version, rest, parts = self.sums.get() if self.sums.exists() else (0, 0.0, 0, 0.0, 0, [], [])
@@ -244,8 +266,8 @@ class _Speech(_InOrder):
         self.sums.update((count + len(fresh), total + float(fresh.sum()), windows + n, logs, version + 1, values[n * self.length :].tolist(), sizes[n * self.length :].tolist()))
         if ended:
             self.sums.clear()
-            self.by_energy.clear()
-            self.labels.clear()
+        for state in (self.by_energy, self.labels):
+            state.clear() if ended else state.store()
         return out
 
     def _relabelled(self, first: int, energies: np.ndarray, before: float | None, now: float | None, version: int) -> list[tuple]:
@@ -255,8 +277,8 @@ class _Speech(_InOrder):
             changed = {w: 0 if up else 1 for w, _ in self._crossed(min(before, now), max(before, now))}
         for i, e in enumerate(energies.tolist()):
             s = self._stretch(e)
-            wins, known = self.by_energy.getValue((s,)) if self.by_energy.containsKey((s,)) else ([], [])
-            self.by_energy.updateValue((s,), ([*wins, first + i], [*known, e]))
+            for x, v in zip(self.by_energy.changed(s), (first + i, e), strict=True):
+                x.append(v)
             changed[first + i] = int(e > now)
         last, reach, out = first + len(energies), 4 * self.radius, []
         for w, label in sorted(changed.items()):
