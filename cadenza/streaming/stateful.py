@@ -8,6 +8,7 @@ flushed, and later rows begin anew.
 from __future__ import annotations
 
 import contextlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ def run_available(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
 class _InOrder(StatefulProcessor):
     """Hands the rows of a source on in the order of (ts, seq): ``step(rows, ended)`` gets them when no earlier one can come."""
 
+    BLOCK = 512  # rows that are worked on or handed over at once
+
     def __init__(self, idle_ms: int, columns: list[str]) -> None:
         self.idle, self.columns = idle_ms, columns
 
@@ -50,27 +53,40 @@ class _InOrder(StatefulProcessor):
         self.open(handle)
 
     def handleInputRows(self, key, rows, timerValues):
-        got = [(int(a), int(s), [float(v) for v in x]) for part in rows for a, s, x in zip(part["at"], part["seq"], part["x"], strict=True) if x is not None]
-        if not got:
+        newest = None
+        for part in rows:
+            got = [(int(a), int(s), [float(v) for v in x]) for a, s, x in zip(part["at"], part["seq"], part["x"], strict=True) if x is not None]
+            if got:
+                self.waiting.appendList(got)
+                newest = max(r[0] for r in got) if newest is None else max(newest, *(r[0] for r in got))
+        if newest is None:
             return iter(())
-        self.waiting.appendList(got)
-        newest = max(r[0] for r in got) // 1000 + 1
+        newest = newest // 1000 + 1
         self.handle.registerTimer(newest)
         self.handle.registerTimer(newest + self.idle)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now, out = timerValues.getCurrentWatermarkInMs(), []
-        rows = sorted(tuple(r) for r in self.waiting.get())
+        out: list[tuple] = []
+        for row in self._handed_on(timerValues.getCurrentWatermarkInMs()):
+            out.append((key[0], *row))
+            if len(out) == self.BLOCK:
+                yield pd.DataFrame(out, columns=self.columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def _handed_on(self, now: int) -> Iterator[tuple]:
+        rows = sorted((r[0], r[1], array("d", r[2])) for r in self.waiting.get())
         ready = [r for r in rows if r[0] // 1000 < now]
         if ready:
             self.waiting.clear()
             if len(ready) < len(rows):
-                self.waiting.put(rows[len(ready) :])
+                self.waiting.put([(at, seq, x.tolist()) for at, seq, x in rows[len(ready) :]])
         last, run = self.done.get()[0] if self.done.exists() else None, []
         for row in ready:
             if last is not None and row[0] - last > self.idle * 1000:  # the source had ended before this row
-                out += self.step(np.array([r[2] for r in run], np.float64), True)
+                yield from self.step(np.array([r[2] for r in run], np.float64), True)
                 run = []
             run.append(row)
             last = row[0]
@@ -78,10 +94,8 @@ class _InOrder(StatefulProcessor):
             return
         ended = last // 1000 + self.idle < now
         if run or ended:
-            out += self.step(np.array([r[2] for r in run], np.float64), ended)
+            yield from self.step(np.array([r[2] for r in run], np.float64), ended)
         self.done.clear() if ended else self.done.update((last,))
-        if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
 
     def close(self) -> None:
         pass
@@ -101,7 +115,7 @@ class _LookAhead(_InOrder):
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.tail = handle.getValueState("tail", "done long, width int, flat array<double>")
 
-    def step(self, rows: np.ndarray, ended: bool) -> list[tuple]:
+    def step(self, rows: np.ndarray, ended: bool) -> Iterator[tuple]:
         if self.tail.exists():
             done, width, flat = self.tail.get()
             held = np.array(flat, np.float64).reshape(-1, width)
@@ -112,12 +126,14 @@ class _LookAhead(_InOrder):
         if ended and self.pad:
             held = np.concatenate([held, np.repeat(held[-1:], self.ahead, 0)])
         n = max(0, len(held) - self.back - self.ahead)
-        out = self.kernel(held, n) if n else []
+        for i in range(0, n, self.BLOCK):
+            size = min(self.BLOCK, n - i)
+            for j, x in enumerate(self.kernel(held[i : i + size + self.back + self.ahead], size)):
+                yield done + i + j, x
         if ended:
             self.tail.clear()
         else:
             self.tail.update((done + n, width, held[n:].ravel().tolist()))
-        return [(done + i, x.tolist()) for i, x in enumerate(out)]
 
 
 def _ordered(stream: DataFrame, processor: StatefulProcessor, late: str, schema: str) -> DataFrame:

@@ -120,3 +120,75 @@ def test_only_row(spark):
     assert only_row(two.filter("n = 3"), "x").count() == 0
     with pytest.raises(Exception, match="one row is needed"):
         only_row(two, "x").collect()
+
+
+class _Fake:
+    """A state in memory that counts what is fetched and stored."""
+
+    def __init__(self):
+        self.values, self.fetched, self.stored = {}, 0, 0
+
+    def containsKey(self, key):
+        return key in self.values
+
+    def getValue(self, key):
+        self.fetched += 1
+        return self.values[key]
+
+    def updateValue(self, key, value):
+        self.stored += 1
+        self.values[key] = value
+
+    def exists(self):
+        return "v" in self.values
+
+    def get(self):
+        return self.values["v"]
+
+    def update(self, value):
+        self.values["v"] = value
+
+    def clear(self):
+        self.values.clear()
+
+
+def test_entries_are_fetched_and_stored_once_a_step():
+    import numpy as np
+
+    from cadenza.streaming.stateful import _Speech
+
+    class Handle:
+        made = []
+
+        def getValueState(self, *_):
+            return _Fake()
+
+        def getMapState(self, *_):
+            self.made.append(_Fake())
+            return self.made[-1]
+
+    speech = _Speech(5, 2, 1e-6, 1000)
+    speech.open(Handle())
+    x = np.random.default_rng(6).exponential(50, (601, 1))
+    for a, b in ((0, 301), (301, 601)):
+        assert len(speech.step(x[a:b], False)) >= (b - a) // 5 - 1
+    energies, labels = Handle.made
+    assert labels.fetched == 1 and labels.stored == 2 and energies.fetched <= len(energies.values) and energies.stored <= 2 * len(energies.values)
+
+
+def test_frames_are_handed_on_in_blocks():
+    import numpy as np
+
+    from cadenza.streaming.stateful import _LookAhead
+
+    sizes = []
+
+    def kernel(b, n):
+        sizes.append(n)
+        return b[2 : 2 + n] - b[:n]
+
+    ahead = _LookAhead(kernel, 0, 2, False, 1000)
+    ahead.tail = _Fake()
+    x = np.random.default_rng(8).normal(0, 1, (3000, 4))
+    out = [r for a, b, ended in ((0, 1700, False), (1700, 3000, True)) for r in ahead.step(x[a:b], ended)]
+    assert max(sizes) <= ahead.BLOCK and [i for i, _ in out] == list(range(2998)) and np.array_equal(np.array([v for _, v in out]), x[2:] - x[:-2])
