@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from cadenza.llm.context_coder import BlockError, decode_blocks, encode_blocks
 from cadenza.llm.shared import fresh_path
 from cadenza.llm.token_counts import load_tokenizer
-from cadenza.llm.token_files import Encoder, FileFormatError, pack_file, read_token_files, unpack_file, write_token_files
+from cadenza.llm.token_files import Encoder, FileFormatError, pack_file, pack_files, read_token_files, unpack_file, unpack_files, write_token_files
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -85,3 +86,25 @@ def test_files_against_brute_force(spark, docs, odd_docs, no_docs):
         manifest = write_token_files(table, fresh_path(spark, "token-test"), tokenizer=PATH, end_id=2, ids_per_file=300)
         got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in read_token_files(manifest).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_files_are_coded_side_by_side_and_stand_alone():
+    """Blocks of different sizes, of more ids than followers hold in 16 bits, empty files: together or one by one, the same."""
+    rng = np.random.default_rng(5)
+    many = [rng.zipf(1.3, 70_000) % 50_257, np.arange(20_000) * 99_991 % 2**32, np.zeros(0, np.int64), rng.integers(0, 9, 17)]
+    raws = pack_files([([k], [len(ids)], ids) for k, ids in enumerate(many)])
+    assert [r[2].tolist() for r in unpack_files(raws)] == [ids.tolist() for ids in many] == [unpack_file(r)[2].tolist() for r in raws]
+
+
+def test_coding_takes_a_few_microseconds_an_id():
+    """256 blocks there and back, in units of the CPU seconds that this machine takes for a plain loop (1 ms as a rule)."""
+    ids = np.random.default_rng(6).zipf(1.2, 256 * 1024) % 50_257
+    taken = []
+    for _ in range(2):
+        marks = [time.thread_time()]
+        sum(range(50_000))
+        marks.append(time.thread_time())
+        assert np.array_equal(decode_blocks(encode_blocks(ids, 1024)), ids)
+        marks.append(time.thread_time())
+        taken.append((marks[2] - marks[1]) / (marks[1] - marks[0]))
+    assert min(taken) < 6e-3 * len(ids)
