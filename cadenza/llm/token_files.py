@@ -44,7 +44,7 @@ class FileFormatError(ValueError):
 def pack_files(files: list[tuple[list[int | None], np.ndarray | list[int], np.ndarray]]) -> list[bytes]:
     """Whole files of (document ids, id counts, all ids); their blocks are coded side by side."""
     # a step codes one id of every block, so few ids take shorter blocks: many steps of few blocks are slow
-    block = min(BLOCK, max(1 << 13, sum(len(ids) for _, _, ids in files) // 128))
+    block = min(BLOCK, max(1 << 12, sum(len(ids) for _, _, ids in files) // 128))
     parts = [cut(ids, block) for _, _, ids in files]
     flat, blocks = [x for own in parts for x in own], []
     for at in range(0, len(flat), TOGETHER):
